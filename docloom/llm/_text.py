@@ -64,7 +64,7 @@ class Rolling:
         m = len(self.sums) - n
         if m <= 0:
             return np.empty(0, _U)
-        return mix((self.sums[n:] - self.sums[:m]) * self.down[:m] + _U(n) * _Q[self.which])
+        return mix((self.sums[n:] - self.sums[:m]) * self.down[:m] + _U(n * int(_Q[self.which]) % (1 << 64)))
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
