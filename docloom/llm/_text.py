@@ -135,3 +135,11 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     out[0] = s[0]
     out[at] = s[1:] - s[:-1] - n[:-1] + 1
     return np.cumsum(out)
+
+
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of each run of equal keys."""
+    if not len(keys):
+        return []
+    first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]).tolist()
+    return list(zip(first, [*first[1:], len(keys)], strict=True))

@@ -10,7 +10,8 @@ Classes are joined exactly, by skipping what set relations already decide:
    A list is ordered by size; runs of it are skipped as blocks where size and position rule a link out.
 3. Answers of similar sets are reused. First each class is compared with one centre, the class it shares
    most lists with. Classes that link there have its answers. Then only lists that still hold several
-   components are read, first one pair for each two components, then the pairs that are left.
+   components are read: each class is compared with a few classes of other components, what links is
+   joined, then with more, and at last with all that are still apart.
 
 Links that are verified along the way connect the same classes as all links do. No list's pairs within
 one component are ever made. Sets are compared exactly, on their shared shingles.
@@ -25,38 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _shared, _text
+from docloom.llm._packed import pack, unpack
 from docloom.operators.components import connected_components
 
 #: Shingles that are packed together before they are sent.
 FLUSH = 1 << 21
 BUCKETS_PER_PARTITION = 4
+#: To how many others a class is compared in each round over the lists that hold several components; at last to all.
+ROUNDS = (4, 64, None)
 _U = np.uint64
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one-byte or eight-byte numbers; the bytes of equal weight stand together."""
-    head = np.array([len(arrays), *[x for a in arrays for x in (len(a), a.itemsize)]], np.int64).tobytes()
-    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + planes)
-
-
-def _unpack(blob: bytes, *types: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2)
-    at, out = 8 + 16 * n, []
-    for (length, width), t in zip(sizes.tolist(), types, strict=True):
-        planes = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t))
-        at += length * width
-    return out
-
-
 def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct shingles of each text, sorted by row and hash."""
     data, offsets = _text.flat(texts)
@@ -131,7 +115,7 @@ def _postings(width: int, n_buckets: int):
                 mine, d = slice(edges[b], edges[b + 1]), docs_order[d_edges[b] : d_edges[b + 1]]
                 used, local = np.unique(at[mine], return_inverse=True)
                 keys.append(b)
-                blobs.append(_pack(fp[used], n[used], np.diff(h[mine], prepend=_U(0)), local.astype(np.uint32), ids[d], n[d], fp[d], fp2[d]))
+                blobs.append(pack(fp[used], n[used], np.diff(h[mine], prepend=_U(0)), local.astype(np.uint32), ids[d], n[d], fp[d], fp2[d]))
             return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -162,7 +146,7 @@ def _shared_shingles(n_buckets: int):
         fps, ns, hs, ats, docs = [], [], [], [], []
         base = 0
         for blob in table["blob"].to_pylist():
-            fp, n, h, at, *doc = _unpack(blob, *_POSTING_TYPES)
+            fp, n, h, at, *doc = unpack(blob, *_POSTING_TYPES)
             fps.append(fp)
             ns.append(n)
             hs.append(np.cumsum(h, dtype=_U))
@@ -199,7 +183,7 @@ def _shared_shingles(n_buckets: int):
                 continue
             owner, count = np.unique(who[mine], return_counts=True)
             keys.append(b)
-            blobs.append(_pack(fp[owner], n[owner], count.astype(np.uint32), h[mine], df[mine].astype(np.uint32), *(riders if b == here else [x[:0] for x in riders])))
+            blobs.append(pack(fp[owner], n[owner], count.astype(np.uint32), h[mine], df[mine].astype(np.uint32), *(riders if b == here else [x[:0] for x in riders])))
         return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -211,7 +195,7 @@ def _gathered(percent: int):
     def run(table: pa.Table) -> pa.Table:
         parts, docs = [], []
         for blob in table["blob"].to_pylist():
-            *part, a, b, c, d = _unpack(blob, *_SHARED_TYPES)
+            *part, a, b, c, d = unpack(blob, *_SHARED_TYPES)
             parts.append(part)
             docs.append((a, b, c, d))
         fp, n, count, h, df = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -263,32 +247,35 @@ def _centres(percent: int):
     return run
 
 
-def _across(percent: int, one_pair: bool):
-    """Of one bucket of posting lists: pairs of classes in different components; ``one_pair``: the first class of each component with the list's first."""
+def _across(percent: int, most: int | None):
+    """Of one bucket of posting lists: pairs of classes in different components, from each class to at most ``most`` others.
+
+    Which others is drawn from both fingerprints, so a class draws much the same ones in all its lists.
+    The largest component of a list draws none; the others draw from it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         h, fp, n, pos, comp = (table[c].to_numpy() for c in ("h", "fp", "n", "pos", "comp"))
         order = np.lexsort((fp, n, h))
         h, fp, n, pos, comp = h[order], fp[order], n[order], pos[order], comp[order]
+        draw = _text.mix(fp.astype(np.uint64))
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(h)], strict=True):
-            mine = comp[a:b]
-            if b - a < 2 or (mine == mine[0]).all():
+            what = comp[a:b]
+            if b - a < 2 or (what == what[0]).all():
                 continue  # all of the list is one component
-            if one_pair:
-                _, first = np.unique(mine, return_index=True)
-                first = np.sort(first)
-                left.append(np.full(len(first) - 1, fp[a + first[0]]))
-                right.append(fp[a + first[1:]])
-                continue
-            size, place, what, who = n[a:b], pos[a:b], mine, fp[a:b]
-            # sizes ascend: what is too small for a class is a block at the front of the list
+            size, place, who, mine = n[a:b], pos[a:b], fp[a:b], draw[a:b]
+            names, count = np.unique(what, return_counts=True)
+            # sizes ascend: what is too small or too large for a class are blocks at the ends of the list
             start = np.searchsorted(size, -(-percent * size // 100))
-            for i in range(b - a):
-                j = np.arange(start[i], i)
+            end = np.searchsorted(size, 100 * size // percent, "right")
+            for i in np.flatnonzero(what != names[count.argmax()]).tolist():
+                j = np.arange(start[i], end[i])
                 j = j[what[j] != what[i]]
                 j = j[np.minimum(size[i] - place[i], size[j] - place[j]) >= _needed(size[i], size[j], percent)]
+                if most is not None and len(j) > most:
+                    j = j[np.argpartition(_text.mix(mine[j] ^ who[i].astype(np.uint64)), most)[:most]]
                 left.append(np.full(len(j), who[i]))
                 right.append(who[j])
         l, r = np.concatenate(left), np.concatenate(right)
@@ -326,9 +313,9 @@ def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     best = candidates.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
     links = _shared.cut(_verified(best, sets, percent))
     comp = connected_components(links)
-    for one_pair in (True, False):
+    for most in ROUNDS:
         named = lists.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "n", "pos", "h", F.coalesce("component", "fp").alias("comp"))
-        pairs = named.groupBy(bucket.alias("bucket")).applyInArrow(_across(percent, one_pair), "a long, b long").distinct()
+        pairs = named.groupBy(bucket.alias("bucket")).applyInArrow(_across(percent, most), "a long, b long").distinct()
         more = _shared.cut(_verified(pairs, sets, percent))
         if not more.isEmpty():
             links = links.union(more)
