@@ -1,15 +1,20 @@
 """What repeats across documents, found by partitioning all windows of all texts by their minimisers.
 
-A window is n consecutive units (bytes or words) of one document. Each window belongs to the bucket of
-its minimiser, the k units in it with the smallest hash, so equal windows meet in one bucket. Windows
-that follow one another and share their minimiser travel together as one string. Before anything is
-shuffled, equal strings of one batch are settled where they are: only that of the smallest document
-travels on, the others are covered already. A bucket says which windows of a document also start in a
-smaller document; those spans go back to their documents, where units are removed.
+A window is n consecutive units (bytes or words) of one document. The minimiser of a window is the k units
+in it with the smallest hash, so equal windows have equal minimisers at equal places.
+
+1. Every document sends the hashes of its minimisers to their buckets. A minimiser that occurs in one
+   document only has no window that occurs in another, so those windows are done. The other minimisers go
+   back to their documents.
+2. Windows that follow one another and share such a minimiser travel together as one string to its bucket.
+   Before that, equal strings of one group of documents are settled where they are: only that of the
+   smallest document travels on, the others are covered already.
+3. A bucket says which windows of a document also start in a smaller document. Those spans go back to their
+   documents, where units are removed.
 
 Documents are known by (id, hash of the text), so repeated rows are judged alike; a null id counts
-as larger than every other and never covers another null id. Nothing here holds more than one batch or
-bucket; the number of buckets follows the number of input partitions.
+as larger than every other and never covers another null id. Nothing here holds more than one batch, one
+bucket or one group of documents; their number follows the number of input partitions.
 """
 
 from __future__ import annotations
@@ -24,14 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm import _shared, _text
+from docloom.llm import _packed, _shared, _text
 
 #: A null id, as a number.
 NO_ID = (1 << 63) - 1
+#: So many minimisers are sent together.
+ANCHORS = 1 << 21
 #: Strings of about so many bytes are settled and sent together.
 FLUSH = 24 << 20
-#: Buckets for each input partition.
-BUCKETS_PER_PARTITION = 16
+#: Buckets, and groups of documents, for each input partition.
+BUCKETS_PER_PARTITION = 8
+GROUPS_PER_PARTITION = 4
 
 _TYPES = (np.int64, np.int64, np.int32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32, np.uint32)
 
@@ -72,8 +80,8 @@ def _runs(valid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i[np.concatenate([[0], new])], i[np.concatenate([new - 1, [len(i) - 1]])]
 
 
-def byte_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """row, position and number of units, start and end byte, anchor and hash of the minimiser, string hash."""
+def byte_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, whole: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, position and number of units, start and end byte, anchor and hash of the minimiser, string hash; or row and hash only."""
     a, total = 0, len(data)
     ends = offsets[1:]
     while a + n <= total:
@@ -91,11 +99,14 @@ def byte_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> Itera
         if len(f):
             end = z + n
             row = np.searchsorted(ends, f + a, "right")
-            yield row, f + a - offsets[row], end - f, f + a, end + a, at[f] - f, grams[at[f]], roll.ranges(f, end)
+            if whole:
+                yield row, f + a - offsets[row], end - f, f + a, end + a, at[f] - f, grams[at[f]], roll.ranges(f, end)
+            else:
+                yield row, grams[at[f]]
         a += _text.BLOCK
 
 
-def word_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+def word_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, whole: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """As byte_strings, with words for units."""
     s, e, row = _text.words(data, offsets)
     if not len(s):
@@ -115,7 +126,10 @@ def word_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int) -> Itera
             last = z + n - 1
             r = row[f + a]
             start, end = s[f + a], e[last + a]
-            yield r, f + a - first_word[r], last - f + 1, start, end, at[f] - f, grams[at[f]], roll.ranges(start - s[a], end - s[a])
+            if whole:
+                yield r, f + a - first_word[r], last - f + 1, start, end, at[f] - f, grams[at[f]], roll.ranges(start - s[a], end - s[a])
+            else:
+                yield r, grams[at[f]]
         if b == len(s):
             return
         a = b - n + 1
@@ -130,7 +144,7 @@ class _Batch:
         self.parts: list[tuple] = []
         self.n_docs = self.size = 0
 
-    def add(self, docs: np.ndarray, data: np.ndarray, found: tuple[np.ndarray, ...]) -> None:
+    def add(self, data: np.ndarray, found: tuple[np.ndarray, ...]) -> None:
         row, pos, units, start, end, anchor, gram, string = found
         body = data[_text.ragged(start, end - start)]
         self.parts.append((row + self.n_docs, pos, units, end - start, anchor, (gram % np.uint64(self.n_buckets)).astype(np.int64), string, body))
@@ -142,6 +156,7 @@ class _Batch:
 
     def rows(self) -> Iterator[tuple[int, bytes]]:
         if not self.parts:
+            self.__init__(self.n_buckets)
             return
         docs = np.concatenate(self.docs)
         doc, pos, units, length, anchor, bucket, string, body = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -154,8 +169,7 @@ class _Batch:
         settled = np.zeros(len(order), bool)
         settled[order] = ids[order] > least
         by = np.lexsort((settled, bucket))
-        edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-        for a, b in zip(edges, [*edges[1:], len(by)], strict=True):
+        for a, b in _text.runs(bucket[by]):
             mine = by[a:b]
             k = int(np.searchsorted(settled[mine], True))
             sent, known = mine[:k], mine[k:]
@@ -176,38 +190,134 @@ def _docs_of(batch: pa.RecordBatch) -> np.ndarray:
     return docs
 
 
-def _send(strings: Callable, n: int, k: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Batch(n_buckets)
+def _anchors(strings: Callable, n: int, k: int, n_buckets: int):
+    """Rows of (bucket, documents and their minimisers)."""
 
-        def flushed() -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_held: list[np.ndarray] = []
+        rows_held: list[np.ndarray] = []
+        grams_held: list[np.ndarray] = []
+        n_docs = size = 0
+
+        def flushed() -> pa.RecordBatch:
+            docs, row, gram = np.concatenate(docs_held), np.concatenate(rows_held), np.concatenate(grams_held)
+            bucket = gram % np.uint64(n_buckets)
+            order = np.lexsort((row, gram, bucket))
+            row, gram, bucket = row[order], gram[order], bucket[order].astype(np.int64)
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+            row, gram, bucket = row[new], gram[new], bucket[new]
             keys, blobs = [], []
+            for a, b in _text.runs(bucket):
+                used, local = np.unique(row[a:b], return_inverse=True)
+                t = docs[used]
+                keys.append(int(bucket[a]))
+                blobs.append(_packed.pack(t["id"], t["hash"], t["dest"], local.astype(np.uint32), np.diff(gram[a:b], prepend=np.uint64(0))))
+            return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        for batch in batches:
+            data, offsets = _text.flat(batch.column("_text"))
+            for found in strings(data, offsets, n, k, False):
+                rows_held.append(found[0] + n_docs)
+                grams_held.append(found[1])
+                size += len(found[0])
+            docs_held.append(_docs_of(batch))
+            n_docs += batch.num_rows
+            if size >= ANCHORS:
+                yield flushed()
+                docs_held.clear()
+                rows_held.clear()
+                grams_held.clear()
+                n_docs = size = 0
+        if size:
+            yield flushed()
+
+    return run
+
+
+_ANCHOR_TYPES = (np.int64, np.int64, np.int32, np.uint32, np.uint64)
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Of one bucket: the minimisers that occur in several documents, to the groups of those documents."""
+    tables, docs, grams = [], [], []
+    base = 0
+    for blob in table["blob"].to_pylist():
+        ids, hashes, dest, local, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
+        t = np.empty(len(ids), _DOC)
+        t["id"], t["hash"], t["dest"] = ids, hashes, dest
+        tables.append(t)
+        docs.append(local.astype(np.int64) + base)
+        grams.append(np.cumsum(gram, dtype=np.uint64))
+        base += len(ids)
+    t, doc, gram = np.concatenate(tables), np.concatenate(docs), np.concatenate(grams)
+    ids = t["id"][doc]
+    order = np.lexsort((ids, gram))
+    g, i = gram[order], ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    ends = np.concatenate([starts[1:], [len(g)]])
+    several = np.repeat(i[ends - 1] > i[starts], ends - starts)
+    mine = order[several]
+    doc, gram = doc[mine], gram[mine]
+    dest = t["dest"][doc]
+    order = np.lexsort((gram, dest))
+    doc, gram, dest = doc[order], gram[order], dest[order]
+    keys, blobs = [], []
+    for a, b in _text.runs(dest):
+        used, local = np.unique(doc[a:b], return_inverse=True)
+        keys.append(int(dest[a]))
+        blobs.append(_packed.pack(t["id"][used], t["hash"][used], t["dest"][used], local.astype(np.uint32), np.diff(gram[a:b], prepend=np.uint64(0))))
+    return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
+
+
+def _pair(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """One number for a document and a minimiser; equal numbers of different pairs only mean more work."""
+    return _text.mix(gram ^ _text.mix(doc.astype(np.uint64)))
+
+
+def _send(strings: Callable, n: int, k: int, n_buckets: int):
+    """The strings around the repeated minimisers of one group of documents, to the minimisers' buckets."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = _Batch(n_buckets)
+        docs = np.empty(left.num_rows, _DOC)
+        for name in ("id", "hash", "dest"):
+            docs[name] = left[f"_{name}"].to_numpy()
+        wanted = []
+        for blob in right["blob"].to_pylist():
+            ids, hashes, _, local, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
+            who = _text.mix(ids.astype(np.uint64)) ^ hashes.astype(np.uint64)
+            wanted.append(_pair(who[local], np.cumsum(gram, dtype=np.uint64)))
+        known = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, np.uint64)
+        me = _text.mix(docs["id"].astype(np.uint64)) ^ docs["hash"].astype(np.uint64)
+        keys, blobs = [], []
+
+        def flush() -> None:
             for key, blob in held.rows():
                 keys.append(key)
                 blobs.append(blob)
-            if keys:
-                yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-        for batch in batches:
-            docs = _docs_of(batch)
-            data, offsets = _text.flat(batch.column("_text"))
-            for first, last in _text.blocks(np.diff(offsets), 4 * _text.BLOCK):
-                part = data[offsets[first] : offsets[last]]
-                for found in strings(part, offsets[first : last + 1] - offsets[first], n, k):
-                    held.add(docs, part, found)
-                held.close_rows(docs[first:last])
+        if len(known):
+            data, offsets = _text.flat(left["_text"])
+            for found in strings(data, offsets, n, k, True):
+                pair = _pair(me[found[0]], found[6])
+                at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+                mine = known[at] == pair
+                held.add(data, tuple(x[mine] for x in found))
                 if held.size >= FLUSH:
-                    yield from flushed()
-        yield from flushed()
+                    held.close_rows(docs)
+                    flush()
+            held.close_rows(docs)
+            flush()
+        return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
 def _by_dest(dest: np.ndarray, ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
     order = np.argsort(dest, kind="stable")
-    edges = np.flatnonzero(np.diff(dest[order], prepend=-1))
     keys, blobs = [], []
-    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+    for a, b in _text.runs(dest[order]):
         mine = order[a:b]
         used, local = np.unique(np.stack([ids[mine], hashes[mine]]), axis=1, return_inverse=True)
         keys.append(int(dest[mine[0]]))
@@ -319,14 +429,19 @@ def keep_words(data: np.ndarray, offsets: np.ndarray, words: tuple[np.ndarray, .
 def remove_repeats(docs: DataFrame, id: str, text: str, n: int, k: int, covered: Callable, by_words: bool, with_text: bool) -> DataFrame:
     """``docs`` with n_units, n_removed, n_spans and kept_sha256; and its text replaced by what is kept, if ``with_text``."""
     added = ["n_units", "n_removed", "n_spans", "kept_sha256"]
-    n_buckets = BUCKETS_PER_PARTITION * _shared.input_partitions(docs)
+    parts = _shared.input_partitions(docs)
+    n_buckets, n_groups = BUCKETS_PER_PARTITION * parts, GROUPS_PER_PARTITION * parts
     body, key = F.col(f"`{text}`").cast("string"), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(NO_ID))
-    dest = F.pmod(F.xxhash64(key, body), F.lit(n_buckets)).cast("int")
+    dest = F.pmod(F.xxhash64(key, body), F.lit(n_groups)).cast("int")
     strings = word_strings if by_words else byte_strings
-    sent = docs.select(key.alias("_id"), F.xxhash64(body).alias("_hash"), dest.alias("_dest"), body.alias("_text")).mapInArrow(_send(strings, n, k, n_buckets), "bucket int, blob binary")
-    spans = sent.groupBy("bucket").applyInArrow(_judge(covered), "dest int, blob binary")
+    known = [dest.alias("_dest"), key.alias("_id"), F.xxhash64(body).alias("_hash"), body.alias("_text")]
     others = [c for c in docs.columns if c != text and c.lower() not in added]
-    whole = docs.select(dest.alias("_dest"), key.alias("_id"), F.xxhash64(body).alias("_hash"), body.alias("_text"), *[F.col(f"`{c}`") for c in others])
+    whole = docs.select(*known, *[F.col(f"`{c}`") for c in others])
+    anchors = docs.select(*known).mapInArrow(_anchors(strings, n, k, n_buckets), "bucket int, blob binary")
+    repeated = anchors.groupBy("bucket").applyInArrow(_repeated, "dest int, blob binary")
+    # both uses of the texts by group share one exchange
+    sent = whole.groupBy("_dest").cogroup(repeated.groupBy("dest")).applyInArrow(_send(strings, n, k, n_buckets), "bucket int, blob binary")
+    spans = sent.groupBy("bucket").applyInArrow(_judge(covered), "dest int, blob binary")
     fields = [docs.schema[c] for c in others] + ([T.StructField(text, T.StringType())] if with_text else [])
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType())])
 

@@ -112,7 +112,7 @@ def _covered(n: int, k: int):
     return covered
 
 
-def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 50, k: int = 16, with_text: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 50, k: int = 24, with_text: bool = True) -> DataFrame:
     """``docs`` without the bytes covered by a string of ``n`` bytes that also starts in a document with a smaller id.
 
     Adds n_units (bytes), n_removed, n_spans and kept_sha256 (of the kept bytes); columns of

@@ -1,6 +1,6 @@
 """Substring dedup over words by super-k-mer partitioning.
 
-Every window of 13 consecutive words goes to the bucket of its minimiser (the three words in it with
+Every window of 13 consecutive words goes to the bucket of its minimiser (the five words in it with
 the smallest hash); consecutive windows that share one travel as one packed string. In a bucket the
 windows are sorted by a 64-bit hash of their words, which counts equal windows, and those that also
 start in a document with a smaller id are covered. Windows are judged on the input. (Equal windows are
@@ -51,7 +51,7 @@ def _covered(n: int):
     return covered
 
 
-def remove_repeated_words(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 13, k: int = 3, with_text: bool = True) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 13, k: int = 5, with_text: bool = True) -> DataFrame:
     """``docs`` without the words covered by a window of ``n`` words that also starts in a document with a smaller id.
 
     Adds n_units (words), n_removed, n_spans and kept_sha256 (of the kept words, joined by one
