@@ -4,37 +4,46 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """The same rows from the session's checkpoint folder, without the lineage that made them.
-
-    The folder is that of ``spark.checkpoint.dir``; only where none is set, as in local tests,
-    a temporary one of this machine.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where none is set, as in local tests, a temporary one of this machine."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """The same rows from the session's checkpoint folder, without the lineage that made them."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+#: Edges for one task of a round.
+EDGES_PER_TASK = 200_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node, component: the smallest node that is reachable, for every node of ``edges``.
 
     A round takes each node's smallest neighbouring label and then the label of its label, so
     chains shorten by half; minima are combined before they are shuffled, whatever a node's
-    degree. Null ends and loops are ignored. Raises if ``rounds`` do not suffice.
+    degree. Few edges are worked on by few tasks. Null ends and loops are ignored. Raises if
+    ``rounds`` do not suffice.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = reliable(pairs.union(pairs.select("v", "u")).distinct())
-    label = reliable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
+    tasks = max(8, both.count() // EDGES_PER_TASK)
+    both = both.coalesce(tasks)
+    label = reliable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).coalesce(tasks))
     for _ in range(rounds):
-        near = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        next_ = label.join(near, "u").select("u", F.least("l", "m").alias("n"), F.col("l").alias("was"))
+        near = both.join(label.select(F.col("u").alias("v"), "l"), "v").coalesce(tasks).groupBy("u").agg(F.min("l").alias("m")).coalesce(tasks)
+        next_ = label.join(near, "u").coalesce(tasks).select("u", F.least("l", "m").alias("n"), F.col("l").alias("was"))
         jump = next_.select(F.col("u").alias("n"), F.col("n").alias("nn")).where("n <> nn")
-        moved = reliable(next_.join(jump, "n", "left").select("u", F.coalesce("nn", "n").alias("l"), "was"))
+        moved = reliable(next_.join(jump, "n", "left").coalesce(tasks).select("u", F.coalesce("nn", "n").alias("l"), "was"))
         changed = not moved.where("l <> was").isEmpty()
         label = moved.select("u", "l")
         if not changed:

@@ -54,8 +54,12 @@ def search_words(query: str, column: str = "search_text") -> Column:
     groups = query_words(query)
     words = tokens(column)
     out = F.lit(bool(groups))
+
+    def some(plain: str, with_article: str) -> Column:
+        return F.exists(words, lambda t: t.startswith(plain) | t.startswith(with_article))
+
     for forms in groups:
-        out = out & F.exists(words, lambda t, forms=forms: t.startswith(forms[0]) | t.startswith(forms[1]))
+        out = out & some(*forms)
     return out
 
 

@@ -51,6 +51,8 @@ def query(name: str, views: list[str], sql: str | None = None) -> Callable:
         if sql is not None:
             ctes = ", ".join(f"{v} AS ({view_sql(v)})" for v in views if v in VIEWS)
             ORACLES[name] = (f"WITH {ctes} " if ctes else "") + sql if not sql.lstrip().upper().startswith("WITH") else f"WITH {ctes}{', ' if ctes else ''}" + sql.lstrip()[4:]
+            if "reach AS" in sql:
+                ORACLES[name] = ORACLES[name].replace("WITH", "WITH RECURSIVE", 1)
         return fn
 
     return add

@@ -127,7 +127,7 @@ _AFTER = f"CASE WHEN contains(substr(text, {_MID} + 1), chr(10)) THEN {_MID} + p
 _AT = f"CASE WHEN ({_BEFORE}) < length(text) // 4 THEN {_AFTER} ELSE {_BEFORE} END"
 
 
-@query("split_halves", ["documents"], f"SELECT doc_id, substr(text, 1, at) AS head, substr(text, at + 1) AS tail FROM (SELECT *, CASE WHEN {_AT} <= 0 THEN {_MID} ELSE {_AT} END AS at FROM documents)")
+@query("split_halves", ["documents"], f"SELECT doc_id, substr(text, 1, cut) AS head, substr(text, cut + 1) AS tail FROM (SELECT *, CASE WHEN {_AT} <= 0 THEN {_MID} ELSE {_AT} END AS cut FROM documents)")
 def _(docs: DataFrame) -> DataFrame:
     h = N.split_halves("text")
     return docs.select("doc_id", h[0].alias("head"), h[1].alias("tail"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import normalise as N
+from docloom.functions.udf import batch_helper
 
 MAX_REPAIRS = 200
 _PII = "array<struct<text:string,type:string>>"
@@ -43,7 +44,7 @@ def _escape_before(s: str, e: json.JSONDecodeError) -> str | None:
     return s[:quote] + "\\" + s[quote:] if quote > 0 else None
 
 
-@F.pandas_udf("string")
+@batch_helper("string")
 def _repair_udf(replies: pd.Series) -> pd.Series:
     return replies.map(lambda r: None if r is None else repaired(r))
 
