@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docloom.llm import _shared
 
 #: Rounding works on groups of about so many documents of one source.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Up to so many sources are sent to every task; more are joined by key.
 MAX_BROADCAST_SOURCES = 200_000
 
