@@ -56,7 +56,10 @@ def link_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
         .agg(F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("_called"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("_answered"), F.min("valid").alias("_valid"))
         .where(F.col("_called").isNotNull() & F.col("_answered").isNotNull())
     )
-    j = m.join(ends, "call_id", "left")
+    # messages without an identifier are spread over all tasks
+    spread = F.coalesce("call_id", F.concat(F.lit("\0"), F.xxhash64("conv_id", "turn", "content").cast("string")))
+    ends = ends.withColumnRenamed("call_id", "_end")
+    j = m.withColumn("_key", spread).join(ends, (F.col("_key") == F.col("_end")) & F.col("call_id").isNotNull(), "left")
     linked = F.when(F.col("kind") != "message", F.col("_called").isNotNull())
     ok = F.when(F.col("kind") == "call", F.col("valid")).when(F.col("kind") == "result", F.col("_valid"))
     rank = F.when((F.col("kind") == "result") & F.col("_called").isNotNull(), 2 * F.col("_called") + 1).otherwise(2 * F.col("turn"))
