@@ -8,7 +8,7 @@ import pyarrow as pa
 #: ASCII white space that separates words.
 SPACE = b" \t\n\x0b\x0c\r"
 #: At most so many bytes of text are worked on at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _U = np.uint64
 _P = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))

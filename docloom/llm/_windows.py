@@ -34,9 +34,9 @@ from docloom.llm import _packed, _shared, _text
 #: A null id, as a number.
 NO_ID = (1 << 63) - 1
 #: So many minimisers are sent together.
-ANCHORS = 1 << 21
+ANCHORS = 1 << 20
 #: Strings of about so many bytes are settled and sent together.
-FLUSH = 24 << 20
+FLUSH = 12 << 20
 #: Buckets, and groups of documents, for each input partition.
 BUCKETS_PER_PARTITION = 8
 GROUPS_PER_PARTITION = 4

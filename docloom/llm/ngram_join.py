@@ -34,7 +34,7 @@ from docloom.llm._packed import pack, unpack
 from docloom.operators.components import connected_components
 
 #: Shingles that are packed together before they are sent.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 BUCKETS_PER_PARTITION = 4
 #: To how many others a class is compared in each round over the lists that hold several components; at last to all.
 ROUNDS = (4, 64, None)
