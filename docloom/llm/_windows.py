@@ -12,7 +12,7 @@ in it with the smallest hash, so equal windows have equal minimisers at equal pl
 3. A bucket says which windows of a document also start in a smaller document. Those spans go back to their
    documents, where units are removed.
 
-Documents are known by (id, hash of the text), so repeated rows are judged alike; a null id counts
+Documents are known by a 64-bit hash of id and text, so repeated rows are judged alike; a null id counts
 as larger than every other and never covers another null id. Nothing here holds more than one batch, one
 bucket or one group of documents; their number follows the number of input partitions.
 """
@@ -24,7 +24,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,25 +36,18 @@ NO_ID = (1 << 63) - 1
 ANCHORS = 1 << 20
 #: Strings of about so many bytes are settled and sent together.
 FLUSH = 12 << 20
-#: Buckets, and groups of documents, for each input partition.
-BUCKETS_PER_PARTITION = 8
+#: Buckets of minimisers, buckets of strings, and groups of documents, for each input partition.
+ANCHOR_BUCKETS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 4
 GROUPS_PER_PARTITION = 4
 
-_TYPES = (np.int64, np.int64, np.int32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32, np.uint32)
+_ANCHOR_TYPES = (np.int64, np.int64, np.uint32, np.uint64)
+_STRING_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32, np.uint32)
+_SPAN_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint32)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a, t).tobytes() for a, t in zip(arrays, _TYPES, strict=False)))
-
-
-def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    at, out = 8 * n, []
-    for size, t in zip(np.frombuffer(raw, np.int64, n), _TYPES, strict=False):
-        out.append(np.frombuffer(raw, t, size, at))
-        at += out[-1].nbytes
-    return out
+def _pack(types: tuple, *arrays: np.ndarray) -> bytes:
+    return _packed.pack(*[np.ascontiguousarray(a, t) for a, t in zip(arrays, types, strict=True)])
 
 
 def _minimisers(h: np.ndarray, width: int) -> np.ndarray:
@@ -176,16 +168,16 @@ class _Batch:
             used, local = np.unique(doc[mine], return_inverse=True)
             t = docs[used]
             text = body[_text.ragged(begin[sent], length[sent])]
-            yield int(bucket[by[a]]), _pack(t["id"], t["hash"], t["dest"], local[:k], pos[sent], units[sent], length[sent], anchor[sent], text, local[k:], pos[known], pos[known] + units[known])
+            yield int(bucket[by[a]]), _pack(_STRING_TYPES, t["id"], t["key"], local[:k], pos[sent], units[sent], length[sent], anchor[sent], text, local[k:], pos[known], pos[known] + units[known])
         self.__init__(self.n_buckets)
 
 
-_DOC = np.dtype([("id", np.int64), ("hash", np.int64), ("dest", np.int32)])
+_DOC = np.dtype([("id", np.int64), ("key", np.int64)])
 
 
 def _docs_of(batch: pa.RecordBatch) -> np.ndarray:
     docs = np.empty(batch.num_rows, _DOC)
-    for name in ("id", "hash", "dest"):
+    for name in ("id", "key"):
         docs[name] = batch.column(f"_{name}").to_numpy(zero_copy_only=False)
     return docs
 
@@ -212,7 +204,7 @@ def _anchors(strings: Callable, n: int, k: int, n_buckets: int):
                 used, local = np.unique(row[a:b], return_inverse=True)
                 t = docs[used]
                 keys.append(int(bucket[a]))
-                blobs.append(_packed.pack(t["id"], t["hash"], t["dest"], local.astype(np.uint32), np.diff(gram[a:b], prepend=np.uint64(0))))
+                blobs.append(_pack(_ANCHOR_TYPES, t["id"], t["key"], local, np.diff(gram[a:b], prepend=np.uint64(0))))
             return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -235,39 +227,39 @@ def _anchors(strings: Callable, n: int, k: int, n_buckets: int):
     return run
 
 
-_ANCHOR_TYPES = (np.int64, np.int64, np.int32, np.uint32, np.uint64)
+def _repeated(n_groups: int):
+    """Of one bucket: the minimisers that occur in several documents, to the groups of those documents."""
 
+    def run(table: pa.Table) -> pa.Table:
+        tables, docs, grams = [], [], []
+        base = 0
+        for blob in table["blob"].to_pylist():
+            ids, keys, local, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
+            t = np.empty(len(ids), _DOC)
+            t["id"], t["key"] = ids, keys
+            tables.append(t)
+            docs.append(local.astype(np.int64) + base)
+            grams.append(np.cumsum(gram, dtype=np.uint64))
+            base += len(ids)
+        t, doc, gram = np.concatenate(tables), np.concatenate(docs), np.concatenate(grams)
+        ids = t["id"][doc]
+        order = np.lexsort((ids, gram))
+        g, i = gram[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        ends = np.concatenate([starts[1:], [len(g)]])
+        mine = order[np.repeat(i[ends - 1] > i[starts], ends - starts)]
+        doc, gram = doc[mine], gram[mine]
+        dest = np.mod(t["key"][doc], n_groups)
+        order = np.lexsort((gram, dest))
+        doc, gram, dest = doc[order], gram[order], dest[order]
+        keys, blobs = [], []
+        for a, b in _text.runs(dest):
+            used, local = np.unique(doc[a:b], return_inverse=True)
+            keys.append(int(dest[a]))
+            blobs.append(_pack(_ANCHOR_TYPES, t["id"][used], t["key"][used], local, np.diff(gram[a:b], prepend=np.uint64(0))))
+        return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of one bucket: the minimisers that occur in several documents, to the groups of those documents."""
-    tables, docs, grams = [], [], []
-    base = 0
-    for blob in table["blob"].to_pylist():
-        ids, hashes, dest, local, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
-        t = np.empty(len(ids), _DOC)
-        t["id"], t["hash"], t["dest"] = ids, hashes, dest
-        tables.append(t)
-        docs.append(local.astype(np.int64) + base)
-        grams.append(np.cumsum(gram, dtype=np.uint64))
-        base += len(ids)
-    t, doc, gram = np.concatenate(tables), np.concatenate(docs), np.concatenate(grams)
-    ids = t["id"][doc]
-    order = np.lexsort((ids, gram))
-    g, i = gram[order], ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    ends = np.concatenate([starts[1:], [len(g)]])
-    several = np.repeat(i[ends - 1] > i[starts], ends - starts)
-    mine = order[several]
-    doc, gram = doc[mine], gram[mine]
-    dest = t["dest"][doc]
-    order = np.lexsort((gram, dest))
-    doc, gram, dest = doc[order], gram[order], dest[order]
-    keys, blobs = [], []
-    for a, b in _text.runs(dest):
-        used, local = np.unique(doc[a:b], return_inverse=True)
-        keys.append(int(dest[a]))
-        blobs.append(_packed.pack(t["id"][used], t["hash"][used], t["dest"][used], local.astype(np.uint32), np.diff(gram[a:b], prepend=np.uint64(0))))
-    return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
+    return run
 
 
 def _pair(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -281,15 +273,13 @@ def _send(strings: Callable, n: int, k: int, n_buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = _Batch(n_buckets)
         docs = np.empty(left.num_rows, _DOC)
-        for name in ("id", "hash", "dest"):
+        for name in ("id", "key"):
             docs[name] = left[f"_{name}"].to_numpy()
         wanted = []
         for blob in right["blob"].to_pylist():
-            ids, hashes, _, local, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
-            who = _text.mix(ids.astype(np.uint64)) ^ hashes.astype(np.uint64)
+            _, who, local, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
             wanted.append(_pair(who[local], np.cumsum(gram, dtype=np.uint64)))
         known = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, np.uint64)
-        me = _text.mix(docs["id"].astype(np.uint64)) ^ docs["hash"].astype(np.uint64)
         keys, blobs = [], []
 
         def flush() -> None:
@@ -300,7 +290,7 @@ def _send(strings: Callable, n: int, k: int, n_buckets: int):
         if len(known):
             data, offsets = _text.flat(left["_text"])
             for found in strings(data, offsets, n, k, True):
-                pair = _pair(me[found[0]], found[6])
+                pair = _pair(docs["key"][found[0]], found[6])
                 at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
                 mine = known[at] == pair
                 held.add(data, tuple(x[mine] for x in found))
@@ -314,27 +304,16 @@ def _send(strings: Callable, n: int, k: int, n_buckets: int):
     return run
 
 
-def _by_dest(dest: np.ndarray, ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    order = np.argsort(dest, kind="stable")
-    keys, blobs = [], []
-    for a, b in _text.runs(dest[order]):
-        mine = order[a:b]
-        used, local = np.unique(np.stack([ids[mine], hashes[mine]]), axis=1, return_inverse=True)
-        keys.append(int(dest[mine[0]]))
-        blobs.append(_pack(used[0], used[1], np.empty(0), local.ravel(), start[mine], end[mine]))
-    return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
-
-
-def _judge(covered: Callable):
+def _judge(covered: Callable, n_groups: int):
     """``covered(ids, pos, units, length, anchor, body)`` gives string, first and last + 1 unit (in the document) of spans."""
 
     def run(table: pa.Table) -> pa.Table:
         tables, cols, known = [], [[] for _ in range(6)], []
         n_docs = 0
         for blob in table["blob"].to_pylist():
-            ids, hashes, dest, doc, pos, units, length, anchor, body, k_doc, k_from, k_to = _unpack(blob, 12)
+            ids, keys, doc, pos, units, length, anchor, body, k_doc, k_from, k_to = _packed.unpack(blob, *_STRING_TYPES)
             t = np.empty(len(ids), _DOC)
-            t["id"], t["hash"], t["dest"] = ids, hashes, dest
+            t["id"], t["key"] = ids, keys
             tables.append(t)
             known.append((k_doc.astype(np.int64) + n_docs, k_from.astype(np.int64), k_to.astype(np.int64)))
             for c, x in zip(cols, (doc.astype(np.int64) + n_docs, pos.astype(np.int64), units.astype(np.int64), length.astype(np.int64), anchor.astype(np.int64), body), strict=True):
@@ -344,7 +323,15 @@ def _judge(covered: Callable):
         doc, pos, units, length, anchor, body = (np.concatenate(c) for c in cols)
         which, a, b = covered(docs["id"][doc], pos, units, length, anchor, body)
         d, f, t = (np.concatenate(x) for x in zip(*known, (doc[which], a, b), strict=True))
-        return _by_dest(docs["dest"][d], docs["id"][d], docs["hash"][d], f, t)
+        dest = np.mod(docs["key"][d], n_groups)
+        order = np.lexsort((f, d, dest))
+        d, f, t, dest = d[order], f[order], t[order], dest[order]
+        keys, blobs = [], []
+        for x, y in _text.runs(dest):
+            used, local = np.unique(d[x:y], return_inverse=True)
+            keys.append(int(dest[x]))
+            blobs.append(_pack(_SPAN_TYPES, docs["id"][used], docs["key"][used], local, f[x:y], t[x:y]))
+        return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
 
     return run
 
@@ -378,15 +365,13 @@ def spans_of(string: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def _covered_units(keys: np.ndarray, blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Which units are covered, for documents (id, hash) with so many units, all in a row."""
+    """Which units are covered, for documents with so many units, all in a row."""
     begin = np.cumsum(sizes) - sizes
     mark = np.zeros(int(sizes.sum()) + 1, np.int32)
-    order = np.lexsort((keys["hash"], keys["id"]))
+    order = np.argsort(keys, kind="stable")
     rank = keys[order]
     for blob in blobs:
-        ids, hashes, _, local, start, end = _unpack(blob, 6)
-        want = np.empty(len(ids), keys.dtype)
-        want["id"], want["hash"] = ids, hashes
+        _, want, local, start, end = _packed.unpack(blob, *_SPAN_TYPES)
         lo, hi = np.searchsorted(rank, want, "left"), np.searchsorted(rank, want, "right")
         d = local.astype(np.int64)
         for extra in range(int((hi - lo).max(initial=0))):  # repeated rows of one document
@@ -431,24 +416,24 @@ def remove_repeats(docs: DataFrame, id: str, text: str, n: int, k: int, covered:
     added = ["n_units", "n_removed", "n_spans", "kept_sha256"]
     parts = _shared.input_partitions(docs)
     n_buckets, n_groups = BUCKETS_PER_PARTITION * parts, GROUPS_PER_PARTITION * parts
-    body, key = F.col(f"`{text}`").cast("string"), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(NO_ID))
-    dest = F.pmod(F.xxhash64(key, body), F.lit(n_groups)).cast("int")
+    body, number = F.col(f"`{text}`").cast("string"), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(NO_ID))
+    key = F.xxhash64(number, body)
+    dest = F.pmod(key, F.lit(n_groups)).cast("int")
     strings = word_strings if by_words else byte_strings
-    known = [dest.alias("_dest"), key.alias("_id"), F.xxhash64(body).alias("_hash"), body.alias("_text")]
+    known = [dest.alias("_dest"), number.alias("_id"), key.alias("_key"), body.alias("_text")]
     others = [c for c in docs.columns if c != text and c.lower() not in added]
     whole = docs.select(*known, *[F.col(f"`{c}`") for c in others])
-    anchors = docs.select(*known).mapInArrow(_anchors(strings, n, k, n_buckets), "bucket int, blob binary")
-    repeated = anchors.groupBy("bucket").applyInArrow(_repeated, "dest int, blob binary")
+    anchors = docs.select(*known).mapInArrow(_anchors(strings, n, k, ANCHOR_BUCKETS_PER_PARTITION * parts), "bucket int, blob binary")
+    repeated = anchors.groupBy("bucket").applyInArrow(_repeated(n_groups), "dest int, blob binary")
     # both uses of the texts by group share one exchange
     sent = whole.groupBy("_dest").cogroup(repeated.groupBy("dest")).applyInArrow(_send(strings, n, k, n_buckets), "bucket int, blob binary")
-    spans = sent.groupBy("bucket").applyInArrow(_judge(covered), "dest int, blob binary")
+    spans = sent.groupBy("bucket").applyInArrow(_judge(covered, n_groups), "dest int, blob binary")
     fields = [docs.schema[c] for c in others] + ([T.StructField(text, T.StringType())] if with_text else [])
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         data, offsets = _text.flat(left["_text"])
-        keys = np.empty(left.num_rows, np.dtype([("id", np.int64), ("hash", np.int64)]))
-        keys["id"], keys["hash"] = left["_id"].to_numpy(), left["_hash"].to_numpy()
+        keys = left["_key"].to_numpy()
         blobs = right["blob"].to_pylist()
         if by_words:
             found = _text.words(data, offsets)
