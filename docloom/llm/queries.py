@@ -83,7 +83,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_SPLIT.format(_LOWERED.format('text'))}, []) AS w FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 2) END)) AS t(i)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.k = c.a JOIN n y ON y.k = c.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT k AS node, k AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT node AS k, min(doc_id) AS component_id FROM r JOIN d ON d.k = r.root GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (k) JOIN m USING (k)""",
+    "op10_superkmer_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_SPLIT.format('text')}, []) AS w FROM documents),
+v AS (SELECT k, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 11, 1))) AS t(i)),
+f AS (SELECT s, min(doc_id) AS f FROM v GROUP BY s),
+h AS (SELECT DISTINCT k, unnest(range(i, i + 13)) AS j FROM v JOIN f USING (s) WHERE doc_id > f),
+g AS (SELECT k, list(j) AS gone FROM h GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(coalesce(gone, []), x[2])), lambda x: x[1]), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (k)""",
     "op2_decontaminate": rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all({_LOWERED.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWERED.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
