@@ -48,12 +48,12 @@ def release_gate(leak_hits: Column, garbled: Column, visible: Column, pages: Col
     return F.when(leak_hits > 0, "leak").when(garbled, "poor-ocr").otherwise(completeness(visible, pages))
 
 
-def quarantine_detail(reason: Column, leak_hits: Column, visible: Column, pages: Column) -> Column:
+# What a reviewer reads of each reason.
+DETAILS = {"poor-ocr": "garbled OCR — manual review", "empty": "almost no text came back — a rerun retries it", "partial": "transcription stopped early — a rerun retries it"}
+LEAK_DETAIL = " surviving name(s) — open the held file to review"
+
+
+def quarantine_detail(reason: Column, leak_hits: Column) -> Column:
     """What a reviewer reads; hits are counted, never quoted."""
-    return (
-        F.when(reason == "leak", F.concat(leak_hits.cast("string"), F.lit(" personal-data hit(s) in the delivered text")))
-        .when(reason == "poor-ocr", F.lit("the text is unreadable"))
-        .when(reason == "empty", F.concat(F.lit("only "), visible.cast("string"), F.lit(" characters on "), pages.cast("string"), F.lit(" page(s)")))
-        .when(reason == "partial", F.concat(F.lit("about "), F.floor(visible / F.greatest(pages, F.lit(1))).cast("string"), F.lit(" characters a page")))
-        .otherwise("")
-    )
+    leak = F.when(reason == "leak", F.concat(leak_hits.cast("string"), F.lit(LEAK_DETAIL)))
+    return F.coalesce(leak, *[F.when(reason == k, F.lit(v)) for k, v in DETAILS.items()], F.lit(""))

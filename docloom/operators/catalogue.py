@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import normalise as N
 from docloom.functions import pii
 
-STATES = ["imported", "under_review", "published", "withdrawn", "archived"]
+STATES = ["imported", "under_review", "published", "withdrawn"]
 
 
 def gated_import(records: DataFrame, texts: DataFrame, stored: DataFrame) -> DataFrame:
@@ -270,7 +270,9 @@ def flatten_records(records: DataFrame) -> DataFrame:
 
 
 # Folders by chamber.
-CHAMBER_FOLDERS = {"إدارية": "administrative", "تجارية": "commercial", "مدنية": "civil", "جنائية": "criminal", "اجتماعية": "social", "أحوال شخصية": "personal-status", "عقارية": "real-estate"}
+CHAMBER_FOLDERS = {"إدارية": "administrative", "تجارية": "commercial", "مدنية": "civil", "جنائية": "criminal", "اجتماعية": "social", "أحوال شخصية": "personal_status", "عقارية": "real_estate"}
+# Courts that a correction may name.
+COURTS = ["محكمة النقض", "محكمة الاستئناف", "المحكمة الابتدائية", "المحكمة الدستورية", "المجلس الأعلى للحسابات"]
 
 
 def chamber_dir(c: Column | str) -> Column:
@@ -284,11 +286,12 @@ def validate_changes(c: DataFrame, chambers: list[str] = list(CHAMBER_FOLDERS))
     v = N.text("value")
     error = (
         F.when(~F.col("field").isin(EDITABLE), "unknown field")
-        .when(F.length(v) > 200, "too long")
+        .when(F.col("field").isin("decision_no", "file_no", "city", "outcome") & (F.length(v) > 200), "too long")
         .when((F.col("field") == "category") & ~v.isin(*chambers, N.UNKNOWN), "unknown chamber")
-        .when((F.col("field") == "year") & ~v.rlike("^([0-9]{4})?$"), "not a year")
-        .when((F.col("field") == "decision_date") & (v != "") & F.try_to_date(v, "dd/MM/yyyy").isNull(), "not a date")
-        .when((F.col("field") == "review") & ~v.isin("ok", "check"), "not a review")
+        .when((F.col("field") == "court") & ~v.isin(*COURTS), "unknown court")
+        .when((F.col("field") == "year") & ~v.rlike("^([0-9]{4})?$"), "use four digits")
+        .when((F.col("field") == "decision_date") & ~v.rlike("^([0-9]{2}/[0-9]{2}/[0-9]{4})?$"), "use DD/MM/YYYY")
+        .when((F.col("field") == "review") & ~v.isin("ok", "check"), "ok or check")
         .otherwise("")
     )
     return c.withColumn("error", error)

@@ -91,9 +91,8 @@ def audit_totals(audited: DataFrame) -> DataFrame:
 
 
 def requeue_damaged(delivered: DataFrame, sidecars: DataFrame, id: str = "doc_id", token: str = pii.TOKEN) -> DataFrame:
-    """id, reason: delivered documents that are empty or partial, or (without a sidecar) cut words where the token touches a letter."""
-    letter = r"[\p{L}]"
-    glued = F.col("text").rlike(f"{letter}{token}|{token}{letter}")
+    """id, reason: delivered documents that are empty or partial, or (without a sidecar) cut words where the token stands before a letter."""
+    glued = F.col("text").rlike(f"{token}[ء-ؿف-ي]")
     marked = delivered.join(sidecars.select(id, F.lit(True).alias("_side")), id, "left")
     size = quality.completeness(quality.visible_chars("text"), F.col("pages"))
     reason = F.when(size != "", size).when(F.col("_side").isNull() & glued, "cut-words").otherwise("")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import extract as X
 from docloom.functions import normalise as N
 from docloom.operators.catalogue import commonest_label, latest_per
 
@@ -72,6 +73,19 @@ def apply_approvals(proposals: DataFrame, review: DataFrame) -> tuple[DataFrame,
     return j.where("approve").select("doc_id", "label"), j.where(F.col("approve").isNull()).select(*proposals.columns)
 
 
+def derive_from_stored(decisions: DataFrame) -> DataFrame:
+    """``decisions`` with subject, rule and outcome read again from their texts.
+
+    A subject that a model wrote is not replaced by none; everything else takes what is read.
+    """
+    note = X.headnote_fields(X.parse_headnote("body_text"))
+    read = decisions.withColumns({"_h": note, "_o": X.outcome("body_text")})
+    keep = (F.col("_h.theme") == "") & (F.col("theme_source") == "model")
+    subject = {c: F.when(keep, F.col(c)).otherwise(F.col(f"_h.{c}")) for c in ("theme", "theme_key", "keywords") if c in decisions.columns}
+    source = F.when(keep, F.col("theme_source")).otherwise(F.col("_h.theme_source"))
+    return read.withColumns({**subject, "theme_source": source, "rule": F.col("_h.rule"), "outcome": F.col("_o")}).drop("_h", "_o")
+
+
 def derive_coverage(decisions: DataFrame) -> DataFrame:
     n, share = F.count("*"), lambda c: F.round(100 * F.count_if(N.text(c) != "") / F.count("*"), 1)
     return decisions.agg(n.alias("rows"), share("theme").alias("with_subject"), share("rule").alias("with_rule"), share("outcome").alias("with_outcome"))

@@ -197,7 +197,7 @@ def _(d: DataFrame, e: DataFrame) -> DataFrame:
     return C.flatten_records(nested)
 
 
-@query("partition_by_chamber", ["decisions"], "SELECT doc_id, CASE category WHEN 'إدارية' THEN 'administrative' WHEN 'تجارية' THEN 'commercial' WHEN 'مدنية' THEN 'civil' WHEN 'جنائية' THEN 'criminal' WHEN 'اجتماعية' THEN 'social' WHEN 'أحوال شخصية' THEN 'personal-status' WHEN 'عقارية' THEN 'real-estate' ELSE 'undetermined' END AS dir FROM decisions")
+@query("partition_by_chamber", ["decisions"], "SELECT doc_id, CASE category WHEN 'إدارية' THEN 'administrative' WHEN 'تجارية' THEN 'commercial' WHEN 'مدنية' THEN 'civil' WHEN 'جنائية' THEN 'criminal' WHEN 'اجتماعية' THEN 'social' WHEN 'أحوال شخصية' THEN 'personal_status' WHEN 'عقارية' THEN 'real_estate' ELSE 'undetermined' END AS dir FROM decisions")
 def _(d: DataFrame) -> DataFrame:
     return d.select("doc_id", C.chamber_dir("category").alias("dir"))
 
@@ -209,7 +209,7 @@ def _changes(d: DataFrame) -> DataFrame:
     return d.sparkSession.sql(_CHANGES.replace("FROM decisions", "FROM {d}"), d=d)
 
 
-@query("validate_changes", ["decisions"], f"SELECT doc_id, field, CASE WHEN field = 'secret' THEN 'unknown field' WHEN field = 'category' AND value <> 'مدنية' THEN 'unknown chamber' WHEN field = 'year' AND NOT regexp_full_match(value, '[0-9]{{4}}') THEN 'not a year' WHEN field = 'decision_date' AND try_strptime(value, '%d/%m/%Y') IS NULL THEN 'not a date' WHEN field = 'review' AND value <> 'check' THEN 'not a review' ELSE '' END AS error FROM ({_CHANGES})")
+@query("validate_changes", ["decisions"], f"SELECT doc_id, field, CASE WHEN field = 'secret' THEN 'unknown field' WHEN field = 'category' AND value <> 'مدنية' THEN 'unknown chamber' WHEN field = 'year' AND NOT regexp_full_match(value, '[0-9]{{4}}') THEN 'use four digits' WHEN field = 'decision_date' AND NOT regexp_full_match(value, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') THEN 'use DD/MM/YYYY' WHEN field = 'review' AND value <> 'check' THEN 'ok or check' ELSE '' END AS error FROM ({_CHANGES})")
 def _(d: DataFrame) -> DataFrame:
     return C.validate_changes(_changes(d)).select("doc_id", "field", "error")
 
@@ -224,9 +224,9 @@ def _(d: DataFrame) -> DataFrame:
     return C.correct_fields(d, _changes(d))[0].select("doc_id", "year", "sort_key")
 
 
-@query("set_state", ["decisions"], "SELECT doc_id, CASE WHEN k % 7 = 0 THEN 'archived' ELSE state END AS state FROM decisions")
+@query("set_state", ["decisions"], "SELECT doc_id, CASE WHEN k % 7 = 0 THEN 'withdrawn' ELSE state END AS state FROM decisions")
 def _(d: DataFrame) -> DataFrame:
-    wanted = d.where("k % 7 = 0 OR k % 7 = 1").select("doc_id", F.when(F.col("k") % 7 == 0, "archived").otherwise("nonsense").alias("state"))
+    wanted = d.where("k % 7 = 0 OR k % 7 = 1").select("doc_id", F.when(F.col("k") % 7 == 0, "withdrawn").otherwise("nonsense").alias("state"))
     return C.set_state(d, wanted)[0].select("doc_id", "state")
 
 

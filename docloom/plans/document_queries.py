@@ -109,14 +109,14 @@ def _(docs: DataFrame) -> DataFrame:
     return _gated(docs).select("doc_id", "reason")
 
 
-@query("quarantine_detail", ["documents"], f"SELECT doc_id, CASE reason WHEN 'leak' THEN hits || ' personal-data hit(s) in the delivered text' WHEN 'poor-ocr' THEN 'the text is unreadable' WHEN 'empty' THEN 'only ' || visible || ' characters on ' || pages || ' page(s)' WHEN 'partial' THEN 'about ' || visible // greatest(pages, 1) || ' characters a page' ELSE '' END AS detail FROM ({_GATED})")
+@query("quarantine_detail", ["documents"], f"SELECT doc_id, CASE reason WHEN 'leak' THEN hits || '{Q.LEAK_DETAIL}' WHEN 'poor-ocr' THEN '{Q.DETAILS['poor-ocr']}' WHEN 'empty' THEN '{Q.DETAILS['empty']}' WHEN 'partial' THEN '{Q.DETAILS['partial']}' ELSE '' END AS detail FROM ({_GATED})")
 def _(docs: DataFrame) -> DataFrame:
-    return _gated(docs).select("doc_id", Q.quarantine_detail(F.col("reason"), F.col("hits"), F.col("visible"), F.col("pages")).alias("detail"))
+    return _gated(docs).select("doc_id", Q.quarantine_detail(F.col("reason"), F.col("hits")).alias("detail"))
 
 
-@query("requeue_damaged", ["documents", "done"], f"SELECT doc_id, reason FROM (SELECT doc_id, CASE WHEN v < greatest(200, 60 * pages) THEN 'empty' WHEN pages > 1 AND v < 400 * pages THEN 'partial' WHEN doc_id % 5 <> 0 AND regexp_matches(t, '\\p{{L}}XXXXXXX|XXXXXXX\\p{{L}}') THEN 'cut-words' ELSE '' END AS reason FROM (SELECT doc_id, replace(text, 'the', 'XXXXXXX') AS t, length(regexp_replace(replace(text, 'the', 'XXXXXXX'), '\\s', '', 'g')) AS v, 1 + doc_id % 6 AS pages FROM documents)) WHERE reason <> ''")
+@query("requeue_damaged", ["documents", "done"], f"SELECT doc_id, reason FROM (SELECT doc_id, CASE WHEN v < greatest(200, 60 * pages) THEN 'empty' WHEN pages > 1 AND v < 400 * pages THEN 'partial' WHEN doc_id % 5 <> 0 AND contains(text, 'the') THEN 'cut-words' ELSE '' END AS reason FROM (SELECT doc_id, text, length(regexp_replace(replace(text, 'the', 'XXXXXXXحكمة'), '\\s', '', 'g')) AS v, 1 + doc_id % 6 AS pages FROM documents)) WHERE reason <> ''")
 def _(docs: DataFrame, done: DataFrame) -> DataFrame:
-    sent = docs.select("doc_id", F.replace("text", F.lit("the"), F.lit(P.TOKEN)).alias("text"), (1 + F.col("doc_id") % 6).alias("pages"))
+    sent = docs.select("doc_id", F.replace("text", F.lit("the"), F.lit(P.TOKEN + "حكمة")).alias("text"), (1 + F.col("doc_id") % 6).alias("pages"))
     return R.requeue_damaged(sent, done)
 
 

@@ -196,9 +196,7 @@ def _(d: DataFrame) -> DataFrame:
     return S.derive_coverage(d)
 
 
-@query("derive_from_stored", ["rulings", "decisions"])
-def _(r: DataFrame, d: DataFrame) -> DataFrame:
-    """Outcome and subject read again; what is read empty keeps what is stored."""
-    again = r.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc_id"), X.outcome("text").alias("o"), X.headnote_fields(X.parse_headnote("text")).alias("h"))
-    keep = lambda new, old: F.coalesce(F.nullif(new, F.lit("")), old)
-    return d.join(again, "doc_id").select("doc_id", keep(F.col("o"), F.col("outcome")).alias("outcome"), keep(F.col("h.theme"), F.col("theme")).alias("theme"))
+@query("derive_from_stored", ["decisions"], "SELECT doc_id, CASE WHEN theme_source = 'model' THEN theme ELSE '' END AS theme, CASE WHEN theme_source = 'model' THEN 'model' ELSE '' END AS theme_source, '' AS rule, '' AS outcome FROM decisions")
+def _(d: DataFrame) -> DataFrame:
+    """These texts carry no headnote and no outcome."""
+    return S.derive_from_stored(d).select("doc_id", "theme", "theme_source", "rule", "outcome")

@@ -195,15 +195,15 @@ def _(r: DataFrame) -> DataFrame:
     return r.select("doc_id", X.guess_court("text").alias("value"))
 
 
-@query("resolve_category", ["decisions"], f"SELECT doc_id, CASE WHEN category NOT IN ('', '{N.UNKNOWN}') THEN category WHEN theme <> '' THEN theme WHEN city <> '' THEN city ELSE '{N.UNKNOWN}' END AS value, CASE WHEN category NOT IN ('', '{N.UNKNOWN}') THEN 'text' WHEN theme <> '' THEN 'model' WHEN city <> '' THEN 'folder' ELSE '' END AS source FROM decisions")
+@query("resolve_category", ["decisions"], f"SELECT doc_id, CASE WHEN category NOT IN ('', '{N.UNKNOWN}') THEN category WHEN theme <> '' THEN theme WHEN city <> '' THEN CASE WHEN k % 2 = 0 THEN 'تجارية' ELSE '{N.UNKNOWN}' END ELSE '{N.UNKNOWN}' END AS value, CASE WHEN category NOT IN ('', '{N.UNKNOWN}') THEN 'ruling-text' WHEN theme <> '' THEN 'model' WHEN city <> '' THEN 'assumed-from-folder' ELSE 'undetermined' END AS source FROM decisions")
 def _(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", X.resolve_category(F.col("category"), F.col("theme"), F.col("city")).alias("c")).select("doc_id", "c.*")
+    return d.select("doc_id", X.resolve_category(F.col("category"), F.col("theme"), F.when(F.col("city") == "", "").when(F.col("k") % 2 == 0, "الغرفة التجارية").otherwise("x")).alias("c")).select("doc_id", "c.*")
 
 
-@query("reconcile_field", ["raw"], "SELECT doc_id, CASE WHEN n <> '' AND n = trim(f) THEN 0.97 WHEN n <> '' THEN 0.9 WHEN trim(f) <> '' THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN n <> '' THEN trim(n) ELSE trim(f) END AS value FROM raw")
+@query("reconcile_field", ["raw"], "SELECT doc_id, CASE WHEN m <> '' AND m = p THEN 0.97 WHEN m <> '' THEN 0.9 WHEN p <> '' THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN m <> '' THEN m ELSE p END AS value, CASE WHEN m <> '' AND m = p THEN 'llm+regex' WHEN m <> '' THEN 'llm' WHEN p <> '' THEN 'regex' ELSE 'none' END AS source FROM (SELECT doc_id, lower(trim(n)) AS m, lower(trim(CASE WHEN doc_id % 4 = 0 THEN n ELSE f END)) AS p FROM raw)")
 def _(raw: DataFrame) -> DataFrame:
-    r = X.reconcile_field(F.col("n"), F.col("f"), F.lit(""))
-    return raw.select("doc_id", r["confidence"].alias("confidence"), r["value"].alias("value"))
+    r = X.reconcile_field(F.col("n"), F.when(F.col("doc_id") % 4 == 0, F.col("n")).otherwise(F.col("f")), F.lower)
+    return raw.select("doc_id", r["confidence"].alias("confidence"), r["value"].alias("value"), r["source"].alias("source"))
 
 
 @query("pick_identity", ["raw"], "SELECT doc_id, CASE WHEN trim(n) <> '' THEN trim(n) ELSE f END AS number, CASE WHEN trim(court) <> '' THEN trim(court) ELSE category END AS court FROM raw")
@@ -271,7 +271,7 @@ def _(raw: DataFrame) -> DataFrame:
     return raw.select("doc_id", P.name_pattern("court").alias("value"), F.regexp_count("s", P.name_pattern("court")).alias("hits"))
 
 
-@query("drop_institutions", ["decisions"], "SELECT doc_id, array_to_string(list_filter([court, city, theme], lambda x: trim(x) <> '' AND NOT contains(x, 'محكمة') AND NOT contains(x, 'المحكمة')), '|') AS value FROM decisions")
+@query("drop_institutions", ["decisions"], "SELECT doc_id, array_to_string(list_filter([court, city, theme], lambda x: trim(x) <> '' AND NOT contains(x, 'محكمة')), '|') AS value FROM decisions")
 def _(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.array_join(P.drop_institutions(F.array("court", "city", "theme")), "|").alias("value"))
 

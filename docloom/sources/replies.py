@@ -89,7 +89,7 @@ def merge_results(results: Column) -> Column:
 
 def clean_reply_rows(result: Column) -> Column:
     """Findings without text and references without a number are dropped; nulls become empty strings."""
-    pii_ = F.filter(F.transform(result["pii"], lambda p: F.struct(N.text(p["text"]).alias("text"), N.text(p["type"]).alias("type"))), lambda p: F.trim(p["text"]) != "")
+    pii_ = F.filter(F.transform(result["pii"], lambda p: F.struct(N.text(p["text"]).alias("text"), F.coalesce(p["type"], F.lit("other")).alias("type"))), lambda p: F.trim(p["text"]) != "")
     names = ["court", "city", "decision_no", "date", "file_no"]
     refs = F.filter(F.transform(result["refs"], lambda r: F.struct(*[N.text(r[n]).alias(n) for n in names])), lambda r: (F.trim(r["decision_no"]) != "") | (F.trim(r["file_no"]) != ""))
     return F.struct(result["pages"].alias("pages"), pii_.alias("pii"), result["court"].alias("court"), result["category"].alias("category"), result["own"].alias("own"), refs.alias("refs"))
