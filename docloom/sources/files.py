@@ -85,10 +85,10 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> str:
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete snapshot (folders without the success mark are left out)."""
-    done = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(root)
-    newest = done.agg(F.max(F.regexp_extract("path", r"^(.*)/_SUCCESS$", 1))).first()[0]
-    return spark.read.parquet(newest)
+    """The newest snapshot that has rows; one that is still being written shows none."""
+    every = spark.read.option("mergeSchema", True).parquet(root)
+    newest = every.agg(F.max("v")).first()[0]
+    return every.where(F.col("v") == newest).drop("v")
 
 
 def page_of(c: Column | str) -> Column:
