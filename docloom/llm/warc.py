@@ -104,7 +104,11 @@ def _records(segment_bytes: int):
 
 
 def write_warc(df: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", segment_bytes: int = 16384, min_revisit_bytes: int = 100, records_per_file: int = 20000) -> None:
-    """Writes a record per row of ``df`` (more for long ones) to gzipped archives under ``path``."""
+    """Writes a record per row of ``df`` (more for long ones) to gzipped archives under ``path``.
+
+    ``df`` must be a stored table, which gives its rows in the same order each time it is read: rows
+    are told apart by their place. Write the result of a shuffle to a table first.
+    """
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
     base = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload"))
     base = base.withColumns({"digest": F.sha2("payload", 256), "n": F.length("payload").cast("long")})

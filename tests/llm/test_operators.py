@@ -327,6 +327,9 @@ def test_op9_round_trip(spark):
     big = "WARC/1.1\r\nWARC-Type: x\r\n\r\n" + "é" * 30000 + "WARC/1.1"
     pages = [(5, "http://a/\r\nb", big), (2, None, big), (None, "http://n", big), (3, "u", None), (4, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "y" * 100), (8, "u", "y" * 100), (9, "u", "z\r\n\r\n0\r\n\r\n" * 20)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("mine")).repartition(3)
+    stored = scratch(spark, "pages")
+    df.write.parquet(stored)
+    df = spark.read.parquet(stored)
     path = scratch(spark, "warc")
     warc.write_warc(df, path, segment_bytes=4096)
     records = warc.read_records(spark, path)
