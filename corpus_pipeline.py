@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id. Documents without an id stay."""
-    links = ngram_join.link_documents(docs.select("doc_id", "text"))
+    links = ngram_join.link_documents(docs.select("doc_id", "text"), links_counted=False)
     first = links.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
     return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -13,8 +13,14 @@ Classes are joined exactly, by skipping what set relations already decide:
    components are read: each class is compared with a few classes of other components, what links is
    joined, then with more, and at last with all that are still apart.
 
-Links that are verified along the way connect the same classes as all links do. No list's pairs within
-one component are ever made. Sets are compared exactly, on their shared shingles.
+Links that are verified along the way connect the same classes as all links do. Sets are compared
+exactly, on their shared shingles.
+
+4. Every link joins two classes of one component, so all links are counted there: a component's classes
+   are dealt to blocks by size, and blocks whose sizes allow links are compared whole, as matrices. No
+   row is made for a pair.
+
+A document's links are the other documents whose sets have the similarity, those of equal sets included.
 
 Null texts and texts without words have an empty set and no links. Repeated rows are linked as equal
 documents. A null id takes part but is never a component's name, unless it stands alone.
@@ -22,6 +28,7 @@ documents. A null id takes part but is never a component's name, unless it stand
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +45,10 @@ FLUSH = 1 << 20
 BUCKETS_PER_PARTITION = 4
 #: To how many others a class is compared in each round over the lists that hold several components; at last to all.
 ROUNDS = (4, 64, None)
+#: Classes of a component that are compared with as many others at once, shingles of one matrix, and shingles sent to one task call.
+BLOCK = 256
+COLUMNS = 8192
+SENT = 1 << 19
 _U = np.uint64
 
 
@@ -294,8 +305,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
-    """id, n_shingles, component_id of each row of ``docs``, and class_fp, the fingerprint of its set."""
+def _overlaps(values: np.ndarray, count: np.ndarray, k: int, own: bool) -> np.ndarray:
+    """How many values each of the first ``k`` sets shares with each of the others, or with each of all sets if ``own``."""
+    row = np.repeat(np.arange(len(count)), count)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    column = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+    out = np.zeros((k, k if own else len(count) - k), np.float32)
+    last = column[-1] + 1 if len(column) else 0
+    for first in range(0, last, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        m = np.zeros((len(count), min(COLUMNS, last - first)), np.float32)
+        m[row[a:b], column[a:b] - first] = 1
+        out += m[:k] @ (m if own else m[k:]).T
+    return out.astype(np.int64)
+
+
+def _counted(percent: int):
+    """Of some pairs of blocks: how many documents each class links with there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unit, side, fp, n, docs = (table[c].to_numpy() for c in ("unit", "side", "fp", "n", "docs"))
+        lists = table["h"].combine_chunks()
+        values, count = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        start = np.cumsum(count) - count
+        order = np.lexsort((side, unit))
+        linked = np.zeros(len(fp), np.int64)
+        for a, b in _text.runs(unit[order]):
+            rows = order[a:b]
+            own = side[rows[0]] == 2
+            k = len(rows) if own else int((side[rows] == 0).sum())
+            x, y = rows[:k], rows if own else rows[k:]
+            if not len(x) or not len(y):
+                continue
+            shared = _overlaps(np.concatenate([values[start[r] : start[r] + count[r]] for r in rows]), count[rows], k, own)
+            ok = shared >= _needed(n[x][:, None], n[y][None, :], percent)
+            if own:
+                np.fill_diagonal(ok, False)
+            else:
+                linked[y] += docs[x] @ ok
+            linked[x] += ok @ docs[y]
+        return pa.table({"fp": pa.array(fp), "linked": pa.array(linked)})
+
+    return run
+
+
+def _link_counts(comp: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """fp, linked: how many documents of other classes each class (fp, docs) links with, by all pairs of its component."""
+    # sizes of linked classes are in one band or in bands side by side
+    width = math.log(max(100 / percent, 1.01)) * (1 + 1e-9)
+    nodes = comp.join(classes.groupBy("fp").agg(F.sum("docs").alias("docs")), "fp").join(sets.select("fp", "n", "h"), "fp")
+    nodes = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
+    sizes = _shared.cut(nodes.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.sum(F.size("h")).alias("mass")))
+    blocks = sizes.select("component", "band", "mass", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    left = blocks.select("component", "band", "p", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2"))
+    right = blocks.select("component", F.col("band").alias("band2"), F.col("p").alias("p2"))
+    pairs = left.join(right, ["component", "band2"]).where("band < band2 OR p <= p2").withColumn("unit", F.xxhash64("component", "band", "p", "band2", "p2"))
+    own = F.col("band").eqNullSafe(F.col("band2")) & (F.col("p") == F.col("p2"))
+    one = pairs.select("unit", "component", "band", "p", F.when(own, 2).otherwise(0).alias("side"))
+    other = pairs.where(~own).select("unit", "component", F.col("band2").alias("band"), F.col("p2").alias("p"), F.lit(1).alias("side"))
+    sides = _shared.cut(one.union(other))
+    mass = sides.join(sizes, ["component", "band"]).agg(F.sum(F.col("mass") / F.col("parts"))).first()[0] or 0
+    tasks = max(16, math.ceil(mass / SENT))
+    placed = nodes.join(sizes.select("component", "band", "parts"), ["component", "band"]).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts"))).drop("parts")
+    dealt = placed.join(sides, ["component", "band", "p"]).select(F.pmod("unit", F.lit(tasks)).cast("int").alias("bucket"), "unit", "side", "fp", "n", "docs", "h")
+    return dealt.groupBy("bucket").applyInArrow(_counted(percent), "fp long, linked long").groupBy("fp").agg(F.sum("linked").alias("linked"))
+
+
+def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5, links_counted: bool = True) -> DataFrame:
+    """id, n_shingles, component_id of each row of ``docs``, class_fp, the fingerprint of its set, and n_links, if they are counted."""
     n_buckets = max(16, BUCKETS_PER_PARTITION * _shared.input_partitions(docs))
     none = F.lit((1 << 63) - 1)
     rows = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), none).alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -322,10 +400,15 @@ def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
             comp = connected_components(links)
     comp = comp.withColumnRenamed("node", "fp")
     # one small row for each class before components are named
-    classes = members.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc").alias("least")).join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = members.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc").alias("least"), F.count("*").alias("docs")).join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "component").select("fp", "fp2", "component_id")
+    named = classes.join(least, "component").select("fp", "fp2", "component_id", "docs")
+    n_links = []
+    if links_counted:
+        counts = _link_counts(comp, classes.select("fp", "docs"), sets, percent)
+        named = named.join(counts, "fp", "left").select("fp", "fp2", "component_id", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     out = members.join(named, ["fp", "fp2"], "left")
     known = lambda c: F.nullif(F.col(c), none)
     component = F.when(F.col("n") == 0, known("doc")).otherwise(known("component_id"))
-    return out.select(known("doc").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("fp").alias("class_fp"))
+    return out.select(known("doc").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("fp").alias("class_fp"), *n_links)

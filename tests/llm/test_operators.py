@@ -121,6 +121,33 @@ def test_op1_chains_of_near_copies(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 80 * (len(a) + len(b) - len(a & b))
+    return Counter((id, sum(bool(linked(s, x)) for j, x in enumerate(sets) if j != i)) for i, ((id, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def test_op1_counts_all_links_within_components(spark, docs, empty, monkeypatch):
+    """Chains, copies and a group of near copies larger than a block."""
+    words = [f"w{i}" for i in range(400)]
+    rng = np.random.default_rng(3)
+    near = [" ".join(w if rng.random() > 0.01 else f"x{i}" for w in words[:150] for i in rng.integers(0, 99, 1)) for _ in range(40)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 60 + i % 3])) for i in range(40)]
+    rows += [(100 + i, t) for i, t in enumerate([*near, near[0], near[0], near[7], "", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (7, 256):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = Counter((r.doc_id, r.n_links) for r in ngram_join.link_documents(df).collect())
+        assert got == brute_links(rows) and max(n for _, n in got) > 3
+    assert Counter((r.doc_id, r.n_links) for r in ngram_join.link_documents(docs).collect()) == brute_links([(r[0], r[1]) for r in corpus()])
+    assert ngram_join.link_documents(empty).where("n_links > 0").count() == 0
+    monkeypatch.setattr(ngram_join, "COLUMNS", 3)
+    few = [np.unique(rng.integers(0, 12, 8)) for _ in range(6)]
+    shared = np.array([[len(np.intersect1d(x, y)) for y in few] for x in few])
+    flat, count = np.concatenate(few), np.array([len(x) for x in few])
+    assert (ngram_join._overlaps(flat, count, 6, True) == shared).all() and (ngram_join._overlaps(flat, count, 2, False) == shared[:2, 2:]).all()
+
+
 def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
