@@ -4,7 +4,7 @@ Equal vectors are one node. A node's neighbours are those of the largest inner p
 own list is what its search starts from. The graph starts from random hyperplane cells, whose members are
 compared with one another, and is improved by NN-descent: in each round a node's neighbours, and nodes
 it is a neighbour of, meet by Spark joins and are compared with one another; each keeps its ``degree`` best.
-Rounds grow with the logarithm of the number of nodes. Comparisons use components in eight bits. A query
+Rounds go on until one changes less than a thousandth of all neighbours. Comparisons use components in eight bits. A query
 starts from its own node and expands, hop by hop, the best nodes it has not expanded; what it has found is
 scored again on the original vectors in double precision.
 
@@ -16,6 +16,7 @@ rows with one id and different vectors each counts. Equal scores are ranked by t
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -32,6 +33,8 @@ CELL = 4096
 GROUP = 4096
 #: Nodes whose neighbours are compared in one task call.
 PIVOTS = 1024
+#: Rounds end with one that changes less than this share of all neighbours.
+SETTLED = 0.001
 
 _FOUND = (np.int64, np.int64, np.float32)
 
@@ -107,12 +110,22 @@ def _compare_cell(degree: int, groups: int):
     return run
 
 
+def _pairs(u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _text.mix(_text.mix(u.astype(np.uint64)) + c.astype(np.uint64))
+
+
 def _merge(degree: int):
+    """The best of all that was found for each node, and how many of them it did not have before."""
+
     def run(table: pa.Table) -> pa.Table:
-        u, c, s = _best(*(np.concatenate(x) for x in zip(*(unpack(b, *_FOUND) for b in table["blob"].to_pylist()), strict=True)), degree)
+        parts = [unpack(b, *_FOUND) for b in table["blob"].to_pylist()]
+        had = [_pairs(u, c) for (u, c, _), old in zip(parts, table["old"].to_pylist(), strict=True) if old]
+        u, c, s = _best(*(np.concatenate(x) for x in zip(*parts, strict=True)), degree)
         nodes, first = np.unique(u, return_index=True)
+        new = ~np.isin(_pairs(u, c), np.concatenate(had)) if had else np.ones(len(u), bool)
+        fresh = np.add.reduceat(new.astype(np.int64), first) if len(u) else np.empty(0, np.int64)
         offsets = pa.array(np.concatenate([first, [len(u)]]).astype(np.int32))
-        return pa.table([pa.array(nodes), pa.ListArray.from_arrays(offsets, pa.array(c)), pa.ListArray.from_arrays(offsets, pa.array(s))], ["rep", "ids", "sims"])
+        return pa.table([pa.array(nodes), pa.ListArray.from_arrays(offsets, pa.array(c)), pa.ListArray.from_arrays(offsets, pa.array(s)), pa.array(fresh)], ["rep", "ids", "sims", "fresh"])
 
     return run
 
@@ -152,20 +165,18 @@ def _local_join(degree: int, groups: int):
 
 
 def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 48, tables: int = 6, sample: int = 48, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rep, code) and the graph (rep, ids, sims; nearest first) of ``nodes`` (rep, vec)."""
+    """(rep, code) and the graph (rep, ids, sims; nearest first) of ``nodes`` (rep, vec), after ``rounds`` or when it is settled."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
     groups = max(8, -(-n // GROUP))
-    if rounds is None:
-        rounds = 0 if n <= CELL else 2 + max(0, math.ceil(math.log2(n / 65536)))
     coded = _shared.written(nodes.mapInArrow(_coded(dims, tables, bits), "rep long, code binary, cells array<long>"), "codes")
     spread = coded.select("rep", "code", F.posexplode("cells").alias("t", "cell"))
     sizes = spread.groupBy("t", "cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))
     dealt = spread.join(sizes, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep", "t"), "parts"))
     found = dealt.groupBy("t", "cell", "part").applyInArrow(_compare_cell(degree, groups), "dest int, blob binary")
-    shape = "rep long, ids array<long>, sims array<float>"
-    graph = _shared.written(found.groupBy("dest").applyInArrow(_merge(degree), shape), "graph")
+    shape = "rep long, ids array<long>, sims array<float>, fresh long"
+    graph = _shared.written(found.withColumn("old", F.lit(False)).groupBy("dest").applyInArrow(_merge(degree), shape), "graph")
     codes = coded.select("rep", "code")
-    for k in range(rounds):
+    for k in range(rounds) if rounds is not None else itertools.count():
         out = graph.select(F.col("rep").alias("pivot"), F.explode("ids").alias("member"))
         rank = Window.partitionBy("pivot").orderBy(F.xxhash64("member", F.lit(k)), "member")
         back = out.select(F.col("member").alias("pivot"), F.col("pivot").alias("member")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).drop("r")
@@ -175,7 +186,10 @@ def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 48, tables: i
         met = out.union(back).union(own).join(known, "member").withColumn("g", F.pmod(F.xxhash64("pivot"), F.lit(max(8, -(-n // PIVOTS)))).cast("int"))
         better = met.groupBy("g").applyInArrow(_local_join(degree, groups), "dest int, blob binary")
         old = graph.mapInArrow(_lists(groups), "dest int, blob binary")
-        graph = _shared.written(old.union(better).groupBy("dest").applyInArrow(_merge(degree), shape), "graph")
+        both = old.withColumn("old", F.lit(True)).union(better.withColumn("old", F.lit(False)))
+        graph = _shared.written(both.groupBy("dest").applyInArrow(_merge(degree), shape), "graph")
+        if rounds is None and (graph.agg(F.sum("fresh")).first()[0] or 0) <= SETTLED * n * degree:
+            break
     return codes, graph
 
 

@@ -220,6 +220,20 @@ def test_op4_descent_rounds_improve_a_poor_start(spark, monkeypatch):
     assert recall[3] >= 0.9 and recall[3] > recall[0]
 
 
+def test_op4_rounds_go_on_until_settled(spark, monkeypatch):
+    """A poor start of a small table is improved too: rounds follow what they change, not the size."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1500, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "CELL", 64)
+    written = []
+    monkeypatch.setattr(ann._shared, "written", lambda d, name, f=ann._shared.written: written.append(name) or f(d, name))
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, degree=30, tables=2).collect()
+    truth = {q: set(np.argsort(-(x @ x[q]), kind="stable")[:21]) - {q} for q in range(0, 1500, 20)}
+    assert sum(r.vec_id in truth[r.query_id] for r in got) / sum(len(t) for t in truth.values()) >= 0.9
+    assert written.count("graph") > 1 + 2
+
+
 def test_op5_targets_and_rounding(spark, docs, empty):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(corpus())
