@@ -259,9 +259,11 @@ def nearest(vectors: DataFrame, is_query, id: str = "vec_id", vec: str = "embedd
         return vectors.sparkSession.createDataFrame([], shape)
     dims = common["d"]
     keyed = rows.where(F.size("vec") == dims).withColumns({"h1": F.xxhash64("vec"), "h2": F.hash("vec")})
-    reps = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = _shared.written(keyed.join(reps, ["h1", "h2"]).select("id", "rep", "ask", "vec").distinct(), "members")
-    nodes = _shared.written(members.where("id = rep").groupBy("rep").agg(F.first("vec").alias("vec")), "nodes")
+    # a node is known by its vector's hash: different vectors may have the same ids
+    members = _shared.written(keyed.select("id", F.col("h1").alias("rep"), "ask", "vec").distinct(), "members")
+    # an id of several vectors is left out of its own answers as often
+    most = k + (members.select("id", "rep").distinct().groupBy("id").count().agg(F.max("count")).first()[0] or 1)
+    nodes = _shared.written(members.groupBy("rep").agg(F.min("vec").alias("vec")), "nodes")
     codes, graph = build_graph(nodes, nodes.count(), dims, **graph_options)
     asked = _shared.cut(members.where("ask").select("rep").distinct())
     n_asked = asked.count()
@@ -271,9 +273,9 @@ def nearest(vectors: DataFrame, is_query, id: str = "vec_id", vec: str = "embedd
     both = pairs.join(nodes.select(F.col("rep").alias("q"), F.col("vec").alias("x")), "q").join(nodes.select(F.col("rep").alias("c"), F.col("vec").alias("y")), "c")
     scored = both.select("q", "c", "x", "y").mapInArrow(_products, "q long, c long, score double")
     by_id = Window.partitionBy("rep").orderBy("id")
-    few = members.select("id", "rep").distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).select(F.col("rep").alias("c"), "id")
+    few = members.select("id", "rep").distinct().withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= most).select(F.col("rep").alias("c"), "id")
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    named = scored.join(few, "c").withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).select("q", "id", "score")
+    named = scored.join(few, "c").withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= most).select("q", "id", "score")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     queries = members.where("ask").select(F.col("id").alias("query_id"), F.col("rep").alias("q")).distinct()
     out = queries.join(named.withColumnRenamed("id", "vec_id"), "q").where("query_id <> vec_id")

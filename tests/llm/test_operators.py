@@ -234,6 +234,14 @@ def test_op4_rounds_go_on_until_settled(spark, monkeypatch):
     assert written.count("graph") > 1 + 2
 
 
+def test_op4_keeps_different_vectors_of_the_same_ids(spark):
+    """Two vectors whose smallest id is the same are two nodes, whichever comes first."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, [0.1, 0.9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id): round(r.score, 6) for r in ann.nearest(df, F.col("vec_id").isin(1, 2), k=2).collect()}
+    assert got == {(1, 0): 1.0, (1, 3): 0.9, (2, 0): 1.0, (2, 4): 0.9}
+
+
 def test_op5_targets_and_rounding(spark, docs, empty):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(corpus())
