@@ -1,11 +1,11 @@
 """Chat formatting with DataFrame functions only: tool calls linked to their results.
 
-Calls and results are joined by call identifier. A linked result is ranked right behind its call,
+Calls and results are joined by conversation and call identifier. A linked result is ranked right behind its call,
 whatever turn it came in, so sorting a conversation by ``rank`` is a topological order of calls and
 results. Arguments are validated against the fields of the call's schema, and each message is written
 as canonical JSON: keys in order, no spaces, null fields left out.
 
-Null identifiers link nothing. Of repeated calls with one identifier the first turn counts, and they
+Null identifiers and conversations link nothing. Of repeated calls with one identifier the first turn counts, and they
 are valid together only if each is; each row still gives its own message. Results without a call and
 calls without a result are kept as such. Empty tables give empty tables.
 """
@@ -15,21 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What the text of an argument's JSON value looks like, by the type a schema names.
-TYPE_PATTERNS = {"string": r"(?s).*", "integer": r"-?[0-9]+", "number": r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?", "boolean": r"true|false"}
+#: What the type of an argument's JSON value is called in a variant, by the type a schema names.
+TYPE_PATTERNS = {"string": "STRING", "integer": r"BIGINT|DECIMAL\([0-9]+,0\)", "number": r"BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)", "boolean": "BOOLEAN", "array": "(?s)ARRAY<.*>", "object": "(?s)OBJECT<.*>"}
 
 Schema = list[tuple[str, str, bool]]
 
 
 def arguments_valid(arguments: Column, schema: Schema) -> Column:
     """Whether a JSON object has the required fields of ``schema`` (name, type, required), of their types, and no others."""
-    got = F.from_json(arguments, "map<string,string>")
+    parsed = F.try_parse_json(arguments)
+    got = F.when(F.schema_of_variant(parsed).startswith("OBJECT<"), F.try_variant_get(parsed, "$", "map<string,variant>"))
     checks = got.isNotNull()
     for field, kind, required in schema:
         value = F.try_element_at(got, F.lit(field))
-        fits = F.coalesce(value.rlike(f"^(?:{TYPE_PATTERNS[kind]})$"), F.lit(False))
+        fits = F.coalesce(F.schema_of_variant(value).rlike(f"^(?:{TYPE_PATTERNS[kind]})$"), F.lit(False))
         checks = checks & (fits if required else fits | ~F.map_contains_key(got, field))
-    known = F.array(*[F.lit(f) for f, _, _ in schema])
+    known = F.array(*[F.lit(f) for f, _, _ in schema]).cast("array<string>")
     return F.coalesce(checks & (F.size(F.array_except(F.map_keys(got), known)) == 0), F.lit(False))
 
 
@@ -39,27 +40,29 @@ def canonical_json(**fields: Column) -> Column:
 
 
 def link_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
-    """``messages`` with rank, linked, valid and message.
+    """``messages`` with rank, linked, valid, message and canonical_arguments.
 
     ``messages`` has conv_id, turn, role, content, kind (``call``, ``result`` or ``message``),
     call_id, name and arguments. ``schemas`` maps a call's name to its fields; a call of an
-    unknown name is not valid. Columns called rank, linked, valid or message are replaced.
+    unknown name is not valid. Columns called as what is added are replaced.
+    The message holds a call's arguments as they came; canonical_arguments has their keys in order at
+    every level.
     """
     names = [F.when(F.col("name") == n, arguments_valid(F.col("arguments"), s)) for n, s in schemas.items()]
     valid = F.when(F.col("kind") == "call", F.coalesce(*names, F.lit(False)))
-    keep = [c for c in messages.columns if c.lower() not in ("rank", "linked", "valid", "message")]
+    keep = [c for c in messages.columns if c.lower() not in ("rank", "linked", "valid", "message", "canonical_arguments")]
     m = messages.select(*[F.col(f"`{c}`") for c in keep], valid.alias("valid"))
-    keyed = m.where(F.col("call_id").isNotNull())
+    keyed = m.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
     # both sides shrink to one narrow row per identifier before they meet
     ends = (
-        keyed.groupBy("call_id")
+        keyed.groupBy("conv_id", "call_id")
         .agg(F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("_called"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("_answered"), F.min("valid").alias("_valid"))
         .where(F.col("_called").isNotNull() & F.col("_answered").isNotNull())
     )
     # messages without an identifier are spread over all tasks
     spread = F.coalesce("call_id", F.concat(F.lit("\0"), F.xxhash64("conv_id", "turn", "content").cast("string")))
-    ends = ends.withColumnRenamed("call_id", "_end")
-    j = m.withColumn("_key", spread).join(ends, (F.col("_key") == F.col("_end")) & F.col("call_id").isNotNull(), "left")
+    ends = ends.withColumnsRenamed({"call_id": "_end", "conv_id": "_conv"})
+    j = m.withColumn("_key", spread).join(ends, (F.col("_key") == F.col("_end")) & (F.col("conv_id") == F.col("_conv")) & F.col("call_id").isNotNull(), "left")
     linked = F.when(F.col("kind") != "message", F.col("_called").isNotNull())
     ok = F.when(F.col("kind") == "call", F.col("valid")).when(F.col("kind") == "result", F.col("_valid"))
     rank = F.when((F.col("kind") == "result") & F.col("_called").isNotNull(), 2 * F.col("_called") + 1).otherwise(2 * F.col("turn"))
@@ -70,7 +73,8 @@ def link_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
         name=F.when(F.col("kind") == "call", F.col("name")),
         arguments=F.when(F.col("kind") == "call", F.col("arguments")),
     )
-    return j.select(*[F.col(f"`{c}`") for c in keep], rank.cast("long").alias("rank"), linked.alias("linked"), ok.alias("valid"), body.alias("message"))
+    canonical = F.when(F.col("kind") == "call", F.to_json(F.try_parse_json("arguments")))
+    return j.select(*[F.col(f"`{c}`") for c in keep], rank.cast("long").alias("rank"), linked.alias("linked"), ok.alias("valid"), body.alias("message"), canonical.alias("canonical_arguments"))
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:

@@ -348,6 +348,19 @@ def test_op7_links_orders_and_validates(spark):
     assert chat.link_calls(chat.turns_as_calls(turns), chat.ASK).count() == 5
 
 
+def test_op7_json_types_and_identifiers_of_several_conversations(spark):
+    schema = "conv_id long, turn long, role string, content string, kind string, call_id string, name string, arguments string"
+    fields = {k: [("v", k, True)] for k in ("string", "integer", "number", "boolean", "array", "object")}
+    values = {"5": {"integer", "number"}, '"3"': {"string"}, "1.5": {"number"}, "true": {"boolean"}, "[1]": {"array"}, '{"a":1}': {"object"}, "null": set()}
+    cases = [(k, v, k in kinds) for v, kinds in values.items() for k in fields]
+    rows = [(1, i, "assistant", None, "call", f"t{i}", k, '{"v":%s}' % v) for i, (k, v, _) in enumerate(cases)]
+    rows += [(2, 500, "assistant", None, "call", "call_1", "any", '{"b":{"y":1,"x":2},"a":3}'), (3, 501, "tool", "r", "result", "call_1", None, None), (4, 502, "assistant", None, "call", "call_1", "any", '{"a": 3, "b": {"x": 2, "y": 1}}'), (4, 503, "tool", "r", "result", "call_1", None, None)]
+    got = {r.turn: r for r in chat.link_calls(spark.createDataFrame(rows, schema), fields).collect()}
+    assert [got[i].valid for i in range(len(cases))] == [ok for _, _, ok in cases]
+    assert [got[t].linked for t in (500, 501, 502, 503)] == [False, False, True, True] and got[503]["rank"] == 1005
+    assert got[500].canonical_arguments == got[502].canonical_arguments == '{"a":3,"b":{"x":2,"y":1}}'
+
+
 def test_op8_longest_rule_wins_by_trie_and_by_join(spark, monkeypatch):
     rules = spark.createDataFrame([("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.Example.com", "/en/"), ("block", "net", "/e"), ("allow", "net", "/e"), (None, "org", "/"), ("block", "a.b", "")], "verdict string, host string, path string")
     urls = {
