@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import normalise as N
 from docloom.functions import pii as P
 from docloom.functions import quality as Q
+from docloom.functions.normalise import collapse_leak
 from docloom.operators import dedupe as D
 from docloom.operators import edits as E
 from docloom.operators import evaluate as V
@@ -171,12 +172,21 @@ def _(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The first words of all benchmark items as known values; the list is as small as the benchmark."""
     word = F.element_at(F.split("text", " "), 1)
     values = items.select(word.alias("w")).where((F.length("w") > 4) & F.col("w").rlike("^[a-zA-Z]+$")).agg(F.array_sort(F.collect_set("w")).alias("values"))
-    # only values whose letters occur are scanned with patterns
-    near = F.filter("values", lambda v: F.contains(F.col("text"), v))
+    # only values that occur without regard to white space and marks are scanned with patterns; these find no others
+    flat = collapse_leak("text")
+    near = F.filter("values", lambda v: F.exists(P.name_variants(F.trim(v)), lambda x: F.contains(flat, collapse_leak(x))))
     scanned = docs.crossJoin(F.broadcast(values)).select("doc_id", P.leak_scan("text", near).alias("r"))  # one row of values
     return scanned.select("doc_id", "r.passed", F.array_join("r.leaked", "|").alias("leaked"))
 
 
+@query("leak_scan_all", ["documents", "benchmark"])
+def _(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As leak_scan with the first words of all benchmark items, of any letters and length."""
+    values = items.select(F.element_at(F.split("text", " "), 1).alias("w")).agg(F.array_sort(F.collect_set("w")).alias("values"))
+    scanned = docs.crossJoin(F.broadcast(values)).select("doc_id", P.leak_scan("text", F.col("values")).alias("r"))  # one row of values
+    return scanned.select("doc_id", "r.passed", F.array_join("r.leaked", "|").alias("leaked"))
+
+
 #: A value of Latin letters as the pattern for hiding takes it: spaces may stand between letters.
 _THE = r"t[ \t\x{00A0}]*h[ \t\x{00A0}]*e"
 

@@ -14,6 +14,7 @@ from docloom.operators import routing as R
 from docloom.operators import search as S
 from docloom.operators import subjects as J
 from docloom.operators.components import connected_components
+from docloom.plans import registry
 from docloom.sources import files, replies
 from docloom.streaming.ingest import incremental_ingest
 
@@ -40,6 +41,16 @@ def test_linking_does_not_depend_on_order(spark, order):
     assert one.levels_present == "ابتدائي، استئناف، نقض" and one.missing_levels == "" and one.cassated == "نعم" and one.naqd_file == "1537-3-3-2016"
 
 
+def test_leak_scan_finds_spaced_and_short_values(spark, tmp_path):
+    """What SQL's contains cannot follow: spaces between letters, marks, short names as whole words."""
+    docs = [(1, "a bench mark text"), (2, "benchmark"), (3, "clean"), (4, "محمـد"), (5, "an Ali b"), (6, "b e n c h m a r k")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "benchmark one"), (2, "محمد x"), (3, "Ali y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: {r.doc_id: r.leaked for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("leak_scan") == {1: "benchmark", 2: "benchmark", 3: "", 4: "", 5: "", 6: "benchmark"}
+    assert run("leak_scan_all") == {1: "benchmark", 2: "benchmark", 3: "", 4: "محمد", 5: "Ali", 6: "benchmark"}
+
+
 def test_linking_stays_linear(spark):
     n = 300
     docs = [(f"{k}{i}", lv, "", "", "", "", f"{b + i}/1/2/{y}", "") for i in range(n) for k, lv, b, y in (("a", "ابتدائي", 1000, 2015), ("b", "استئناف", 2000, 2017), ("c", "نقض", 3000, 2019))]
