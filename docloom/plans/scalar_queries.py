@@ -258,6 +258,11 @@ def _(raw: DataFrame) -> DataFrame:
     return raw.select("doc_id", P.is_initials(F.substring("s", 1, 3)).alias("value"))
 
 
+@query("is_initials_whole", ["raw"], f"SELECT doc_id, len({_RUNS}) > 0 AND len(list_filter({_RUNS}, lambda x: length(x) <> 1)) = 0 AS value FROM (SELECT doc_id, {g('s', '[ـً-ٰٟ]', ' ')} AS s FROM raw)")
+def _(raw: DataFrame) -> DataFrame:
+    return raw.select("doc_id", P.is_initials("s").alias("value"))
+
+
 scalar("significant_len", P.significant_len, f"length({g('s', '[' + chr(92) + 'sـً-ٰٟ]')})", "s")
 
 
@@ -281,6 +286,11 @@ def _(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", P.abstract_guard(F.substring("text", F.lit(1), (20 + F.col("doc_id") % 100).cast("int"))).alias("value"))
 
 
+@query("abstract_guard_whole", ["documents"], "SELECT doc_id, CASE WHEN length(trim(t)) < 60 THEN 'short' WHEN regexp_matches(trim(t), '\\(.{1,3}\\.') THEN 'names' ELSE '' END AS value FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def _(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", P.abstract_guard("text").alias("value"))
+
+
 _BAD, _ARABIC = r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{E000}-\x{F8FF}\x{0180}-\x{024F}]", r"[\x{0600}-\x{06FF}]"
 
 
