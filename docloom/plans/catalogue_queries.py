@@ -98,6 +98,22 @@ def _(d: DataFrame) -> DataFrame:
     return page.withColumn("place", F.row_number().over(Window.orderBy("_i"))).drop("_i")
 
 
+@query("listing_places", ["decisions"], "SELECT doc_id, row_number() OVER (ORDER BY category, year, substr(decision_date, 4, 2), substr(decision_date, 1, 2), coalesce(try_cast(decision_no AS BIGINT), 0), doc_id) AS place FROM decisions")
+def _(d: DataFrame) -> DataFrame:
+    """The whole listing, numbered as it is ordered: the rows of the ranges before, and the place within a range."""
+    from pyspark.sql import Window
+
+    from docloom.operators.components import reliable
+
+    named = d.withColumns({"date_display": F.col("decision_date"), "decision_display": F.col("decision_no")})
+    # partition and place within it are one number; both are kept, as ranges may be drawn anew
+    rows = reliable(C.listing_order(named).select("doc_id").withColumn("_i", F.monotonically_increasing_id()))
+    rows = rows.select("doc_id", F.shiftright("_i", 33).alias("_part"), F.col("_i").bitwiseAND((1 << 33) - 1).alias("_at"))
+    sums = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").select("doc_id", (F.col("_before") + F.col("_at") + 1).alias("place"))
+
+
 @query("browse_rulings", ["decisions"], f"SELECT doc_id, (SELECT count(*) FROM decisions WHERE {PUBLISHED} AND category = 'مدنية' AND contains(search_text, 'كراء')) AS total FROM decisions WHERE {PUBLISHED} AND category = 'مدنية' AND contains(search_text, 'كراء') ORDER BY sort_key DESC, doc_id LIMIT 50 OFFSET 10")
 def _(d: DataFrame) -> DataFrame:
     return C.browse_rulings(d, chamber="مدنية", match=F.contains("search_text", F.lit("كراء")), offset=10).select("doc_id", "total")
@@ -128,6 +144,15 @@ def _(r: DataFrame) -> DataFrame:
     return C.open_reports_cap(r.where("report_id % 3 = 0"), r.where("report_id % 3 = 1"), 20).select("report_id", "accepted")
 
 
+@query("open_reports_cap_all", ["reports"], "WITH s AS (SELECT *, CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM reports) AS stored FROM reports), o AS (SELECT reporter, count(*) AS n FROM s WHERE status = 'open' AND stored GROUP BY reporter), w AS (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY ts, report_id) AS i FROM s WHERE NOT stored) SELECT report_id, i + coalesce(n, 0) <= 20 AS accepted FROM w LEFT JOIN o USING (reporter)")
+def _(r: DataFrame) -> DataFrame:
+    """The reports of the last day as new ones, and all before them as stored."""
+    last = r.agg(F.max(F.to_date("ts")).alias("_last"))
+    dated = r.crossJoin(F.broadcast(last))  # one row
+    stored, new = dated.where(F.to_date("ts") < F.col("_last")), dated.where(F.to_date("ts") == F.col("_last"))
+    return C.open_reports_cap(stored, new, 20).select("report_id", "accepted")
+
+
 @query("reports_with_decision", ["reports", "decisions"], "SELECT row_id, doc_id, decision_no, category FROM reports JOIN decisions USING (doc_id) WHERE status = 'open' ORDER BY ts DESC, row_id LIMIT 200")
 def _(r: DataFrame, d: DataFrame) -> DataFrame:
     return C.with_decision(r.select("row_id", "doc_id", "status", "ts"), d.drop("updated_at", "state"), "open", False).select("row_id", "doc_id", "decision_no", "category")
