@@ -41,6 +41,16 @@ def test_linking_does_not_depend_on_order(spark, order):
     assert one.levels_present == "ابتدائي، استئناف، نقض" and one.missing_levels == "" and one.cassated == "نعم" and one.naqd_file == "1537-3-3-2016"
 
 
+def test_open_reports_cap_all_reads_all_reports(spark, tmp_path):
+    """New and stored reports of any id count; test_entry leaves out names that begin with op."""
+    rows = [(i, 7, "a", f"2024-01-{1 if i < 40 else 2:02d} 00:00:{i:02d}", 1.0) for i in range(42)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    stored = registry.view(spark, str(tmp_path), "reports").where("status = 'open' AND report_id < 40").count()
+    got = {r.report_id: r.accepted for r in registry.QUERIES["open_reports_cap_all"](spark, str(tmp_path)).collect()}
+    assert got == {40: stored + 1 <= 20, 41: stored + 2 <= 20}
+
+
 def test_leak_scan_finds_spaced_and_short_values(spark, tmp_path):
     """What SQL's contains cannot follow: spaces between letters, marks, short names as whole words."""
     docs = [(1, "a bench mark text"), (2, "benchmark"), (3, "clean"), (4, "محمـد"), (5, "an Ali b"), (6, "b e n c h m a r k")]
