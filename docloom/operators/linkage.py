@@ -19,10 +19,11 @@ def with_keys(df: DataFrame, as_of_year: int) -> DataFrame:
     return df.withColumns({"file_norm": N.canon_file_no("file_no", as_of_year), "date_norm": N.canon_date("date"), "dec": N.strip(N.text("decision_no"))})
 
 
-def _facts(df: DataFrame, side: str, key: list[str]) -> DataFrame:
-    """What scoring needs, computed once per row before it is joined."""
-    return df.select(
+def _facts(df: DataFrame, side: str, key: list[str], *more: Column) -> DataFrame:
+    """What scoring needs, computed once per row before it is joined, and a row for each key that the row has."""
+    facts = df.select(
         *key,
+        *more,
         "file_norm",
         "date_norm",
         "dec",
@@ -30,20 +31,22 @@ def _facts(df: DataFrame, side: str, key: list[str]) -> DataFrame:
         N.text("city").alias(f"{side}_city"),
         N.court_to_level("court").alias(f"{side}_court"),
     )
+    by_file = F.when(F.col("file_norm") != "", F.struct(F.lit(0).alias("kind"), F.col("file_norm").alias("a"), F.lit("").alias("b")))
+    by_decision = F.when((F.col("dec") != "") & (F.col("date_norm") != ""), F.struct(F.lit(1).alias("kind"), F.col("dec").alias("a"), F.col("date_norm").alias("b")))
+    keys = F.filter(F.array(by_file, by_decision), lambda k: k.isNotNull())
+    return facts.withColumn("key", F.explode(keys))
 
 
 def link_candidates(docs: DataFrame, refs: DataFrame, as_of_year: int) -> DataFrame:
-    """doc_id, ref_ix, child and both sides' facts: pairs that agree on the file number, or on decision number and date.
+    """doc_id, ref_ix, child, child_rank and both sides' facts: pairs that agree on the file number, or on decision number and date.
 
-    Two equi-joins on keys that are not empty; pairs found by both come once.
+    One equi-join on keys that are not empty; pairs found by both come once.
     """
-    own = _facts(with_keys(docs, as_of_year), "d", ["doc_id"]).withColumnsRenamed({"doc_id": "child", "file_norm": "d_file", "date_norm": "d_date", "dec": "d_dec"})
+    own = _facts(with_keys(docs, as_of_year), "d", ["doc_id"], level_rank("level").alias("child_rank")).withColumnsRenamed({"doc_id": "child", "file_norm": "d_file", "date_norm": "d_date", "dec": "d_dec"})
     ref = _facts(with_keys(refs, as_of_year), "r", ["doc_id", "ref_ix"])
-    by_file = ref.where("file_norm <> ''").join(own.where("d_file <> ''"), F.col("file_norm") == F.col("d_file"))
-    by_decision = ref.where("dec <> '' and date_norm <> ''").join(own.where("d_dec <> '' and d_date <> ''"), (F.col("dec") == F.col("d_dec")) & (F.col("date_norm") == F.col("d_date")))
-    # a pair that the first join has found is left out of the second, so no distinct is needed
-    only = by_decision.where(~((F.col("file_norm") != "") & (F.col("file_norm") == F.col("d_file"))))
-    return by_file.unionByName(only).where("doc_id <> child")
+    pairs = ref.join(own, "key").where("doc_id <> child")
+    # a pair that agrees on the file number is left out of those that agree on the decision, so no distinct is needed
+    return pairs.where((F.col("key.kind") == 0) | (F.col("file_norm") == "") | (F.col("file_norm") != F.col("d_file"))).drop("key")
 
 
 def match_score(pairs: DataFrame) -> DataFrame:
@@ -60,9 +63,8 @@ def match_score(pairs: DataFrame) -> DataFrame:
 
 def rank_filter(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose parent is of a higher level than the child, or where a level is unknown."""
-    level = docs.select("doc_id", level_rank("level").alias("_l"))
-    j = pairs.join(level.withColumnRenamed("_l", "_p"), "doc_id").join(level.withColumnsRenamed({"doc_id": "child", "_l": "_c"}), "child")
-    return j.where("_p = 0 or _c = 0 or _p > _c").drop("_p", "_c")
+    parent = docs.select("doc_id", level_rank("level").alias("parent_rank"))
+    return pairs.join(parent, "doc_id").where("parent_rank = 0 or child_rank = 0 or parent_rank > child_rank").drop("parent_rank")
 
 
 def best_link(scored: DataFrame) -> DataFrame:

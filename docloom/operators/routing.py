@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import pii, quality
 from docloom.functions import normalise as N
+from docloom.operators.components import reliable
 
 
 def detect_with(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: T.StructType | str) -> DataFrame:
@@ -131,23 +133,55 @@ def run_report(records: DataFrame, fields: list[str], projected: int = 2000) ->
 
 
 def budget_cutoff(rows: DataFrame, budget: float, order: str = "seq", cost: str = "cost") -> DataFrame:
-    """The rows up to and including the one that crosses the budget, in order.
+    """The rows up to and including the one that crosses the budget, in order (then by cost, where several rows have one place).
 
-    A two-level prefix sum: rows are ranged by ``order``, each range is summed, and only the sums (one row
-    per range) are accumulated in one place; rows are never sorted in a single task.
+    A two-level prefix sum over the two columns it needs: they are ranged by ``order`` and kept, as ranges may
+    be drawn anew each time they are planned; each range is summed, and only the sums (one row per range) are
+    accumulated in one place. What it finds is one place in the order, by which the rows are filtered.
     """
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    sums = ranged.groupBy("_part").agg(F.sum(cost).alias("_s"))
-    before = sums.select("_part", (F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_before"))
-    within = F.sum(cost).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(cost)
-    return ranged.withColumn("_within", within).join(F.broadcast(before), "_part").where(F.col("_before") + F.col("_within") < budget).drop("_part", "_within", "_before")
+    narrow = rows.select(F.col(order).alias("o"), F.coalesce(F.col(cost), F.lit(0)).alias("c"))
+    ranged = reliable(narrow.repartitionByRange("o").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("c").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("before"))
+    within = F.sum("c").over(Window.partitionBy("part").orderBy("o", "c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    spent = ranged.withColumn("within", within).join(F.broadcast(before), "part").where(F.col("before") + F.col("within") < budget)
+    last = spent.groupBy("o").agg(F.count("*").alias("n")).orderBy(F.desc_nulls_last("o")).first()  # a top-1 plan
+    if last is None:
+        return rows.limit(0)
+    whole, edge = (F.col(order) < F.lit(last["o"])) | F.col(order).isNull(), F.col(order) == F.lit(last["o"])
+    if last["o"] is None:
+        whole, edge = F.lit(False), F.col(order).isNull()
+    return rows.where(whole).unionByName(rows.where(edge).orderBy(F.coalesce(F.col(cost), F.lit(0))).limit(last["n"]))
+
+
+#: So many known values are looked for in one pass over the texts.
+LEAK_VALUES = 10_000
+
+
+def known_value_leaks(docs: DataFrame, values: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, passed, hits, leaked: the leak gate with one list of values for all texts.
+
+    ``values`` (column value) are sent in blocks of at most LEAK_VALUES, each a pass over the texts; results
+    of several blocks are put together by id. Values whose letters do not occur in a text, with white space
+    and marks gone, are not scanned with patterns; these find no others.
+    """
+    values = reliable(values.select("value").where("value is not null").distinct())
+    blocks = max(1, -(-values.count() // LEAK_VALUES))
+    flat = N.collapse_leak(text)
+    near = F.filter("values", lambda v: F.exists(pii.name_variants(F.trim(v)), lambda x: F.contains(flat, N.collapse_leak(x))))
+    scans = []
+    for k in range(blocks):
+        block = values.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k).agg(F.array_sort(F.collect_list("value")).alias("values"))
+        scans.append(docs.select(id, text).crossJoin(F.broadcast(block)).select(id, pii.leak_scan(text, near).alias("r")))  # one row of bounded size
+    if blocks == 1:
+        return scans[0].select(id, "r.passed", "r.hits", "r.leaked")
+    every = reduce(DataFrame.unionByName, scans)
+    return every.groupBy(id).agg(F.bool_and("r.passed").alias("passed"), F.sum("r.hits").cast("int").alias("hits"), F.array_sort(F.flatten(F.collect_list("r.leaked"))).alias("leaked"))
 
 
 def seeded_sample(docs: DataFrame, n: int, seed: int, id: str = "doc_id") -> DataFrame:
     """A reproducible draw of ``n`` rows, in the order of ids."""
-    return docs.orderBy(F.xxhash64(F.col(id).cast("string"), F.lit(seed)), id).limit(n).orderBy(id)
+    return docs.orderBy(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit(str(seed)))), id).limit(n).orderBy(id)
 
 
 def limit_n(docs: DataFrame, n: int, id: str = "doc_id") -> DataFrame:
@@ -156,8 +190,6 @@ def limit_n(docs: DataFrame, n: int, id: str = "doc_id") -> DataFrame:
 
 def spread_sample(records: DataFrame, n: int, chamber: str = "chamber", year: str = "year", id: str = "doc_id") -> DataFrame:
     """``n`` rows over all chambers in turn: within a chamber one of each year first, then the rest."""
-    from pyspark.sql import Window
-
     per_year = Window.partitionBy(chamber, year).orderBy("city", id)
     first = records.withColumn("_again", (F.row_number().over(per_year) > 1).cast("int"))
     turn = first.withColumns({"_turn": F.row_number().over(Window.partitionBy(chamber).orderBy("_again", year, "city", id)), "_size": F.count("*").over(Window.partitionBy(chamber))})

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import extract as X
 from docloom.functions import pii as P
 from docloom.operators import catalogue as C
 from docloom.operators import edits as E
-from docloom.operators.components import shared_dir
+from docloom.operators.components import reliable, shared_dir
 from docloom.plans.registry import query
 from docloom.plans.views import pick
 from docloom.sources import files, replies
@@ -88,30 +88,18 @@ def _(d: DataFrame) -> DataFrame:
     return C.platform_counts(d)
 
 
-@query("listing_order", ["decisions"], "SELECT doc_id, row_number() OVER (ORDER BY category, year, substr(decision_date, 4, 2), substr(decision_date, 1, 2), coalesce(try_cast(decision_no AS BIGINT), 0), doc_id) AS place FROM decisions QUALIFY place <= 500")
-def _(d: DataFrame) -> DataFrame:
-    """The first page of the listing, numbered as it is ordered."""
-    named = d.withColumns({"date_display": F.col("decision_date"), "decision_display": F.col("decision_no")})
-    page = C.listing_order(named).limit(500).select("doc_id").withColumn("_i", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
-    return page.withColumn("place", F.row_number().over(Window.orderBy("_i"))).drop("_i")
-
-
-@query("listing_places", ["decisions"], "SELECT doc_id, row_number() OVER (ORDER BY category, year, substr(decision_date, 4, 2), substr(decision_date, 1, 2), coalesce(try_cast(decision_no AS BIGINT), 0), doc_id) AS place FROM decisions")
-def _(d: DataFrame) -> DataFrame:
-    """The whole listing, numbered as it is ordered: the rows of the ranges before, and the place within a range."""
-    from pyspark.sql import Window
-
-    from docloom.operators.components import reliable
+for _name in ("listing_order", "listing_places"):
 
-    named = d.withColumns({"date_display": F.col("decision_date"), "decision_display": F.col("decision_no")})
-    # partition and place within it are one number; both are kept, as ranges may be drawn anew
-    rows = reliable(C.listing_order(named).select("doc_id").withColumn("_i", F.monotonically_increasing_id()))
-    rows = rows.select("doc_id", F.shiftright("_i", 33).alias("_part"), F.col("_i").bitwiseAND((1 << 33) - 1).alias("_at"))
-    sums = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    return rows.join(F.broadcast(before), "_part").select("doc_id", (F.col("_before") + F.col("_at") + 1).alias("place"))
+    @query(_name, ["decisions"], "SELECT doc_id, row_number() OVER (ORDER BY category, year, substr(decision_date, 4, 2), substr(decision_date, 1, 2), coalesce(try_cast(decision_no AS BIGINT), 0), doc_id) AS place FROM decisions")
+    def _(d: DataFrame) -> DataFrame:
+        """The whole listing, numbered as it is ordered: the rows of the ranges before, and the place within a range."""
+        named = d.withColumns({"date_display": F.col("decision_date"), "decision_display": F.col("decision_no")})
+        # partition and place within it are one number; both are kept, as ranges may be drawn anew
+        rows = reliable(C.listing_order(named).select("doc_id").withColumn("_i", F.monotonically_increasing_id()))
+        rows = rows.select("doc_id", F.shiftright("_i", 33).alias("_part"), F.col("_i").bitwiseAND((1 << 33) - 1).alias("_at"))
+        sums = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+        before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+        return rows.join(F.broadcast(before), "_part").select("doc_id", (F.col("_before") + F.col("_at") + 1).alias("place"))
 
 
 @query("browse_rulings", ["decisions"], f"SELECT doc_id, (SELECT count(*) FROM decisions WHERE {PUBLISHED} AND category = 'مدنية' AND contains(search_text, 'كراء')) AS total FROM decisions WHERE {PUBLISHED} AND category = 'مدنية' AND contains(search_text, 'كراء') ORDER BY sort_key DESC, doc_id LIMIT 50 OFFSET 10")
@@ -139,18 +127,15 @@ def _(a: DataFrame) -> DataFrame:
     return C.audit_trail(a.withColumn("entity_id", F.col("actor").cast("string")), "42").select("event_id", "actor", "action")
 
 
-@query("open_reports_cap", ["reports"], "WITH o AS (SELECT reporter, count(*) AS n FROM reports WHERE status = 'open' AND report_id % 3 = 0 GROUP BY reporter), w AS (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY ts, report_id) AS i FROM reports WHERE report_id % 3 = 1) SELECT report_id, i + coalesce(n, 0) <= 20 AS accepted FROM w LEFT JOIN o USING (reporter)")
-def _(r: DataFrame) -> DataFrame:
-    return C.open_reports_cap(r.where("report_id % 3 = 0"), r.where("report_id % 3 = 1"), 20).select("report_id", "accepted")
-
+for _name in ("open_reports_cap", "open_reports_cap_all"):
 
-@query("open_reports_cap_all", ["reports"], "WITH s AS (SELECT *, CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM reports) AS stored FROM reports), o AS (SELECT reporter, count(*) AS n FROM s WHERE status = 'open' AND stored GROUP BY reporter), w AS (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY ts, report_id) AS i FROM s WHERE NOT stored) SELECT report_id, i + coalesce(n, 0) <= 20 AS accepted FROM w LEFT JOIN o USING (reporter)")
-def _(r: DataFrame) -> DataFrame:
-    """The reports of the last day as new ones, and all before them as stored."""
-    last = r.agg(F.max(F.to_date("ts")).alias("_last"))
-    dated = r.crossJoin(F.broadcast(last))  # one row
-    stored, new = dated.where(F.to_date("ts") < F.col("_last")), dated.where(F.to_date("ts") == F.col("_last"))
-    return C.open_reports_cap(stored, new, 20).select("report_id", "accepted")
+    @query(_name, ["reports"], "WITH s AS (SELECT *, CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM reports) AS stored FROM reports), o AS (SELECT reporter, count(*) AS n FROM s WHERE status = 'open' AND stored GROUP BY reporter), w AS (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY ts, report_id) AS i FROM s WHERE NOT stored) SELECT report_id, i + coalesce(n, 0) <= 20 AS accepted FROM w LEFT JOIN o USING (reporter)")
+    def _(r: DataFrame) -> DataFrame:
+        """The reports of the last day as new ones, and all before them as stored."""
+        last = r.agg(F.max(F.to_date("ts")).alias("_last"))
+        dated = r.crossJoin(F.broadcast(last))  # one row
+        stored, new = dated.where(F.to_date("ts") < F.col("_last")), dated.where(F.to_date("ts") == F.col("_last"))
+        return C.open_reports_cap(stored, new, 20).select("report_id", "accepted")
 
 
 @query("reports_with_decision", ["reports", "decisions"], "SELECT row_id, doc_id, decision_no, category FROM reports JOIN decisions USING (doc_id) WHERE status = 'open' ORDER BY ts DESC, row_id LIMIT 200")
@@ -404,7 +389,12 @@ def _(r: DataFrame, d: DataFrame) -> DataFrame:
     return r.select("doc_id", "city", "folder").unionByName(d.select("doc_id", "city"), allowMissingColumns=True)
 
 
-@query("edit_diff", ["decisions"])
+_LAST = "SELECT doc_id, k, string_split(s, ' ')[1] AS w, substr(s, 1 + length(string_split(s, ' ')[1])) AS rest FROM (SELECT doc_id, k, split_part(body_text, chr(10), 3) AS s FROM decisions)"
+
+
+@query("edit_diff", ["decisions"], f"""SELECT doc_id, '[{{"line":1,"segments":[{{"op":"del","text":"قرار"}},{{"op":"ins","text":"XXXXXXX"}},{{"op":"equal","text":" رقم ' || k || '"}}]}},{{"line":3,"segments":[{{"op":"del","text":"' || w || '"}},{{"op":"ins","text":"x' || w || '"}}'
+  || CASE WHEN rest <> '' THEN ',{{"op":"equal","text":"' || rest || '"}}' ELSE '' END || ']}}]' AS hunks FROM ({_LAST})""")
 def _(d: DataFrame) -> DataFrame:
-    new = F.replace("body_text", F.lit("قرار"), F.lit(P.TOKEN))
+    """A word hidden in the first line, and a letter added in the third."""
+    new = F.regexp_replace(F.replace("body_text", F.lit("قرار"), F.lit(P.TOKEN)), r"\n([^\n]*)$", "\nx$1")
     return d.select("doc_id", F.to_json(E.edit_diff("body_text", new)).alias("hunks"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,14 +12,13 @@ from pyspark.sql import functions as F
 from docloom.functions import normalise as N
 from docloom.functions import pii as P
 from docloom.functions import quality as Q
-from docloom.functions.normalise import collapse_leak
 from docloom.operators import dedupe as D
 from docloom.operators import edits as E
 from docloom.operators import evaluate as V
 from docloom.operators import routing as R
 from docloom.operators import search as S
 from docloom.plans.registry import query
-from docloom.plans.scalar_queries import _redact_sql
+from docloom.plans.scalar_queries import ARABIC, BAD, _redact_sql, unreadable
 from docloom.sources import files, replies
 from docloom.streaming.ingest import new_documents
 
@@ -30,16 +32,29 @@ def _(docs: DataFrame, known: DataFrame, done: DataFrame) -> DataFrame:
     return D.split_copies(docs, known, done).select("doc_id", "original", "is_copy")
 
 
-@query("delivery_by_source", ["hashed", "known", "done"], _COPIES + f""", r AS (SELECT source, ({_redact_sql()[1]})::INT AS hits, {_GATE} > 0 AS dirty, length(regexp_replace({_redact_sql()[0]}, '\\s', '', 'g')) AS visible FROM c WHERE doc_id = original),
-g AS (SELECT source, hits, CASE WHEN visible < 200 THEN 'empty' ELSE '' END AS reason FROM r)
-SELECT source, count(*) AS documents, count(*) FILTER (reason = '') AS delivered, count(*) FILTER (reason = 'empty') AS held_empty, sum(hits)::BIGINT AS removed FROM g GROUP BY source""")
+_NAME = "محمد العلوي"
+#: White space of every script, which a plain class of SQL does not hold.
+_WHITE = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: What is delivered of a text: structured data and the known name redacted.
+_SENT = f"replace({_redact_sql()[0]}, '{_NAME}', '{P.TOKEN}')"
+
+
+@query("delivery_by_source", ["scans", "known", "done"], _COPIES.replace("hashed", "scans") + f""", r AS (SELECT source, ({_redact_sql()[1]})::INT + len(regexp_extract_all(text, '{_NAME}')) AS hits, {_SENT} AS text FROM c WHERE doc_id = original),
+l AS (SELECT source, hits, text, {_GATE} + len(regexp_extract_all(text, 'محؐمد العلوي')) > 0 AS dirty, len(regexp_extract_all(text, '{BAD}')) AS bad, len(regexp_extract_all(text, '{ARABIC}')) AS arab,
+  length(regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g')) AS n, length(regexp_replace(text, '{_WHITE}', '', 'g')) AS visible FROM r),
+g AS (SELECT source, hits, CASE WHEN dirty THEN 'leak' WHEN {unreadable('0.15')} THEN 'poor-ocr' WHEN visible < 200 THEN 'empty' ELSE '' END AS reason FROM l)
+SELECT source, count(*) AS documents, count(*) FILTER (reason = '') AS delivered, count(*) FILTER (reason = 'leak') AS held_leak, count(*) FILTER (reason = 'poor-ocr') AS held_poor_ocr, count(*) FILTER (reason = 'empty') AS held_empty, sum(hits)::BIGINT AS removed FROM g GROUP BY source""")
 def _(docs: DataFrame, known: DataFrame, done: DataFrame) -> DataFrame:
-    """Copies dropped, structured personal data redacted, readable texts delivered: totals by source."""
+    """Copies dropped, personal data redacted by name and by pattern, what is delivered scanned again: totals by source."""
+    names = F.array(F.lit(_NAME))
     kept = D.split_copies(docs, known, done).where(~F.col("is_copy"))
-    red = kept.select("source", P.redact_structured("text").alias("r"))
-    one = red.select("source", "r.hits", Q.visible_chars("r.text").alias("visible"), F.lit(1).alias("pages"))
-    held = one.withColumn("reason", Q.release_gate(F.lit(0), F.lit(False), F.col("visible"), F.col("pages")))
-    return held.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("reason") == "").alias("delivered"), F.count_if(F.col("reason") == "empty").alias("held_empty"), F.sum("hits").alias("removed"))
+    named = kept.select("source", P.redact_names("text", names).alias("n"))
+    sent = named.select("source", F.col("n.hits").alias("n"), P.redact_structured("n.text").alias("r")).select("source", (F.col("n") + F.col("r.hits")).alias("hits"), "r.text")
+    leaks = P.leak_scan("text", names)["hits"] + F.size(P.pii_gate("text"))
+    reason = Q.release_gate(leaks, Q.ocr_garbled("text"), Q.visible_chars("text"), F.lit(1))
+    held = sent.select("source", "hits", reason.alias("reason"))
+    of = lambda r, name: F.count_if(F.col("reason") == r).alias(name)
+    return held.groupBy("source").agg(F.count("*").alias("documents"), of("", "delivered"), of("leak", "held_leak"), of("poor-ocr", "held_poor_ocr"), of("empty", "held_empty"), F.sum("hits").alias("removed"))
 
 
 @query("copy_count", ["hashed"], "SELECT count(*) AS files, count(DISTINCT hash) AS originals, count(*) - count(DISTINCT hash) AS copies FROM hashed")
@@ -121,10 +136,15 @@ def _(docs: DataFrame, done: DataFrame) -> DataFrame:
     return R.requeue_damaged(sent, done)
 
 
-@query("route_text_or_scan", ["conversations"], "SELECT conv_id AS doc_id, 'scan' AS route FROM conversations WHERE turn < 3 GROUP BY conv_id HAVING avg(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) < 50 OR length(regexp_replace(string_agg(text, chr(10)), '^\\s+|\\s+$', '', 'g')) >= 200 UNION ALL SELECT conv_id, 'text' FROM conversations WHERE turn < 3 GROUP BY conv_id HAVING NOT (avg(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) < 50 OR length(regexp_replace(string_agg(text, chr(10)), '^\\s+|\\s+$', '', 'g')) >= 200)")
+_PAGES = "SELECT conv_id, turn, text || CASE WHEN (conv_id + turn) % 3 = 0 THEN '' ELSE repeat(' نص مقروء من الصفحة', 1 + CAST(floor(length(text) / (10 + conv_id % 30)) AS INT)) END AS text FROM conversations"
+_READ = f"SELECT conv_id, avg(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS mean, string_agg(text, chr(10) ORDER BY turn) AS t FROM ({_PAGES}) WHERE turn < 3 GROUP BY conv_id"
+
+
+@query("route_text_or_scan", ["conversations"], f"SELECT conv_id AS doc_id, CASE WHEN mean >= 50 AND NOT {unreadable('0.03')} THEN 'text' ELSE 'scan' END AS route FROM (SELECT conv_id, mean, len(regexp_extract_all(t, '{BAD}')) AS bad, len(regexp_extract_all(t, '{ARABIC}')) AS arab, length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS n FROM ({_READ}))")
 def _(turns: DataFrame) -> DataFrame:
-    """No letters of these texts are Arabic, so long ones are all unreliable."""
-    return R.route_text_or_scan(turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), "text"))
+    """Pages without Arabic letters, and with few and many of them."""
+    pages = turns.sparkSession.sql(_PAGES.replace("FROM conversations", "FROM {t}"), t=turns)
+    return R.route_text_or_scan(pages.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), "text"))
 
 
 @query("first_usable_over_batches", ["conversations"], "SELECT conv_id, coalesce(arg_min(CASE WHEN role = 'system' THEN '' ELSE text END, turn) FILTER (role <> 'system' AND trim(text) <> ''), '') AS court, array_to_string(list(role ORDER BY turn), '|') AS roles FROM conversations GROUP BY conv_id")
@@ -145,18 +165,35 @@ def _(a: DataFrame) -> DataFrame:
 
 
 _NAMES = ["مُحَمَّد العلوي", "السيد أحمد", "علي", "ع ح"]
+#: What is written behind each text, what is left of it, how many hits it has, and which names are not found.
+_WITH_NAMES = [
+    ("\nوحضر محمد العلوي وعلي عليه احمد\fعلي", "\nوحضر XXXXXXX وXXXXXXX عليه XXXXXXX\fXXXXXXX", 4, "ع ح"),
+    ("\nحضر العلوي  مـحمد", "\nحضر XXXXXXX", 1, "السيد أحمد|ع ح|علي"),
+    ("\nالسيد أحمـد ومحمد\fالعلوي ع ح", "\nXXXXXXX وXXXXXXX\f ع ح", 2, "ع ح|علي"),
+    ("\nعليها معلي", "\nعليها معلي", 0, "السيد أحمد|ع ح|علي|مُحَمَّد العلوي"),
+]
+
+
+def _by_kind(values: list, of: Callable = repr) -> str:
+    return "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {of(v)}" for i, v in enumerate(values)) + " END"
 
 
-@query("redact_names", ["rulings"])
+def _quoted(v: str) -> str:
+    return " || ".join({"\n": "chr(10)", "\f": "chr(12)"}.get(x, f"'{x}'") for x in re.split(r"([\n\f])", v) if x)
+
+
+@query("redact_names", ["rulings"], f"SELECT doc_id, {_by_kind([k[2] for k in _WITH_NAMES])} AS hits, sha256(text || {_by_kind([k[1] for k in _WITH_NAMES], _quoted)}) AS digest, {_by_kind([k[3] for k in _WITH_NAMES])} AS unmatched FROM rulings")
 def _(r: DataFrame) -> DataFrame:
-    body = F.concat("text", F.lit("\nوحضر محمد العلوي وعلي عليه احمد\fعلي"))
-    return r.select("doc_id", P.redact_names(body, F.array(*[F.lit(n) for n in _NAMES])).alias("r")).select("doc_id", "r.hits", F.sha2("r.text", 256).alias("digest"), F.array_join("r.unmatched", "|").alias("unmatched"))
+    kind = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in _WITH_NAMES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    named = r.select("doc_id", P.redact_names(F.concat("text", kind(0)), F.array(*[F.lit(n) for n in _NAMES])).alias("r"))
+    return named.select("doc_id", "r.hits", F.sha2("r.text", 256).alias("digest"), F.array_join(F.array_sort("r.unmatched"), "|").alias("unmatched"))
 
 
 @query("redact_document", ["conversations"])
 def _(turns: DataFrame) -> DataFrame:
+    """The first word of every turn is a name that is hidden in its whole conversation."""
     pages = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
-    values = turns.where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.element_at(F.split("text", " "), 1).alias("value"))
+    values = turns.select(F.col("conv_id").alias("doc_id"), F.element_at(F.split("text", " "), 1).alias("value"))
     return R.redact_document(pages, values)
 
 
@@ -169,22 +206,16 @@ def _(turns: DataFrame) -> DataFrame:
 @query("leak_scan", ["documents", "benchmark"], """WITH v AS (SELECT list(DISTINCT w) AS ws FROM (SELECT string_split(text, ' ')[1] AS w FROM benchmark) WHERE length(w) > 4 AND regexp_full_match(w, '[a-zA-Z]+')),
 h AS (SELECT doc_id, list_transform(list_filter(ws, lambda w: contains(text, w)), lambda w: w) AS found FROM documents, v) SELECT doc_id, len(found) = 0 AS passed, array_to_string(list_sort(found), '|') AS leaked FROM h""")
 def _(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The first words of all benchmark items as known values; the list is as small as the benchmark."""
-    word = F.element_at(F.split("text", " "), 1)
-    values = items.select(word.alias("w")).where((F.length("w") > 4) & F.col("w").rlike("^[a-zA-Z]+$")).agg(F.array_sort(F.collect_set("w")).alias("values"))
-    # only values that occur without regard to white space and marks are scanned with patterns; these find no others
-    flat = collapse_leak("text")
-    near = F.filter("values", lambda v: F.exists(P.name_variants(F.trim(v)), lambda x: F.contains(flat, collapse_leak(x))))
-    scanned = docs.crossJoin(F.broadcast(values)).select("doc_id", P.leak_scan("text", near).alias("r"))  # one row of values
-    return scanned.select("doc_id", "r.passed", F.array_join("r.leaked", "|").alias("leaked"))
+    """The first words of all benchmark items as known values."""
+    values = items.select(F.element_at(F.split("text", " "), 1).alias("value")).where((F.length("value") > 4) & F.col("value").rlike("^[a-zA-Z]+$"))
+    return R.known_value_leaks(docs, values).select("doc_id", "passed", F.array_join("leaked", "|").alias("leaked"))
 
 
 @query("leak_scan_all", ["documents", "benchmark"])
 def _(docs: DataFrame, items: DataFrame) -> DataFrame:
     """As leak_scan with the first words of all benchmark items, of any letters and length."""
-    values = items.select(F.element_at(F.split("text", " "), 1).alias("w")).agg(F.array_sort(F.collect_set("w")).alias("values"))
-    scanned = docs.crossJoin(F.broadcast(values)).select("doc_id", P.leak_scan("text", F.col("values")).alias("r"))  # one row of values
-    return scanned.select("doc_id", "r.passed", F.array_join("r.leaked", "|").alias("leaked"))
+    values = items.select(F.element_at(F.split("text", " "), 1).alias("value"))
+    return R.known_value_leaks(docs, values).select("doc_id", "passed", F.array_join("leaked", "|").alias("leaked"))
 
 
 #: A value of Latin letters as the pattern for hiding takes it: spaces may stand between letters.
@@ -225,13 +256,14 @@ def _(r: DataFrame) -> DataFrame:
     return R.run_report(r, ["category", "city"])
 
 
-@query("budget_cutoff", ["activity"], "SELECT event_id FROM (SELECT event_id, value, sum(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) - value AS before FROM activity) WHERE before < (SELECT sum(value) / 3 FROM activity)")
+@query("budget_cutoff", ["activity"], "SELECT event_id, n FROM (SELECT event_id, 30 * length(actor || ':' || action) AS n, value, sum(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) - value AS before FROM activity) WHERE before < (SELECT sum(value) / 3 FROM activity)")
 def _(a: DataFrame) -> DataFrame:
     budget = a.agg(F.sum("value") / 3).first()[0]
-    return R.budget_cutoff(a.select("event_id", "value"), budget, "event_id", "value").select("event_id")
+    wide = a.select("event_id", "value", F.repeat(F.concat_ws(":", "actor", "action"), F.lit(30)).alias("payload"))
+    return R.budget_cutoff(wide, budget, "event_id", "value").select("event_id", F.length("payload").alias("n"))
 
 
-@query("seeded_sample", ["documents"])
+@query("seeded_sample", ["documents"], "SELECT doc_id FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT 100")
 def _(docs: DataFrame) -> DataFrame:
     return R.seeded_sample(docs, 100, 7).select("doc_id")
 
@@ -277,7 +309,7 @@ def _(d: DataFrame) -> DataFrame:
     return d.where(S.number_or_text("42", S.search_substring("42"))).select("doc_id")
 
 
-@query("snippets", ["decisions"])
+@query("snippets", ["decisions"], "SELECT doc_id, replace(replace(body_text, 'الكراء', '«الكراء»'), chr(10), ' ') AS snippets FROM decisions WHERE contains(search_text, 'الكراء')")
 def _(d: DataFrame) -> DataFrame:
     return d.where(S.search_substring("الكراء")).select("doc_id", F.array_join(S.snippets("الكراء", "body_text"), "|").alias("snippets"))
 
@@ -292,14 +324,30 @@ def _(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(E.chunk_text("text", 1500)).alias("i", "piece")).select("doc_id", "i", F.length("piece").alias("n"))
 
 
-@query("is_removal", ["rulings"], "SELECT doc_id, doc_id % 3 <> 0 AS value FROM rulings")
+#: Edits of a ruling, whether each only removes, and how it is summed up.
+_CHANGED = [
+    ("text || ' زيادة'", False),
+    (f"replace(text, 'القرار', '{P.TOKEN}')", True),
+    ("regexp_replace(text, '[^\\n]*$', '')", True),
+    ("text", True),
+    (f"replace(replace(text, 'ملف', '{P.TOKEN}'), 'عدد', 'رقم')", False),
+    ("substr(text, 1 + position(chr(10) IN text))", True),
+    ("substr(text, 1 + position(chr(10) IN text)) || chr(10) || substr(text, 1, position(chr(10) IN text) - 1)", False),
+]
+_EDITED = "SELECT doc_id, text, CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {c}" for i, (c, _) in enumerate(_CHANGED)) + " END AS new FROM rulings"
+
+
+@query("is_removal", ["rulings"], "SELECT doc_id, doc_id % 7 IN (" + ", ".join(str(i) for i, (_, ok) in enumerate(_CHANGED) if ok) + ") AS value FROM rulings")
 def _(r: DataFrame) -> DataFrame:
-    """A word added, a word hidden, the last words cut."""
-    new = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" زيادة"))).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("القرار"), F.lit(P.TOKEN))).otherwise(F.regexp_replace("text", r"[^\n]*$", ""))
-    return r.select("doc_id", E.is_removal("text", new).alias("value"))
+    """A word added, words hidden, lines cut at the end and at the start, nothing changed, a word replaced, a line moved to the end."""
+    both = r.sparkSession.sql(_EDITED.replace("FROM rulings", "FROM {r}").replace("\\", "\\\\"), r=r)
+    return both.select("doc_id", E.is_removal("text", "new").alias("value"))
+
+
+_N = "len(regexp_extract_all(text, 'القرار'))"
 
 
-@query("summarize_edit", ["rulings"])
+@query("summarize_edit", ["rulings"], f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_N} || ' hidden' ELSE '1 change(s)' END AS summary, doc_id % 2 = 0 AS removal, CASE WHEN doc_id % 2 = 0 THEN len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'القرار'))) ELSE 1 END::INT AS hunks FROM rulings")
 def _(r: DataFrame) -> DataFrame:
     hidden = F.replace("text", F.lit("القرار"), F.lit(P.TOKEN))
     added = F.concat("text", F.lit("\nزيادة"))
@@ -330,9 +378,10 @@ def _(refs: DataFrame) -> DataFrame:
     return replies.merge_refs(refs, refs.withColumn("ref_ix", F.col("ref_ix") + 10), 2026).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("truth_vs_records", ["labels", "documents"], "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)")
+@query("truth_vs_records", ["labels", "documents"], "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(labels: DataFrame, docs: DataFrame) -> DataFrame:
-    return V.truth_vs_records(labels, docs.where("doc_id % 4 <> 0"))[1]
+    """The documents that no label covers."""
+    return V.truth_vs_records(docs, labels)[1]
 
 
 @query("evaluation", ["labels", "documents"], """WITH j AS (SELECT l.doc_id, lang AS format, source AS chamber, quality, toxic, text FROM labels l JOIN documents USING (doc_id)),

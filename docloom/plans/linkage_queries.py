@@ -10,7 +10,7 @@ from docloom.functions import normalise as N
 from docloom.operators import linkage as L
 from docloom.operators import subjects as S
 from docloom.plans.registry import query
-from docloom.plans.scalar_queries import AS_OF, CANON_DATE, CANON_FILE, STRIP, g, squeeze, sub
+from docloom.plans.scalar_queries import AS_OF, CANON_DATE, CANON_FILE, STRIP, by_headnote, g, squeeze, sub
 
 _FILE = CANON_FILE.replace("regexp_replace(f,", "regexp_replace(file_no,")
 _DATE = CANON_DATE.replace("translate(d,", "translate(date,")
@@ -123,7 +123,14 @@ def _(edges: DataFrame, records: DataFrame) -> DataFrame:
     return L.replace_links(edges, new, again)
 
 
-@query("origin_city", ["case_docs", "case_refs"])
+_ORIGIN = """WITH r AS (SELECT doc_id, ref_ix, CASE WHEN contains(court, 'الاستئناف') THEN 1 WHEN contains(court, 'الابتدائية') THEN 2 ELSE 3 END AS rank,
+  CASE WHEN city <> '' THEN city WHEN contains(court, 'فاس') THEN 'فاس' ELSE '' END AS city FROM case_refs WHERE NOT contains(court, 'النقض')),
+b AS (SELECT doc_id, arg_min(city, rank * 100 + ref_ix) AS city, min(rank) AS rank FROM r WHERE city <> '' GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN b.city IS NOT NULL THEN b.city WHEN contains(d.court, 'الاستئناف') THEN 'فاس' ELSE '' END AS origin_city,
+  CASE WHEN b.city IS NOT NULL THEN ['appeal', 'first-instance', 'reference'][b.rank] WHEN contains(d.court, 'الاستئناف') THEN 'appeal-in-text' ELSE '' END AS origin_city_source FROM case_docs d LEFT JOIN b USING (doc_id)"""
+
+
+@query("origin_city", ["case_docs", "case_refs"], _ORIGIN)
 def _(docs: DataFrame, refs: DataFrame) -> DataFrame:
     return X.origin_city(refs, docs.withColumn("text", F.concat(F.lit("قضت "), "court", F.lit(" بما يلي"))))
 
@@ -196,7 +203,11 @@ def _(d: DataFrame) -> DataFrame:
     return S.derive_coverage(d)
 
 
-@query("derive_from_stored", ["decisions"], "SELECT doc_id, CASE WHEN theme_source = 'model' THEN theme ELSE '' END AS theme, CASE WHEN theme_source = 'model' THEN 'model' ELSE '' END AS theme_source, '' AS rule, '' AS outcome FROM decisions")
+_READ = f"SELECT *, {by_headnote(1, 'k')} AS t, {by_headnote(3, 'k')} AS r FROM decisions"
+
+
+@query("derive_from_stored", ["decisions"], f"SELECT doc_id, CASE WHEN t = '' AND theme_source = 'model' THEN theme ELSE t END AS theme, CASE WHEN t <> '' THEN 'court' WHEN theme_source = 'model' THEN 'model' ELSE '' END AS theme_source, r AS rule, CASE WHEN k % 3 = 0 THEN 'رفض الطلب' ELSE '' END AS outcome FROM ({_READ})")
 def _(d: DataFrame) -> DataFrame:
-    """These texts carry no headnote and no outcome."""
-    return S.derive_from_stored(d).select("doc_id", "theme", "theme_source", "rule", "outcome")
+    """Texts with headnotes of several kinds, some with an outcome as a heading."""
+    heading = F.when(F.col("k") % 3 == 0, "\nرفض الطلب\n").otherwise("\n")
+    return S.derive_from_stored(d.withColumn("body_text", F.concat(F.expr(by_headnote(0, "k")), heading, "body_text"))).select("doc_id", "theme", "theme_source", "rule", "outcome")

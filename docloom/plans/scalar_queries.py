@@ -163,6 +163,17 @@ def _(raw: DataFrame) -> DataFrame:
     return raw.select("doc_id", X.display_date("d").alias("value"))
 
 
+#: Dates with month names that are misspelt, and what they are read as.
+MISSPELT = [("{d} فبرابر 2022", "{dd}/02/2022"), ("{d} أكتوبير2018", "{dd}/10/2018"), ("{d} دجنبير ٢٠٠٨", "{dd}/12/2008"), ("{d} يناير 2001", "{dd}/01/2001"), ("{d} كذاوكذا 2001", ""), ("15/10/2015", "15/10/2015")]
+_SPELT = "CASE doc_id % 6 " + " ".join("WHEN {} THEN '{}'".format(i, m.replace("{d}", "' || (1 + doc_id % 28) || '")) for i, (m, _) in enumerate(MISSPELT)) + " END"
+_MEANT = "CASE doc_id % 6 " + " ".join("WHEN {} THEN '{}'".format(i, m.replace("{dd}", "' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') || '")) for i, (_, m) in enumerate(MISSPELT)) + " END"
+
+
+@query("display_date_fuzzy", ["raw"], f"SELECT doc_id, {_MEANT} AS value FROM raw")
+def _(raw: DataFrame) -> DataFrame:
+    return raw.select("doc_id", X.display_date_fuzzy(F.expr(_SPELT)).alias("value"))
+
+
 @query("month_lookup", ["raw"], "SELECT doc_id, CASE WHEN contains(d, 'فبراير') THEN 2 WHEN contains(d, 'أكتوبر') THEN 10 WHEN contains(d, 'دجنبر') THEN 12 END AS value FROM raw")
 def _(raw: DataFrame) -> DataFrame:
     return raw.select("doc_id", X.month_lookup(F.regexp_replace(N.norm_field("d"), f"[^{X.AR}]", "")).alias("value"))
@@ -171,7 +182,12 @@ def _(raw: DataFrame) -> DataFrame:
 _R = FIELD.replace("{}", "text")
 
 
-@query("extract_identity", ["rulings"])
+_HEAD_LEVEL = first_of(STRIP.replace("{}", "text"), [*_TOP, *((c, "ابتدائي") for c in ("الابتدائية", "المحكمة التجارية", "المحكمة الادارية"))])
+_SEEN = "regexp_extract(text, '(محكمة النقض|محكمة الاستئناف بفاس|المحكمة الابتدائية بطنجة)', 1)"
+
+
+@query("extract_identity", ["rulings"], f"""SELECT doc_id, {_HEAD_LEVEL} AS level, {_SEEN} AS court, CASE WHEN contains({_SEEN}, 'فاس') THEN 'فاس' WHEN contains({_SEEN}, 'طنجة') THEN 'طنجة' ELSE '' END AS city,
+  regexp_extract(text, 'القرار عدد (\\d+)', 1) AS decision_no, regexp_extract(text, 'المؤرخ في (\\S+)', 1) AS date, regexp_extract(text, 'ملف \\S+ عدد (\\S+)', 1) AS file_no FROM rulings""")
 def _(r: DataFrame) -> DataFrame:
     return r.select("doc_id", X.extract_identity("text").alias("i")).select("doc_id", "i.*")
 
@@ -217,16 +233,51 @@ def _(r: DataFrame) -> DataFrame:
     return r.select("doc_id", X.outcome("text").alias("value"))
 
 
-@query("parse_headnote", ["rulings"])
-def _(r: DataFrame) -> DataFrame:
-    noted = F.concat(F.lit("في الملف المدني عدد 1852/1/3/2019 "), F.element_at(F.split("text", "\n"), 1), F.lit(" - شروطه - أثره. "), "text")
-    return r.select("doc_id", X.headnote_fields(X.parse_headnote(noted)).alias("h")).select("doc_id", "h.*")
+#: Opening lines of rulings, and what is read from each: subject, sub-issues and consequence joined, and the rule.
+HEADNOTES = [
+    ("في الملف المدني عدد 1852/1/3/2019 الكراء التجاري - شروطه - أثره. القاعدة الأولى رقم {k}", "الكراء التجاري", "الكراء التجاري - شروطه - أثره", "القاعدة الأولى رقم {k}"),
+    ("القرار 12 في الملف عدد 7/8/2011 إثبات النسب – الخبرة الطبية (نعم) إن المحكمة لما قضت بذلك {k}", "إثبات النسب", "إثبات النسب - الخبرة الطبية (نعم", "إن المحكمة لما قضت بذلك {k}"),
+    ("حيث إن الملف عدد 5/6/2012 الشفعة - أجلها. قاعدة {k}", "", "", ""),
+    ("ملف عدد 9/9/2013 من طرف الطالب المذكور بواسطة نائبه {k}", "", "", ""),
+    ("في الملف عدد 4/4/2014 الحضانة. قصير", "", "", ""),
+    ("في المـلف عدد 4/5/2014 بناء على المقال - الحضانة - مشروعيتها. قاعدة {k}", "الحضانة", "الحضانة - مشروعيتها", "قاعدة {k}"),
+    ("لا شيء من ذلك {k}", "", "", ""),
+]
+
+
+def by_headnote(part: int, key: str = "doc_id") -> str:
+    """A part of the headnotes above by a number: the line itself, subject, keywords or rule."""
+    return f"CASE {key} % {len(HEADNOTES)} " + " ".join("WHEN {} THEN '{}'".format(i, h[part].replace("{k}", f"' || {key} || '")) for i, h in enumerate(HEADNOTES)) + " END"
+
 
+HEADNOTE_KEY = "CASE WHEN {} = 'الكراء التجاري' THEN 'كراء التجاري' WHEN {} = 'الحضانة' THEN 'حضانة' ELSE replace({}, 'إ', 'ا') END"
 
-@query("extract_refs", ["rulings"])
+
+@query("parse_headnote", ["rulings"], f"SELECT doc_id, theme, {HEADNOTE_KEY.replace('{}', 'theme')} AS theme_key, keywords, rule, CASE WHEN theme = '' THEN '' ELSE 'court' END AS theme_source FROM (SELECT doc_id, {by_headnote(1)} AS theme, {by_headnote(2)} AS keywords, {by_headnote(3)} AS rule FROM rulings)")
+def _(r: DataFrame) -> DataFrame:
+    noted = r.select("doc_id", F.concat(F.expr(by_headnote(0)), F.lit("\n"), "text").alias("text"))
+    return noted.select("doc_id", X.headnote_fields(X.parse_headnote("text")).alias("h")).select("doc_id", "h.*")
+
+
+#: Citations far behind a text: none, of one file, of two files, of no file, and of two courts; and the references in each.
+CITED = [
+    ("", []),
+    (" ضد القرار عدد {k} بتاريخ 1/2/2016 في الملف عدد {k}/5/2015 الصادر عن محكمة الاستئناف بفاس", [("محكمة الاستئناف بفاس", "فاس", "{k}", "1/2/2016", "{k}/5/2015")]),
+    (" ضد القرار رقم 12 بتاريخ 3/4/2017 في الملفين عدد 4/5/2015 و 6 / 7/2016 عن المحكمة الابتدائية بطنجة", [("المحكمة الابتدائية بطنجة", "طنجة", "12", "3/4/2017", "4/5/2015"), ("المحكمة الابتدائية بطنجة", "طنجة", "12", "3/4/2017", "6/7/2016")]),
+    (" بعد الحكم عدد {k} الصادر عن المحكمة التجارية بالبيضاء", [("المحكمة التجارية بالبيضاء", "البيضاء", "{k}", "", "")]),
+    (" الحكم عدد 5 عن المحكمة الابتدائية بطنجة، المؤيد بالقرار رقم 9 عن محكمة الاستئناف بفاس", [("المحكمة الابتدائية بطنجة", "طنجة", "5", "", ""), ("محكمة الاستئناف بفاس", "فاس", "5", "", "")]),
+]
+_CITING = "repeat(' كذا', 80) || CASE doc_id % 5 " + " ".join("WHEN {} THEN '{}'".format(i, c.replace("{k}", "' || doc_id || '")) for i, (c, _) in enumerate(CITED)) + " END"
+_REFERENCES = " UNION ALL ".join(
+    "SELECT doc_id, {}::INT AS ref_ix, {} FROM rulings WHERE doc_id % 5 = {}".format(n, ", ".join("'{}' AS {}".format(v.replace("{k}", "' || doc_id || '"), f) for v, f in zip(ref, ["court", "city", "decision_no", "date", "file_no"], strict=True)), i)
+    for i, (_, refs) in enumerate(CITED)
+    for n, ref in enumerate(refs)
+)
+
+
+@query("extract_refs", ["rulings"], _REFERENCES)
 def _(r: DataFrame) -> DataFrame:
-    cited = F.concat("text", F.lit(" الطعن في القرار عدد 12 في الملفين عدد 4/5/2015 و 6/7/2016 بتاريخ 1/2/2016 الصادر عن محكمة الاستئناف بفاس"))
-    return X.extract_refs(r.select("doc_id", cited.alias("text")))
+    return X.extract_refs(r.select("doc_id", F.concat("text", F.expr(_CITING)).alias("text")))
 
 
 _GATES = {k: p.replace("\\", "\\\\").replace("\\\\", "\\") for k, p in P.GATE_PATTERNS.items()}
@@ -250,17 +301,17 @@ def _(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", P.redact_structured("text").alias("r")).select("doc_id", F.sha2("r.text", 256).alias("digest"), "r.hits")
 
 
+#: A noisy string, or initials in its place.
+NAMED = "CASE doc_id % 5 WHEN 0 THEN 'ع. ح' WHEN 1 THEN ' A B-C ' WHEN 2 THEN '...' ELSE s END"
 _RUNS = r"list_filter(regexp_split_to_array(s, '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
-@query("is_initials", ["raw"], f"SELECT doc_id, len({_RUNS}) > 0 AND len(list_filter({_RUNS}, lambda x: length(x) <> 1)) = 0 AS value FROM (SELECT doc_id, {g('left(s, 3)', '[ـً-ٰٟ]', ' ')} AS s FROM raw)")
-def _(raw: DataFrame) -> DataFrame:
-    return raw.select("doc_id", P.is_initials(F.substring("s", 1, 3)).alias("value"))
-
+for _name in ("is_initials", "is_initials_whole"):
 
-@query("is_initials_whole", ["raw"], f"SELECT doc_id, len({_RUNS}) > 0 AND len(list_filter({_RUNS}, lambda x: length(x) <> 1)) = 0 AS value FROM (SELECT doc_id, {g('s', '[ـً-ٰٟ]', ' ')} AS s FROM raw)")
-def _(raw: DataFrame) -> DataFrame:
-    return raw.select("doc_id", P.is_initials("s").alias("value"))
+    @query(_name, ["raw"], f"SELECT doc_id, len({_RUNS}) > 0 AND len(list_filter({_RUNS}, lambda x: length(x) <> 1)) = 0 AS value FROM (SELECT doc_id, {g(NAMED, '[ـً-ٰٟ]', ' ')} AS s FROM raw)")
+    def _(raw: DataFrame) -> DataFrame:
+        """Strings of single letters, and longer ones."""
+        return raw.select("doc_id", P.is_initials(F.expr(NAMED)).alias("value"))
 
 
 scalar("significant_len", P.significant_len, f"length({g('s', '[' + chr(92) + 'sـً-ٰٟ]')})", "s")
@@ -271,9 +322,17 @@ def _(raw: DataFrame) -> DataFrame:
     return raw.select("doc_id", F.array_join(P.name_variants("court"), "|").alias("value"))
 
 
-@query("name_pattern", ["raw"])
+_LETTERS = f"string_split({g('court', '[' + chr(92) + 'sـً-ٰٟ]')}, '')"
+_FLEXIBLE = f"array_to_string(list_transform(list_filter({_LETTERS}, lambda x: x <> ''), lambda x: CASE WHEN contains('{P.ALEF_CLASS}', x) THEN '[{P.ALEF_CLASS}]' WHEN contains('{P.YA_CLASS}', x) THEN '[{P.YA_CLASS}]' ELSE x END), '{P.BETWEEN}')"
+
+
+@query("name_pattern", ["raw"], f"SELECT doc_id, CASE WHEN n <= {P.SHORT} THEN '{P.WORD_START}(?:' || p || '){P.WORD_END}' ELSE p END AS value, CASE WHEN n = 0 THEN 0 WHEN n <= {P.SHORT} THEN 1 ELSE 2 END::INT AS hits FROM (SELECT doc_id, {_FLEXIBLE} AS p, length({g('court', '[' + chr(92) + 'sـً-ٰٟ]')}) AS n FROM raw)")
 def _(raw: DataFrame) -> DataFrame:
-    return raw.select("doc_id", P.name_pattern("court").alias("value"), F.regexp_count("s", P.name_pattern("court")).alias("hits"))
+    """Each name's pattern, and how often it is found in a text that holds the name twice, once between letters and spread out."""
+    spread = F.array_join(F.filter(F.split("court", ""), lambda x: x != " "), "ـ ")
+    body = F.when(F.col("court") == "", "").otherwise(F.concat(F.col("court"), F.lit(" سس"), spread, F.lit("سس")))
+    pattern = P.name_pattern("court")
+    return raw.select("doc_id", pattern.alias("value"), F.when(F.col("court") == "", 0).otherwise(F.regexp_count(body, pattern)).alias("hits"))
 
 
 @query("drop_institutions", ["decisions"], "SELECT doc_id, array_to_string(list_filter([court, city, theme], lambda x: trim(x) <> '' AND NOT contains(x, 'محكمة')), '|') AS value FROM decisions")
@@ -281,27 +340,24 @@ def _(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.array_join(P.drop_institutions(F.array("court", "city", "theme")), "|").alias("value"))
 
 
-@query("abstract_guard", ["documents"], "SELECT doc_id, CASE WHEN length(trim(t)) < 60 THEN 'short' WHEN regexp_matches(trim(t), '\\(.{1,3}\\.') THEN 'names' ELSE '' END AS value FROM (SELECT doc_id, substr(text, 1, 20 + (doc_id % 100)) AS t FROM documents)")
-def _(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", P.abstract_guard(F.substring("text", F.lit(1), (20 + F.col("doc_id") % 100).cast("int"))).alias("value"))
+for _name in ("abstract_guard", "abstract_guard_whole"):
 
-
-@query("abstract_guard_whole", ["documents"], "SELECT doc_id, CASE WHEN length(trim(t)) < 60 THEN 'short' WHEN regexp_matches(trim(t), '\\(.{1,3}\\.') THEN 'names' ELSE '' END AS value FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
-def _(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", P.abstract_guard("text").alias("value"))
+    @query(_name, ["documents"], "SELECT doc_id, CASE WHEN length(trim(t)) < 60 THEN 'short' WHEN regexp_matches(trim(t), '\\(.{1,3}\\.') THEN 'names' ELSE '' END AS value FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+    def _(docs: DataFrame) -> DataFrame:
+        return docs.select("doc_id", P.abstract_guard("text").alias("value"))
 
 
-_BAD, _ARABIC = r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{E000}-\x{F8FF}\x{0180}-\x{024F}]", r"[\x{0600}-\x{06FF}]"
+BAD, ARABIC = r"[\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{E000}-\x{F8FF}\x{0180}-\x{024F}]", r"[\x{0600}-\x{06FF}]"
 
 
-def _unreadable(limit: str) -> str:
+def unreadable(limit: str) -> str:
     return f"(n >= 200 AND (bad / greatest(bad + arab, 1) > {limit} OR (bad + arab) / n < 0.15))"
 
 
-_COUNTS = f"SELECT doc_id, len(regexp_extract_all(t, '{_BAD}')) AS bad, len(regexp_extract_all(t, '{_ARABIC}')) AS arab, length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS n FROM (SELECT doc_id, repeat(s, 12) || CASE WHEN doc_id % 3 = 0 THEN substr('{'a' * 400}', 1, (doc_id % 400)::INT) ELSE '' END AS t FROM raw)"
+_COUNTS = f"SELECT doc_id, len(regexp_extract_all(t, '{BAD}')) AS bad, len(regexp_extract_all(t, '{ARABIC}')) AS arab, length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS n FROM (SELECT doc_id, repeat(s, 12) || CASE WHEN doc_id % 3 = 0 THEN substr('{'a' * 400}', 1, (doc_id % 400)::INT) ELSE '' END AS t FROM raw)"
 for _name, _fn, _limit in (("ocr_garbled", Q.ocr_garbled, "0.15"), ("text_layer_unreliable", Q.text_layer_unreliable, "0.03")):
 
-    @query(_name, ["raw"], f"SELECT doc_id, {_unreadable(_limit)} AS value FROM ({_COUNTS})")
+    @query(_name, ["raw"], f"SELECT doc_id, {unreadable(_limit)} AS value FROM ({_COUNTS})")
     def _(raw: DataFrame, fn: Callable = _fn) -> DataFrame:
         more = F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("a"), (F.col("doc_id") % 400).cast("int"))).otherwise("")
         return raw.select("doc_id", fn(F.concat(F.repeat("s", F.lit(12)), more)).alias("value"))

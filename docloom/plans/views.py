@@ -86,6 +86,10 @@ FROM (SELECT o_orderkey AS hi, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDE
 
 #: Documents with a hash, of which some are stored or done; run state; activity.
 VIEWS["hashed"] = "SELECT doc_id, md5(text) AS hash, source, text FROM {documents}"
+#: Documents as scans are read: some with Arabic text behind their own, and with a name that the gate must find; copies stay copies.
+_NTH = "(instr('0123456789abcdef', substr(md5(text), 1, 1)) - 1)"
+VIEWS["scans"] = f"""SELECT doc_id, md5(text) AS hash, source, text || CASE WHEN {_NTH} % 4 = 0 THEN '' ELSE ' ' || repeat('قضت المحكمة بما يلي ', 10 + CAST(floor(length(text) / 20) AS INT)) END
+  || {pick(_NTH, ' وحضر محمد العلوي ', ' وحضر محؐمد العلوي ', ' انتهى', ' هاتف 0612345678 .', ' ')} AS text FROM {{documents}}"""
 VIEWS["known"] = "SELECT md5(text) AS hash, doc_id + CASE WHEN doc_id % 3 = 0 THEN 1000000000 ELSE 0 END AS doc_id FROM {documents} WHERE doc_id % 7 = 0"
 VIEWS["done"] = "SELECT doc_id FROM {documents} WHERE doc_id % 5 = 0"
 VIEWS["run_state"] = f"""SELECT o_orderkey AS doc_id, {pick('o_orderkey', 'done', 'failed', 'duplicate', 'done', 'done')} AS status, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'out' END AS output,
