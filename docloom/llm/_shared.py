@@ -1,23 +1,17 @@
-"""Where jobs keep what every executor must see, and how lineage is cut."""
+"""Where jobs keep what every executor must see, how lineage is cut, and how rows travel with columns of any names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docloom.operators.components import reliable as cut
+from docloom.operators.components import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the session's checkpoint folder.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Only where nothing is set, as in
-    local tests, a temporary folder of this machine takes its place.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
+__all__ = ["column", "cut", "input_partitions", "others", "packed", "scratch", "shared_dir", "unpacked", "written"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -25,12 +19,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage, without the lineage that made them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a Parquet table in the shared folder (compressed, columnar; for wide rows)."""
     path = scratch(df.sparkSession, name)
@@ -41,3 +29,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def input_partitions(df: DataFrame) -> int:
     """How many tasks read ``df``; it follows the size of the input and plans no job."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, added: Iterable[str]) -> list[str]:
+    """The columns that are returned beside what an operator adds; columns called as what is added are replaced."""
+    taken = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def packed(names: list[str]) -> Column:
+    """These columns as one, so that an operator's own names cannot clash with them."""
+    return F.struct(F.lit(0).alias("none"), *[column(c).alias(f"c{i}") for i, c in enumerate(names)])
+
+
+def unpacked(names: list[str], row: str = "row") -> list[Column]:
+    """The packed columns under their own names."""
+    return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(names)]
