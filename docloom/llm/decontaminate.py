@@ -92,7 +92,8 @@ def judge(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
         F.collect_set(F.when(hit, F.struct("pos", "len"))).alias("spans"),
         F.collect_set("key").alias("keys"),
     )
-    # from here on only documents with hits have more than counts
+    # one narrow row per document, used twice; only documents with hits have more than counts
+    by = _shared.cut(by)
     named = by.where(F.size("keys") > 0).select(F.col("id").alias("id2"), F.col("text_hash").alias("hash2"), F.explode("keys").alias("key"))
     named = named.join(windows.select("key", "item_id"), "key").groupBy("id2", "hash2").agg(F.collect_set(F.struct(F.col("item_id").cast("string").alias("i"))).alias("items"))
     both = by.join(named, F.col("id").eqNullSafe(F.col("id2")) & (F.col("text_hash").eqNullSafe(F.col("hash2"))), "left")
