@@ -4,15 +4,18 @@ Each language has a variable-order tree of byte contexts (up to three bytes) wit
 that followed. A byte's probability is taken from the longest context known in that language; a byte
 that has not followed it costs an escape (method C: distinct followers over followers plus distinct
 ones) and is looked up in the next shorter context, down to 1/256. The statistics are frozen after
-training, so every context's code lengths are computed once, and a text's exact code length is a sum
-of table look-ups. The language with the shortest code is predicted; the score is its posterior
-probability under equal priors, from the code lengths of all languages.
-
-Learning uses a bounded sample of labelled rows (``sample_docs`` documents of each of the
-``max_languages`` commonest languages, whole texts) and keeps the ``max_contexts`` commonest contexts of
-each order; scoring covers all rows and whole texts. Null texts and those without letters are ``und``
-with score 0, and so is everything where nothing could be learned. Ties go to the first language by
-code point. Repeated rows are predicted alike. A null id is neither held out nor learned from.
+training; a text's code length is the sum over its bytes. The language with the shortest code is predicted.
+The score is its posterior probability under equal priors after SCORE_BYTES bytes (fewer, if the text is
+shorter) that cost as much as the text's bytes do on average, so long texts of mixed languages do not score 1.
+
+Every language of a labelled row that is not held out and has a text can be predicted, and no context is
+dropped. Learning uses whole texts from a sample of about ``sample_bytes`` bytes of each language, one text
+at least. The trees are kept sparse, as sorted tables of what was seen; they are broadcast in blocks of
+languages with at most MAX_ENTRIES entries together, as no language's code length depends on another.
+
+Null texts and those without letters are ``und`` with score 0, and so is everything where nothing could be
+learned. Ties go to the first language by code point. Repeated rows are predicted alike. A null id is
+neither held out nor learned from.
 """
 
 from __future__ import annotations
@@ -21,19 +24,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.llm import _text
+from docloom.llm import _shared, _text
 
 #: Letters in lower case, digits as 0, white space and controls as a space.
 _FOLD = _text.LOWER.copy()
 _FOLD[48:58] = 48
 _FOLD[:33] = 32
-_BLOCK = 1 << 19
-#: At most so many code lengths for each order of contexts (4 bytes each when broadcast).
-MAX_CELLS = 8_000_000
+_BLOCK = 1 << 20
+#: So many entries of trees (some 14 bytes each) are broadcast together.
+MAX_ENTRIES = 8_000_000
+#: So many code lengths are held at once.
+CELLS = 1 << 22
+#: The score is that of a text of so many bytes.
+SCORE_BYTES = 32
+#: So many languages are sent to every task; more are joined by key.
+MAX_BROADCAST_LANGUAGES = 100_000
 
 
 def held_out(id: Column) -> Column:
@@ -70,132 +81,167 @@ def _count(order: int):
 
 
 @dataclass
-class Model:
-    """Frozen statistics. ``bits[row * size + byte, language]``; ``row_of`` gives the row of each context of three bytes."""
+class Sparse:
+    """Bits by key and language: the entries of ``keys[i]`` are from ``first[i]`` to ``first[i + 1]``."""
 
-    languages: list[str]
-    code: np.ndarray
-    size: int
-    row_of: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
     bits: np.ndarray
 
+    @staticmethod
+    def of(key: np.ndarray, language: np.ndarray, bits: np.ndarray) -> Sparse:
+        order = np.lexsort((language, key))
+        keys, first = np.unique(key[order], return_index=True)
+        return Sparse(keys, np.append(first, len(key)), language[order].astype(np.int32), bits[order].astype(np.float32))
 
-def _build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], max_contexts: int) -> Model:
-    """``counts`` by context length: language, gram, count."""
-    seen = np.unique(counts[0][1])
-    code = np.zeros(256, np.int64)
-    code[seen] = np.arange(1, len(seen) + 1)
-    size, n_lang = len(seen) + 1, len(languages)
-    p = np.full((1, size, n_lang), 1 / 256)  # below the empty context: any byte
-    parent_of = lambda ctx: np.zeros(len(ctx), np.int64)
-    tables, row_of = [], None
-    first_row = 0
-    for k, (lang, gram, n) in enumerate(counts):
-        ctx, byte = np.zeros(len(gram), np.int64), code[gram & 255]
-        for j in range(k, 0, -1):
-            ctx = ctx * size + code[(gram >> (8 * j)) & 255]
-        contexts, at = np.unique(ctx, return_inverse=True)
-        most = min(max_contexts, MAX_CELLS // (size * n_lang))
-        if k >= 2 and len(contexts) > most:
-            often = np.bincount(at, n)
-            keep = np.sort(np.argsort(-often, kind="stable")[:most])
-            new = np.full(len(contexts), -1)
-            new[keep] = np.arange(len(keep))
-            ok = new[at] >= 0
-            contexts, at, lang, byte, n = contexts[keep], new[at[ok]], lang[ok], byte[ok], n[ok]
-        c = np.zeros((len(contexts), size, n_lang))
-        np.add.at(c, (at, byte, lang), n)
-        lower = p[parent_of(contexts)]
-        total, distinct = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        p_new = np.where(c > 0, c / np.maximum(total + distinct, 1), np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0) * lower)
-        lookup = np.full(size**k, -1, np.int64)
-        lookup[contexts] = np.arange(len(contexts))
-        everything = np.arange(size**k)
-        if k == 0:
-            row_of = np.zeros(1, np.int64)
-        else:
-            shorter = row_of[everything % size ** (k - 1)]
-            row_of = np.where(lookup >= 0, first_row + lookup, shorter)
-        tables.append(p_new)
-        first_row += len(contexts)
-        stacked = np.concatenate(tables)
-        p = stacked
-        parent_of = lambda ctx, r=row_of, s=size**k: r[ctx % s]
-    return Model(languages, code.astype(np.int32), size, row_of.astype(np.int32), (-np.log2(np.concatenate(tables))).reshape(-1, n_lang).astype(np.float32))
-
-
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 3, sample_docs: int = 300, max_languages: int = 64, max_contexts: int = 20_000) -> Model:
-    """A model of the labelled rows that are not held out; its size is bounded by the parameters."""
-    known = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    many = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in many)
-    if not languages:
-        return Model([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    number = {x: i for i, x in enumerate(languages)}
-    share = {r["lang"]: sample_docs / r["count"] for r in many}
-    chosen = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) / 1e6
-    pick = F.coalesce(*[F.when(F.col("lang") == x, F.lit(share[x])) for x in languages], F.lit(0.0))
-    index = F.coalesce(*[F.when(F.col("lang") == x, F.lit(number[x])) for x in languages])
-    sample = known.where((chosen < pick) & F.col("text").isNotNull()).select(index.alias("l"), "text")
-    counted = sample.mapInArrow(_count(order), "l int, k int, gram long, n long").groupBy("l", "k", "gram").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()
-    k_all = got["k"].to_numpy()
-    counts = [tuple(got[c].to_numpy()[k_all == k] for c in ("l", "gram", "n")) for k in range(order + 1)]
-    if not len(counts[0][0]):
-        return Model([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    return _build(languages, counts, max_contexts)
+    def entries(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of ``wanted``, language and bits of each entry."""
+        if not len(self.keys):
+            none = np.empty(0, np.int64)
+            return none, none, none
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        rows = np.flatnonzero(self.keys[at] == wanted)
+        start, n = self.first[at[rows]], np.diff(self.first)[at[rows]]
+        entry = _text.ragged(start, n)
+        return np.repeat(rows, n), self.language[entry], self.bits[entry]
 
 
-def code_lengths(model: Model, texts: pa.Array, order: int = 3) -> np.ndarray:
-    """Bits of each text in each language."""
-    out = np.zeros((len(texts), len(model.languages)))
+@dataclass
+class Block:
+    """The trees of some languages: by context length, what each seen byte costs behind a context, and what leaving the context costs."""
+
+    languages: list[str]
+    seen: list[Sparse]
+    escape: list[Sparse]
+
+    @staticmethod
+    def of(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Block:
+        """``counts`` by context length: language, context and byte, count."""
+        seen, escape = [], []
+        for lang, gram, n in counts:
+            _, first, context = np.unique(np.stack([gram >> 8, lang]), axis=1, return_index=True, return_inverse=True)
+            context = context.ravel()
+            distinct = np.bincount(context)
+            all_ = np.bincount(context, n) + distinct
+            seen.append(Sparse.of(gram, lang, np.log2(all_[context] / n)))
+            escape.append(Sparse.of(gram[first] >> 8, lang[first], np.log2(all_ / distinct)))
+        return Block(languages, seen, escape)
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """What the last byte of each gram (a longest context and a byte) costs in each language."""
+        out = np.full((len(grams), len(self.languages)), 8, np.float32)
+        for k, (seen, escape) in enumerate(zip(self.seen, self.escape, strict=True)):
+            row, lang, bits = escape.entries((grams >> 8) & ((1 << 8 * k) - 1))
+            out[row, lang] += bits
+            row, lang, bits = seen.entries(grams & ((1 << 8 * (k + 1)) - 1))
+            out[row, lang] = bits
+        return out
+
+
+@dataclass
+class Model:
+    """Frozen statistics of all languages."""
+
+    languages: list[str]
+    blocks: list[Block]
+
+
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 3, sample_bytes: int = 1_000_000) -> Model:
+    """A model of the labelled rows that are not held out; what is learned from is bounded by ``sample_bytes`` for each language."""
+    c = _shared.column
+    known = docs.select(c(id).alias("id"), c(text).cast("string").alias("text"), c(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("id")))
+    known = known.withColumn("drawn", F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) / 1e6)
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("drawn").alias("least"))
+    rows = sorted(sizes.collect(), key=lambda r: r["lang"])  # one small row per language
+    languages = [r["lang"] for r in rows]
+    if not languages:
+        return Model([], [])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], i, max(sample_bytes / r["bytes"], 0.0), r["least"]) for i, r in enumerate(rows)], "lang string, l int, share double, least double")
+    sample = known.join(F.broadcast(shares) if len(rows) <= MAX_BROADCAST_LANGUAGES else shares, "lang").where("drawn < share OR drawn = least").select("l", "text")
+    counted = _shared.written(sample.mapInArrow(_count(order), "l int, k int, gram long, n long").groupBy("l", "k", "gram").agg(F.sum("n").alias("n")), "counts")
+    entries = dict(counted.groupBy("l").count().collect())
+    model, held = Model(languages, []), []
+    for i in range(len(languages)):
+        held.append(i)
+        if i + 1 == len(languages) or sum(entries.get(x, 0) for x in [*held, i + 1]) > MAX_ENTRIES:
+            got = counted.where(F.col("l").between(held[0], held[-1])).toArrow()
+            k_all = got["k"].to_numpy()
+            of = lambda name, k: got[name].to_numpy()[k_all == k]  # noqa: B023, E731
+            model.blocks.append(Block.of(languages[held[0] : held[-1] + 1], [(of("l", k) - held[0], of("gram", k), of("n", k)) for k in range(order + 1)]))
+            held = []
+    return model
+
+
+def block_code_lengths(block: Block, texts: pa.Array, order: int = 3) -> np.ndarray:
+    """Bits of each text in each language of a block."""
+    out = np.zeros((len(texts), len(block.languages)))
     lengths = np.diff(_text.flat(texts)[1])
+    step = max(1, CELLS // len(block.languages))
     for first, last in _text.blocks(lengths, _BLOCK):
         data, begin = _padded(texts.slice(first, last - first), order)
-        code = model.code[data]
-        starts, sizes = begin[:-1], np.diff(begin) - order
-        for a in range(0, len(code), 4 * _BLOCK):  # a long text in pieces
-            piece = code[a : a + 4 * _BLOCK + order]
-            if len(piece) <= order:
-                break
-            ctx = np.zeros(len(piece) - order, np.int32)
-            for j in range(order):
-                ctx = ctx * model.size + piece[j : j + len(ctx)]
-            rows = model.row_of[ctx].astype(np.int64)
-            rows *= model.size
-            rows += piece[order:]
-            bits = model.bits[rows]
-            lo, hi = np.clip(starts - order - a, 0, len(bits)), np.clip(starts - order - a + sizes, 0, len(bits))
-            some = np.flatnonzero(hi > lo)
-            if len(some):
-                edges = np.stack([lo[some], hi[some]], 1).ravel()
-                padded = np.concatenate([bits, np.zeros((1, bits.shape[1]), np.float32)])
-                out[first + some] += np.add.reduceat(padded, edges, axis=0, dtype=np.float64)[::2]
+        sizes = np.diff(begin) - order
+        row = np.repeat(np.arange(first, last), sizes)
+        at = _text.ragged(begin[:-1], sizes)
+        wide = data.astype(np.uint32)
+        ending = np.zeros(len(data), np.uint32)  # what ends at each byte; contexts are at most three bytes
+        for j in range(order + 1):
+            ending[j:] |= wide[: len(data) - j] << np.uint32(8 * j)
+        grams = ending[at]
+        for a in range(0, len(at), _BLOCK):  # a long text in pieces
+            which, distinct = pd.factorize(grams[a : a + _BLOCK])
+            distinct = distinct.astype(np.int64)
+            for u in range(0, len(distinct), step):
+                bits = block.bits(distinct[u : u + step])
+                mine = np.flatnonzero((which >= u) & (which < u + step)) if len(distinct) > step else np.arange(len(which))
+                for b in range(0, len(mine), step):
+                    part = mine[b : b + step]
+                    of = row[a + part]
+                    runs = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                    out[of[runs]] += np.add.reduceat(bits[which[part] - u], runs, axis=0, dtype=np.float64)
     return out
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and bits_per_byte; columns of these names are replaced."""
-    added = ["lang_pred", "score", "bits_per_byte"]
-    keep = [c for c in docs.columns if c.lower() not in added]
-    t = F.col(f"`{text}`").cast("string")
-    letters = F.coalesce(t.rlike(r"\p{L}"), F.lit(False))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(letters, t).alias("_judged"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_judged"), "lang_pred string", "score double", "bits_per_byte double"])
+def code_lengths(model: Model, texts: pa.Array, order: int = 3) -> np.ndarray:
+    """Bits of each text in each language."""
+    return np.concatenate([np.zeros((len(texts), 0)), *(block_code_lengths(b, texts, order) for b in model.blocks)], 1)
+
+
+def _judge(sent):
+    """The best language of a block and of those before it; its bits, and the sum of all languages' odds against it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        block = sent.value
         for batch in batches:
-            texts = batch.column("_judged")
-            valid = texts.is_valid().to_numpy(zero_copy_only=False) if m.languages else np.zeros(len(texts), bool)
-            bits = code_lengths(m, texts) if m.languages else np.zeros((len(texts), 1))
-            best = bits.argmin(1) if len(bits) else np.empty(0, np.int64)
-            least = bits.min(1) if len(bits) else np.empty(0)
-            score = np.where(valid, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1), 0.0)
+            n = batch.num_rows
+            texts = batch.column("judged")
+            valid = texts.is_valid().to_numpy(zero_copy_only=False)
+            bits = block_code_lengths(block, texts)
             size = np.diff(_text.flat(texts)[1])
-            names = [m.languages[b] if v else "und" for b, v in zip(best.tolist(), valid.tolist(), strict=True)]
-            cols = [batch.column(c) for c in range(batch.num_columns - 1)]
-            yield pa.record_batch([*cols, pa.array(names, pa.string()), pa.array(score), pa.array(np.where(valid, least / np.maximum(size, 1), 0.0))], [*batch.schema.names[:-1], *added])
+            scale = np.minimum(size, SCORE_BYTES) / np.maximum(size, 1)
+            had, odds = batch.column("bits").to_numpy(zero_copy_only=False), batch.column("odds").to_numpy(zero_copy_only=False)
+            best = bits.argmin(1) if n else np.empty(0, np.int64)
+            least = np.minimum(had, bits.min(1)) if n else had
+            against = lambda b: np.exp2(-np.minimum((b - least[:, None]) * scale[:, None], 1000)).sum(1)  # noqa: B023, E731
+            odds = np.where(np.isinf(had), 0, odds * np.exp2(-np.minimum((np.where(np.isinf(had), least, had) - least) * scale, 1000))) + against(bits)
+            old = batch.column("lang_pred").to_pylist()
+            names = [None if not v else block.languages[b] if x < h else o for v, b, x, h, o in zip(valid.tolist(), best.tolist(), bits.min(1).tolist() if n else [], had.tolist(), old, strict=True)]
+            new = {"lang_pred": pa.array(names, pa.string()), "bits": pa.array(least), "odds": pa.array(odds)}
+            yield pa.record_batch([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+    return run
 
-    return rows.mapInArrow(run, schema)
+
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and bits_per_byte; columns of these names are replaced, columns of any other names are kept."""
+    keep = _shared.others(docs, ["lang_pred", "score", "bits_per_byte"])
+    t = _shared.column(text).cast("string")
+    letters = F.coalesce(t.rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(_shared.packed(keep).alias("row"), F.when(letters, t).alias("judged"), F.lit(None).cast("string").alias("lang_pred"), F.lit(float("inf")).alias("bits"), F.lit(0.0).alias("odds"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    for block in model.blocks:
+        rows = rows.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(block)), schema)
+    known = F.col("lang_pred").isNotNull()
+    score = F.when(known, 1 / F.col("odds")).otherwise(0.0)
+    per_byte = F.when(known, F.col("bits") / F.greatest(F.octet_length("judged"), F.lit(1))).otherwise(0.0)
+    return rows.select(*_shared.unpacked(keep), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"), per_byte.alias("bits_per_byte"))
