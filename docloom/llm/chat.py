@@ -1,9 +1,14 @@
-"""Chat formatting with DataFrame functions only: tool calls linked to their results.
+"""Chat formatting with DataFrame functions only: tool calls linked to their results, ordered, validated and serialised.
 
-Calls and results are joined by conversation and call identifier. A linked result is ranked right behind its call,
-whatever turn it came in, so sorting a conversation by ``rank`` is a topological order of calls and
-results. Arguments are validated against the fields of the call's schema, and each message is written
-as canonical JSON: keys in order, no spaces, null fields left out.
+Calls and results are hash-joined by conversation and call identifier. A linked result comes right behind its call,
+whatever turn it came in. A call depends on another call of its conversation if a string in its arguments is
+that call's identifier; it then comes behind that call's result. ``rank`` sorts each conversation topologically:
+it is twice the turn, moved up where a dependency asks for it. Calls that depend on one another in a ring, and
+what depends on them, keep the rank of their turn and are not ``ordered``.
+
+Arguments are parsed with their JSON types and validated against the fields of the call's schema; an object that
+names a key twice is not valid JSON here. Each message is written as canonical JSON: keys in order at every level,
+no spaces, null fields left out. Its arguments are a string that holds canonical JSON, or what came where that is no JSON.
 
 Null identifiers and conversations link nothing. Of repeated calls with one identifier the first turn counts, and they
 are valid together only if each is; each row still gives its own message. Results without a call and
@@ -15,8 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import _shared
+
 #: What the type of an argument's JSON value is called in a variant, by the type a schema names.
 TYPE_PATTERNS = {"string": "STRING", "integer": r"BIGINT|DECIMAL\([0-9]+,0\)", "number": r"BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)", "boolean": "BOOLEAN", "array": "(?s)ARRAY<.*>", "object": "(?s)OBJECT<.*>"}
+#: A longer chain of calls that depend on one another is cut here, and reported as not ordered.
+MAX_CHAIN = 1000
 
 Schema = list[tuple[str, str, bool]]
 
@@ -39,42 +48,88 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
 
 
+def _strings(arguments: Column) -> Column:
+    """The strings among an object's values and in lists of its values: what may name another call."""
+    values = F.map_values(F.try_variant_get(F.try_parse_json(arguments), "$", "map<string,variant>"))
+    one = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.try_variant_get(v, "$", "array<string>"))
+    lists = F.transform(values, lambda v: F.coalesce(one(v), F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(F.coalesce(lists, F.array().cast("array<array<string>>"))))
+
+
+def _moved(calls: DataFrame, ends: DataFrame) -> DataFrame:
+    """conv_id, call_id, rank, ordered of the calls that depend on others.
+
+    ``calls``: conv_id, call_id, arguments; ``ends``: conv_id, call_id, called (the call's turn). Calls are settled
+    in rounds: each round those all of whose dependencies are settled.
+    """
+    at = ["conv_id", "call_id"]
+    longest = ends.agg(F.max(F.length("call_id"))).first()[0] or 0  # longer strings name no call
+    needs = calls.select(*at, F.explode(_strings(F.col("arguments"))).alias("needs")).where((F.length("needs") <= longest) & (F.col("needs") != F.col("call_id"))).distinct()
+    known = ends.select("conv_id", F.col("call_id").alias("needs"), F.col("called").alias("needs_called"))
+    edges = _shared.cut(needs.join(known.hint("shuffle_hash"), ["conv_id", "needs"]).join(ends.select(*at, "called").hint("shuffle_hash"), at))
+    state = edges.select(*at, "called").distinct().select(*at, F.col("called"), F.lit(None).cast("long").alias("rank"))
+    if edges.isEmpty():
+        return state.select(*at, "rank", F.lit(True).alias("ordered"))
+    state = _shared.cut(state)
+    left = -1
+    for _ in range(MAX_CHAIN):
+        # what is needed is settled, or depends on nothing and has the rank of its turn
+        needed = state.select("conv_id", F.col("call_id").alias("needs"), F.col("rank").alias("needs_rank"), F.lit(True).alias("waits"))
+        ready = edges.join(needed, ["conv_id", "needs"], "left").withColumn("r", F.when(F.col("waits"), F.col("needs_rank")).otherwise(2 * F.col("needs_called")))
+        ready = ready.groupBy(*at).agg(F.max("r").alias("last"), F.count_if(F.col("r").isNull()).alias("open"))
+        # a result's rank is its call's and one; who needs it comes behind
+        state = state.join(ready, at).select(*at, "called", F.coalesce("rank", F.when(F.col("open") == 0, F.greatest(2 * F.col("called"), F.col("last") + 2))).alias("rank"))
+        state = _shared.cut(state)
+        now = state.where("rank IS NULL").count()
+        if now in (0, left):
+            break
+        left = now
+    return state.select(*at, F.coalesce("rank", 2 * F.col("called")).cast("long").alias("rank"), F.col("rank").isNotNull().alias("ordered"))
+
+
 def link_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
-    """``messages`` with rank, linked, valid, message and canonical_arguments.
+    """``messages`` with rank, linked, valid, ordered, message and canonical_arguments.
 
     ``messages`` has conv_id, turn, role, content, kind (``call``, ``result`` or ``message``),
     call_id, name and arguments. ``schemas`` maps a call's name to its fields; a call of an
-    unknown name is not valid. Columns called as what is added are replaced.
-    The message holds a call's arguments as they came; canonical_arguments has their keys in order at
-    every level.
+    unknown name is not valid. Columns called as what is added are replaced, columns of any
+    other names are kept. ``canonical_arguments`` is null where they are no JSON.
     """
+    keep = _shared.others(messages, ["rank", "linked", "valid", "ordered", "message", "canonical_arguments"])
+    used = ["conv_id", "turn", "role", "content", "kind", "call_id", "name", "arguments"]
     names = [F.when(F.col("name") == n, arguments_valid(F.col("arguments"), s)) for n, s in schemas.items()]
     valid = F.when(F.col("kind") == "call", F.coalesce(*names, F.lit(False)))
-    keep = [c for c in messages.columns if c.lower() not in ("rank", "linked", "valid", "message", "canonical_arguments")]
-    m = messages.select(*[F.col(f"`{c}`") for c in keep], valid.alias("valid"))
+    m = messages.select(*used, _shared.packed([c for c in keep if c not in used]).alias("row"), valid.alias("valid"))
     keyed = m.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
     # both sides shrink to one narrow row per identifier before they meet
     ends = (
         keyed.groupBy("conv_id", "call_id")
-        .agg(F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("_called"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("_answered"), F.min("valid").alias("_valid"))
-        .where(F.col("_called").isNotNull() & F.col("_answered").isNotNull())
+        .agg(F.min(F.when(F.col("kind") == "call", F.col("turn"))).alias("called"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("answered"), F.min("valid").alias("good"))
+        .where(F.col("called").isNotNull())
     )
+    ends = _shared.cut(ends)
+    moved = _moved(keyed.where("kind = 'call'").select("conv_id", "call_id", "arguments"), ends)
+    ends = ends.join(moved, ["conv_id", "call_id"], "left").select(F.col("conv_id").alias("end_conv"), F.col("call_id").alias("end_call"), "called", "answered", "good", F.coalesce("rank", 2 * F.col("called")).alias("call_rank"), F.coalesce("ordered", F.lit(True)).alias("in_order"))
     # messages without an identifier are spread over all tasks
     spread = F.coalesce("call_id", F.concat(F.lit("\0"), F.xxhash64("conv_id", "turn", "content").cast("string")))
-    ends = ends.withColumnsRenamed({"call_id": "_end", "conv_id": "_conv"})
-    j = m.withColumn("_key", spread).join(ends, (F.col("_key") == F.col("_end")) & (F.col("conv_id") == F.col("_conv")) & F.col("call_id").isNotNull(), "left")
-    linked = F.when(F.col("kind") != "message", F.col("_called").isNotNull())
-    ok = F.when(F.col("kind") == "call", F.col("valid")).when(F.col("kind") == "result", F.col("_valid"))
-    rank = F.when((F.col("kind") == "result") & F.col("_called").isNotNull(), 2 * F.col("_called") + 1).otherwise(2 * F.col("turn"))
+    j = m.withColumn("key", spread).join(ends.hint("shuffle_hash"), (F.col("conv_id") == F.col("end_conv")) & (F.col("key") == F.col("end_call")) & F.col("call_id").isNotNull(), "left")
+    call, result = F.col("kind") == "call", F.col("kind") == "result"
+    both = F.col("called").isNotNull() & F.col("answered").isNotNull()
+    linked = F.when(F.col("kind") != "message", both)
+    ok = F.when(call, F.col("valid")).when(result, F.when(both, F.col("good")))
+    rank = F.when(result & F.col("called").isNotNull(), F.col("call_rank") + 1).when(call & (F.col("turn") == F.col("called")), F.col("call_rank")).otherwise(2 * F.col("turn"))
+    canonical = F.when(call, F.to_json(F.try_parse_json("arguments")))
     body = canonical_json(
-        role=F.when(F.col("kind") == "result", F.lit("tool")).otherwise(F.col("role")),
+        role=F.when(result, F.lit("tool")).otherwise(F.col("role")),
         content=F.when(F.col("kind") != "call", F.col("content")),
         call_id=F.col("call_id"),
-        name=F.when(F.col("kind") == "call", F.col("name")),
-        arguments=F.when(F.col("kind") == "call", F.col("arguments")),
+        name=F.when(call, F.col("name")),
+        arguments=F.when(call, F.coalesce("canonical_arguments", "arguments")),
     )
-    canonical = F.when(F.col("kind") == "call", F.to_json(F.try_parse_json("arguments")))
-    return j.select(*[F.col(f"`{c}`") for c in keep], rank.cast("long").alias("rank"), linked.alias("linked"), ok.alias("valid"), body.alias("message"), canonical.alias("canonical_arguments"))
+    extra = [c for c in keep if c not in used]
+    own = dict(zip(extra, _shared.unpacked(extra), strict=True))
+    done = {"rank": rank.cast("long"), "linked": linked, "valid": ok, "ordered": F.when(call | result, F.coalesce("in_order", F.lit(True))), "message": body, "canonical_arguments": F.col("canonical_arguments")}
+    return j.withColumn("canonical_arguments", canonical).select(*[own.get(c, F.col(c)) for c in keep], *[v.alias(k) for k, v in done.items()])
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:

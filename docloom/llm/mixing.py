@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm import _shared
 
@@ -31,50 +32,60 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def _numbered(by: DataFrame) -> DataFrame:
+    """``by`` with s, the place of each source in the order of code points, null last: the rows of the ranges before, and the place within one."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = _shared.cut(by.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    # one row for each range of sources
+    before = sums.select("part", (F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.withColumn("within", within).join(F.broadcast(before), "part").withColumn("s", F.col("before") + F.col("within")).drop("part", "rows", "before", "within")
+
+
+def source_targets(sizes: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), rounds: int = 1000) -> DataFrame:
     """s, source, n, source_size, smallest, target of each source of ``sizes`` (source, size).
 
     Sources in the order of their code points, null last, weigh as ``weights`` repeats. Together
     they share the sum of all sizes by weight; a target stops at ``cap`` times its source's size
-    and the excess is shared again by weight. That ends at min(cap * size, level * weight) for
-    the one level with the right sum, found from sums over the sources in the order of the ratio
-    of limit and weight. One small row per source is windowed.
+    and the excess is shared again by weight, until none is above: one aggregation for each time.
     """
     by = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("smallest"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    by = by.withColumn("s", F.row_number().over(order) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
-    limited = by.withColumn("w", weight).withColumn("limit", cap * F.col("source_size"))
-    ratio = Window.orderBy(F.col("limit") / F.col("w"), "s")
-    everything = Window.partitionBy()
-    level = limited.withColumns({
-        "below": F.sum("limit").over(ratio.rowsBetween(Window.unboundedPreceding, -1)),
-        "rest": F.sum("w").over(ratio.rowsBetween(0, Window.unboundedFollowing)),
-        "total": F.sum("source_size").over(everything),
-    })
-    level = level.withColumn("level", (F.col("total") - F.coalesce("below", F.lit(0.0))) / F.col("rest"))
-    # the level counts from the first source that stays under its limit
-    level = level.withColumn("level", F.min(F.when(F.col("limit") >= F.col("level") * F.col("w"), F.struct(F.col("limit") / F.col("w"), "s", "level"))).over(everything)["level"])
-    target = F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("w"), F.col("limit"))).cast("double")
-    return level.select("s", "source", "n", F.col("source_size").cast("long").alias("source_size"), "smallest", target.alias("target"))
-
-
-def newton_rates(counts: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: float = 1e-6, rounds: int = 40) -> DataFrame:
+    limited = _shared.cut(_numbered(by).withColumn("w", weight).withColumn("limit", cap * F.col("source_size")))
+    total = float(limited.agg(F.sum("source_size")).first()[0] or 0)
+    level, stopped = 0.0, -1
+    for _ in range(rounds):
+        # the share of one unit of weight among the sources that are not stopped yet
+        above = F.col("limit") < F.lit(level) * F.col("w") if stopped >= 0 else F.lit(False)
+        r = limited.agg(F.count_if(above).alias("n"), F.coalesce(F.sum(F.when(above, F.col("limit"))), F.lit(0.0)).alias("got"), F.sum(F.when(~above, F.col("w"))).alias("w")).first()
+        if r["n"] == stopped or not r["w"]:
+            break
+        level, stopped = (total - r["got"]) / r["w"], r["n"]
+    else:
+        raise RuntimeError(f"targets did not settle in {rounds} rounds")
+    target = F.least(F.col("limit"), F.lit(level) * F.col("w")).cast("double")
+    return limited.select("s", "source", "n", F.col("source_size").cast("long").alias("source_size"), "smallest", target.alias("target"))
+
+
+def newton_rates(counts: DataFrame, targets: DataFrame, cap: float = 3.0, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
     """``targets`` with ``lam``, the multiplier of each source.
 
     ``counts``: (s, size, n) documents by source and size, size > 0. Each round is one aggregation
     over the counts; a step that leaves the bracket around the root halves it instead. Sources
-    whose target is their limit have all rates at ``cap``.
+    whose target is their limit have all rates at ``cap``. Raises if a source is not solved after ``rounds``.
     """
     top = float(np.log(cap))
     mean = F.col("source_size") / F.col("n")
-    start = targets.withColumns({"mean": mean, "lam": F.lit(0.0), "lo": F.lit(-1e9), "hi": F.coalesce(top * mean / F.col("smallest"), F.lit(0.0)) + 1e-9})
+    start = targets.withColumns({"mean": mean, "lam": F.lit(0.0), "lo": F.coalesce(F.least(F.log(F.col("target") / F.col("source_size")) * mean / F.col("smallest"), F.lit(0.0)), F.lit(0.0)) - 1e-9, "hi": F.coalesce(top * mean / F.col("smallest"), F.lit(0.0)) + 1e-9})
     full = (F.col("source_size") == 0) | (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12))
     state = _shared.cut(start.withColumns({"lam": F.when(full, F.col("hi")).otherwise(F.col("lam")), "done": full}))
     carried = state.columns
-    for _ in range(rounds):
+    for left in range(rounds, -1, -1):
         if state.where(~F.col("done")).isEmpty():
             break
+        if not left:
+            raise RuntimeError(f"rates were not solved in {rounds} rounds")
         z = F.col("size") / F.col("mean")
         rate = F.exp(F.least(F.col("lam") * z, F.lit(top)))
         words = F.col("c") * F.col("size") * rate
@@ -98,7 +109,7 @@ def newton_rates(counts: DataFrame, targets: DataFrame, cap: float = 3.0, tolera
 
 def _round(batch: pa.Table) -> pa.Table:
     size, rate = batch["size"].to_numpy().astype(float), batch["rate"].to_numpy()
-    order = np.lexsort((batch["row"].to_numpy(), -size))
+    order = np.lexsort((batch["h"].to_numpy(), -size))
     copies, owed = np.zeros(len(size), np.int64), 0.0
     low = np.floor(rate + 1e-9)
     for i in order.tolist():
@@ -109,37 +120,32 @@ def _round(batch: pa.Table) -> pa.Table:
             c += 1
         copies[i] = c
         owed -= c * n
-    return batch.append_column("copies", pa.array(copies)).select(["row", "source_size", "target", "rate", "copies"])
+    return batch.append_column("copies", pa.array(copies)).drop_columns(["s", "bucket", "h"])
 
 
 def mix_sources(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), with_text: bool = False) -> DataFrame:
     """size, source_size, target, rate, copies and taken of each row of ``docs``.
 
     Returned beside the id, or beside all columns of ``docs`` if ``with_text``. The columns
-    that are added replace columns of the same names.
+    that are added replace columns of the same names; columns of any other names are kept.
+    Rows are told apart by a hash of id, source and text, never by where they are read from, so reruns agree.
     """
     added = ["size", "source_size", "target", "rate", "copies", "taken"]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "*")
-    sizes = _shared.written(rows.select("row", F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")), "sizes")
+    kept = _shared.others(docs, added) if with_text else [id]
+    c = _shared.column
+    keyed = docs.select(_shared.packed(kept).alias("row"), c(source).alias("source"), word_count(c(text)).alias("size"), F.xxhash64(c(id), c(source), c(text)).alias("h"))
+    # with texts, the words are counted twice rather than the texts written once more
+    sizes = _shared.written(keyed.drop("row") if with_text else keyed, "sizes")
     targets = _shared.cut(source_targets(sizes, cap, weights))
     few = targets.count() <= MAX_BROADCAST_SOURCES
     sent = (lambda t: F.broadcast(t)) if few else (lambda t: t)
-    named = sizes.join(sent(targets.select("s", F.col("source").alias("_source"))), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
-    counts = _shared.cut(named.where("size > 0").groupBy("s", "size").agg(F.count("*").alias("n")))
+    named = lambda df: df.join(sent(targets.select("s", F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of"))).drop("source", "of")
+    counts = _shared.cut(named(sizes).where("size > 0").groupBy("s", "size").agg(F.count("*").alias("n")))
     solved = newton_rates(counts, targets, cap).select("s", "n", "source_size", "target", "lam", "mean")
-    rated = named.join(sent(solved), "s")
+    rated = named(keyed if with_text else sizes).join(sent(solved), "s")
     rate = F.coalesce(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(float(np.log(cap))))), F.lit(1.0))
-    bucket = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BUCKET_ROWS).cast("long"))
-    rated = rated.withColumns({"rate": F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)), "bucket": bucket})
-    kept = "row long, id %s, size long" % dict(sizes.dtypes)["id"]
-
-    def rounded(batch: pa.Table) -> pa.Table:
-        out = _round(batch)
-        return pa.table([batch["row"], batch["id"], batch["size"], *(out[c] for c in out.column_names[1:])], names=["row", "id", "size", *out.column_names[1:]])
-
-    done = rated.select("s", "bucket", "row", "id", "size", "source_size", "target", "rate").groupBy("s", "bucket").applyInArrow(rounded, f"{kept}, source_size long, target double, rate double, copies long")
-    done = done.withColumn("taken", F.col("copies") * F.col("size"))
-    if not with_text:
-        return done.select(F.col("id").alias(id), *added)
-    others = [c for c in docs.columns if c.lower() not in added]
-    return rows.select("row", *[F.col(f"`{c}`") for c in others]).join(done.drop("id"), "row").select(*[F.col(f"`{c}`") for c in others], *added)
+    bucket = F.pmod("h", F.ceil(F.col("n") / BUCKET_ROWS).cast("long"))
+    rated = rated.select("s", bucket.alias("bucket"), "h", "row", "size", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rated.drop("s", "bucket", "h").schema] + [T.StructField("copies", T.LongType())])
+    done = rated.groupBy("s", "bucket").applyInArrow(_round, schema).withColumn("taken", F.col("copies") * F.col("size"))
+    return done.select(*_shared.unpacked(kept), *added)

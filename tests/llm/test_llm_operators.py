@@ -341,7 +341,7 @@ def test_op7_links_orders_and_validates(spark):
     assert order == [(1, 1), (1, 4), (1, 3), (1, 2), (1, 5)]
     assert got[1, 1].valid and not got[1, 3].valid and not got[2, 2].valid and got[1, 4].valid
     assert got[2, 1].linked is False and got[1, 5].linked is None
-    assert got[1, 1].message == '{"arguments":"{\\"b\\":\\"x\\",\\"a\\":3}","call_id":"c1","name":"get","role":"assistant"}'
+    assert got[1, 1].message == '{"arguments":"{\\"a\\":3,\\"b\\":\\"x\\"}","call_id":"c1","name":"get","role":"assistant"}'
     assert json.loads(got[1, 4].message) == {"call_id": "c1", "content": "answer", "role": "tool"}
     assert chat.link_calls(spark.createDataFrame([], schema), {"get": []}).count() == 0
     turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (None, 1, "assistant", None), (1, None, "user", "q"), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
