@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm import _shared
+
 #: So many rules, of so many characters together, may be broadcast; more are joined by key.
 MAX_BROADCAST_RULES = 200_000
 MAX_BROADCAST_CHARS = 32_000_000
@@ -34,7 +36,7 @@ def url_path(url: Column) -> Column:
 
 
 def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
-    """Nested dicts: reversed host labels, then path segments; a node's ``None`` maps path tails to verdicts.
+    """Nested dicts: reversed host labels, then path segments; a node's ``None`` maps path tails to verdicts, by length of the tail.
 
     ``rules``: (verdict, host, path). All but the last piece of a path are whole segments;
     the last is a prefix of the URL's segment in its place.
@@ -47,7 +49,7 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         *segments, tail = path.split("/")
         for s in segments:
             node = node.setdefault("/" + s, {})
-        tails = node.setdefault(None, {})
+        tails = node.setdefault(None, {}).setdefault(len(tail), {})
         if tails.get(tail) != "block":
             tails[tail] = verdict
     return root
@@ -64,8 +66,11 @@ def _longest(trie: dict, host: str, path: str) -> tuple[str, str] | None:
         at, below = node, 0
         of_host = ".".join(labels[-depth:])
         while True:
-            for tail, verdict in at.get(None, {}).items():
-                if segments[below].startswith(tail):
+            # one look-up for each length that tails have here, however many tails there are
+            for n, tails in at.get(None, {}).items():
+                tail = segments[below][:n]
+                verdict = tails.get(tail)
+                if verdict is not None:
                     of_path = "/".join([*segments[:below], tail])
                     found = (len(of_host) + len(of_path), len(of_host), of_host + of_path, verdict)
                     best = found if best is None or found[:2] > best[:2] else best
@@ -84,26 +89,26 @@ def _by_trie(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
         found = [_longest(trie.value, h, p) or (None, None) for h, p in zip(hosts, paths, strict=True)]
         return pd.DataFrame(found, columns=["rule", "verdict"])
 
-    return df.withColumn("_match", match("_host", "_path"))
+    return df.withColumn("match", match("url_host", "url_path"))
 
 
 def _by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
     """The same matches by a join: each host suffix and path prefix of a distinct URL place is a key."""
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]
-    labels = F.split("_host", r"\.")
+    labels = F.split("url_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
-    prefixes = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("_path"))
-    places = df.select("_host", "_path").distinct()
-    keys = places.withColumn("host", F.explode(suffixes)).withColumn("_n", F.explode(prefixes))
-    keys = keys.withColumn("path", F.expr("substring(_path, 1, _n)"))
+    prefixes = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("url_path"))
+    places = df.select("url_host", "url_path").distinct()
+    keys = places.withColumn("host", F.explode(suffixes)).withColumn("n", F.explode(prefixes))
+    keys = keys.withColumn("path", F.expr("substring(url_path, 1, n)"))
     ruled = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # "block" sorts after "allow"
     best = (
         keys.join(ruled, ["host", "path"])
-        .groupBy("_host", "_path")
+        .groupBy("url_host", "url_path")
         .agg(F.max(F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict")).alias("b"))
-        .select("_host", "_path", F.struct("b.rule", "b.verdict").alias("_match"))
+        .select("url_host", "url_path", F.struct("b.rule", "b.verdict").alias("match"))
     )
-    return df.join(best, ["_host", "_path"], "left")
+    return df.join(best, ["url_host", "url_path"], "left")
 
 
 def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -116,16 +121,17 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     """
     rules = rules.select("verdict", F.translate("host", _UPPER, _LOWER).alias("host"), "path").dropna().distinct()
     n, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0))).first()
-    keep = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    placed = df.select(*[F.col(f"`{c}`") for c in keep], url_host(F.col(f"`{url}`")).alias("_host"), url_path(F.col(f"`{url}`")).alias("_path"))
+    keep = _shared.others(df, ["host", "path", "rule", "verdict"])
+    u = _shared.column(url)
+    placed = df.select(_shared.packed(keep).alias("row"), url_host(u).alias("url_host"), url_path(u).alias("url_path"))
     if n <= MAX_BROADCAST_RULES and chars <= MAX_BROADCAST_CHARS:
         out = _by_trie(placed, [tuple(r) for r in rules.collect()])
     else:
         out = _by_join(placed, rules)
     return out.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
-        F.col("_match.rule").alias("rule"),
-        F.coalesce(F.col("_match.verdict"), F.lit(default)).alias("verdict"),
+        *_shared.unpacked(keep),
+        F.col("url_host").alias("host"),
+        F.col("url_path").alias("path"),
+        F.col("match.rule").alias("rule"),
+        F.coalesce(F.col("match.verdict"), F.lit(default)).alias("verdict"),
     )
