@@ -3,16 +3,19 @@
 A window is n consecutive units (bytes or words) of one document. The minimiser of a window is the k units
 in it with the smallest hash, so equal windows have equal minimisers at equal places.
 
-1. Every document sends the hashes of its minimisers to their buckets. A minimiser that occurs in one
-   document only has no window that occurs in another, so those windows are done. The other minimisers go
-   back to their documents.
+1. Documents are dealt to groups. A group sends each of its minimisers once, with its smallest document and
+   the number of its documents, to the minimiser's bucket. A minimiser that occurs in one document only has no
+   window that occurs in another, so those windows are done. The other minimisers go back to their groups.
 2. Windows that follow one another and share such a minimiser travel together as one string to its bucket.
-   Before that, equal strings of one group of documents are settled where they are: only that of the
-   smallest document travels on, the others are covered already.
+   Before that, equal strings of a group are settled where they are: only that of the smallest document
+   travels on, the others are covered already, and their spans go home by way of buckets that are chosen for
+   the group. The windows of a minimiser of more than HOT documents travel one by one, dealt by what is in
+   them, so a hot minimiser is split over all buckets.
 3. A bucket says which windows of a document also start in a smaller document. Those spans go back to their
    documents, where units are removed.
 
-Documents are known by a 64-bit hash of id and text, so repeated rows are judged alike; a null id counts
+Hashes find equal strings and windows; what they find is compared byte by byte before it counts. Documents are
+known by a 64-bit hash of id and text, so repeated rows are judged alike; a null id counts
 as larger than every other and never covers another null id. Nothing here holds more than one batch, one
 bucket or one group of documents; their number follows the number of input partitions.
 """
@@ -32,8 +35,8 @@ from docloom.llm import _packed, _shared, _text
 
 #: A null id, as a number.
 NO_ID = (1 << 63) - 1
-#: So many minimisers are sent together.
-ANCHORS = 1 << 20
+#: A minimiser of more documents is hot.
+HOT = 20_000
 #: Strings of about so many bytes are settled and sent together.
 FLUSH = 12 << 20
 #: Buckets of minimisers, buckets of strings, and groups of documents, for each input partition.
@@ -41,7 +44,8 @@ ANCHOR_BUCKETS_PER_PARTITION = 2
 BUCKETS_PER_PARTITION = 4
 GROUPS_PER_PARTITION = 4
 
-_ANCHOR_TYPES = (np.int64, np.int64, np.uint32, np.uint64)
+_ANCHOR_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint64)
+_REPEAT_TYPES = (np.uint64, np.uint8)
 _STRING_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32, np.uint32)
 _SPAN_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint32)
 
@@ -63,17 +67,30 @@ def _minimisers(h: np.ndarray, width: int) -> np.ndarray:
     return (m & bits).astype(np.int64)
 
 
-def _runs(valid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of runs of valid windows with one minimiser."""
+def _runs(valid: np.ndarray, at: np.ndarray, alone: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of runs of valid windows with one minimiser; windows that go ``alone`` are runs of their own."""
     i = np.flatnonzero(valid)
     if not len(i):
         return i, i
-    new = np.flatnonzero((np.diff(i) != 1) | (np.diff(at[i]) != 0)) + 1
+    cut = (np.diff(i) != 1) | (np.diff(at[i]) != 0)
+    if alone is not None:
+        cut |= alone[i[1:]] | alone[i[:-1]]
+    new = np.flatnonzero(cut) + 1
     return i[np.concatenate([[0], new])], i[np.concatenate([new - 1, [len(i) - 1]])]
 
 
-def byte_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, whole: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """row, position and number of units, start and end byte, anchor and hash of the minimiser, string hash; or row and hash only."""
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ones that are wanted."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
+def byte_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, hot: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, position and number of units, start and end byte, anchor and hash of the minimiser, string hash, what it is dealt by.
+
+    Only row and the minimiser's hash if it is not said which minimisers are ``hot``.
+    """
     a, total = 0, len(data)
     ends = offsets[1:]
     while a + n <= total:
@@ -87,18 +104,20 @@ def byte_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, whole: b
         near = ends[row_of_edges[0] : row_of_edges[1] + 1]
         sizes = np.diff(np.concatenate([[a], np.minimum(near, b - n + 1)]))
         valid = i + n <= np.repeat(near, np.maximum(sizes, 0))[: len(i)]
-        f, z = _runs(valid, at)
+        alone = _among(grams[at], hot) if hot is not None and len(hot) else None
+        f, z = _runs(valid, at, alone)
         if len(f):
             end = z + n
             row = np.searchsorted(ends, f + a, "right")
-            if whole:
-                yield row, f + a - offsets[row], end - f, f + a, end + a, at[f] - f, grams[at[f]], roll.ranges(f, end)
+            if hot is not None:
+                gram, string = grams[at[f]], roll.ranges(f, end)
+                yield row, f + a - offsets[row], end - f, f + a, end + a, at[f] - f, gram, string, gram if alone is None else np.where(alone[f], string, gram)
             else:
                 yield row, grams[at[f]]
         a += _text.BLOCK
 
 
-def word_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, whole: bool) -> Iterator[tuple[np.ndarray, ...]]:
+def word_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, hot: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
     """As byte_strings, with words for units."""
     s, e, row = _text.words(data, offsets)
     if not len(s):
@@ -113,13 +132,16 @@ def word_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, whole: b
         grams = _text.sequence_hash(h, k)
         at = _minimisers(grams, n - k + 1)
         valid = row[a : b - n + 1] == row[a + n - 1 : b]
-        f, z = _runs(valid, at)
+        alone = _among(grams[at], hot) if hot is not None and len(hot) else None
+        f, z = _runs(valid, at, alone)
         if len(f):
             last = z + n - 1
             r = row[f + a]
             start, end = s[f + a], e[last + a]
-            if whole:
-                yield r, f + a - first_word[r], last - f + 1, start, end, at[f] - f, grams[at[f]], roll.ranges(start - s[a], end - s[a])
+            if hot is not None:
+                gram = grams[at[f]]
+                deal = gram if alone is None else np.where(alone[f], _text.sequence_hash(h, n)[f], gram)
+                yield r, f + a - first_word[r], last - f + 1, start, end, at[f] - f, gram, roll.ranges(start - s[a], end - s[a]), deal
             else:
                 yield r, grams[at[f]]
         if b == len(s):
@@ -130,16 +152,16 @@ def word_strings(data: np.ndarray, offsets: np.ndarray, n: int, k: int, whole: b
 class _Batch:
     """The strings of some documents, until they are sent."""
 
-    def __init__(self, n_buckets: int):
-        self.n_buckets = n_buckets
+    def __init__(self, n_buckets: int, home: int):
+        self.n_buckets, self.home = n_buckets, home
         self.docs: list[np.ndarray] = []
         self.parts: list[tuple] = []
         self.n_docs = self.size = 0
 
     def add(self, data: np.ndarray, found: tuple[np.ndarray, ...]) -> None:
-        row, pos, units, start, end, anchor, gram, string = found
+        row, pos, units, start, end, anchor, _, string, deal = found
         body = data[_text.ragged(start, end - start)]
-        self.parts.append((row + self.n_docs, pos, units, end - start, anchor, (gram % np.uint64(self.n_buckets)).astype(np.int64), string, body))
+        self.parts.append((row + self.n_docs, pos, units, end - start, anchor, (deal % np.uint64(self.n_buckets)).astype(np.int64), string, body))
         self.size += len(body)
 
     def close_rows(self, docs: np.ndarray) -> None:
@@ -147,157 +169,129 @@ class _Batch:
         self.n_docs += len(docs)
 
     def rows(self) -> Iterator[tuple[int, bytes]]:
-        if not self.parts:
-            self.__init__(self.n_buckets)
-            return
-        docs = np.concatenate(self.docs)
-        doc, pos, units, length, anchor, bucket, string, body = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        begin = np.cumsum(length) - length
-        ids = docs["id"][doc]
-        order = np.lexsort((ids, string))
-        head = np.ones(len(order), bool)
-        head[1:] = string[order][1:] != string[order][:-1]
-        least = ids[order][head][np.cumsum(head) - 1]
-        settled = np.zeros(len(order), bool)
-        settled[order] = ids[order] > least
-        by = np.lexsort((settled, bucket))
-        for a, b in _text.runs(bucket[by]):
-            mine = by[a:b]
-            k = int(np.searchsorted(settled[mine], True))
-            sent, known = mine[:k], mine[k:]
-            used, local = np.unique(doc[mine], return_inverse=True)
-            t = docs[used]
-            text = body[_text.ragged(begin[sent], length[sent])]
-            yield int(bucket[by[a]]), _pack(_STRING_TYPES, t["id"], t["key"], local[:k], pos[sent], units[sent], length[sent], anchor[sent], text, local[k:], pos[known], pos[known] + units[known])
-        self.__init__(self.n_buckets)
+        if self.parts:
+            docs = np.concatenate(self.docs)
+            doc, pos, units, length, anchor, bucket, string, body = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            begin = np.cumsum(length) - length
+            settled = _settled(docs["id"][doc], string, length, body)
+            none = np.empty(0, np.int64)
+
+            def row(to: int, sent: np.ndarray, known: np.ndarray) -> tuple[int, bytes]:
+                used, local = np.unique(doc[np.concatenate([sent, known])], return_inverse=True)
+                t = docs[used]
+                text = body[_text.ragged(begin[sent], length[sent])]
+                k = len(sent)
+                return to, _pack(_STRING_TYPES, t["id"], t["key"], local[:k], pos[sent], units[sent], length[sent], anchor[sent], text, local[k:], pos[known], pos[known] + units[known])
+
+            travel = np.flatnonzero(~settled)
+            by = travel[np.argsort(bucket[travel], kind="stable")]
+            for a, b in _text.runs(bucket[by]):
+                yield row(int(bucket[by[a]]), by[a:b], none)
+            if settled.any():
+                yield row(self.home % self.n_buckets, none.astype(np.int64), np.flatnonzero(settled))
+        self.__init__(self.n_buckets, self.home)
 
 
 _DOC = np.dtype([("id", np.int64), ("key", np.int64)])
 
 
-def _docs_of(batch: pa.RecordBatch) -> np.ndarray:
-    docs = np.empty(batch.num_rows, _DOC)
+def _docs_of(table: pa.Table) -> np.ndarray:
+    docs = np.empty(table.num_rows, _DOC)
     for name in ("id", "key"):
-        docs[name] = batch.column(f"_{name}").to_numpy(zero_copy_only=False)
+        docs[name] = table[name].to_numpy()
     return docs
 
 
 def _anchors(strings: Callable, n: int, k: int, n_buckets: int):
-    """Rows of (bucket, documents and their minimisers)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_held: list[np.ndarray] = []
-        rows_held: list[np.ndarray] = []
-        grams_held: list[np.ndarray] = []
-        n_docs = size = 0
-
-        def flushed() -> pa.RecordBatch:
-            docs, row, gram = np.concatenate(docs_held), np.concatenate(rows_held), np.concatenate(grams_held)
-            bucket = gram % np.uint64(n_buckets)
-            order = np.lexsort((row, gram, bucket))
-            row, gram, bucket = row[order], gram[order], bucket[order].astype(np.int64)
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
-            row, gram, bucket = row[new], gram[new], bucket[new]
-            keys, blobs = [], []
-            for a, b in _text.runs(bucket):
-                used, local = np.unique(row[a:b], return_inverse=True)
-                t = docs[used]
-                keys.append(int(bucket[a]))
-                blobs.append(_pack(_ANCHOR_TYPES, t["id"], t["key"], local, np.diff(gram[a:b], prepend=np.uint64(0))))
-            return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-        for batch in batches:
-            data, offsets = _text.flat(batch.column("_text"))
-            for found in strings(data, offsets, n, k, False):
-                rows_held.append(found[0] + n_docs)
-                grams_held.append(found[1])
-                size += len(found[0])
-            docs_held.append(_docs_of(batch))
-            n_docs += batch.num_rows
-            if size >= ANCHORS:
-                yield flushed()
-                docs_held.clear()
-                rows_held.clear()
-                grams_held.clear()
-                n_docs = size = 0
-        if size:
-            yield flushed()
+    """Of one group of documents: its distinct minimisers, each with its smallest document, to their buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = _docs_of(table)
+        data, offsets = _text.flat(table["text"])
+        rows, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for row, gram in strings(data, offsets, n, k, None):
+            rows.append(row)
+            grams.append(gram)
+        row, gram = np.concatenate(rows), np.concatenate(grams)
+        keys, blobs = [], []
+        if len(row):
+            order = np.lexsort((row, docs["id"][row], gram))
+            row, gram = row[order], gram[order]
+            head = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            other = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])])
+            ids = docs["id"][row]
+            several = ids[np.concatenate([head[1:], [len(row)]]) - 1] > ids[head]
+            count = np.add.reduceat(other.astype(np.int64), head)
+            least, gram = row[head], gram[head]
+            bucket = (gram % np.uint64(n_buckets)).astype(np.int64)
+            by = np.lexsort((gram, bucket))
+            home = np.array([table["dest"][0].as_py()], np.int64)
+            for a, b in _text.runs(bucket[by]):
+                mine = by[a:b]
+                used, local = np.unique(least[mine], return_inverse=True)
+                keys.append(int(bucket[mine[0]]))
+                blobs.append(_pack(_ANCHOR_TYPES, home, docs["id"][used], local, count[mine], several[mine], np.diff(gram[mine], prepend=np.uint64(0))))
+        return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _repeated(n_groups: int):
-    """Of one bucket: the minimisers that occur in several documents, to the groups of those documents."""
+def _repeated(most: int):
+    """Of one bucket: the minimisers that occur in several documents, and whether in more than ``most``, to the groups that hold them."""
 
     def run(table: pa.Table) -> pa.Table:
-        tables, docs, grams = [], [], []
-        base = 0
+        homes, ids, counts, several, grams = [], [], [], [], []
         for blob in table["blob"].to_pylist():
-            ids, keys, local, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
-            t = np.empty(len(ids), _DOC)
-            t["id"], t["key"] = ids, keys
-            tables.append(t)
-            docs.append(local.astype(np.int64) + base)
+            home, names, local, count, more, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
+            homes.append(np.full(len(gram), home[0]))
+            ids.append(names[local])
+            counts.append(count.astype(np.int64))
+            several.append(more.astype(bool))
             grams.append(np.cumsum(gram, dtype=np.uint64))
-            base += len(ids)
-        t, doc, gram = np.concatenate(tables), np.concatenate(docs), np.concatenate(grams)
-        ids = t["id"][doc]
-        order = np.lexsort((ids, gram))
-        g, i = gram[order], ids[order]
-        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        ends = np.concatenate([starts[1:], [len(g)]])
-        mine = order[np.repeat(i[ends - 1] > i[starts], ends - starts)]
-        doc, gram = doc[mine], gram[mine]
-        dest = np.mod(t["key"][doc], n_groups)
-        order = np.lexsort((gram, dest))
-        doc, gram, dest = doc[order], gram[order], dest[order]
+        home, id, count, more, gram = (np.concatenate(x) for x in (homes, ids, counts, several, grams))
+        order = np.lexsort((id, gram))
+        home, id, count, more, gram = home[order], id[order], count[order], more[order], gram[order]
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(gram)]]))
+        twice = np.logical_or.reduceat(more, starts) | (id[starts + sizes - 1] > id[starts])
+        hot = np.add.reduceat(count, starts) > most
+        keep = np.repeat(twice, sizes)
+        home, gram, hot = home[keep], gram[keep], np.repeat(hot, sizes)[keep]
+        by = np.lexsort((gram, home))
         keys, blobs = [], []
-        for a, b in _text.runs(dest):
-            used, local = np.unique(doc[a:b], return_inverse=True)
-            keys.append(int(dest[a]))
-            blobs.append(_pack(_ANCHOR_TYPES, t["id"][used], t["key"][used], local, np.diff(gram[a:b], prepend=np.uint64(0))))
+        for a, b in _text.runs(home[by]):
+            mine = by[a:b]
+            keys.append(int(home[mine[0]]))
+            blobs.append(_pack(_REPEAT_TYPES, np.diff(gram[mine], prepend=np.uint64(0)), hot[mine]))
         return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
 
     return run
 
 
-def _pair(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """One number for a document and a minimiser; equal numbers of different pairs only mean more work."""
-    return _text.mix(gram ^ _text.mix(doc.astype(np.uint64)))
-
-
 def _send(strings: Callable, n: int, k: int, n_buckets: int):
     """The strings around the repeated minimisers of one group of documents, to the minimisers' buckets."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = _Batch(n_buckets)
-        docs = np.empty(left.num_rows, _DOC)
-        for name in ("id", "key"):
-            docs[name] = left[f"_{name}"].to_numpy()
-        wanted = []
-        for blob in right["blob"].to_pylist():
-            _, who, local, gram = _packed.unpack(blob, *_ANCHOR_TYPES)
-            wanted.append(_pair(who[local], np.cumsum(gram, dtype=np.uint64)))
-        known = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, np.uint64)
         keys, blobs = [], []
-
-        def flush() -> None:
-            for key, blob in held.rows():
-                keys.append(key)
-                blobs.append(blob)
-
-        if len(known):
-            data, offsets = _text.flat(left["_text"])
-            for found in strings(data, offsets, n, k, True):
-                pair = _pair(docs["key"][found[0]], found[6])
-                at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-                mine = known[at] == pair
+        if left.num_rows and right.num_rows:
+            held = _Batch(n_buckets, left["dest"][0].as_py())
+            docs = _docs_of(left)
+            parts = [_packed.unpack(blob, *_REPEAT_TYPES) for blob in right["blob"].to_pylist()]
+            gram, hot = np.concatenate([np.cumsum(g, dtype=np.uint64) for g, _ in parts]), np.concatenate([h for _, h in parts]).astype(bool)
+            known, hot = np.unique(gram), np.unique(gram[hot])
+
+            def flush() -> None:
+                held.close_rows(docs)
+                for key, blob in held.rows():
+                    keys.append(key)
+                    blobs.append(blob)
+
+            data, offsets = _text.flat(left["text"])
+            for found in strings(data, offsets, n, k, hot):
+                mine = _among(found[6], known)
                 held.add(data, tuple(x[mine] for x in found))
                 if held.size >= FLUSH:
-                    held.close_rows(docs)
                     flush()
-            held.close_rows(docs)
             flush()
         return pa.table([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
@@ -336,6 +330,30 @@ def _judge(covered: Callable, n_groups: int):
     return run
 
 
+def _equal_bytes(body: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b are the same, for each pair of ranges of one length (not empty)."""
+    out = np.empty(len(length), bool)
+    for first, last in _text.blocks(length):
+        size = length[first:last]
+        same = body[_text.ragged(a[first:last], size)] == body[_text.ragged(b[first:last], size)]
+        out[first:last] = np.logical_and.reduceat(same, np.cumsum(size) - size)
+    return out
+
+
+def _settled(ids: np.ndarray, string: np.ndarray, length: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Of strings in a row: whether each equals one of a smaller document. Strings with equal hashes are compared."""
+    begin = np.cumsum(length) - length
+    order = np.lexsort((ids, length, string))
+    head = np.ones(len(order), bool)
+    head[1:] = (string[order][1:] != string[order][:-1]) | (length[order][1:] != length[order][:-1])
+    first = order[head][np.cumsum(head) - 1] if len(order) else order
+    larger = np.flatnonzero(ids[order] > ids[first])
+    out = np.zeros(len(order), bool)
+    # a string that has its first one's hash and not its bytes is left to be judged window by window
+    out[order[larger]] = _equal_bytes(body, begin[order[larger]], begin[first[larger]], length[order[larger]])
+    return out
+
+
 def settle_equal(ids: np.ndarray, length: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal strings: whether each is of a larger document than the smallest; and one string of each kind."""
     end = np.cumsum(length)
@@ -343,12 +361,7 @@ def settle_equal(ids: np.ndarray, length: np.ndarray, body: np.ndarray) -> tuple
     for first, last in _text.blocks(length):
         lo, hi = end[first] - length[first], end[last - 1]
         string[first:last] = _text.Rolling(body[lo:hi]).ranges(end[first:last] - length[first:last] - lo, end[first:last] - lo)
-    order = np.lexsort((ids, string))
-    head = np.ones(len(order), bool)
-    head[1:] = string[order][1:] != string[order][:-1]
-    least = ids[order][head][np.cumsum(head) - 1]
-    larger = np.zeros(len(order), bool)
-    larger[order] = ids[order] > least
+    larger = _settled(ids, string, length, body)
     # strings of the smallest document stay, even where it holds one twice
     return larger, np.flatnonzero(~larger)
 
@@ -416,24 +429,22 @@ def remove_repeats(docs: DataFrame, id: str, text: str, n: int, k: int, covered:
     added = ["n_units", "n_removed", "n_spans", "kept_sha256"]
     parts = _shared.input_partitions(docs)
     n_buckets, n_groups = BUCKETS_PER_PARTITION * parts, GROUPS_PER_PARTITION * parts
-    body, number = F.col(f"`{text}`").cast("string"), F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(NO_ID))
+    body, number = _shared.column(text).cast("string"), F.coalesce(_shared.column(id).cast("long"), F.lit(NO_ID))
     key = F.xxhash64(number, body)
-    dest = F.pmod(key, F.lit(n_groups)).cast("int")
     strings = word_strings if by_words else byte_strings
-    known = [dest.alias("_dest"), number.alias("_id"), key.alias("_key"), body.alias("_text")]
-    others = [c for c in docs.columns if c != text and c.lower() not in added]
-    whole = docs.select(*known, *[F.col(f"`{c}`") for c in others])
-    anchors = docs.select(*known).mapInArrow(_anchors(strings, n, k, ANCHOR_BUCKETS_PER_PARTITION * parts), "bucket int, blob binary")
-    repeated = anchors.groupBy("bucket").applyInArrow(_repeated(n_groups), "dest int, blob binary")
-    # both uses of the texts by group share one exchange
-    sent = whole.groupBy("_dest").cogroup(repeated.groupBy("dest")).applyInArrow(_send(strings, n, k, n_buckets), "bucket int, blob binary")
+    kept_columns = [c for c in _shared.others(docs, added) if c != text]
+    whole = docs.select(F.pmod(key, F.lit(n_groups)).cast("int").alias("dest"), number.alias("id"), key.alias("key"), body.alias("text"), _shared.packed(kept_columns).alias("row"))
+    # all uses of the texts by group share one exchange
+    anchors = whole.groupBy("dest").applyInArrow(_anchors(strings, n, k, ANCHOR_BUCKETS_PER_PARTITION * parts), "bucket int, blob binary")
+    repeated = anchors.groupBy("bucket").applyInArrow(_repeated(HOT), "dest int, blob binary")
+    sent = whole.groupBy("dest").cogroup(repeated.groupBy("dest")).applyInArrow(_send(strings, n, k, n_buckets), "bucket int, blob binary")
     spans = sent.groupBy("bucket").applyInArrow(_judge(covered, n_groups), "dest int, blob binary")
-    fields = [docs.schema[c] for c in others] + ([T.StructField(text, T.StringType())] if with_text else [])
-    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType())])
+    shape = [whole.schema["row"]] + ([T.StructField("text", T.StringType())] if with_text else [])
+    schema = T.StructType([*shape, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        data, offsets = _text.flat(left["_text"])
-        keys = left["_key"].to_numpy()
+        data, offsets = _text.flat(left["text"])
+        keys = left["key"].to_numpy()
         blobs = right["blob"].to_pylist()
         if by_words:
             found = _text.words(data, offsets)
@@ -442,12 +453,13 @@ def remove_repeats(docs: DataFrame, id: str, text: str, n: int, k: int, covered:
         else:
             gone = _covered_units(keys, blobs, np.diff(offsets))
             kept, units, removed, runs = keep_bytes(data, offsets, gone)
-        cols = [left[c] for c in others]
+        cols = [left["row"]]
         if with_text:
             # rows of which nothing is removed keep their text, a null one too
-            old = left["_text"].to_pylist()
+            old = left["text"].to_pylist()
             cols.append(pa.array([o if not r else x.decode("utf-8", "ignore") for o, r, x in zip(old, removed.tolist(), kept, strict=True)], pa.string()))
         digests = [hashlib.sha256(x).hexdigest() for x in kept]
         return pa.table([*cols, pa.array(units, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=schema.names)
 
-    return whole.groupBy("_dest").cogroup(spans.groupBy("dest")).applyInArrow(finish, schema)
+    done = whole.groupBy("dest").cogroup(spans.groupBy("dest")).applyInArrow(finish, schema)
+    return done.select(*_shared.unpacked(kept_columns), *([F.col("text").alias(text)] if with_text else []), *added)

@@ -129,7 +129,7 @@ def link_calls(messages: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
     extra = [c for c in keep if c not in used]
     own = dict(zip(extra, _shared.unpacked(extra), strict=True))
     done = {"rank": rank.cast("long"), "linked": linked, "valid": ok, "ordered": F.when(call | result, F.coalesce("in_order", F.lit(True))), "message": body, "canonical_arguments": F.col("canonical_arguments")}
-    return j.withColumn("canonical_arguments", canonical).select(*[own.get(c, F.col(c)) for c in keep], *[v.alias(k) for k, v in done.items()])
+    return j.withColumn("canonical_arguments", canonical).select(*[own.get(c, _shared.column(c)) for c in keep], *[v.alias(k) for k, v in done.items()])
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ MAX_ENTRIES = 8_000_000
 #: So many code lengths are held at once.
 CELLS = 1 << 22
 #: The score is that of a text of so many bytes.
-SCORE_BYTES = 32
+SCORE_BYTES = 16
 #: So many languages are sent to every task; more are joined by key.
 MAX_BROADCAST_LANGUAGES = 100_000
 

@@ -4,8 +4,8 @@ The suffixes of all texts are partitioned by the minimiser of their first 50 byt
 share 50 bytes meet in one bucket, packed in strings of neighbouring suffixes. A bucket takes its strings
 in batches in the order of their documents. A batch gets a suffix array (its suffixes sorted by their
 first 50 bytes); it is merge-scanned against the existing levels, which hold the suffixes of smaller
-documents, for matches of 50 bytes; then it becomes a level itself, and levels of equal size merge, so
-that their sizes grow geometrically. Strings that equal another one as a whole are settled before, and
+documents, for matches of 50 bytes; then it becomes a level itself, and levels of equal size merge (two
+sorted arrays into one), so that their sizes grow geometrically. Strings that equal another one as a whole are settled before, and
 suffixes of which no other has the same 64-bit hash are left out of the arrays, as they match nothing.
 
 Null texts are empty; texts of fewer bytes have no matches. Repeated rows with one id do not cover each
@@ -37,19 +37,29 @@ class SuffixArrays:
         head[1:] = suffixes[1:] != suffixes[:-1]
         return suffixes[head], np.minimum.reduceat(docs, np.flatnonzero(head))
 
+    @staticmethod
+    def scanned(level: tuple[np.ndarray, np.ndarray], suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted suffixes stand in a level, and whether it holds them: one pass along both."""
+        at = np.searchsorted(level[0], suffixes)
+        return at, level[0][np.minimum(at, len(level[0]) - 1)] == suffixes
+
     def least(self, suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """The smallest document with each suffix in the levels; its own where there is none."""
+        """The smallest document with each of the sorted suffixes in the levels; its own where there is none."""
         out = docs.copy()
-        for known, by in self.levels:
-            at = np.minimum(np.searchsorted(known, suffixes), len(known) - 1)
-            out = np.where(known[at] == suffixes, np.minimum(out, by[at]), out)
+        for level in self.levels:
+            at, held = self.scanned(level, suffixes)
+            out[held] = np.minimum(out[held], level[1][at[held]])
         return out
 
     def add(self, suffixes: np.ndarray, docs: np.ndarray) -> None:
+        """Sorted, distinct suffixes become a level; levels of equal size merge, without sorting anew."""
         new = suffixes, docs
         while self.levels and len(self.levels[-1][0]) <= len(new[0]):
             old = self.levels.pop()
-            new = self.array(np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]]))
+            at, held = self.scanned(old, new[0])
+            by = old[1].copy()
+            by[at[held]] = np.minimum(by[at[held]], new[1][held])
+            new = np.insert(old[0], at[~held], new[0][~held]), np.insert(by, at[~held], new[1][~held])
         self.levels.append(new)
 
 
@@ -102,8 +112,8 @@ def _covered(n: int, k: int):
             start = begin[string[mine]] + offset[mine]
             suffixes = np.ascontiguousarray(body[start[:, None] + np.arange(n)]).view(f"S{n}").ravel()
             keys, least = family.array(suffixes, by)
-            own = least[np.searchsorted(keys, suffixes)]
-            hit.append(mine[np.minimum(own, family.least(suffixes, by)) < by])
+            before = np.minimum(least, family.least(keys, least))
+            hit.append(mine[before[np.searchsorted(keys, suffixes)] < by])
             family.add(keys, least)
         hit = np.sort(np.concatenate(hit)) if hit else np.empty(0, np.int64)
         which, a, b = _windows.spans_of(string[hit], pos[string[hit]] + offset[hit], n)
