@@ -1,16 +1,16 @@
 """Approximate nearest neighbours by inner product: a graph built by NN-descent, searched greedily.
 
 Equal vectors are one node. A node's neighbours are those of the largest inner product with it, so a query's
-own list is what its search starts from. The graph starts from random hyperplane cells, whose members are
-compared with one another, and is improved by NN-descent: in each round a node's neighbours, and nodes
+own list is what its search starts from. The graph starts poorly, from small random hyperplane cells whose members are
+compared with one another, and is built by NN-descent: in each round a node's neighbours, and nodes
 it is a neighbour of, meet by Spark joins and are compared with one another; each keeps its ``degree`` best.
-Rounds go on until one changes less than a thousandth of all neighbours. Comparisons use components in eight bits. A query
-starts from its own node and expands, hop by hop, the best nodes it has not expanded; what it has found is
+Rounds go on, at every size, until one changes less than a thousandth of all neighbours. Comparisons use components in
+eight bits. A query starts from its own node and expands, hop by hop, the best nodes it has not expanded; what it has found is
 scored again on the original vectors in double precision.
 
 Recall of 20 neighbours, measured against brute force: see the README. Vectors that are null, zero or hold
-null or non-finite components take no part, as queries or candidates; so do those of another length than
-the commonest one. Rows with a null id are left out. Repeated rows (equal id and vector) count once; of
+null or non-finite components take no part, as queries or candidates. Vectors of one length are searched among
+themselves, one graph for each length, as those of different lengths have no product. Rows with a null id are left out. Repeated rows (equal id and vector) count once; of
 rows with one id and different vectors each counts. Equal scores are ranked by the smaller id.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from docloom.llm import _shared, _text
 from docloom.llm._packed import pack, unpack
 
-#: Nodes of a cell that are compared with one another; a larger cell is split.
-CELL = 4096
+#: Nodes of a cell that the start compares with one another; a larger cell is split.
+CELL = 256
 #: Nodes whose lists are merged together.
 GROUP = 4096
 #: Nodes whose neighbours are compared in one task call.
@@ -73,15 +74,16 @@ def _matrix(codes: pa.ChunkedArray) -> np.ndarray:
     return np.ascontiguousarray(rows[:, 4:]).view(np.int8).astype(np.float32) * scale
 
 
-def _coded(dims: int, tables: int, bits: int):
-    """rep, code and cells of each vector."""
+def _coded(dims: int, tables: int, bits: int, unit: float):
+    """rep, code (of the vector in multiples of ``unit``, so that no component overflows) and cells of each vector."""
     planes = np.random.default_rng(7).standard_normal((tables, dims, max(bits, 1))).astype(np.float32)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, dims).astype(np.float32)
+            x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, dims)
+            x = (x.astype(np.float64) / unit).astype(np.float32)
             scale = np.maximum(np.abs(x).max(1), 1e-30) / 127
             q = np.rint(x / scale[:, None]).astype(np.int8)
             raw = np.concatenate([scale.astype(np.float32)[:, None].view(np.uint8), q.view(np.uint8)], 1)
@@ -164,11 +166,12 @@ def _local_join(degree: int, groups: int):
     return run
 
 
-def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 48, tables: int = 6, sample: int = 48, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 64, tables: int = 3, sample: int = 64, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rep, code) and the graph (rep, ids, sims; nearest first) of ``nodes`` (rep, vec), after ``rounds`` or when it is settled."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
     groups = max(8, -(-n // GROUP))
-    coded = _shared.written(nodes.mapInArrow(_coded(dims, tables, bits), "rep long, code binary, cells array<long>"), "codes")
+    unit = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+    coded = _shared.written(nodes.mapInArrow(_coded(dims, tables, bits, float(unit)), "rep long, code binary, cells array<long>"), "codes")
     spread = coded.select("rep", "code", F.posexplode("cells").alias("t", "cell"))
     sizes = spread.groupBy("t", "cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))
     dealt = spread.join(sizes, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep", "t"), "parts"))
@@ -178,6 +181,7 @@ def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 48, tables: i
     codes = coded.select("rep", "code")
     for k in range(rounds) if rounds is not None else itertools.count():
         out = graph.select(F.col("rep").alias("pivot"), F.explode("ids").alias("member"))
+        # each task keeps its first ``sample`` rows of a node before they are shuffled (the plan's partial WindowGroupLimit)
         rank = Window.partitionBy("pivot").orderBy(F.xxhash64("member", F.lit(k)), "member")
         back = out.select(F.col("member").alias("pivot"), F.col("pivot").alias("member")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).drop("r")
         own = graph.select(F.col("rep").alias("pivot"), F.col("rep").alias("member"))
@@ -253,12 +257,16 @@ def nearest(vectors: DataFrame, is_query, id: str = "vec_id", vec: str = "embedd
     v = F.col(f"`{vec}`")
     usable = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(f"`{id}`").alias("id"), v.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("ask")).where(usable & F.col("id").isNotNull())
-    common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    shape = f"query_id {dict(rows.dtypes)['id']}, rank int, vec_id {dict(rows.dtypes)['id']}, score double"
-    if common is None:
-        return vectors.sparkSession.createDataFrame([], shape)
-    dims = common["d"]
-    keyed = rows.where(F.size("vec") == dims).withColumns({"h1": F.xxhash64("vec"), "h2": F.hash("vec")})
+    kind = dict(rows.dtypes)["id"]
+    lengths = sorted(r["d"] for r in rows.groupBy(F.size("vec").alias("d")).count().collect())  # one row for each length
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    return reduce(DataFrame.unionByName, [_nearest(rows.where(F.size("vec") == d), d, k, graph_options) for d in lengths])
+
+
+def _nearest(rows: DataFrame, dims: int, k: int, graph_options: dict) -> DataFrame:
+    """As nearest, for vectors (id, vec, ask) of one length."""
+    keyed = rows.withColumn("h1", F.xxhash64("vec"))
     # a node is known by its vector's hash: different vectors may have the same ids
     members = _shared.written(keyed.select("id", F.col("h1").alias("rep"), "ask", "vec").distinct(), "members")
     # an id of several vectors is left out of its own answers as often
