@@ -7,11 +7,15 @@ Classes are joined exactly, by skipping what set relations already decide:
 1. Posting lists by shingle count in how many classes each shingle occurs. Shingles of one class can
    be in no intersection; a class that shares fewer than 80 % of its set links with nothing.
 2. The others index their prefix only: their rarest shingles, as many as any partner must share one of.
-   A list is ordered by size; runs of it are skipped as blocks where size and position rule a link out.
+   A list is ordered by size and position; what size and position rule out for a class are blocks of it, which
+   are skipped before any pair is made. Long lists are cut into parts, and parts meet two by two in
+   different tasks.
 3. Answers of similar sets are reused. First each class is compared with one centre, the class it shares
    most lists with. Classes that link there have its answers. Then only lists that still hold several
    components are read: each class is compared with a few classes of other components, what links is
-   joined, then with more, and at last with all that are still apart.
+   joined, then with more, and at last with all that are still apart. A pair with one centre is decided
+   by what both share with the centre, where that suffices: they share at least what the centre cannot
+   hold twice, and at most what they share of it and have outside it. No pair is compared twice.
 
 Links that are verified along the way connect the same classes as all links do. Sets are compared
 exactly, on their shared shingles.
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _shared, _text
@@ -45,6 +49,8 @@ FLUSH = 1 << 20
 BUCKETS_PER_PARTITION = 4
 #: To how many others a class is compared in each round over the lists that hold several components; at last to all.
 ROUNDS = (4, 64, None)
+#: Classes of a list, or of a part of a long one, that are looked at together.
+PART = 4096
 #: Classes of a component that are compared with as many others at once, shingles of one matrix, and shingles sent to one task call.
 BLOCK = 256
 COLUMNS = 8192
@@ -236,59 +242,72 @@ def _gathered(percent: int):
     return run
 
 
-def _needed(a: int | np.ndarray, b: int | np.ndarray, percent: int) -> int | np.ndarray:
-    """How many shingles sets of these sizes must share: 100 * i >= percent * (a + b - i)."""
+def _needed(a, b, percent: int):
+    """How many shingles sets of these sizes (numbers, arrays or columns) must share: 100 * i >= percent * (a + b - i)."""
+    if isinstance(b, Column):
+        return -F.floor(-percent * (a + b) / (100 + percent))
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _centres(percent: int):
-    """Of one bucket of posting lists: for each class and list, the list's first class that size and position allow."""
+def _centres(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each class the first class of one of its lists that size and position allow, the one it shares most lists with."""
+    first = lists.groupBy("h").agg(F.min(F.struct("fp", "n", "pos")).alias("c"))
+    both = lists.join(first, "h").where("fp <> c.fp")
+    fits = F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos")) >= _needed(F.col("n"), F.col("c.n"), percent)
+    count = both.where(fits).groupBy(F.col("fp").alias("a"), F.col("c.fp").alias("b")).agg(F.count("*").alias("c"))
+    return count.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
 
-    def run(table: pa.Table) -> pa.Table:
-        h, fp, n, pos = (table[c].to_numpy() for c in ("h", "fp", "n", "pos"))
-        order = np.lexsort((fp, h))
-        h, fp, n, pos = h[order], fp[order], n[order], pos[order]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-        group = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(h)]])))
-        c = head[group]
-        fits = (np.minimum(n - pos, n[c] - pos[c]) >= _needed(n, n[c], percent)) & (fp != fp[c])
-        pair, count = np.unique(np.stack([fp[fits], fp[c][fits]]), axis=1, return_counts=True)
-        return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1]), "c": pa.array(count.astype(np.int64))})
 
-    return run
+def _mixed(lists: DataFrame, comp: DataFrame, n_buckets: int) -> DataFrame:
+    """unit, side, fp, n, pos, comp, bucket: the lists that hold several components, long ones as pairs of parts."""
+    of = lists.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "n", "pos", "h", F.coalesce("component", "fp").alias("comp"))
+    several = of.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / PART).alias("parts")).where("x <> y").select("h", "parts")
+    dealt = of.join(several, "h").withColumn("p", F.pmod(F.xxhash64("fp"), "parts")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1)
+    unit = F.xxhash64("h", F.least("p", "q"), F.greatest("p", "q"))
+    return dealt.select(unit.alias("unit"), side.alias("side"), "fp", "n", "pos", "comp").withColumn("bucket", F.pmod("unit", F.lit(n_buckets)).cast("int"))
 
 
 def _across(percent: int, most: int | None):
-    """Of one bucket of posting lists: pairs of classes in different components, from each class to at most ``most`` others.
+    """Of some lists: pairs of classes in different components, from each class to at most ``most`` others.
 
     Which others is drawn from both fingerprints, so a class draws much the same ones in all its lists.
     The largest component of a list draws none; the others draw from it.
     """
 
+    def partners(size: int, place: int, sizes: np.ndarray, begin: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Of classes in the order of size and position: those that size and position allow, as blocks."""
+        a, b = np.searchsorted(sizes, (-(-percent * size // 100), 100 * size // percent + 1))
+        of = sizes[a:b]
+        needed = _needed(size, of, percent)
+        ok = needed <= size - place
+        lo, hi = begin[a:b][ok], np.searchsorted(key, (of[ok] << 32) + of[ok] - needed[ok], "right")
+        return _text.ragged(lo, np.maximum(hi - lo, 0))
+
     def run(table: pa.Table) -> pa.Table:
-        h, fp, n, pos, comp = (table[c].to_numpy() for c in ("h", "fp", "n", "pos", "comp"))
-        order = np.lexsort((fp, n, h))
-        h, fp, n, pos, comp = h[order], fp[order], n[order], pos[order], comp[order]
+        unit, side, fp, n, pos, comp = (table[c].to_numpy() for c in ("unit", "side", "fp", "n", "pos", "comp"))
+        order = np.lexsort((pos, n, side, unit))
         draw = _text.mix(fp.astype(np.uint64))
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(h)], strict=True):
-            what = comp[a:b]
-            if b - a < 2 or (what == what[0]).all():
-                continue  # all of the list is one component
-            size, place, who, mine = n[a:b], pos[a:b], fp[a:b], draw[a:b]
-            names, count = np.unique(what, return_counts=True)
-            # sizes ascend: what is too small or too large for a class are blocks at the ends of the list
-            start = np.searchsorted(size, -(-percent * size // 100))
-            end = np.searchsorted(size, 100 * size // percent, "right")
-            for i in np.flatnonzero(what != names[count.argmax()]).tolist():
-                j = np.arange(start[i], end[i])
-                j = j[what[j] != what[i]]
-                j = j[np.minimum(size[i] - place[i], size[j] - place[j]) >= _needed(size[i], size[j], percent)]
+        for a, b in _text.runs(unit[order]):
+            rows = order[a:b]
+            whole = side[rows[0]] == 2
+            k = 0 if whole else int((side[rows] == 0).sum())
+            asked, others = (rows, rows) if whole else (rows[:k], rows[k:])
+            if not len(asked) or not len(others) or (comp[rows] == comp[rows[0]]).all():
+                continue
+            if whole:  # pairs are found from the end that is not in the largest component
+                names, count = np.unique(comp[rows], return_counts=True)
+                asked = rows[comp[rows] != names[count.argmax()]]
+            key = (n[others] << 32) + pos[others]
+            sizes, begin = np.unique(n[others], return_index=True)
+            for i in asked.tolist():
+                j = others[partners(int(n[i]), int(pos[i]), sizes, begin, key)]
+                j = j[comp[j] != comp[i]]
                 if most is not None and len(j) > most:
-                    j = j[np.argpartition(_text.mix(mine[j] ^ who[i].astype(np.uint64)), most)[:most]]
-                left.append(np.full(len(j), who[i]))
-                right.append(who[j])
+                    j = j[np.argpartition(_text.mix(draw[j] ^ fp[i].astype(np.uint64)), most)[:most]]
+                left.append(np.full(len(j), fp[i]))
+                right.append(fp[j])
         l, r = np.concatenate(left), np.concatenate(right)
         pair = np.unique(np.stack([np.minimum(l, r), np.maximum(l, r)]), axis=1)
         return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
@@ -296,13 +315,25 @@ def _across(percent: int, most: int | None):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Each side's set is fetched by a join that splits a hot class."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, shared: how many shingles each pair shares. Each side's set is fetched by a join that splits a hot class."""
     left = sets.select(F.col("fp").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na"))
     right = sets.select(F.col("fp").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.where((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("shared"))
+
+
+def _derived(pairs: DataFrame, centred: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` with links: true or false where what both share with one centre decides it, else null.
+
+    ``centred``: fp, n, centre, shared, n_centre.
+    """
+    of = lambda side: centred.select(F.col("fp").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "centre", "shared", "n_centre")])
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    needed = _needed(F.col("n_a"), F.col("n_b"), percent)
+    least = F.col("shared_a") + F.col("shared_b") - F.col("n_centre_a")
+    most = F.least("shared_a", "shared_b") + F.least(F.col("n_a") - F.col("shared_a"), F.col("n_b") - F.col("shared_b"))
+    same = F.col("centre_a") == F.col("centre_b")
+    return both.select("a", "b", F.when(same & (least >= needed), True).when(same & (most < needed), False).alias("links"))
 
 
 def _overlaps(values: np.ndarray, count: np.ndarray, k: int, own: bool) -> np.ndarray:
@@ -386,18 +417,20 @@ def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     sets = table.where("kind = 1").select("fp", "n", (F.col("n") - F.size("h")).alias("alone"), "h")
     prefix = F.greatest(F.col("n") - ceil_n + 1 - F.col("alone"), F.lit(0)).cast("int")
     lists = sets.where(prefix > 0).select("fp", "n", "alone", F.posexplode(F.slice("h", F.lit(1), prefix)).alias("i", "h")).select("fp", "n", (F.col("alone") + F.col("i")).alias("pos"), "h")
-    bucket = F.pmod(F.xxhash64("h"), F.lit(n_buckets)).cast("int")
-    candidates = lists.groupBy(bucket.alias("bucket")).applyInArrow(_centres(percent), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    best = candidates.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
-    links = _shared.cut(_verified(best, sets, percent))
+    links_of = lambda m: m.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    best = _shared.cut(_measured(_centres(lists, percent), sets))
+    links, tried = links_of(best), ordered(best)
+    centred = best.select(F.col("a").alias("fp"), F.col("na").alias("n"), F.col("b").alias("centre"), "shared", F.col("nb").alias("n_centre"))
     comp = connected_components(links)
     for most in ROUNDS:
-        named = lists.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "n", "pos", "h", F.coalesce("component", "fp").alias("comp"))
-        pairs = named.groupBy(bucket.alias("bucket")).applyInArrow(_across(percent, most), "a long, b long").distinct()
-        more = _shared.cut(_verified(pairs, sets, percent))
+        pairs = _mixed(lists, comp, n_buckets).groupBy("bucket").applyInArrow(_across(percent, most), "a long, b long").distinct()
+        told = _shared.cut(_derived(pairs.join(tried, ["a", "b"], "left_anti"), centred, percent))
+        more = _shared.cut(links_of(_measured(told.where("links IS NULL"), sets)).union(told.where("links").select("a", "b")))
         if not more.isEmpty():
             links = links.union(more)
             comp = connected_components(links)
+        tried = tried.union(told.select("a", "b"))
     comp = comp.withColumnRenamed("node", "fp")
     # one small row for each class before components are named
     classes = members.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc").alias("least"), F.count("*").alias("docs")).join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

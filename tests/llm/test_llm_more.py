@@ -245,3 +245,40 @@ def test_op8_many_tails_of_one_place(spark):
     pages = spark.createDataFrame([(0, "http://h.com/d/00007.html"), (1, "http://h.com/d/x00008"), (2, "http://h.com/d/x8"), (3, "http://www.h.com/d/xx00009/y")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
     assert got == {0: ("h.com/d/00007", "block"), 1: ("h.com/d/x00008", "block"), 2: ("h.com/d/", "allow"), 3: ("h.com/d/xx00009", "block")}
+
+
+def test_op1_long_lists_in_parts_and_form_letters(spark, monkeypatch):
+    """Letters of 8 of 12 blocks in random order, near copies and drifting sets, with lists cut into parts of a few classes."""
+    rng = np.random.default_rng(11)
+    blocks = [" ".join(f"b{b}w{i}" for i in range(14)) for b in range(12)]
+    rows = [(i, " ".join(blocks[b] for b in rng.permutation(12)[:8])) for i in range(80)]
+    rows += [(100 + i, " ".join(w if rng.random() > 0.02 else f"x{i}" for w in rows[i % 5][1].split())) for i in range(40)]
+    words = [f"w{i}" for i in range(400)]
+    rows += [(200 + i, " ".join(words[2 * i : 2 * i + 60])) for i in range(40)]
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    comp = {i: i for i in sets}
+    for _ in range(60):
+        comp = {i: min(comp[j] for j in sets if linked(sets[i], sets[j])) for i in sets}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for part in (5, 4096):
+        monkeypatch.setattr(ngram_join, "PART", part)
+        got = {r.doc_id: r.component_id for r in ngram_join.link_documents(df, links_counted=False).collect()}
+        assert got == comp
+    assert 10 < len(set(comp.values())) < 120
+
+
+def test_op1_never_compares_a_pair_twice(spark, monkeypatch):
+    seen = []
+    kept = ngram_join._measured
+    monkeypatch.setattr(ngram_join, "_measured", lambda pairs, sets: seen.extend((min(r.a, r.b), max(r.a, r.b)) for r in pairs.select("a", "b").collect()) or kept(pairs, sets))
+    rng = np.random.default_rng(2)
+    blocks = [" ".join(f"b{b}w{i}" for i in range(10)) for b in range(8)]
+    rows = [(i, " ".join(blocks[b] for b in rng.permutation(8)[:5])) for i in range(60)]
+    assert ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), links_counted=False).count() == 60
+    later = Counter(seen)
+    centres = 60
+    assert len(seen) > centres and sum(n - 1 for n in later.values()) <= centres  # two classes may be each other's centre
