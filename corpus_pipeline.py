@@ -12,22 +12,34 @@ from pyspark.sql import functions as F
 
 from docloom.llm import _shared, decontaminate, language_id, mixing, ngram_join, suffix_dedup
 
-#: A text that costs more bits a byte than this in every learned language is in none of them.
-MOST_BITS = 8.0
+#: A text is in none of the learned languages if even the best one's code is longer than so many bits a byte, by more than SLACK bits.
+MOST_BITS = 5.0
+SLACK = 128.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without letters, or that no language's model can shorten, go."""
-    known = language_id.identify(docs, language_id.fit(docs))
-    return known.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
+    """Documents in a learned language; those without letters, or whose code is too long in every language, go.
+
+    Null and empty texts have no letters. Rows are judged one by one, repeated ones and those without an id alike.
+    """
+    known = language_id.identify(docs.select(_shared.packed(docs.columns).alias("all"), "text"), language_id.fit(docs))
+    excess = (F.col("bits_per_byte") - MOST_BITS) * F.octet_length("text")
+    return known.where((F.col("lang_pred") != "und") & (excess <= SLACK)).select(*_shared.unpacked(docs.columns, "all"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id. Documents without an id stay."""
-    links = ngram_join.link_documents(docs.select("doc_id", "text"), links_counted=False)
-    first = links.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each group of linked documents, the one with the smallest id.
+
+    Documents without an id come behind all others, in the order of a hash of their texts, so a group keeps one of
+    them only if it has no other; ids from 2**62 are not used by others. Of repeated rows one stays. Texts without
+    words are linked with nothing.
+    """
+    id = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    rows = docs.select(_shared.packed(docs.columns).alias("all"), id.alias("id"), F.col("text"), F.xxhash64("text").alias("h"))
+    links = ngram_join.link_documents(rows.select("id", "text"), id="id", links_counted=False)
+    first = links.where("id = component_id").select("id").distinct()
+    kept = rows.drop("text").join(first, "id", "left_semi").dropDuplicates(["id", "h"])
+    return kept.select(*_shared.unpacked(docs.columns, "all"))
 
 
 def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
