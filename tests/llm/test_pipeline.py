@@ -101,13 +101,13 @@ def test_the_whole_pipeline_against_plain_versions(spark, tmp_path):
     assert all(r.n_chars == len(r.text) and 0 <= r.taken <= 3 * r.size for r in got.values())
     total = {}
     for r in got.values():
-        total.setdefault(r.target, []).append(r.taken - r.rate * r.size)
+        total.setdefault(r.source, []).append(r.taken - r.rate * r.size)
     assert len(total) == 4 and all(abs(sum(x)) <= max(r.size for r in got.values()) for x in total.values())
 
 
 def test_every_stage_takes_empty_tables_and_clashing_names(spark, tmp_path):
     shape = "doc_id long, text string, lang string, source string, n_chars long, id string, all string, h string, component_id string, spans string, bits_per_byte string"
-    docs = [(1, "one two three four five six", "en", "s", 1, *"abcdef"), (2, None, None, None, None, *"ghijkl"), (2, None, None, None, None, *"ghijkl")]
+    docs = [(1, "one two three four five six", "en", "s", 27, *"abcdef"), (2, None, None, None, None, *"ghijkl"), (2, None, None, None, None, *"ghijkl")]
     spark.createDataFrame([("b", "never seen words")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for rows in (docs, []):
         df = spark.createDataFrame(rows, shape)
