@@ -36,11 +36,11 @@ from docloom.llm import _shared, _text
 _FOLD = _text.LOWER.copy()
 _FOLD[48:58] = 48
 _FOLD[:33] = 32
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 #: So many entries of trees (some 14 bytes each) are broadcast together.
 MAX_ENTRIES = 8_000_000
 #: So many code lengths are held at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: The score is that of a text of so many bytes.
 SCORE_BYTES = 16
 #: So many languages are sent to every task; more are joined by key.
@@ -181,14 +181,15 @@ def block_code_lengths(block: Block, texts: pa.Array, order: int = 3) -> np.ndar
     for first, last in _text.blocks(lengths, _BLOCK):
         data, begin = _padded(texts.slice(first, last - first), order)
         sizes = np.diff(begin) - order
-        row = np.repeat(np.arange(first, last), sizes)
-        at = _text.ragged(begin[:-1], sizes)
-        wide = data.astype(np.uint32)
+        row = np.repeat(np.arange(first, last, dtype=np.int32), sizes)
         ending = np.zeros(len(data), np.uint32)  # what ends at each byte; contexts are at most three bytes
         for j in range(order + 1):
-            ending[j:] |= wide[: len(data) - j] << np.uint32(8 * j)
-        grams = ending[at]
-        for a in range(0, len(at), _BLOCK):  # a long text in pieces
+            ending[j:] |= data[: len(data) - j].astype(np.uint32) << np.uint32(8 * j)
+        of_text = np.ones(len(data), bool)
+        of_text[(begin[:-1, None] - np.arange(1, order + 1)).ravel()] = False
+        grams = ending[of_text]
+        del ending, data, of_text
+        for a in range(0, len(grams), _BLOCK):  # a long text in pieces
             which, distinct = pd.factorize(grams[a : a + _BLOCK])
             distinct = distinct.astype(np.int64)
             for u in range(0, len(distinct), step):
@@ -215,7 +216,7 @@ def _judge(sent):
         for batch in batches:
             n = batch.num_rows
             texts = batch.column("judged")
-            valid = texts.is_valid().to_numpy(zero_copy_only=False)
+            valid = batch.column("letters").to_numpy(zero_copy_only=False)
             bits = block_code_lengths(block, texts)
             size = np.diff(_text.flat(texts)[1])
             scale = np.minimum(size, SCORE_BYTES) / np.maximum(size, 1)
@@ -236,12 +237,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and bits_per_byte; columns of these names are replaced, columns of any other names are kept."""
     keep = _shared.others(docs, ["lang_pred", "score", "bits_per_byte"])
     t = _shared.column(text).cast("string")
+    # the text travels once: as what is judged, and back as itself
+    packed = [c for c in keep if c != text or docs.schema[text].dataType != T.StringType()]
     letters = F.coalesce(t.rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(_shared.packed(keep).alias("row"), F.when(letters, t).alias("judged"), F.lit(None).cast("string").alias("lang_pred"), F.lit(float("inf")).alias("bits"), F.lit(0.0).alias("odds"))
+    rows = docs.select(_shared.packed(packed).alias("row"), t.alias("judged"), letters.alias("letters"), F.lit(None).cast("string").alias("lang_pred"), F.lit(float("inf")).alias("bits"), F.lit(0.0).alias("odds"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
     for block in model.blocks:
         rows = rows.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(block)), schema)
     known = F.col("lang_pred").isNotNull()
     score = F.when(known, 1 / F.col("odds")).otherwise(0.0)
     per_byte = F.when(known, F.col("bits") / F.greatest(F.octet_length("judged"), F.lit(1))).otherwise(0.0)
-    return rows.select(*_shared.unpacked(keep), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"), per_byte.alias("bits_per_byte"))
+    own = dict(zip(packed, _shared.unpacked(packed), strict=True)) | ({} if text in packed else {text: F.col("judged").alias(text)})
+    return rows.select(*[own[c] for c in keep], F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"), per_byte.alias("bits_per_byte"))

@@ -48,7 +48,7 @@ from docloom.operators.components import connected_components
 FLUSH = 1 << 20
 BUCKETS_PER_PARTITION = 4
 #: To how many others a class is compared in each round over the lists that hold several components; at last to all.
-ROUNDS = (4, 64, None)
+ROUNDS = (8, None)
 #: Classes of a list, or of a part of a long one, that are looked at together.
 PART = 4096
 #: Classes of a component that are compared with as many others at once, shingles of one matrix, and shingles sent to one task call.

@@ -19,10 +19,6 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link_documents(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
-
-
-def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
@@ -74,7 +70,7 @@ def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
-    "op1_ngram_links": op1_ngram_links,
+    "op1_ngram_links": op1_ngram_jaccard,
     "op2_decontaminate": op2_decontaminate,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_nearest": op4_nearest,
@@ -91,15 +87,6 @@ _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
-    "op1_ngram_jaccard": rf"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_SPLIT.format(_LOWERED.format('text'))}, []) AS w FROM documents),
-s AS (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 2) END)) AS t(i)),
-n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
-c AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY ALL),
-l AS (SELECT c.a, c.b FROM c JOIN n x ON x.k = c.a JOIN n y ON y.k = c.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-r AS (SELECT k AS node, k AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
-m AS (SELECT node AS k, min(doc_id) AS component_id FROM r JOIN d ON d.k = r.root GROUP BY node)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (k) JOIN m USING (k)""",
     "op10_superkmer_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_SPLIT.format('text')}, []) AS w FROM documents),
 v AS (SELECT k, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 11, 1))) AS t(i)),
@@ -154,8 +141,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN f ON p.digest = f.digest""",
 }
 
-#: As the SQL above, with each document's links.
-ORACLES["op1_ngram_links"] = rf"""
+ORACLES["op1_ngram_jaccard"] = ORACLES["op1_ngram_links"] = rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_SPLIT.format(_LOWERED.format('text'))}, []) AS w FROM documents),
 s AS (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 2) END)) AS t(i)),
 n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
