@@ -22,9 +22,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and empty texts have no letters. Rows are judged one by one, repeated ones and those without an id alike.
     """
-    known = language_id.identify(docs.select(_shared.packed(docs.columns).alias("all"), "text"), language_id.fit(docs))
-    excess = (F.col("bits_per_byte") - MOST_BITS) * F.octet_length("text")
-    return known.where((F.col("lang_pred") != "und") & (excess <= SLACK)).select(*_shared.unpacked(docs.columns, "all"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # none of them is among what is added
+    text = names[docs.columns.index("text")]
+    known = language_id.identify(docs.toDF(*names), language_id.fit(docs), text)
+    excess = (F.col("bits_per_byte") - MOST_BITS) * F.octet_length(text)
+    return known.where((F.col("lang_pred") != "und") & (excess <= SLACK)).select(*names).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
