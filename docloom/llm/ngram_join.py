@@ -250,29 +250,27 @@ def _needed(a, b, percent: int):
 
 
 def _centres(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each class the first class of one of its lists that size and position allow, the one it shares most lists with."""
-    first = lists.groupBy("h").agg(F.min(F.struct("fp", "n", "pos")).alias("c"))
-    both = lists.join(first, "h").where("fp <> c.fp")
+    """a, b: for each class the first class (c) of one of its lists that size and position allow, the one it shares most lists with."""
     fits = F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos")) >= _needed(F.col("n"), F.col("c.n"), percent)
-    count = both.where(fits).groupBy(F.col("fp").alias("a"), F.col("c.fp").alias("b")).agg(F.count("*").alias("c"))
+    count = lists.where("fp <> c.fp").where(fits).groupBy(F.col("fp").alias("a"), F.col("c.fp").alias("b")).agg(F.count("*").alias("c"))
     return count.groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
 
 
-def _mixed(lists: DataFrame, comp: DataFrame, n_buckets: int) -> DataFrame:
-    """unit, side, fp, n, pos, comp, bucket: the lists that hold several components, long ones as pairs of parts."""
-    of = lists.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "n", "pos", "h", F.coalesce("component", "fp").alias("comp"))
-    several = of.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count("*") / PART).alias("parts")).where("x <> y").select("h", "parts")
-    dealt = of.join(several, "h").withColumn("p", F.pmod(F.xxhash64("fp"), "parts")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+def _units(lists: DataFrame, comp: DataFrame, n_buckets: int) -> DataFrame:
+    """The lists with the components of their classes, long ones as pairs of parts, dealt to buckets."""
+    of = lists.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("comp", F.coalesce("component", "fp"))
+    dealt = of.withColumn("p", F.pmod(F.xxhash64("fp"), "parts")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("p") == F.col("q"), 2).when(F.col("p") < F.col("q"), 0).otherwise(1)
     unit = F.xxhash64("h", F.least("p", "q"), F.greatest("p", "q"))
-    return dealt.select(unit.alias("unit"), side.alias("side"), "fp", "n", "pos", "comp").withColumn("bucket", F.pmod("unit", F.lit(n_buckets)).cast("int"))
+    return dealt.select(unit.alias("unit"), side.alias("side"), "fp", "n", "pos", "comp", "centre", "shared", "n_centre").withColumn("bucket", F.pmod("unit", F.lit(n_buckets)).cast("int"))
 
 
 def _across(percent: int, most: int | None):
     """Of some lists: pairs of classes in different components, from each class to at most ``most`` others.
 
     Which others is drawn from both fingerprints, so a class draws much the same ones in all its lists.
-    The largest component of a list draws none; the others draw from it.
+    The largest component of a list draws none; the others draw from it. ``links``: whether what both share with
+    one centre says that they link; what it refutes is left out.
     """
 
     def partners(size: int, place: int, sizes: np.ndarray, begin: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -285,10 +283,10 @@ def _across(percent: int, most: int | None):
         return _text.ragged(lo, np.maximum(hi - lo, 0))
 
     def run(table: pa.Table) -> pa.Table:
-        unit, side, fp, n, pos, comp = (table[c].to_numpy() for c in ("unit", "side", "fp", "n", "pos", "comp"))
+        unit, side, fp, n, pos, comp, centre, shared, n_centre = (table[c].to_numpy() for c in ("unit", "side", "fp", "n", "pos", "comp", "centre", "shared", "n_centre"))
         order = np.lexsort((pos, n, side, unit))
         draw = _text.mix(fp.astype(np.uint64))
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        left, right, told = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
         for a, b in _text.runs(unit[order]):
             rows = order[a:b]
             whole = side[rows[0]] == 2
@@ -304,13 +302,18 @@ def _across(percent: int, most: int | None):
             for i in asked.tolist():
                 j = others[partners(int(n[i]), int(pos[i]), sizes, begin, key)]
                 j = j[comp[j] != comp[i]]
+                # sets with one centre share at most what they share of it and have outside it, and at least what it cannot hold twice
+                same, needed = (centre[j] == centre[i]) & (centre[j] != 0), _needed(n[i], n[j], percent)
+                at_most = np.minimum(shared[j], shared[i]) + np.minimum(n[j] - shared[j], n[i] - shared[i])
+                j = j[~same | (at_most >= needed)]
                 if most is not None and len(j) > most:
                     j = j[np.argpartition(_text.mix(draw[j] ^ fp[i].astype(np.uint64)), most)[:most]]
                 left.append(np.full(len(j), fp[i]))
                 right.append(fp[j])
+                told.append((centre[j] == centre[i]) & (centre[j] != 0) & (shared[j] + shared[i] - n_centre[i] >= _needed(n[i], n[j], percent)))
         l, r = np.concatenate(left), np.concatenate(right)
-        pair = np.unique(np.stack([np.minimum(l, r), np.maximum(l, r)]), axis=1)
-        return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+        pair, first = np.unique(np.stack([np.minimum(l, r), np.maximum(l, r)]), axis=1, return_index=True)
+        return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1]), "links": pa.array(np.concatenate(told)[first])})
 
     return run
 
@@ -322,20 +325,6 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("shared"))
 
 
-def _derived(pairs: DataFrame, centred: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with links: true or false where what both share with one centre decides it, else null.
-
-    ``centred``: fp, n, centre, shared, n_centre.
-    """
-    of = lambda side: centred.select(F.col("fp").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "centre", "shared", "n_centre")])
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    needed = _needed(F.col("n_a"), F.col("n_b"), percent)
-    least = F.col("shared_a") + F.col("shared_b") - F.col("n_centre_a")
-    most = F.least("shared_a", "shared_b") + F.least(F.col("n_a") - F.col("shared_a"), F.col("n_b") - F.col("shared_b"))
-    same = F.col("centre_a") == F.col("centre_b")
-    return both.select("a", "b", F.when(same & (least >= needed), True).when(same & (most < needed), False).alias("links"))
-
-
 def _overlaps(values: np.ndarray, count: np.ndarray, k: int, own: bool) -> np.ndarray:
     """How many values each of the first ``k`` sets shares with each of the others, or with each of all sets if ``own``."""
     row = np.repeat(np.arange(len(count)), count)
@@ -419,14 +408,18 @@ def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     lists = sets.where(prefix > 0).select("fp", "n", "alone", F.posexplode(F.slice("h", F.lit(1), prefix)).alias("i", "h")).select("fp", "n", (F.col("alone") + F.col("i")).alias("pos"), "h")
     links_of = lambda m: m.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = lists.groupBy("h").agg(F.min(F.struct("fp", "n", "pos")).alias("c"), F.ceil(F.count("*") / PART).alias("parts"))
+    lists = _shared.cut(lists.join(first, "h"))
     best = _shared.cut(_measured(_centres(lists, percent), sets))
     links, tried = links_of(best), ordered(best)
-    centred = best.select(F.col("a").alias("fp"), F.col("na").alias("n"), F.col("b").alias("centre"), "shared", F.col("nb").alias("n_centre"))
+    centred = best.select(F.col("a").alias("fp"), F.col("b").alias("centre"), F.col("shared").cast("long").alias("shared"), F.col("nb").alias("n_centre"))
+    zero = F.lit(0).cast("long")  # no centre
+    lists = _shared.cut(lists.drop("c").join(centred, "fp", "left").withColumns({x: F.coalesce(x, zero) for x in ("centre", "shared", "n_centre")}))
     comp = connected_components(links)
     for most in ROUNDS:
-        pairs = _mixed(lists, comp, n_buckets).groupBy("bucket").applyInArrow(_across(percent, most), "a long, b long").distinct()
-        told = _shared.cut(_derived(pairs.join(tried, ["a", "b"], "left_anti"), centred, percent))
-        more = _shared.cut(links_of(_measured(told.where("links IS NULL"), sets)).union(told.where("links").select("a", "b")))
+        pairs = _units(lists, comp, n_buckets).groupBy("bucket").applyInArrow(_across(percent, most), "a long, b long, links boolean").distinct()
+        told = _shared.cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = _shared.cut(links_of(_measured(told.where("NOT links"), sets)).union(told.where("links").select("a", "b")))
         if not more.isEmpty():
             links = links.union(more)
             comp = connected_components(links)
