@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     ``rounds`` do not suffice.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = reliable(pairs.union(pairs.select("v", "u")).distinct())
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = reliable(pairs.select(F.inline(ways)).distinct())
     tasks = max(8, both.count() // EDGES_PER_TASK)
     both = both.coalesce(tasks)
     label = reliable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).coalesce(tasks))
