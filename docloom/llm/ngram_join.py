@@ -55,6 +55,8 @@ PART = 4096
 BLOCK = 256
 COLUMNS = 8192
 SENT = 1 << 19
+#: Rows of narrow tables that one task reads; small tables are read by few tasks.
+ROWS_PER_TASK = 200_000
 _U = np.uint64
 
 
@@ -242,6 +244,12 @@ def _gathered(percent: int):
     return run
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The same narrow rows without lineage, read by as many tasks as they need."""
+    out = _shared.cut(df)
+    return out.coalesce(max(8, out.count() // ROWS_PER_TASK))
+
+
 def _needed(a, b, percent: int):
     """How many shingles sets of these sizes (numbers, arrays or columns) must share: 100 * i >= percent * (a + b - i)."""
     if isinstance(b, Column):
@@ -270,7 +278,8 @@ def _across(percent: int, most: int | None):
 
     Which others is drawn from both fingerprints, so a class draws much the same ones in all its lists.
     The largest component of a list draws none; the others draw from it. ``links``: whether what both share with
-    one centre says that they link; what it refutes is left out.
+    one centre says that they link; what it refutes is left out. One row more, without ``links``, says that a
+    class had more others; where there is none, no later round can add a link.
     """
 
     def partners(size: int, place: int, sizes: np.ndarray, begin: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -286,6 +295,7 @@ def _across(percent: int, most: int | None):
         unit, side, fp, n, pos, comp, centre, shared, n_centre = (table[c].to_numpy() for c in ("unit", "side", "fp", "n", "pos", "comp", "centre", "shared", "n_centre"))
         order = np.lexsort((pos, n, side, unit))
         draw = _text.mix(fp.astype(np.uint64))
+        more = False
         left, right, told = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
         for a, b in _text.runs(unit[order]):
             rows = order[a:b]
@@ -307,22 +317,25 @@ def _across(percent: int, most: int | None):
                 at_most = np.minimum(shared[j], shared[i]) + np.minimum(n[j] - shared[j], n[i] - shared[i])
                 j = j[~same | (at_most >= needed)]
                 if most is not None and len(j) > most:
+                    more = True
                     j = j[np.argpartition(_text.mix(draw[j] ^ fp[i].astype(np.uint64)), most)[:most]]
                 left.append(np.full(len(j), fp[i]))
                 right.append(fp[j])
                 told.append((centre[j] == centre[i]) & (centre[j] != 0) & (shared[j] + shared[i] - n_centre[i] >= _needed(n[i], n[j], percent)))
         l, r = np.concatenate(left), np.concatenate(right)
         pair, first = np.unique(np.stack([np.minimum(l, r), np.maximum(l, r)]), axis=1, return_index=True)
-        return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1]), "links": pa.array(np.concatenate(told)[first])})
+        a, b, links = [*pair[0].tolist(), *[0] * more], [*pair[1].tolist(), *[0] * more], [*np.concatenate(told)[first].tolist(), *[None] * more]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.bool_())})
 
     return run
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, shared: how many shingles each pair shares. Each side's set is fetched by a join that splits a hot class."""
-    left = sets.select(F.col("fp").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na"))
-    right = sets.select(F.col("fp").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("shared"))
+    """a, b, na, nb, shared: how many shingles each pair shares. Sets are fetched for both ends by one join, which splits a hot class."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+    size = lambda end: F.max(F.when(F.col("fp") == F.col(end), F.col("n")))
+    both = ends.join(sets.select("fp", "n", "h"), "fp").groupBy("a", "b").agg(size("a").alias("na"), size("b").alias("nb"), F.collect_list("h").alias("h"))
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect(F.col("h")[0], F.col("h")[1])).alias("shared"))
 
 
 def _overlaps(values: np.ndarray, count: np.ndarray, k: int, own: bool) -> np.ndarray:
@@ -374,21 +387,24 @@ def _link_counts(comp: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     """fp, linked: how many documents of other classes each class (fp, docs) links with, by all pairs of its component."""
     # sizes of linked classes are in one band or in bands side by side
     width = math.log(max(100 / percent, 1.01)) * (1 + 1e-9)
-    nodes = comp.join(classes.groupBy("fp").agg(F.sum("docs").alias("docs")), "fp").join(sets.select("fp", "n", "h"), "fp")
-    nodes = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
-    sizes = _shared.cut(nodes.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.sum(F.size("h")).alias("mass")))
+    size = sets.select("fp", "n", F.size("h").alias("held"))
+    nodes = comp.join(classes.groupBy("fp").agg(F.sum("docs").alias("docs")), "fp").join(size, "fp")
+    nodes = _kept(nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width)))
+    sizes = _kept(nodes.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.sum("held").alias("mass")))
     blocks = sizes.select("component", "band", "mass", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
-    left = blocks.select("component", "band", "p", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2"))
-    right = blocks.select("component", F.col("band").alias("band2"), F.col("p").alias("p2"))
+    blocks = blocks.select("component", "band", "p", (F.col("mass") / F.col("parts")).alias("each"))
+    left = blocks.select("component", "band", "p", "each", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2"))
+    right = blocks.select("component", F.col("band").alias("band2"), F.col("p").alias("p2"), F.col("each").alias("each2"))
     pairs = left.join(right, ["component", "band2"]).where("band < band2 OR p <= p2").withColumn("unit", F.xxhash64("component", "band", "p", "band2", "p2"))
     own = F.col("band").eqNullSafe(F.col("band2")) & (F.col("p") == F.col("p2"))
-    one = pairs.select("unit", "component", "band", "p", F.when(own, 2).otherwise(0).alias("side"))
-    other = pairs.where(~own).select("unit", "component", F.col("band2").alias("band"), F.col("p2").alias("p"), F.lit(1).alias("side"))
-    sides = _shared.cut(one.union(other))
-    mass = sides.join(sizes, ["component", "band"]).agg(F.sum(F.col("mass") / F.col("parts"))).first()[0] or 0
+    one = pairs.select("unit", "component", "band", "p", F.when(own, 2).otherwise(0).alias("side"), "each")
+    other = pairs.where(~own).select("unit", "component", F.col("band2").alias("band"), F.col("p2").alias("p"), F.lit(1).alias("side"), F.col("each2").alias("each"))
+    sides = _kept(one.union(other))
+    mass = sides.agg(F.sum("each")).first()[0] or 0
     tasks = max(16, math.ceil(mass / SENT))
     placed = nodes.join(sizes.select("component", "band", "parts"), ["component", "band"]).withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts"))).drop("parts")
-    dealt = placed.join(sides, ["component", "band", "p"]).select(F.pmod("unit", F.lit(tasks)).cast("int").alias("bucket"), "unit", "side", "fp", "n", "docs", "h")
+    dealt = placed.join(sides.drop("each"), ["component", "band", "p"]).select(F.pmod("unit", F.lit(tasks)).cast("int").alias("bucket"), "unit", "side", "fp", "n", "docs")
+    dealt = dealt.join(sets.select("fp", "h"), "fp").select("bucket", "unit", "side", "fp", "n", "docs", "h")
     return dealt.groupBy("bucket").applyInArrow(_counted(percent), "fp long, linked long").groupBy("fp").agg(F.sum("linked").alias("linked"))
 
 
@@ -409,24 +425,28 @@ def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
     links_of = lambda m: m.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = lists.groupBy("h").agg(F.min(F.struct("fp", "n", "pos")).alias("c"), F.ceil(F.count("*") / PART).alias("parts"))
-    lists = _shared.cut(lists.join(first, "h"))
-    best = _shared.cut(_measured(_centres(lists, percent), sets))
-    links, tried = links_of(best), ordered(best)
+    lists = _kept(lists.join(first, "h"))
+    best = _kept(_measured(_centres(lists, percent), sets))
+    tried = ordered(best)
     centred = best.select(F.col("a").alias("fp"), F.col("b").alias("centre"), F.col("shared").cast("long").alias("shared"), F.col("nb").alias("n_centre"))
     zero = F.lit(0).cast("long")  # no centre
-    lists = _shared.cut(lists.drop("c").join(centred, "fp", "left").withColumns({x: F.coalesce(x, zero) for x in ("centre", "shared", "n_centre")}))
-    comp = connected_components(links)
+    lists = _kept(lists.drop("c").join(centred, "fp", "left").withColumns({x: F.coalesce(x, zero) for x in ("centre", "shared", "n_centre")}))
+    comp = connected_components(links_of(best))
     for most in ROUNDS:
-        pairs = _units(lists, comp, n_buckets).groupBy("bucket").applyInArrow(_across(percent, most), "a long, b long, links boolean").distinct()
-        told = _shared.cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = _shared.cut(links_of(_measured(told.where("NOT links"), sets)).union(told.where("links").select("a", "b")))
+        pairs = _units(lists, comp, n_buckets).groupBy("bucket").applyInArrow(_across(percent, most), "a long, b long, links boolean")
+        known = pairs.withColumn("old", F.lit(False)).union(tried.select("a", "b", F.lit(False).alias("links"), F.lit(True).alias("old")))
+        told = _kept(known.groupBy("a", "b").agg(F.max("links").alias("links"), F.max("old").alias("old")).where("NOT old").select("a", "b", "links"))
+        more = _kept(links_of(_measured(told.where("NOT links"), sets)).union(told.where("links").select("a", "b")))
         if not more.isEmpty():
-            links = links.union(more)
-            comp = connected_components(links)
-        tried = tried.union(told.select("a", "b"))
+            # every class beside its component's name connects what the links so far connect
+            comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        if told.where("links IS NULL").isEmpty():
+            break
+        tried = tried.union(told.where("links IS NOT NULL").select("a", "b"))
     comp = comp.withColumnRenamed("node", "fp")
     # one small row for each class before components are named
-    classes = members.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc").alias("least"), F.count("*").alias("docs")).join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = members.where("n > 0").groupBy("fp", "fp2").agg(F.min("doc").alias("least"), F.count("*").alias("docs"))
+    classes = _kept(classes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("fp", "fp2", "component_id", "docs")
     n_links = []
