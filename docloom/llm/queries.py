@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import _shared, ann, chat, decontaminate, language_id, mixing, ngram_join, suffix_dedup, superkmer_dedup, url_filter, warc
+from docloom.llm import _shared, ann, chat, decontaminate, language_id, lexical_search, mixing, ngram_join, pii_spans, suffix_dedup, superkmer_dedup, token_alignment, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,22 @@ def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer_dedup.remove_repeated_words(docs, with_text=False).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_documents(docs).select("doc_id", *token_alignment.MEASURES, "n_best", "count_sum", "groups_sha256")
+
+
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_spans.find_private(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii_spans.BASE_KINDS))
+    counts = [pii_spans.count_of(F.col("spans"), k).alias(f"n_{k}") for k in pii_spans.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii_spans.listed(base), 256).alias("base_sha256"), pii_spans.listed(F.col("spans")).alias("spans"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op1_ngram_links": op1_ngram_jaccard,
@@ -80,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_warc": op9_warc,
     "op10_superkmer_dedup": op10_superkmer_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_pii_spans": op12_pii_spans,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,6 +158,17 @@ SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to, 'ok' AS status
 FROM p LEFT JOIN f ON p.digest = f.digest""",
+    "op13_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all({_LOWERED.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term, n_docs),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWERED.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+m AS (SELECT k, doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM d, s),
+c AS (SELECT q, item_id, doc_id, k, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM t JOIN f USING (term) JOIN i USING (term) JOIN m USING (k) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
 
 ORACLES["op1_ngram_jaccard"] = ORACLES["op1_ngram_links"] = rf"""
