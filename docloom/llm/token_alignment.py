@@ -40,6 +40,7 @@ MAX_PAIRS = 500_000
 #: A worker keeps the ids of stretches up to so many bytes; those beyond are tokenised in each block anew.
 MAX_KEPT = 96 << 20
 _BLOCK = 1 << 21
+_COMMA, _BAR, _SEMICOLON = b",|;"
 
 #: A space behind white space: such a text is cut by _CUT instead of at every space.
 _LONG_GAP = re.compile(r"\s ")
@@ -62,7 +63,7 @@ class Aligned:
     """A block of texts: rows of n_a, n_b, n_groups, n_links; groups; distinct pairs (a * B's size + b) and the links of each, by text."""
 
     counts: np.ndarray
-    groups: list[str]
+    groups: list[bytes]
     held: np.ndarray
     pairs: np.ndarray
     times: np.ndarray
@@ -111,7 +112,6 @@ class Aligner:
         if [vocabulary.get("".join(m)) for m in merges] == list(range(256, 256 + len(merges))):
             # ids in the order of the merges: the same vocabulary as ranks
             self.quick = tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks={decoded[i]: i for i in range(256 + len(merges))}, special_tokens={})
-        self.text_of = [str(i) + c for i in range(len(self.bytes_a)) for c in ",|"] + [str(i) + c for i in range(self.size_b) for c in ",;\n"]
         self.number: dict[str, int] = {}
         self.known, self.kept = _Known(), 0
 
@@ -192,19 +192,34 @@ class Aligner:
         counts = np.stack([n_a, n_b, np.bincount(row_a[common], minlength=n), np.bincount(row_a, links, n).astype(np.int64)], axis=1)
         return Aligned(counts, self._listed(a, b, n_a, n_b, common, over), np.bincount(key // per_text, minlength=n), key % per_text, times)
 
-    def _listed(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, common: np.ndarray, over: np.ndarray) -> list[str]:
+    def _listed(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, common: np.ndarray, over: np.ndarray) -> list[bytes]:
         """The groups of each text, from the tokens of all texts in a row."""
         last_a, last_b = common, np.zeros(len(b), bool)
         last_b[over[common]] = True
         upto_a, upto_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-        codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]] = 2 * a + last_a
-        ends = last_b.astype(np.int64)
-        ends[np.cumsum(n_b)[n_b > 0] - 1] = 2
-        codes[np.arange(len(b)) + upto_a[group_b]] = 2 * len(self.bytes_a) + 3 * b + ends
-        lines = iter("".join(map(self.text_of.__getitem__, codes.tolist())).split("\n"))
-        return [next(lines) if x else "" for x in n_a.tolist()]
+        ids, mark = np.empty(len(a) + len(b), np.int32), np.empty(len(a) + len(b), np.uint8)
+        to = np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]
+        ids[to], mark[to] = a, np.where(last_a, _BAR, _COMMA)
+        to = np.arange(len(b)) + upto_a[group_b]
+        ids[to], mark[to] = b, np.where(last_b, _SEMICOLON, _COMMA)
+        size = 2 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 9))
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        out[ends - 1] = mark
+        left, at = ids, ends - 2
+        while len(left):
+            out[at] = 48 + left % 10
+            more = left >= 10
+            left, at = left[more] // 10, at[more] - 1
+        # a text's last separator is left out
+        stop = np.concatenate([[0], ends])[np.cumsum(n_a + n_b)].tolist()
+        raw, begin = out.tobytes(), 0
+        lines = []
+        for end in stop:
+            lines.append(raw[begin : max(begin, end - 1)])
+            begin = end
+        return lines
 
 
 @lru_cache(maxsize=1)
@@ -226,8 +241,8 @@ def _measured(files, with_groups: bool):
                 part = batch.slice(first, last - first)
                 done = aligner.measure(part.column("text").to_pylist())
                 cols = [part.column("key"), part.column("copies"), *[pa.array(c) for c in done.counts.T]]
-                cols.append(pa.array(done.groups if with_groups else [None] * len(done.groups), pa.string()))
-                cols.append(pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in done.groups], pa.string()))
+                cols.append(pa.array([g.decode() for g in done.groups] if with_groups else [None] * len(done.groups), pa.string()))
+                cols.append(pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in done.groups], pa.string()))
                 held = pa.array(np.concatenate([[0], np.cumsum(done.held)]).astype(np.int32))
                 cols += [pa.ListArray.from_arrays(held, pa.array(x)) for x in (done.pairs, done.times.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names)
