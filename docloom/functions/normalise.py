@@ -6,7 +6,7 @@ throughout this library.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +47,11 @@ def _fold(c: Column, alefs: str, ya: bool = True) -> Column:
     return F.translate(c, alefs + ("ى" if ya else ""), "ا" * len(alefs) + ("ي" if ya else ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for each row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm_search(c: Column | str) -> Column:
     """For the search index: ASCII digits, no marks, one alef, ya and ha, lower case, single spaces."""
     s = _sub(F.translate(text(c), ARABIC_DIGITS, DIGITS), MARKS_AND_DIGITS)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions import pii, quality
+from docloom.functions import known_values, pii, quality
 from docloom.functions import normalise as N
 from docloom.operators.components import reliable
 
@@ -155,30 +155,41 @@ def budget_cutoff(rows: DataFrame, budget: float, order: str = "seq", cost: str
 
 
 #: So many known values are looked for in one pass over the texts.
-LEAK_VALUES = 10_000
+LEAK_VALUES = 50_000
+
+
+def _value_blocks(values: DataFrame) -> list[known_values.KnownValues]:
+    """Prepared values in blocks of about LEAK_VALUES."""
+    values = reliable(values.select("value").where("value is not null").distinct())
+    blocks = max(1, -(-values.count() // LEAK_VALUES))
+    return [known_values.prepare(values.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k)) for k in range(blocks)]
 
 
 def known_value_leaks(docs: DataFrame, values: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, passed, hits, leaked: the leak gate with one list of values for all texts.
 
-    ``values`` (column value) are sent in blocks of at most LEAK_VALUES, each a pass over the texts; results
-    of several blocks are put together by id. Values whose letters do not occur in a text, with white space
-    and marks gone, are not scanned with patterns; these find no others.
+    ``values`` (column value) are sent in blocks of about LEAK_VALUES, each an automaton and a pass over the texts;
+    results of several blocks are put together by id. Only values that the automaton finds are scanned with patterns.
     """
-    values = reliable(values.select("value").where("value is not null").distinct())
-    blocks = max(1, -(-values.count() // LEAK_VALUES))
-    flat = N.collapse_leak(text)
-    near = F.filter("values", lambda v: F.exists(pii.name_variants(F.trim(v)), lambda x: F.contains(flat, N.collapse_leak(x))))
-    scans = []
-    for k in range(blocks):
-        block = values.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k).agg(F.array_sort(F.collect_list("value")).alias("values"))
-        scans.append(docs.select(id, text).crossJoin(F.broadcast(block)).select(id, pii.leak_scan(text, near).alias("r")))  # one row of bounded size
-    if blocks == 1:
+    scans = [docs.select(id, known_values.leak_scan_known(text, known).alias("r")) for known in _value_blocks(values)]
+    if len(scans) == 1:
         return scans[0].select(id, "r.passed", "r.hits", "r.leaked")
     every = reduce(DataFrame.unionByName, scans)
     return every.groupBy(id).agg(F.bool_and("r.passed").alias("passed"), F.sum("r.hits").cast("int").alias("hits"), F.array_sort(F.flatten(F.collect_list("r.leaked"))).alias("leaked"))
 
 
+def redact_known_values(docs: DataFrame, values: DataFrame, text: str = "text", token: str = pii.TOKEN) -> DataFrame:
+    """``docs`` with its text redacted with one list of values for all texts, replaced (the values found) and hits.
+
+    Blocks of values are redacted one after the other, so of values in different blocks a shorter one may go first.
+    """
+    for i, known in enumerate(_value_blocks(values)):
+        r = docs.withColumn("_r", known_values.redact_known(text, known, token))
+        before = (F.concat("replaced", "_r.replaced"), F.col("hits") + F.col("_r.hits")) if i else (F.col("_r.replaced"), F.col("_r.hits"))
+        docs = r.withColumns({text: F.col("_r.text"), "replaced": before[0], "hits": before[1]}).drop("_r")
+    return docs
+
+
 def seeded_sample(docs: DataFrame, n: int, seed: int, id: str = "doc_id") -> DataFrame:
     """A reproducible draw of ``n`` rows, in the order of ids."""
     return docs.orderBy(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit(str(seed)))), id).limit(n).orderBy(id)

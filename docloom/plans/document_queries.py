@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import known_values as K
 from docloom.functions import normalise as N
 from docloom.functions import pii as P
 from docloom.functions import quality as Q
@@ -46,13 +47,14 @@ g AS (SELECT source, hits, CASE WHEN dirty THEN 'leak' WHEN {unreadable('0.15')}
 SELECT source, count(*) AS documents, count(*) FILTER (reason = '') AS delivered, count(*) FILTER (reason = 'leak') AS held_leak, count(*) FILTER (reason = 'poor-ocr') AS held_poor_ocr, count(*) FILTER (reason = 'empty') AS held_empty, sum(hits)::BIGINT AS removed FROM g GROUP BY source""")
 def _(docs: DataFrame, known: DataFrame, done: DataFrame) -> DataFrame:
     """Copies dropped, personal data redacted by name and by pattern, what is delivered scanned again: totals by source."""
-    names = F.array(F.lit(_NAME))
+    names = K.prepare(docs.sparkSession.createDataFrame([(_NAME,)], "value string"))
     kept = D.split_copies(docs, known, done).where(~F.col("is_copy"))
-    named = kept.select("source", P.redact_names("text", names).alias("n"))
-    sent = named.select("source", F.col("n.hits").alias("n"), P.redact_structured("n.text").alias("r")).select("source", (F.col("n") + F.col("r.hits")).alias("hits"), "r.text")
-    leaks = P.leak_scan("text", names)["hits"] + F.size(P.pii_gate("text"))
-    reason = Q.release_gate(leaks, Q.ocr_garbled("text"), Q.visible_chars("text"), F.lit(1))
-    held = sent.select("source", "hits", reason.alias("reason"))
+    named = kept.select("source", K.redact_known("text", names).alias("n"))
+    sent = named.select("source", F.col("n.hits").alias("n"), P.redact_structured("n.text").alias("r"))
+    checked = sent.select("source", (F.col("n") + F.col("r.hits")).alias("hits"), K.with_candidates("r.text", names).alias("c"))
+    leaks = K.leaks_of(F.col("c"))["hits"] + F.size(P.pii_gate("c.text"))
+    reason = Q.release_gate(leaks, Q.ocr_garbled("c.text"), Q.visible_chars("c.text"), F.lit(1))
+    held = checked.select("source", "hits", reason.alias("reason"))
     of = lambda r, name: F.count_if(F.col("reason") == r).alias(name)
     return held.groupBy("source").agg(F.count("*").alias("documents"), of("", "delivered"), of("leak", "held_leak"), of("poor-ocr", "held_poor_ocr"), of("empty", "held_empty"), F.sum("hits").alias("removed"))
 
@@ -185,8 +187,10 @@ def _quoted(v: str) -> str:
 @query("redact_names", ["rulings"], f"SELECT doc_id, {_by_kind([k[2] for k in _WITH_NAMES])} AS hits, sha256(text || {_by_kind([k[1] for k in _WITH_NAMES], _quoted)}) AS digest, {_by_kind([k[3] for k in _WITH_NAMES])} AS unmatched FROM rulings")
 def _(r: DataFrame) -> DataFrame:
     kind = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in _WITH_NAMES]), (F.col("doc_id") % 4 + 1).cast("int"))
-    named = r.select("doc_id", P.redact_names(F.concat("text", kind(0)), F.array(*[F.lit(n) for n in _NAMES])).alias("r"))
-    return named.select("doc_id", "r.hits", F.sha2("r.text", 256).alias("digest"), F.array_join(F.array_sort("r.unmatched"), "|").alias("unmatched"))
+    known = K.prepare(r.sparkSession.createDataFrame([(n,) for n in _NAMES], "value string"))
+    named = r.select("doc_id", K.redact_known(F.concat("text", kind(0)), known).alias("r"))
+    unmatched = F.array_except(F.array(*[F.lit(n) for n in _NAMES]), "r.replaced")
+    return named.select("doc_id", "r.hits", F.sha2("r.text", 256).alias("digest"), F.array_join(F.array_sort(unmatched), "|").alias("unmatched"))
 
 
 @query("redact_document", ["conversations"])
