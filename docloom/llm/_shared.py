@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.operators.components import reliable as cut
 from docloom.operators.components import shared_dir
 
-__all__ = ["column", "cut", "input_partitions", "others", "packed", "scratch", "shared_dir", "unpacked", "written"]
+__all__ = ["column", "cut", "input_partitions", "null_last", "others", "packed", "scratch", "shared_dir", "unpacked", "written"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -50,3 +50,20 @@ def packed(names: list[str]) -> Column:
 def unpacked(names: list[str], row: str = "row") -> list[Column]:
     """The packed columns under their own names."""
     return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(names)]
+
+
+def null_last(df: DataFrame, id: str) -> tuple[Column, Callable[[Column], Column]]:
+    """A column without nulls in the order of the long ``id``, null as the largest long; and how to get the id back.
+
+    Only where the largest long is an id itself, the ids above one that no row has move down by one.
+    """
+    none = F.lit((1 << 63) - 1)
+    number = column(id).cast("long")
+    lowest, highest = df.agg(F.min(number), F.max(number)).first()
+    if highest != (1 << 63) - 1:
+        return F.coalesce(number, none), lambda c: F.nullif(c, none)
+    free = -(1 << 63)
+    while lowest == -(1 << 63) and not df.where(number == free).isEmpty():
+        free = (free * 6364136223846793005 + 1442695040888963407) % (1 << 64) - (1 << 63)
+    moved = F.when(number > free, number - 1).otherwise(number)
+    return F.coalesce(moved, none), lambda c: F.when(c != none, F.when(c >= free, c + 1).otherwise(c))

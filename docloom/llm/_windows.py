@@ -33,8 +33,6 @@ from pyspark.sql import types as T
 
 from docloom.llm import _packed, _shared, _text
 
-#: A null id, as a number.
-NO_ID = (1 << 63) - 1
 #: A minimiser of more documents is hot.
 HOT = 20_000
 #: Strings of about so many bytes are settled and sent together.
@@ -429,7 +427,7 @@ def remove_repeats(docs: DataFrame, id: str, text: str, n: int, k: int, covered:
     added = ["n_units", "n_removed", "n_spans", "kept_sha256"]
     parts = _shared.input_partitions(docs)
     n_buckets, n_groups = BUCKETS_PER_PARTITION * parts, GROUPS_PER_PARTITION * parts
-    body, number = _shared.column(text).cast("string"), F.coalesce(_shared.column(id).cast("long"), F.lit(NO_ID))
+    body, (number, _) = _shared.column(text).cast("string"), _shared.null_last(docs, id)
     key = F.xxhash64(number, body)
     strings = word_strings if by_words else byte_strings
     kept_columns = [c for c in _shared.others(docs, added) if c != text]

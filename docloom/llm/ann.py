@@ -37,7 +37,7 @@ PIVOTS = 1024
 #: Rounds end with one that changes less than this share of all neighbours.
 SETTLED = 0.001
 
-_FOUND = (np.int64, np.int64, np.float32)
+_FOUND = (np.int64, np.int64, np.float64)
 
 
 def _dest(ids: np.ndarray, groups: int) -> np.ndarray:
@@ -66,16 +66,20 @@ def _sent(u: np.ndarray, c: np.ndarray, s: np.ndarray, groups: int) -> pa.Table:
     return pa.table([pa.array([int(dest[a]) for a, _ in runs], pa.int32()), pa.array([pack(u[a:b], c[a:b], s[a:b]) for a, b in runs], pa.binary())], ["dest", "blob"])
 
 
-def _matrix(codes: pa.ChunkedArray) -> np.ndarray:
-    """Codes (a scale and components in eight bits) as rows of numbers."""
+def _matrix(codes: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (a scale and components in eight bits) as rows of numbers, and the scales.
+
+    A vector's own scale does not change the order of its neighbours, so products take the other side's scale only;
+    each vector has its own, so that large vectors do not cost small ones their digits.
+    """
     raw, _ = _text.flat(codes)
     rows = raw.reshape(len(codes), -1)
-    scale = np.ascontiguousarray(rows[:, :4]).view(np.float32)
-    return np.ascontiguousarray(rows[:, 4:]).view(np.int8).astype(np.float32) * scale
+    scale = np.ascontiguousarray(rows[:, :8]).view(np.float64)[:, 0]
+    return np.ascontiguousarray(rows[:, 8:]).view(np.int8).astype(np.float32), scale
 
 
 def _coded(dims: int, tables: int, bits: int, unit: float):
-    """rep, code (of the vector in multiples of ``unit``, so that no component overflows) and cells of each vector."""
+    """rep, code (its scale in multiples of ``unit``, the largest component, so that no product overflows) and cells of each vector."""
     planes = np.random.default_rng(7).standard_normal((tables, dims, max(bits, 1))).astype(np.float32)
 
     def run(batches):
@@ -83,10 +87,11 @@ def _coded(dims: int, tables: int, bits: int, unit: float):
             if not batch.num_rows:
                 continue
             x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, dims)
-            x = (x.astype(np.float64) / unit).astype(np.float32)
-            scale = np.maximum(np.abs(x).max(1), 1e-30) / 127
-            q = np.rint(x / scale[:, None]).astype(np.int8)
-            raw = np.concatenate([scale.astype(np.float32)[:, None].view(np.uint8), q.view(np.uint8)], 1)
+            x = x.astype(np.float64)
+            largest = np.abs(x).max(1)
+            x = (x / largest[:, None]).astype(np.float32)
+            scale = np.maximum(largest / unit, 1e-300)
+            raw = np.concatenate([scale[:, None].view(np.uint8), np.rint(x * 127).astype(np.int8).view(np.uint8)], 1)
             cells = np.stack([((x @ p) > 0) @ (1 << np.arange(p.shape[1])) if bits else np.zeros(len(x), np.int64) for p in planes], 1).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(cells.ravel()))
             yield pa.record_batch([batch.column("rep"), pa.array([r.tobytes() for r in raw], pa.binary()), lists], ["rep", "code", "cells"])
@@ -97,11 +102,11 @@ def _coded(dims: int, tables: int, bits: int, unit: float):
 def _compare_cell(degree: int, groups: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table["rep"].to_numpy()
-        x = _matrix(table["code"])
-        us, cs, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        x, scale = _matrix(table["code"])
+        us, cs, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         k = min(degree, len(ids) - 1)
         for a in range(0, len(ids) if k > 0 else 0, 1024):
-            s = x[a : a + 1024] @ x.T
+            s = (x[a : a + 1024] @ x.T) * scale
             s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
             at = np.argpartition(-s, k - 1, axis=1)[:, :k]
             us.append(np.repeat(ids[a : a + 1024], k))
@@ -148,14 +153,14 @@ def _local_join(degree: int, groups: int):
     def run(table: pa.Table) -> pa.Table:
         pivot, member, least = (table[c].to_numpy() for c in ("pivot", "member", "least"))
         order = np.lexsort((member, pivot))
-        x = _matrix(table["code"])[order]
+        x, scale = (c[order] for c in _matrix(table["code"]))
         pivot, member, least = pivot[order], member[order], least[order]
         new = np.ones(len(pivot), bool)
         new[1:] = (pivot[1:] != pivot[:-1]) | (member[1:] != member[:-1])
-        x, pivot, member, least = x[new], pivot[new], member[new], least[new]
-        us, cs, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+        x, scale, pivot, member, least = x[new], scale[new], pivot[new], member[new], least[new]
+        us, cs, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for a, b in _text.runs(pivot):
-            s = x[a:b] @ x[a:b].T
+            s = (x[a:b] @ x[a:b].T) * scale[a:b]
             np.fill_diagonal(s, -np.inf)
             i, j = np.nonzero(s > least[a:b, None])
             us.append(member[a + i])
@@ -176,7 +181,7 @@ def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 64, tables: i
     sizes = spread.groupBy("t", "cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))
     dealt = spread.join(sizes, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep", "t"), "parts"))
     found = dealt.groupBy("t", "cell", "part").applyInArrow(_compare_cell(degree, groups), "dest int, blob binary")
-    shape = "rep long, ids array<long>, sims array<float>, fresh long"
+    shape = "rep long, ids array<long>, sims array<double>, fresh long"
     graph = _shared.written(found.withColumn("old", F.lit(False)).groupBy("dest").applyInArrow(_merge(degree), shape), "graph")
     codes = coded.select("rep", "code")
     for k in range(rounds) if rounds is not None else itertools.count():
@@ -185,7 +190,7 @@ def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 64, tables: i
         rank = Window.partitionBy("pivot").orderBy(F.xxhash64("member", F.lit(k)), "member")
         back = out.select(F.col("member").alias("pivot"), F.col("pivot").alias("member")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).drop("r")
         own = graph.select(F.col("rep").alias("pivot"), F.col("rep").alias("member"))
-        least = F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(-1e30)).cast("float")
+        least = F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")))
         known = codes.join(graph.select("rep", least.alias("least")), "rep").withColumnRenamed("rep", "member")
         met = out.union(back).union(own).join(known, "member").withColumn("g", F.pmod(F.xxhash64("pivot"), F.lit(max(8, -(-n // PIVOTS)))).cast("int"))
         better = met.groupBy("g").applyInArrow(_local_join(degree, groups), "dest int, blob binary")
@@ -204,14 +209,13 @@ def _score(most: int):
         q, c = left["q"].to_numpy(), left["c"].to_numpy()
         mine = right["q"].to_numpy()
         order = np.argsort(mine)
-        x = _matrix(right["asked"])[order] if len(mine) else np.empty((0, 1), np.float32)
         if len(q):
-            y = _matrix(left["code"])
-            s = np.einsum("ij,ij->i", x[np.searchsorted(mine[order], q)], y)
+            x, (y, scale) = _matrix(right["asked"])[0][order], _matrix(left["code"])
+            s = np.einsum("ij,ij->i", x[np.searchsorted(mine[order], q)], y) * scale
             q, c, s = _best(q, c, s, most)
         else:
-            s = np.empty(0, np.float32)
-        return pa.table([pa.array(q), pa.array(c), pa.array(s.astype(np.float32))], ["q", "c", "s"])
+            s = np.empty(0)
+        return pa.table([pa.array(q), pa.array(c), pa.array(s)], ["q", "c", "s"])
 
     return run
 
@@ -232,7 +236,7 @@ def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, n_queries: in
         near = frontier.join(graph.select(F.col("rep").alias("c"), "ids"), "c").select("q", F.explode("ids").alias("c"))
         seen = near.union(held).where("q <> c").distinct()
         rows = seen.join(codes.withColumnRenamed("rep", "c"), "c").select(group.alias("g"), "q", "c", "code")
-        found = _shared.written(rows.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_score(beam), "q long, c long, s float"), "found")
+        found = _shared.written(rows.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_score(beam), "q long, c long, s double"), "found")
         held = found.select("q", "c")
         if k + 1 < hops:
             expanded = frontier if expanded is None else expanded.union(frontier)

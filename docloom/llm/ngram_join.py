@@ -411,8 +411,8 @@ def _link_counts(comp: DataFrame, classes: DataFrame, sets: DataFrame, percent:
 def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5, links_counted: bool = True) -> DataFrame:
     """id, n_shingles, component_id of each row of ``docs``, class_fp, the fingerprint of its set, and n_links, if they are counted."""
     n_buckets = max(16, BUCKETS_PER_PARTITION * _shared.input_partitions(docs))
-    none = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col(f"`{id}`").cast("long"), none).alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    number, named_again = _shared.null_last(docs, id)
+    rows = docs.select(number.alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     posted = rows.mapInArrow(_postings(width, n_buckets), "bucket int, blob binary")
     shared = posted.groupBy("bucket").applyInArrow(_shared_shingles(n_buckets), "bucket int, blob binary")
     table = _shared.written(shared.groupBy("bucket").applyInArrow(_gathered(percent), _SETS), "sets")
@@ -455,6 +455,5 @@ def link_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", perc
         named = named.join(counts, "fp", "left").select("fp", "fp2", "component_id", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
         n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     out = members.join(named, ["fp", "fp2"], "left")
-    known = lambda c: F.nullif(F.col(c), none)
-    component = F.when(F.col("n") == 0, known("doc")).otherwise(known("component_id"))
-    return out.select(known("doc").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("fp").alias("class_fp"), *n_links)
+    component = F.when(F.col("n") == 0, named_again(F.col("doc"))).otherwise(named_again(F.col("component_id")))
+    return out.select(named_again(F.col("doc")).alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("fp").alias("class_fp"), *n_links)

@@ -282,3 +282,70 @@ def test_op1_never_compares_a_pair_twice(spark, monkeypatch):
     later = Counter(seen)
     centres = 60
     assert len(seen) > centres and sum(n - 1 for n in later.values()) <= centres  # two classes may be each other's centre
+
+
+def test_op7_long_chains_and_rings_of_calls(spark):
+    """Two thousand calls of which each needs the one before, in either order of turns; a ring and what is behind it."""
+    rows = [("up", i, f"k{i}", f'{{"x":"k{i - 1}"}}' if i else "{}") for i in range(2000)]
+    rows += [("down", 2000 - i, f"k{i}", f'{{"x":"k{i - 1}","y":"k{i // 2}"}}' if i > 1900 else f'{{"x":"k{i - 1}"}}' if i else "{}") for i in range(2000)]
+    rows += [("ring", i, c, a) for i, (c, a) in enumerate([("a", '{"x":"b"}'), ("b", '{"x":"c","y":"d"}'), ("c", '{"x":"a"}'), ("d", "{}"), ("e", '{"x":["a","d"]}'), ("f", '{"x":["d"]}')])]
+    schema = "conv_id string, turn long, role string, content string, kind string, call_id string, name string, arguments string"
+    made = spark.createDataFrame([(c, t, "user", None, "call", i, "n", a) for c, t, i, a in rows], schema)
+    got = {(r.conv_id, r.call_id): (r["rank"], r.ordered) for r in chat.link_calls(made, {}).collect()}
+    turns = {(c, i): t for c, t, i, _ in rows}
+    for conv in ("up", "down"):
+        last = -2
+        for i in range(2000):
+            last = max(2 * turns[conv, f"k{i}"], last + 2)
+            assert got[conv, f"k{i}"] == (last, True)
+    assert {k[1]: v for k, v in got.items() if k[0] == "ring"} == {"a": (0, False), "b": (2, False), "c": (4, False), "d": (6, True), "e": (8, False), "f": (10, True)}
+
+
+def test_op7_keeps_all_digits_of_numbers(spark):
+    long = "123456789012345678901234567890123456789012"
+    same = {"100": "100", "1e2": "100", "100.0": "100", "1.0": "1", "-0.0": "0", long: long, "1.50": "1.5", "12.5e1": "125", "1e30": "1e+30", "1" + "0" * 30: "1e+30", "1E-7": "1e-7", "-0.0012": "-0.0012", "0." + long: "0." + long}
+    whole = ["100", "1e2", "100.0", "1.0", "-0.0", long, "12.5e1", "1e30", "1" + "0" * 30]
+    schema = "conv_id string, turn long, role string, content string, kind string, call_id string, name string, arguments string"
+    bad = ["01", "1.", "+1", "1e", "--1", "1e99999999999999999999"]
+    texts = ['"\\u0001i5"', '"\\u0001s"', '"1e2"', '"a\\\\\\"1e2"']
+    values = [*same, *bad, *texts]
+    rows = [("c", i, "user", None, "call", f"x{i}", "f", f'{{"b":[{{"d":{v},"c":1.0}}], "a" : {v}}}') for i, v in enumerate(values)]
+    fields = {"f": [("a", "integer", True), ("b", "array", True)]}
+    out = {r.turn: r for r in chat.link_calls(spark.createDataFrame(rows, schema), fields).collect()}
+    for i, v in enumerate(values):
+        want = same.get(v) or (v if v in texts else None)
+        assert out[i].canonical_arguments == (f'{{"a":{want},"b":[{{"c":1,"d":{want}}}]}}' if want else None), v
+        assert out[i].valid == (v in whole), v
+    kinds = {"f": [("a", "string", True), ("b", "array", False)]}
+    assert {r.turn for r in chat.link_calls(spark.createDataFrame(rows, schema), kinds).where("valid").collect()} == {i for i, v in enumerate(values) if v in texts}
+
+
+def test_op4_one_large_component_costs_no_recall(spark):
+    rng = np.random.default_rng(12)
+    for large in (1.0, 1e25, 1e290):
+        x = rng.standard_normal((1500, 16))
+        x[700] *= large
+        out = ann.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0).collect()
+        found = {}
+        for r in out:
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        asked = np.arange(0, 1500, 20)
+        with np.errstate(over="ignore"):
+            score = x[asked] @ x.T
+        score[np.arange(len(asked)), asked] = -np.inf
+        best = np.argsort(-score, axis=1)[:, :20]
+        assert np.mean([len(found[int(q)] & set(b.tolist())) / 20 for q, b in zip(asked, best, strict=True)]) >= 0.95, large
+
+
+def test_the_largest_long_is_an_id_like_others(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    text = sentence(5, 60)
+    for ids in ([top, None, 3], [top, None], [low, top, None], [low, 7, top]):
+        docs = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+        least = min(i for i in ids if i is not None)
+        got = ngram_join.link_documents(docs).collect()
+        assert sorted([r.doc_id for r in got], key=repr) == sorted(ids, key=repr) and {r.component_id for r in got} == {least}
+        removed = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_bytes(docs).collect()}
+        assert {i for i, n in removed.items() if n == 0} == {least}
+    alone = ngram_join.link_documents(spark.createDataFrame([(top, text), (None, sentence(6, 60))], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in alone} == {(top, top), (None, None)}

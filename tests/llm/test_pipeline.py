@@ -116,3 +116,22 @@ def test_every_stage_takes_empty_tables_and_clashing_names(spark, tmp_path):
             assert set(df.columns) <= set(out.columns), name
             found = [tuple(r) for r in out.select(df.columns).collect()]
             assert set(found) <= set(rows) and len(found) == (0 if not rows else {"language ID": 1, "n-gram Jaccard join": 2}.get(name, 3)), name
+
+
+def test_near_copies_of_ids_that_repeat(spark):
+    """Ids 1, 5, 5 and 7: a row of id 5 equals document 1, the other row of id 5 and document 7 are near copies of one another."""
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words), " ".join(words[::-1])
+    rows = [(1, one, "a"), (5, one, "b"), (5, two, "c"), (5, two, "d"), (7, two + " tail", "e"), (None, one, "f"), (None, "another text without a partner", "g")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in order], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        assert sorted(r.source for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == ["a", "c", "g"]
+
+
+def test_passages_keep_columns_called_as_what_is_added(spark):
+    text = "a passage that is long enough to be removed as a copy of another one"
+    shape = "doc_id long, text string, n_chars long, n_removed long, n_units long, n_spans string, kept_sha256 string"
+    docs = spark.createDataFrame([(1, text + " first", 1, 7, 8, "x", "y"), (2, "second " + text, 1, 9, 10, "z", None)], shape)
+    got = {r.doc_id: r for r in corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()}
+    assert [tuple(got[i])[3:] for i in (1, 2)] == [(7, 8, "x", "y"), (9, 10, "z", None)]
+    assert got[1].text == text + " first" and got[2].text == "second " and got[2].n_chars == 7
