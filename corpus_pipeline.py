@@ -7,7 +7,7 @@ reads it back, so a lost executor costs one stage's tasks at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import _shared, decontaminate, language_id, mixing, ngram_join, suffix_dedup
@@ -29,18 +29,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return known.where((F.col("lang_pred") != "und") & (excess <= SLACK)).select(*names).toDF(*docs.columns)
 
 
+def _one_id_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, h, ...) with an id for each pair of id and h, in their order; as they are where no id has several texts."""
+    narrow = rows.select("id", "h").distinct()
+    if narrow.groupBy("id").count().where("count > 1").isEmpty():
+        return rows
+    # ranges are kept, as they may be drawn anew each time they are planned; one row for each range is added up in one place
+    ranged = _shared.cut(narrow.repartitionByRange("id", "h").withColumn("part", F.spark_partition_id()))
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy("part").orderBy("id", "h"))
+    places = ranged.join(F.broadcast(before.drop("n")), "part").select("id", "h", place.alias("place"))
+    return rows.join(places, ["id", "h"]).drop("id").withColumnRenamed("place", "id")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id.
 
     Documents without an id come behind all others, in the order of a hash of their texts, so a group keeps one of
-    them only if it has no other; ids from 2**62 are not used by others. Of repeated rows one stays. Texts without
-    words are linked with nothing.
+    them only if it has no other; ids from 2**62 are not used by others. Of rows with equal ids and texts the one whose other
+    columns, as JSON, come first stays. Different texts of one id are documents of their own, in the order of a hash of the texts.
+    Texts without words are linked with nothing.
     """
     id = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    rows = docs.select(_shared.packed(docs.columns).alias("all"), id.alias("id"), F.col("text"), F.xxhash64("text").alias("h"))
+    other = F.to_json(_shared.packed([c for c in docs.columns if c != "text"]))
+    rows = docs.select(_shared.packed(docs.columns).alias("all"), id.alias("id"), F.col("text"), F.xxhash64("text").alias("h"), other.alias("other"))
+    rows = _one_id_each(rows)
     links = ngram_join.link_documents(rows.select("id", "text"), id="id", links_counted=False)
     first = links.where("id = component_id").select("id").distinct()
-    kept = rows.drop("text").join(first, "id", "left_semi").dropDuplicates(["id", "h"])
+    kept = rows.drop("text").join(first, "id", "left_semi").groupBy("id", "h").agg(F.min_by("all", "other").alias("all"))
     return kept.select(*_shared.unpacked(docs.columns, "all"))
 
 
@@ -50,19 +66,28 @@ def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 50 bytes that a smaller document has; those of which nothing is left go."""
-    kept = suffix_dedup.remove_repeated_bytes(docs)
-    return _measured(kept.where((F.col("n_removed") == 0) | (F.trim("text") != "")), docs.columns)
+    """Documents without strings of 50 bytes that a smaller document has; those of which nothing is left go.
+
+    Null and empty texts stay as they are. Rows without an id come behind all others; repeated rows keep their texts, as
+    neither is smaller. Columns of any names are kept, those called as what the operator adds too.
+    """
+    names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    kept = suffix_dedup.remove_repeated_bytes(docs.toDF(*names))
+    kept = kept.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return _measured(kept.select(*names).toDF(*docs.columns), docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of benchmark passages; those that are mostly such passages go."""
+    """Documents without the words of benchmark passages; those that are mostly such passages go.
+
+    Null and empty texts stay as they are; repeated rows and rows without an id are judged alike, by their texts.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _measured(decontaminate.remove_hits(docs, items), docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the number of copies that the mix takes."""
+    """All documents with the number of copies that the mix takes; columns called as what is added are replaced."""
     return mixing.mix_sources(docs, with_text=True)
 
 
