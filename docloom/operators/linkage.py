@@ -67,11 +67,14 @@ def rank_filter(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(parent, "doc_id").where("parent_rank = 0 or child_rank = 0 or parent_rank > child_rank").drop("parent_rank")
 
 
-def best_link(scored: DataFrame) -> DataFrame:
-    """parent_doc, child_doc, confidence, score: each reference's best high or medium pair; of equal ones the smallest child."""
+def best_link(scored: DataFrame, *keep: str) -> DataFrame:
+    """parent_doc, child_doc, confidence, score: each reference's best high or medium pair; of equal ones the smallest child.
+
+    ``keep`` names columns that are returned too: ref_ix, by which a document's references are told apart.
+    """
     good = scored.where(F.col("confidence").isin("high", "medium"))
     top = good.groupBy("doc_id", "ref_ix").agg(F.min_by(F.struct("child", "confidence", "score"), F.struct(-F.col("score"), F.col("child"))).alias("b"))
-    return top.select(F.col("doc_id").alias("parent_doc"), F.col("b.child").alias("child_doc"), F.col("b.confidence").alias("confidence"), F.col("b.score").alias("score"))
+    return top.select(F.col("doc_id").alias("parent_doc"), F.col("b.child").alias("child_doc"), F.col("b.confidence").alias("confidence"), F.col("b.score").alias("score"), *keep)
 
 
 def relink(docs: DataFrame, refs: DataFrame, as_of_year: int) -> DataFrame:
@@ -79,8 +82,8 @@ def relink(docs: DataFrame, refs: DataFrame, as_of_year: int) -> DataFrame:
     return best_link(match_score(rank_filter(link_candidates(docs, refs, as_of_year), docs)))
 
 
-def connected_cases(docs: DataFrame, edges: DataFrame, as_of_year: int) -> DataFrame:
-    """doc_id, case_id, review: documents that edges connect are one case.
+def connected_cases(docs: DataFrame, edges: DataFrame, as_of_year: int, *keep: str) -> DataFrame:
+    """doc_id, case_id, review: documents that edges connect are one case. ``component``, the smallest member, may be kept.
 
     A case is named after the file number of its lowest member (then the smallest id), or its id. Its
     review is ``check`` if any edge is of low or medium confidence.
@@ -91,7 +94,7 @@ def connected_cases(docs: DataFrame, edges: DataFrame, as_of_year: int) -> DataF
     weak = edges.where(F.col("confidence").isin("low", "medium")).select(F.col("parent_doc").alias("node")).join(comp, "node").select("component", F.lit(True).alias("weak")).distinct()
     named = member.groupBy("component").agg(F.min(F.struct("rank", "doc_id", "no")).alias("m")).join(weak, "component", "left")
     case = named.select("component", F.concat(F.lit("C:"), F.coalesce(F.nullif("m.no", F.lit("")), F.col("m.doc_id").cast("string"))).alias("case_id"), F.when(F.col("weak"), "check").otherwise("ok").alias("review"))
-    return member.join(case, "component").select("doc_id", "case_id", "review")
+    return member.join(case, "component").select("doc_id", "case_id", "review", *keep)
 
 
 def case_summary(docs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -138,6 +141,11 @@ def case_corpus_filter(docs: DataFrame, corpus: str) -> DataFrame:
     return docs.join(docs.where(F.col("corpus") == corpus).select("case_id").distinct(), "case_id", "left_semi")
 
 
+def link_keys(df: DataFrame, as_of_year: int, *ids: str) -> DataFrame:
+    """ids and key: the keys by which a row of documents or references can meet one of the other side."""
+    return _facts(with_keys(df, as_of_year), "k", list(ids)).select(*ids, "key")
+
+
 def links_for(edges: DataFrame) -> DataFrame:
     """doc_id, to, role, confidence: each edge from both of its ends."""
     down = edges.select(F.col("parent_doc").alias("doc_id"), F.col("child_doc").alias("to"), F.lit("reviews").alias("role"), "confidence")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from docloom.functions import extract as X
 from docloom.functions import normalise as N
 from docloom.operators import linkage as L
+from docloom.operators import relinking as I
 from docloom.operators import subjects as S
+from docloom.operators.components import reliable
 from docloom.plans.registry import query
 from docloom.plans.scalar_queries import AS_OF, CANON_DATE, CANON_FILE, STRIP, by_headnote, g, squeeze, sub
 
@@ -74,6 +76,23 @@ def _(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return L.connected_cases(docs, edges, AS_OF)
 
 
+_LIVE = "live AS (SELECT * FROM case_docs WHERE doc_id % 11 <> 3), "
+_RELINKED = (_CANDIDATES.replace("WITH d AS", "WITH " + _LIVE + "d AS").replace("FROM case_docs", "FROM live", 2).replace("FROM live WHERE doc_id % 11", "FROM case_docs WHERE doc_id % 11").replace("FROM case_refs", "FROM case_refs WHERE doc_id % 11 <> 3").replace("FROM case_docs)", "FROM live)")
+  + ", edges AS (SELECT doc_id AS parent_doc, child_doc, confidence FROM b)" + _CASES.replace("case_docs", "live") + "SELECT doc_id, case_id, review FROM cases")
+
+
+@query("incremental_relink", ["case_docs", "case_refs"], _RELINKED)
+def _(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """All documents in two batches, of which the second replaces some and removes others: the cases of one full run."""
+    wrong = docs.where("doc_id % 7 = 2 AND doc_id % 2 = 0").withColumns({"file_no": F.lit("1/2/2003"), "level": F.lit("")})
+    first = docs.where("doc_id % 2 = 0 AND doc_id % 7 <> 2").unionByName(wrong)
+    second = docs.where("doc_id % 11 <> 3 AND (doc_id % 2 = 1 OR doc_id % 7 = 2)")
+    state = I.apply_batch(I.empty_state(docs, refs), first, refs, docs.select("doc_id").limit(0), AS_OF)
+    state = {k: reliable(v) for k, v in state.items()}
+    state = I.apply_batch(state, second, refs, docs.where("doc_id % 11 = 3").select("doc_id"), AS_OF)
+    return state["cases"].select("doc_id", "case_id", "review")
+
+
 def _with_cases(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return docs.join(L.connected_cases(docs, edges, AS_OF), "doc_id")
 

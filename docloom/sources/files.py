@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import normalise as N
 from docloom.operators.catalogue import chamber_dir
+from docloom.sources.snapshots import SnapshotStore
 
 
 def with_doc_ids(files: DataFrame, root: str = "", extensions: tuple[str, ...] = ("pdf", "docx", "doc")) -> DataFrame:
@@ -78,17 +79,13 @@ def read_table(spark: SparkSession, path: str, columns: dict[str, str]) -> DataF
 
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """A table's next snapshot in a folder of its own; readers are given the path when it is complete."""
-    path = f"{root}/v={version:08d}"
-    df.write.mode("error").parquet(path)
-    return path
+    """A table's next snapshot in a folder of its own, made from the version before it; readers see it when it is complete."""
+    return SnapshotStore(df.sparkSession, root).commit({"table": df}, version - 1).tables["table"]["path"]
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest snapshot that has rows; one that is still being written shows none."""
-    every = spark.read.option("mergeSchema", True).parquet(root)
-    newest = every.agg(F.max("v")).first()[0]
-    return every.where(F.col("v") == newest).drop("v")
+    """The newest snapshot, with or without rows; never one that is still being written."""
+    return SnapshotStore(spark, root).read("table")
 
 
 def page_of(c: Column | str) -> Column:
