@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import normalise as N
@@ -77,9 +77,66 @@ def best_link(scored: DataFrame, *keep: str) -> DataFrame:
     return top.select(F.col("doc_id").alias("parent_doc"), F.col("b.child").alias("child_doc"), F.col("b.confidence").alias("confidence"), F.col("b.score").alias("score"), *keep)
 
 
-def relink(docs: DataFrame, refs: DataFrame, as_of_year: int) -> DataFrame:
-    """All edges between documents, whatever order they arrived in."""
-    return best_link(match_score(rank_filter(link_candidates(docs, refs, as_of_year), docs)))
+#: A key of more documents is not joined pair by pair.
+DENSE = 100
+# The score of a pair by what agrees beside the key (file number: 0, decision and date: 1), without the court.
+_AGREE = {0: {"dec+date": 6, "dec": 5, "date": 4, "": 3}, 1: {"parts": 4, "": 3}}
+
+
+def _meeting_places(side: str) -> Column:
+    """For a row of facts and its key: all that a row of the other side may agree with it on beside the key, as (group, place, x, y, z).
+
+    ``group`` is the score without the court, ``place`` whether a city (1) or a kind of court (2) agrees too, or neither (0).
+    """
+    file, dec, date = ("d_file", "d_dec", "d_date") if side == "d" else ("file_norm", "dec", "date_norm")
+    none = F.lit("")
+    kind = F.col("key.kind")
+    has = lambda *cs: F.lit(True) if not cs else (F.col(cs[0]) != "") & has(*cs[1:])
+    first = _AGREE[0]
+    groups = [
+        F.when((kind == 0) & has(dec, date), F.struct(F.lit(first["dec+date"]).alias("g"), F.col(dec).alias("x"), F.col(date).alias("y"))),
+        F.when((kind == 0) & has(dec), F.struct(F.lit(first["dec"]).alias("g"), F.col(dec).alias("x"), none.alias("y"))),
+        F.when((kind == 0) & has(date), F.struct(F.lit(first["date"]).alias("g"), none.alias("x"), F.col(date).alias("y"))),
+        F.when(kind == 0, F.struct(F.lit(first[""]).alias("g"), none.alias("x"), none.alias("y"))),
+        F.when((kind == 1) & has(file), F.struct(F.lit(_AGREE[1]["parts"]).alias("g"), F.array_join(f"{side}_parts", "/").alias("x"), none.alias("y"))),
+        F.when(kind == 1, F.struct(F.lit(_AGREE[1][""]).alias("g"), none.alias("x"), none.alias("y"))),
+    ]
+    # pairs that agree on decision and date alone are too weak to be links
+    places = [F.when(kind == 0, F.struct(F.lit(0).alias("p"), none.alias("z"))), F.when(has(f"{side}_city"), F.struct(F.lit(1).alias("p"), F.col(f"{side}_city").alias("z"))), F.when(has(f"{side}_court"), F.struct(F.lit(2).alias("p"), F.col(f"{side}_court").alias("z")))]
+    kept = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    return F.flatten(F.transform(kept(groups), lambda g: F.transform(kept(places), lambda p: F.struct(g["g"], g["x"], g["y"], p["p"], p["z"]))))
+
+
+def _dense_links(own: DataFrame, ref: DataFrame) -> DataFrame:
+    """doc_id, ref_ix, child, score, confidence: pairs among which is the best of each reference, at most eight for each way to agree.
+
+    Of the documents that agree with a reference in one way only their levels matter, and of each level the smallest document, or
+    the second if the smallest is the reference's own. A pair that agrees in more ways is found in each of them; the score of the
+    one that names all is its own, the others are lower and so never win.
+    """
+    at = ["key", "w"]
+    first = F.row_number().over(Window.partitionBy(*at, "child_rank").orderBy("child"))
+    few = own.select("key", "child", "child_rank", F.explode(_meeting_places("d")).alias("w")).withColumn("r", first).where(F.col("r") <= 2).drop("r")
+    met = ref.select("key", "doc_id", "ref_ix", "parent_rank", F.explode(_meeting_places("r")).alias("w")).join(few, at)
+    met = met.where("doc_id <> child AND (parent_rank = 0 OR child_rank = 0 OR parent_rank > child_rank)")
+    high = (F.col("key.kind") == 0) & (F.col("w.g") > _AGREE[0][""]) & (F.col("w.p") > 0)
+    return met.select("doc_id", "ref_ix", "child", (F.col("w.g") + F.when(F.col("w.p") > 0, 1).otherwise(0)).alias("score"), F.when(high, "high").otherwise("medium").alias("confidence"))
+
+
+def relink(docs: DataFrame, refs: DataFrame, as_of_year: int, *keep: str) -> DataFrame:
+    """All edges between documents, whatever order they arrived in: the best link of each reference.
+
+    Keys of at most DENSE documents are joined pair by pair. For the others the work grows with their documents and
+    references, not with the product of both.
+    """
+    own = _facts(with_keys(docs, as_of_year), "d", ["doc_id"], level_rank("level").alias("child_rank")).withColumnsRenamed({"doc_id": "child", "file_norm": "d_file", "date_norm": "d_date", "dec": "d_dec"})
+    parents = docs.select("doc_id", level_rank("level").alias("parent_rank"))
+    ref = _facts(with_keys(refs.join(parents, "doc_id"), as_of_year), "r", ["doc_id", "ref_ix"], F.col("parent_rank"))
+    dense = own.groupBy("key").agg((F.count("*") > DENSE).alias("dense"))
+    own, ref = own.join(dense, "key"), ref.join(dense, "key")
+    sparse = ref.where("NOT dense").join(own.where("NOT dense").drop("dense"), "key").where("doc_id <> child AND (parent_rank = 0 OR child_rank = 0 OR parent_rank > child_rank)")
+    scored = match_score(sparse).select("doc_id", "ref_ix", "child", "score", "confidence")
+    return best_link(scored.unionByName(_dense_links(own.where("dense"), ref.where("dense"))), *keep)
 
 
 def connected_cases(docs: DataFrame, edges: DataFrame, as_of_year: int, *keep: str) -> DataFrame:

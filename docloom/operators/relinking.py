@@ -37,14 +37,10 @@ def _without(df: DataFrame, gone: DataFrame, column: str = "doc_id") -> DataFram
 
 def full_state(docs: DataFrame, refs: DataFrame, as_of_year: int) -> dict[str, DataFrame]:
     """The state of these documents, worked out as a whole."""
-    edges = reliable(_links(docs, refs, as_of_year))
+    edges = reliable(L.relink(docs, refs, as_of_year, "ref_ix"))
     return {"docs": docs, "refs": refs, "edges": edges, "cases": L.connected_cases(docs, edges, as_of_year, "component")}
 
 
-def _links(docs: DataFrame, refs: DataFrame, as_of_year: int) -> DataFrame:
-    return L.best_link(L.match_score(L.rank_filter(L.link_candidates(docs, refs, as_of_year), docs)), "ref_ix")
-
-
 def apply_batch(state: dict[str, DataFrame], docs: DataFrame, refs: DataFrame, removed: DataFrame, as_of_year: int) -> dict[str, DataFrame]:
     """The state after a batch: ``docs`` (one row for each id) with all their ``refs`` are put in, ``removed`` (doc_id) are taken out.
 
@@ -63,7 +59,7 @@ def apply_batch(state: dict[str, DataFrame], docs: DataFrame, refs: DataFrame, r
     asked = new_refs.join(again, ["doc_id", "ref_ix"], "left_semi")
     # documents that none of these references can meet take no part
     near = L.link_keys(new_docs, as_of_year, "doc_id").join(L.link_keys(asked, as_of_year).distinct(), "key", "left_semi").select("doc_id").union(again.select("doc_id")).distinct()
-    found = reliable(_links(new_docs.join(near, "doc_id", "left_semi"), asked, as_of_year))
+    found = reliable(L.relink(new_docs.join(near, "doc_id", "left_semi"), asked, as_of_year, "ref_ix"))
     old = state["edges"]
     stale = old.join(again.withColumnRenamed("doc_id", "parent_doc"), ["parent_doc", "ref_ix"], "left_semi").select(old.columns)
     orphans = old.join(changed.withColumnRenamed("doc_id", "parent_doc"), "parent_doc", "left_semi").select(old.columns)

@@ -134,9 +134,22 @@ def test_the_second_of_two_writers_is_refused(spark, tmp_path):
     assert store.vacuum(keep=1) == 3 and store.versions() == [4] and store.read("a").count() == 2
 
 
-def test_links_at_scale_of_one_key(spark):
-    """Many documents and references of one key: what decides a link is the class of facts, not the number of documents."""
-    docs = spark.range(3000).select(F.concat(F.lit("d"), F.col("id")).alias("doc_id"), F.element_at(F.array(*[F.lit(x) for x in LEVELS]), (F.col("id") % 4 + 1).cast("int")).alias("level"), F.lit("").alias("court"), F.lit("فاس").alias("city"), F.lit("1").alias("decision_no"), F.lit("01/03/2016").alias("date"), F.lit("8/1/2014").alias("file_no"))
-    refs = docs.where("level = 'نقض'").select("doc_id", F.lit(0).alias("ref_ix"), "court", "city", "decision_no", "date", "file_no")
-    links = L.relink(docs, refs, 2026).collect()
-    assert len(links) == 750 and {r.child_doc for r in links} == {"d0"}
+@pytest.mark.parametrize("dense", [0, 6])
+def test_dense_keys_give_the_links_of_all_pairs(spark, monkeypatch, dense):
+    rng = random.Random(9)
+    docs, refs = frames(spark, [ruling(rng, i) for i in range(150)])
+    want = L.best_link(L.match_score(L.rank_filter(L.link_candidates(docs, refs, 2026), docs)), "ref_ix")
+    monkeypatch.setattr(L, "DENSE", dense)
+    columns = ["parent_doc", "ref_ix", "child_doc", "confidence", "score"]
+    assert rows(L.relink(docs, refs, 2026, "ref_ix"), *columns) == rows(want, *columns) and want.count() > 40
+
+
+def test_one_key_of_a_hundred_thousand_documents_and_references(spark):
+    """Pair by pair these would be 2.5 billion."""
+    docs = spark.range(100_000).select(F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("doc_id"), F.element_at(F.array(*[F.lit(x) for x in LEVELS[:2]]), (F.col("id") % 2 + 1).cast("int")).alias("level"), F.lit("").alias("court"), F.concat(F.lit("c"), F.floor(F.col("id") / 2) % 500).alias("city"), F.col("id").cast("string").alias("decision_no"), F.lit("01/03/2016").alias("date"), F.lit("8/1/2014").alias("file_no"))
+    refs = docs.where("level = 'استئناف'").select("doc_id", F.lit(0).alias("ref_ix"), "court", "city", F.when(F.crc32("doc_id") % 2 == 0, "4000").otherwise("none").alias("decision_no"), "date", "file_no")
+    links = L.relink(docs, refs, 2026)
+    by = {(r.child_doc[:2], r.confidence, r.score): r.n for r in links.groupBy(F.substring("child_doc", 1, 2).alias("child_doc"), "confidence", "score").agg(F.count("*").alias("n")).collect()}
+    assert sum(by.values()) == 50_000 and {k[1:] for k in by} == {("high", 7), ("medium", 6), ("high", 5)}
+    named = refs.where("decision_no = '4000'").count()
+    assert links.where("child_doc = 'd004000'").count() == named
