@@ -200,8 +200,17 @@ def limit_n(docs: DataFrame, n: int, id: str = "doc_id") -> DataFrame:
 
 
 def spread_sample(records: DataFrame, n: int, chamber: str = "chamber", year: str = "year", id: str = "doc_id") -> DataFrame:
-    """``n`` rows over all chambers in turn: within a chamber one of each year first, then the rest."""
-    per_year = Window.partitionBy(chamber, year).orderBy("city", id)
-    first = records.withColumn("_again", (F.row_number().over(per_year) > 1).cast("int"))
-    turn = first.withColumns({"_turn": F.row_number().over(Window.partitionBy(chamber).orderBy("_again", year, "city", id)), "_size": F.count("*").over(Window.partitionBy(chamber))})
-    return turn.orderBy("_turn", F.desc("_size"), chamber).limit(n).drop("_again", "_turn", "_size")
+    """``n`` rows over all chambers in turn: within a chamber one of each year first, then the rest. Ids are unique.
+
+    A year's first row is found by a minimum, and no chamber gives more than its first ``n`` rows, which a task holds to before it
+    sends any, so no task sees a whole chamber.
+    """
+    own = [F.col(chamber).alias("_chamber"), F.col(year).alias("_year")]
+    first = records.groupBy(*own).agg(F.min(F.struct("city", id)).alias("_first"))
+    sizes = records.groupBy(F.col(chamber).alias("_of")).agg(F.count("*").alias("_size"))
+    marked = records.join(first, F.col(chamber).eqNullSafe(F.col("_chamber")) & F.col(year).eqNullSafe(F.col("_year")))
+    marked = marked.withColumn("_again", (~F.struct("city", id).eqNullSafe(F.col("_first"))).cast("int")).drop("_chamber", "_year", "_first")
+    turn = F.row_number().over(Window.partitionBy(chamber).orderBy("_again", year, "city", id))
+    few = marked.withColumn("_turn", turn).where(F.col("_turn") <= n)
+    drawn = few.join(sizes, F.col(chamber).eqNullSafe(F.col("_of")))
+    return drawn.orderBy("_turn", F.desc("_size"), chamber).limit(n).drop("_again", "_turn", "_size", "_of")
