@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,6 +19,8 @@ from docloom.operators import edits as E
 from docloom.operators import evaluate as V
 from docloom.operators import routing as R
 from docloom.operators import search as S
+from docloom.operators.components import shared_dir
+from docloom.operators.token_index import TokenIndex
 from docloom.plans.registry import query
 from docloom.plans.scalar_queries import ARABIC, BAD, _redact_sql, unreadable
 from docloom.sources import files, replies
@@ -308,6 +311,16 @@ def _(d: DataFrame) -> DataFrame:
     return S.search_index(S.build_token_index(d), "تعويض في أداء").select("doc_id")
 
 
+@query("index_refreshes", ["decisions"], "SELECT doc_id FROM decisions WHERE contains(search_text, ' التعويض') AND contains(search_text, ' اداء') AND k % 13 <> 1")
+def _(d: DataFrame) -> DataFrame:
+    """An index after three refreshes: half of all documents with another text, all of them as they are, and some removed."""
+    index = TokenIndex(d.sparkSession, f"{shared_dir(d.sparkSession)}/index-{uuid.uuid4().hex}")
+    index.refresh(d.where("k % 2 = 0").withColumn("search_text", F.concat(F.lit("اداء التعويض "), "search_text")))
+    index.refresh(d)
+    index.refresh(d.limit(0), d.where("k % 13 = 1").select("doc_id"))
+    return index.search("تعويض في أداء")
+
+
 @query("number_or_text", ["decisions"], "SELECT doc_id FROM decisions WHERE contains(search_text, '42') OR contains(decision_no, '42')")
 def _(d: DataFrame) -> DataFrame:
     return d.where(S.number_or_text("42", S.search_substring("42"))).select("doc_id")
