@@ -3,7 +3,7 @@
 The suffixes of all texts are partitioned by the minimiser of their first 50 bytes, so suffixes that
 share 50 bytes meet in one bucket, packed in strings of neighbouring suffixes. A bucket takes its strings
 in batches in the order of their documents. A batch gets a suffix array (its suffixes sorted by their
-first 50 bytes); it is merge-scanned against the existing levels, which hold the suffixes of smaller
+first 50 bytes); its suffixes are looked up in order in the existing levels, which hold the suffixes of smaller
 documents, for matches of 50 bytes; then it becomes a level itself, and levels of equal size merge (two
 sorted arrays into one), so that their sizes grow geometrically. Strings that equal another one as a whole are settled before, and
 suffixes of which no other has the same 64-bit hash are left out of the arrays, as they match nothing.
@@ -39,7 +39,7 @@ class SuffixArrays:
 
     @staticmethod
     def scanned(level: tuple[np.ndarray, np.ndarray], suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where sorted suffixes stand in a level, and whether it holds them: one pass along both."""
+        """Where sorted suffixes stand in a level, and whether it holds them: a binary search from one to the next."""
         at = np.searchsorted(level[0], suffixes)
         return at, level[0][np.minimum(at, len(level[0]) - 1)] == suffixes
 
