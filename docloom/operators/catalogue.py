@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import normalise as N
 from docloom.functions import pii
+from docloom.operators.pages import page
 
 STATES = ["imported", "under_review", "published", "withdrawn"]
 
@@ -145,9 +146,9 @@ def browse_rulings(decisions: DataFrame, chamber: str = "", year: str = "", city
     if match is not None:
         shown = shown.where(match)
     total = shown.agg(F.count("*").alias("total"))
-    exact = [F.when(F.col("decision_no") == number, 0).otherwise(1)] if number else []
-    page = shown.orderBy(*exact, F.desc("sort_key"), "doc_id").offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(total))  # one row
+    exact = [(F.when(F.col("decision_no") == number, 0).otherwise(1), True)] if number else []
+    found = page(shown, [*exact, (F.col("sort_key"), False), (F.col("doc_id"), True)], offset, limit)
+    return found.crossJoin(F.broadcast(total))  # one row
 
 
 def list_decisions(decisions: DataFrame, states: list[str] | None = None, category: str = "", level: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
@@ -155,7 +156,7 @@ def list_decisions(decisions: DataFrame, states: list[str] | None = None, catego
     for column, value in (("category", category), ("level", level)):
         if value:
             shown = shown.where(F.col(column) == value)
-    return shown.orderBy(F.desc("updated_at"), "doc_id").offset(offset).limit(limit)
+    return page(shown, [(F.col("updated_at"), False), (F.col("doc_id"), True)], offset, limit)
 
 
 def work_queue(decisions: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from docloom.functions import pii as P
 from docloom.operators import catalogue as C
 from docloom.operators import edits as E
 from docloom.operators.components import reliable, shared_dir
+from docloom.operators.pages import page
 from docloom.plans.registry import query
 from docloom.plans.views import pick
 from docloom.sources import files, replies
@@ -112,6 +113,12 @@ def _(d: DataFrame) -> DataFrame:
     return C.list_decisions(d, ["imported", "withdrawn"], level="نقض", offset=20).select("doc_id")
 
 
+@query("deep_page", ["decisions"], "SELECT doc_id, sort_key FROM decisions ORDER BY sort_key DESC, doc_id LIMIT 40 OFFSET 700")
+def _(d: DataFrame) -> DataFrame:
+    """A page that is found by counting ranges."""
+    return page(d, [(F.col("sort_key"), False), (F.col("doc_id"), True)], 700, 40, shallow=100).select("doc_id", "sort_key")
+
+
 @query("work_queue", ["decisions"], "SELECT doc_id, CASE WHEN len(r) = 0 THEN 'needs review' ELSE array_to_string(r, '|') END AS reasons FROM (SELECT doc_id, list_filter([CASE WHEN review = 'check' THEN 'low-confidence link' END, CASE WHEN category IN ('', 'غير محدد') THEN 'missing category' END, CASE WHEN decision_no = '' OR file_no = '' THEN 'missing identifier' END], lambda x: x IS NOT NULL) AS r FROM decisions WHERE state IN ('imported', 'under_review'))")
 def _(d: DataFrame) -> DataFrame:
     return C.work_queue(d).select("doc_id", F.array_join("reasons", "|").alias("reasons"))
