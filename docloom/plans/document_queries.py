@@ -114,23 +114,23 @@ def _(docs: DataFrame) -> DataFrame:
     return R.audit_totals(R.corpus_audit(_files(docs)))
 
 
-_SIZE = "length(regexp_replace(text, '\\s', '', 'g'))"
-_REASON = f"CASE WHEN hits > 0 THEN 'leak' WHEN doc_id % 17 = 0 THEN 'poor-ocr' WHEN visible < greatest(200, 60 * pages) THEN 'empty' WHEN pages > 1 AND visible < 400 * pages THEN 'partial' ELSE '' END"
-_GATED = f"SELECT *, {_REASON} AS reason FROM (SELECT doc_id, {_GATE} AS hits, {_SIZE} AS visible, 1 + doc_id % 6 AS pages FROM documents)"
+_REASON = f"CASE WHEN hits > 0 THEN 'leak' WHEN {unreadable('0.15')} THEN 'poor-ocr' WHEN visible < greatest(200, 60 * pages) THEN 'empty' WHEN pages > 1 AND visible < 400 * pages THEN 'partial' ELSE '' END"
+_GATED = f"""SELECT *, {_REASON} AS reason FROM (SELECT doc_id, {_GATE} AS hits, 1 + doc_id % 6 AS pages, len(regexp_extract_all(text, '{BAD}')) AS bad, len(regexp_extract_all(text, '{ARABIC}')) AS arab,
+  length(regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g')) AS n, length(regexp_replace(text, '{_WHITE}', '', 'g')) AS visible FROM scans)"""
 
 
 def _gated(docs: DataFrame) -> DataFrame:
     hits = sum((F.regexp_count("text", F.lit(f"(?U){p}")) for p in P.GATE_PATTERNS.values()), F.lit(0))
-    g = docs.select("doc_id", hits.alias("hits"), Q.visible_chars("text").alias("visible"), (1 + F.col("doc_id") % 6).alias("pages"))
-    return g.withColumn("reason", Q.release_gate(F.col("hits"), F.col("doc_id") % 17 == 0, F.col("visible"), F.col("pages")))
+    g = docs.select("doc_id", hits.alias("hits"), Q.ocr_garbled("text").alias("garbled"), Q.visible_chars("text").alias("visible"), (1 + F.col("doc_id") % 6).alias("pages"))
+    return g.withColumn("reason", Q.release_gate(F.col("hits"), F.col("garbled"), F.col("visible"), F.col("pages")))
 
 
-@query("release_gate", ["documents"], f"SELECT doc_id, reason FROM ({_GATED})")
+@query("release_gate", ["scans"], f"SELECT doc_id, reason FROM ({_GATED})")
 def _(docs: DataFrame) -> DataFrame:
     return _gated(docs).select("doc_id", "reason")
 
 
-@query("quarantine_detail", ["documents"], f"SELECT doc_id, CASE reason WHEN 'leak' THEN hits || '{Q.LEAK_DETAIL}' WHEN 'poor-ocr' THEN '{Q.DETAILS['poor-ocr']}' WHEN 'empty' THEN '{Q.DETAILS['empty']}' WHEN 'partial' THEN '{Q.DETAILS['partial']}' ELSE '' END AS detail FROM ({_GATED})")
+@query("quarantine_detail", ["scans"], f"SELECT doc_id, CASE reason WHEN 'leak' THEN hits || '{Q.LEAK_DETAIL}' WHEN 'poor-ocr' THEN '{Q.DETAILS['poor-ocr']}' WHEN 'empty' THEN '{Q.DETAILS['empty']}' WHEN 'partial' THEN '{Q.DETAILS['partial']}' ELSE '' END AS detail FROM ({_GATED})")
 def _(docs: DataFrame) -> DataFrame:
     return _gated(docs).select("doc_id", Q.quarantine_detail(F.col("reason"), F.col("hits")).alias("detail"))
 
