@@ -1,8 +1,9 @@
-"""Connected components of an edge table by smallest labels, with pointer jumping."""
+"""Connected components of an edge table by alternating large and small stars."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,31 +26,58 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Edges for one task of a round.
-EDGES_PER_TASK = 200_000
+def stored(df: DataFrame) -> DataFrame:
+    """As ``reliable``, by a written table, so that plans see its real size.
+
+    A checkpoint keeps the size that Spark estimated for the plan behind it. In a loop of joins that is a
+    product that doubles its digits with every round, until planning itself takes all time.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """A large star and then a small star of edges (hi, lo) with hi > lo, with ``leaf``: whether hi has no other edge.
+
+    Large: what is larger than a node hangs on the smallest of the node and its neighbours. Small: a
+    node and what is smaller hang on its smallest neighbour. Only minima meet a node's edges.
+    """
+    ways = F.array(F.struct(F.col("hi").alias("lo"), F.col("lo").alias("m")), F.struct("lo", F.col("hi").alias("m")))
+    least = edges.select(F.inline(ways)).groupBy("lo").agg(F.least(F.min("m"), F.col("lo")).alias("m"))
+    large = edges.join(least, "lo").select("hi", F.col("m").alias("lo")).distinct()
+    low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    hung = F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))
+    small = large.join(low, "hi").select(F.inline(hung)).where("hi <> lo").distinct()
+    ends = F.array(F.struct(F.col("hi").alias("node")), F.struct(F.col("lo").alias("node")))
+    single = small.select(F.inline(ends)).groupBy("node").agg((F.count("*") == 1).alias("leaf"))
+    return small.join(single.withColumnRenamed("node", "hi"), "hi").select("hi", "lo", "leaf")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """node, component: the smallest node that is reachable, for every node of ``edges``.
 
-    A round takes each node's smallest neighbouring label and then the label of its label, so
-    chains shorten by half; minima are combined before they are shuffled, whatever a node's
-    degree. Few edges are worked on by few tasks. Null ends and loops are ignored. Raises if
+    Large and small stars alternate. After each pair of them a node with a single edge, to a smaller node,
+    is set aside with that edge, as it decides nothing for the others; so a hub's edges are worked on
+    once or twice, and the rest shrinks with every round until no edge is left. Nodes set aside take the
+    labels of their smaller nodes, the last ones first. Null ends and loops are ignored. Raises if
     ``rounds`` do not suffice.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = reliable(pairs.select(F.inline(ways)).distinct())
-    tasks = max(8, both.count() // EDGES_PER_TASK)
-    both = both.coalesce(tasks)
-    label = reliable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).coalesce(tasks))
+    left = pairs.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct()
+    aside: list[DataFrame] = []
     for _ in range(rounds):
-        near = both.join(label.select(F.col("u").alias("v"), "l"), "v").coalesce(tasks).groupBy("u").agg(F.min("l").alias("m")).coalesce(tasks)
-        next_ = label.join(near, "u").coalesce(tasks).select("u", F.least("l", "m").alias("n"), F.col("l").alias("was"))
-        jump = next_.select(F.col("u").alias("n"), F.col("n").alias("nn")).where("n <> nn")
-        moved = reliable(next_.join(jump, "n", "left").coalesce(tasks).select("u", F.coalesce("nn", "n").alias("l"), "was"))
-        changed = not moved.where("l <> was").isEmpty()
-        label = moved.select("u", "l")
-        if not changed:
-            return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        hung = stored(_stars(left))
+        aside.append(hung.where("leaf"))
+        left = hung.where("NOT leaf").select("hi", "lo")
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    label = aside.pop().select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    while aside:
+        up = label.select(F.col("node").alias("lo"), "component")
+        down = aside.pop().join(up, "lo", "left").select(F.col("hi").alias("node"), F.coalesce("component", "lo").alias("component"))
+        # a label is read twice, so the plan would double with every round
+        label = stored(label.unionByName(down))
+    return label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())

@@ -72,12 +72,49 @@ def test_linking_stays_linear(spark):
 
 
 def test_components(spark):
-    pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (103, 103), (None, 5)]
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (103, 103), (None, 5), (101, 100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a int, b int")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def _labels(pairs):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {x: root(x) for x in up}
+
+
+def test_stars_take_few_rounds(spark):
+    """Hubs, of the smallest and of the largest number, a shuffled chain, a tree and sparse random edges, against union-find."""
+    import random
+
+    rand = random.Random(3)
+    names = list(range(1000))
+    rand.shuffle(names)
+    shapes = {
+        "hub": ([(0, i) for i in range(1, 3000)], 1),
+        "large hub": ([(3000, i) for i in range(3000)], 2),
+        "chain": (list(zip(names, names[1:], strict=False)), 10),
+        "tree": ([(names[i], names[i // 3]) for i in range(1, 1000)], 8),
+        "random": ([(rand.randrange(2000), rand.randrange(2000)) for _ in range(1100)], 8),
+    }
+    for shape, (pairs, rounds) in shapes.items():
+        pairs = [p for p in pairs if p[0] != p[1]]
+        rows = connected_components(spark.createDataFrame(pairs, "a long, b long"), rounds=rounds).collect()
+        assert len(rows) == len({r.node for r in rows})
+        assert {r.node: r.component for r in rows} == _labels(pairs), shape
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame(shapes["chain"][0], "a long, b long"), rounds=1)
+
+
 def test_which_copy_is_kept(spark):
     docs = spark.createDataFrame([("a", "h1"), ("b", "h1"), ("c", "h2"), ("d", "h2"), ("e", "h3"), ("f", "h4"), ("g", "h4")], "doc_id string, hash string")
     known = spark.createDataFrame([("h1", "elsewhere"), ("h2", "d")], "hash string, doc_id string")
