@@ -76,3 +76,25 @@ def test_many_values_need_one_pass(spark, case):
     docs, _, table = case
     many = table.union(spark.createDataFrame([(f"{name(rng)} {name(rng)} {i}",) for i in range(10_000)], "value string"))
     assert sorted(map(str, R.known_value_leaks(docs, many).collect())) == sorted(map(str, R.known_value_leaks(docs, table).collect()))
+
+
+def test_literal_leaks_are_those_a_text_holds_as_written(spark, case, monkeypatch):
+    """A value with spaces between its letters, or with the letters of two words, is found by the gate but is not literal."""
+    docs = spark.createDataFrame([(1, "does bo"), (2, "a Thanth b"), (3, "Than th Thanthem"), (4, None), (5, "")], "doc_id long, text string")
+    table = spark.createDataFrame([("doesbo",), ("Thanth",), ("Thanth",), (None,)], "value string")
+    for block in (50_000, 1):
+        monkeypatch.setattr(R, "LEAK_VALUES", block)
+        got = {r.doc_id: (r.passed, r.leaked) for r in R.literal_value_leaks(docs, table).collect()}
+        assert got == {1: (True, []), 2: (False, ["Thanth"]), 3: (False, ["Thanth"]), 4: (True, []), 5: (True, [])}
+    assert not {r.doc_id: r.passed for r in R.known_value_leaks(docs, table).collect()}[1]
+
+
+def test_counts_by_letters_are_counts_by_pattern(spark):
+    """Long values are counted without patterns: repeats that overlap, letter variants, marks and white space of any script."""
+    texts = ["abababab ababab", "a b\u2003a\u00a0b a", "أحمَد  ا\u0640حمد احمدي", "ababa" * 300, "(ax.by+z) ax.by+z", "على علي وعلى معلى"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    values = ["ababa", "أحمد السيد", "ax.by+z", "احمدي", "علي", "السيد احمد"]
+    r = docs.select("doc_id", "text", P.leak_scan("text", F.array(*[F.lit(v) for v in values])).alias("r"))
+    n = lambda v: F.size(F.regexp_extract_all("text", F.concat(F.lit("(?U)("), P.name_pattern(F.lit(v)), F.lit(")")), F.lit(1)))
+    for row in r.select("doc_id", "r.hits", *[n(v).alias(f"n{i}") for i, v in enumerate(["ababa", "ax.by+z", "احمدي", "علي"])], n("احمد").alias("n4")).collect():
+        assert row.hits == sum(row[f"n{i}"] for i in range(5)), row
