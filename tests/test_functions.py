@@ -117,3 +117,23 @@ def test_release_gate_order(spark):
     df = spark.createDataFrame([(1, True, 0, 1), (0, True, 0, 1), (0, False, 100, 1), (0, False, 700, 2), (0, False, 900, 2)], "h int, g boolean, v int, p int")
     got = df.select(Q.release_gate(F.col("h"), F.col("g"), F.col("v"), F.col("p")).alias("r")).collect()
     assert [r.r for r in got] == ["leak", "poor-ocr", "empty", "partial", ""]
+
+
+def test_long_values_are_worked_out_once(spark):
+    """A normalised text is named once in the plan of each reader, however often a date or a field is looked for in it."""
+    from docloom.functions import extract as X
+
+    df = spark.createDataFrame([("a",)], "text string")
+    for make, most in ((X.header_date, 2), (X.display_date, 1), (X.chamber_from_text, 1), (X.display_decision_no, 1), (X.display_date_fuzzy, 2)):
+        plan = df.select(make("text").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("translate(") <= most, make.__name__
+
+
+def test_dates_that_exist(spark):
+    from docloom.functions import extract as X
+
+    want = {"29/02/2000": "29/02/2000", "29/02/1900": "", "2024-2-29": "29/02/2024", "31/4/2020": "", "0/1/2020": "", "1/13/2020": "", "1/1/1899": "", "31/12/2100": "31/12/2100", "30 فبراير 2020": "", "7\u2003ماي\u00a0 2020": "07/05/2020"}
+    df = spark.createDataFrame([(k,) for k in want], "s string")
+    assert {r.s: r.v for r in df.select("s", X.display_date("s").alias("v")).collect()} == want
+    fuzzy = spark.createDataFrame([("30 فبرابر 2020",), ("3 فبرابر 2020",), (None,)], "s string")
+    assert [r.v for r in fuzzy.select(X.display_date_fuzzy("s").alias("v")).collect()] == ["", "03/02/2020", ""]
