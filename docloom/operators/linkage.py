@@ -27,7 +27,7 @@ def _facts(df: DataFrame, side: str, key: list[str], *more: Column) -> DataFrame
         "file_norm",
         "date_norm",
         "dec",
-        N.file_components("file_no").alias(f"{side}_parts"),
+        F.array_join(N.file_components("file_no"), "/").alias(f"{side}_parts"),
         N.text("city").alias(f"{side}_city"),
         N.court_to_level("court").alias(f"{side}_court"),
     )
@@ -37,18 +37,38 @@ def _facts(df: DataFrame, side: str, key: list[str], *more: Column) -> DataFrame
     return facts.withColumn("key", F.explode(keys))
 
 
-def link_candidates(docs: DataFrame, refs: DataFrame, as_of_year: int) -> DataFrame:
-    """doc_id, ref_ix, child, child_rank and both sides' facts: pairs that agree on the file number, or on decision number and date.
+#: A parent is of a higher level than its child, unless a level is unknown.
+_MAY_REVIEW = "parent_rank = 0 or child_rank = 0 or parent_rank > child_rank"
 
-    One equi-join on keys that are not empty; pairs found by both come once.
-    """
+
+def _both_facts(docs: DataFrame, refs: DataFrame, as_of_year: int, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """The facts of documents and of references, with ``more`` columns of the references."""
     own = _facts(with_keys(docs, as_of_year), "d", ["doc_id"], level_rank("level").alias("child_rank")).withColumnsRenamed({"doc_id": "child", "file_norm": "d_file", "date_norm": "d_date", "dec": "d_dec"})
-    ref = _facts(with_keys(refs, as_of_year), "r", ["doc_id", "ref_ix"])
+    return own, _facts(with_keys(refs, as_of_year), "r", ["doc_id", "ref_ix"], *more)
+
+
+def _pairs(ref: DataFrame, own: DataFrame) -> DataFrame:
     pairs = ref.join(own, "key").where("doc_id <> child")
     # a pair that agrees on the file number is left out of those that agree on the decision, so no distinct is needed
     return pairs.where((F.col("key.kind") == 0) | (F.col("file_norm") == "") | (F.col("file_norm") != F.col("d_file"))).drop("key")
 
 
+def link_candidates(docs: DataFrame, refs: DataFrame, as_of_year: int) -> DataFrame:
+    """doc_id, ref_ix, child, child_rank and both sides' facts: pairs that agree on the file number, or on decision number and date.
+
+    One equi-join on keys that are not empty; pairs found by both come once.
+    """
+    own, ref = _both_facts(docs, refs, as_of_year)
+    return _pairs(ref, own)
+
+
+def ranked_candidates(docs: DataFrame, refs: DataFrame, as_of_year: int) -> DataFrame:
+    """What ``rank_filter`` leaves of ``link_candidates``: parents' levels go with the references, so pairs are not shuffled."""
+    parents = docs.select("doc_id", level_rank("level").alias("parent_rank"))
+    own, ref = _both_facts(docs, refs.join(parents, "doc_id"), as_of_year, F.col("parent_rank"))
+    return _pairs(ref, own).where(_MAY_REVIEW).drop("parent_rank")
+
+
 def match_score(pairs: DataFrame) -> DataFrame:
     """``pairs`` with score and confidence (high, medium, low, none)."""
     both = lambda a, b: (F.col(a) != "") & (F.col(a) == F.col(b))
@@ -64,7 +84,7 @@ def match_score(pairs: DataFrame) -> DataFrame:
 def rank_filter(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose parent is of a higher level than the child, or where a level is unknown."""
     parent = docs.select("doc_id", level_rank("level").alias("parent_rank"))
-    return pairs.join(parent, "doc_id").where("parent_rank = 0 or child_rank = 0 or parent_rank > child_rank").drop("parent_rank")
+    return pairs.join(parent, "doc_id").where(_MAY_REVIEW).drop("parent_rank")
 
 
 def best_link(scored: DataFrame, *keep: str) -> DataFrame:
@@ -98,7 +118,7 @@ def _meeting_places(side: str) -> Column:
         F.when((kind == 0) & has(dec), F.struct(F.lit(first["dec"]).alias("g"), F.col(dec).alias("x"), none.alias("y"))),
         F.when((kind == 0) & has(date), F.struct(F.lit(first["date"]).alias("g"), none.alias("x"), F.col(date).alias("y"))),
         F.when(kind == 0, F.struct(F.lit(first[""]).alias("g"), none.alias("x"), none.alias("y"))),
-        F.when((kind == 1) & has(file), F.struct(F.lit(_AGREE[1]["parts"]).alias("g"), F.array_join(f"{side}_parts", "/").alias("x"), none.alias("y"))),
+        F.when((kind == 1) & has(file), F.struct(F.lit(_AGREE[1]["parts"]).alias("g"), F.col(f"{side}_parts").alias("x"), none.alias("y"))),
         F.when(kind == 1, F.struct(F.lit(_AGREE[1][""]).alias("g"), none.alias("x"), none.alias("y"))),
     ]
     # pairs that agree on decision and date alone are too weak to be links
@@ -129,9 +149,8 @@ def relink(docs: DataFrame, refs: DataFrame, as_of_year: int, *keep: str) -> Dat
     Keys of at most DENSE documents are joined pair by pair. For the others the work grows with their documents and
     references, not with the product of both.
     """
-    own = _facts(with_keys(docs, as_of_year), "d", ["doc_id"], level_rank("level").alias("child_rank")).withColumnsRenamed({"doc_id": "child", "file_norm": "d_file", "date_norm": "d_date", "dec": "d_dec"})
     parents = docs.select("doc_id", level_rank("level").alias("parent_rank"))
-    ref = _facts(with_keys(refs.join(parents, "doc_id"), as_of_year), "r", ["doc_id", "ref_ix"], F.col("parent_rank"))
+    own, ref = _both_facts(docs, refs.join(parents, "doc_id"), as_of_year, F.col("parent_rank"))
     dense = own.groupBy("key").agg((F.count("*") > DENSE).alias("dense"))
     own, ref = own.join(dense, "key"), ref.join(dense, "key")
     sparse = ref.where("NOT dense").join(own.where("NOT dense").drop("dense"), "key").where("doc_id <> child AND (parent_rank = 0 OR child_rank = 0 OR parent_rank > child_rank)")

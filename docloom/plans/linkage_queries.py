@@ -47,7 +47,7 @@ def _(docs: DataFrame, refs: DataFrame) -> DataFrame:
 
 @query("rank_filter", ["case_docs", "case_refs"], _CANDIDATES + "SELECT doc_id, ref_ix, child FROM k")
 def _(docs: DataFrame, refs: DataFrame) -> DataFrame:
-    return L.rank_filter(L.link_candidates(docs, refs, AS_OF), docs).select("doc_id", "ref_ix", "child")
+    return L.ranked_candidates(docs, refs, AS_OF).select("doc_id", "ref_ix", "child")
 
 
 @query("best_link", ["case_docs", "case_refs"], _CANDIDATES + "SELECT doc_id AS parent_doc, child_doc, confidence, score FROM b")

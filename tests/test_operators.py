@@ -217,3 +217,17 @@ def test_files_and_streams(spark, tmp_path):
         run()
     run()
     assert sorted((r.doc_id, r.clean) for r in stored().collect()) == [(1, True), (3, False), (5, True)]
+
+
+def test_ranked_candidates_do_not_shuffle_pairs(spark):
+    """Pairs are filtered where they meet: the join on keys is the last one, and the rows are those of rank_filter."""
+    from docloom.operators import linkage as L
+
+    docs = spark.createDataFrame([(i, lv, "c", "", "7", "1/2/2015", f"{i % 2}/1/2015") for i, lv in enumerate(["ابتدائي", "استئناف", "نقض", ""] * 3)], "doc_id long, level string, court string, city string, decision_no string, date string, file_no string")
+    refs = docs.drop("level").unionByName(docs.drop("level").where("doc_id = 1").withColumn("doc_id", F.lit(99).cast("long"))).withColumn("ref_ix", F.lit(0))
+    key = ["doc_id", "ref_ix", "child"]
+    got = L.ranked_candidates(docs, refs, 2026).select(*key)
+    want = L.rank_filter(L.link_candidates(docs, refs, 2026), docs).select(*key)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 20
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "key" in next(x for x in plan.splitlines() if "Join" in x)
