@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import linkage as L
-from docloom.operators.components import reliable
+from docloom.operators.components import stored
 
 EDGES = "parent_doc {id}, child_doc {id}, confidence string, score int, ref_ix int"
 CASES = "doc_id {id}, case_id string, review string, component {id}"
@@ -37,7 +37,7 @@ def _without(df: DataFrame, gone: DataFrame, column: str = "doc_id") -> DataFram
 
 def full_state(docs: DataFrame, refs: DataFrame, as_of_year: int) -> dict[str, DataFrame]:
     """The state of these documents, worked out as a whole."""
-    edges = reliable(L.relink(docs, refs, as_of_year, "ref_ix"))
+    edges = stored(L.relink(docs, refs, as_of_year, "ref_ix"))
     return {"docs": docs, "refs": refs, "edges": edges, "cases": L.connected_cases(docs, edges, as_of_year, "component")}
 
 
@@ -47,25 +47,27 @@ def apply_batch(state: dict[str, DataFrame], docs: DataFrame, refs: DataFrame, r
     An id that is put in and taken out in one batch is put in. References of documents that are not in the batch are ignored.
     """
     docs, refs = docs.select(state["docs"].columns), refs.select(state["refs"].columns).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select(state["refs"].columns)
-    changed = reliable(docs.select("doc_id").union(removed.select("doc_id")).where("doc_id is not null").distinct())
-    new_docs = _without(state["docs"], changed).unionByName(docs)
-    new_refs = _without(state["refs"], changed).unionByName(refs)
+    changed = stored(docs.select("doc_id").union(removed.select("doc_id")).where("doc_id is not null").distinct())
+    # both are read by every step below, so what made them is not run again for each
+    docs, refs = stored(docs), stored(refs)
+    new_docs = stored(_without(state["docs"], changed).unionByName(docs))
+    new_refs = stored(_without(state["refs"], changed).unionByName(refs))
 
     # references whose candidates may have changed
     before = state["docs"].join(changed, "doc_id", "left_semi")
     keys = L.link_keys(before.unionByName(docs), as_of_year).distinct()
     met = L.link_keys(new_refs, as_of_year, "doc_id", "ref_ix").join(keys, "key", "left_semi").select("doc_id", "ref_ix")
-    again = reliable(met.union(refs.select("doc_id", "ref_ix")).distinct())
+    again = stored(met.union(refs.select("doc_id", "ref_ix")).distinct())
     asked = new_refs.join(again, ["doc_id", "ref_ix"], "left_semi")
     # documents that none of these references can meet take no part
     near = L.link_keys(new_docs, as_of_year, "doc_id").join(L.link_keys(asked, as_of_year).distinct(), "key", "left_semi").select("doc_id").union(again.select("doc_id")).distinct()
-    found = reliable(L.relink(new_docs.join(near, "doc_id", "left_semi"), asked, as_of_year, "ref_ix"))
+    found = stored(L.relink(new_docs.join(near, "doc_id", "left_semi"), asked, as_of_year, "ref_ix"))
     old = state["edges"]
     stale = old.join(again.withColumnRenamed("doc_id", "parent_doc"), ["parent_doc", "ref_ix"], "left_semi").select(old.columns)
     orphans = old.join(changed.withColumnRenamed("doc_id", "parent_doc"), "parent_doc", "left_semi").select(old.columns)
-    dropped = reliable(stale.union(orphans).distinct())
+    dropped = stored(stale.union(orphans).distinct())
     kept = old.join(dropped.select("parent_doc", "ref_ix").distinct(), ["parent_doc", "ref_ix"], "left_anti")
-    edges = reliable(kept.select(old.columns).unionByName(found.select(old.columns)))
+    edges = stored(kept.select(old.columns).unionByName(found.select(old.columns)))
 
     # components that lose or gain something; an edge that goes and comes back as it was touches none
     moved = dropped.exceptAll(found.select(old.columns)).union(found.select(old.columns).exceptAll(dropped))
@@ -73,7 +75,7 @@ def apply_batch(state: dict[str, DataFrame], docs: DataFrame, refs: DataFrame, r
     touched = changed.union(ends).distinct()
     cases = state["cases"]
     members = cases.join(cases.join(touched, "doc_id", "left_semi").select("component").distinct(), "component", "left_semi").select("doc_id")
-    region = reliable(members.union(touched).distinct())
+    region = stored(members.union(touched).distinct())
     # an edge's ends are in one component now and were in one before, or it is new: one end tells where it belongs
     inside = edges.join(region.withColumnRenamed("doc_id", "parent_doc"), "parent_doc", "left_semi").select(old.columns)
     rebuilt = L.connected_cases(new_docs.join(region, "doc_id", "left_semi"), inside, as_of_year, "component")

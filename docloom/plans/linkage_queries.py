@@ -10,7 +10,7 @@ from docloom.functions import normalise as N
 from docloom.operators import linkage as L
 from docloom.operators import relinking as I
 from docloom.operators import subjects as S
-from docloom.operators.components import reliable
+from docloom.operators.components import stored
 from docloom.plans.registry import query
 from docloom.plans.scalar_queries import AS_OF, CANON_DATE, CANON_FILE, STRIP, by_headnote, g, squeeze, sub
 
@@ -88,7 +88,7 @@ def _(docs: DataFrame, refs: DataFrame) -> DataFrame:
     first = docs.where("doc_id % 2 = 0 AND doc_id % 7 <> 2").unionByName(wrong)
     second = docs.where("doc_id % 11 <> 3 AND (doc_id % 2 = 1 OR doc_id % 7 = 2)")
     state = I.apply_batch(I.empty_state(docs, refs), first, refs, docs.select("doc_id").limit(0), AS_OF)
-    state = {k: reliable(v) for k, v in state.items()}
+    state["cases"] = stored(state["cases"])  # the others are stored tables already
     state = I.apply_batch(state, second, refs, docs.where("doc_id % 11 = 3").select("doc_id"), AS_OF)
     return state["cases"].select("doc_id", "case_id", "review")
 
