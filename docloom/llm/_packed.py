@@ -6,11 +6,11 @@ import numpy as np
 import zstandard
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of one-byte or eight-byte numbers; the bytes of equal weight stand together."""
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), a.itemsize)]], np.int64).tobytes()
     planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + planes)
+    return zstandard.ZstdCompressor(level=level).compress(head + planes)
 
 
 def unpack(blob: bytes, *types: type) -> list[np.ndarray]:

@@ -17,7 +17,8 @@ in it with the smallest hash, so equal windows have equal minimisers at equal pl
 Hashes find equal strings and windows; what they find is compared byte by byte before it counts. Documents are
 known by a 64-bit hash of id and text, so repeated rows are judged alike; a null id counts
 as larger than every other and never covers another null id. Nothing here holds more than one batch, one
-bucket or one group of documents; their number follows the number of input partitions.
+bucket or one group of documents; their number follows the bytes of the texts. Each group writes to each bucket, so
+small groups and buckets make values that are many and compress badly, whatever tasks read the input.
 """
 
 from __future__ import annotations
@@ -36,11 +37,14 @@ from docloom.llm import _packed, _shared, _text
 #: A minimiser of more documents is hot.
 HOT = 20_000
 #: Strings of about so many bytes are settled and sent together.
-FLUSH = 12 << 20
-#: Buckets of minimisers, buckets of strings, and groups of documents, for each input partition.
-ANCHOR_BUCKETS_PER_PARTITION = 2
-BUCKETS_PER_PARTITION = 4
-GROUPS_PER_PARTITION = 4
+FLUSH = 32 << 20
+#: A task deals documents of about so many bytes to their groups together.
+DEALT = 64 << 20
+#: Bytes of text for each bucket of minimisers, bucket of strings, and group of documents; and how many of each there are at least.
+ANCHOR_BUCKET = 16 << 20
+BUCKET = 8 << 20
+GROUP = 16 << 20
+FEWEST = 8
 
 _ANCHOR_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint64)
 _REPEAT_TYPES = (np.uint64, np.uint8)
@@ -48,8 +52,8 @@ _STRING_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32,
 _SPAN_TYPES = (np.int64, np.int64, np.uint32, np.uint32, np.uint32)
 
 
-def _pack(types: tuple, *arrays: np.ndarray) -> bytes:
-    return _packed.pack(*[np.ascontiguousarray(a, t) for a, t in zip(arrays, types, strict=True)])
+def _pack(types: tuple, *arrays: np.ndarray, level: int = 1) -> bytes:
+    return _packed.pack(*[np.ascontiguousarray(a, t) for a, t in zip(arrays, types, strict=True)], level=level)
 
 
 def _minimisers(h: np.ndarray, width: int) -> np.ndarray:
@@ -179,7 +183,7 @@ class _Batch:
                 t = docs[used]
                 text = body[_text.ragged(begin[sent], length[sent])]
                 k = len(sent)
-                return to, _pack(_STRING_TYPES, t["id"], t["key"], local[:k], pos[sent], units[sent], length[sent], anchor[sent], text, local[k:], pos[known], pos[known] + units[known])
+                return to, _pack(_STRING_TYPES, t["id"], t["key"], local[:k], pos[sent], units[sent], length[sent], anchor[sent], text, local[k:], pos[known], pos[known] + units[known], level=3)
 
             travel = np.flatnonzero(~settled)
             by = travel[np.argsort(bucket[travel], kind="stable")]
@@ -193,6 +197,41 @@ class _Batch:
 _DOC = np.dtype([("id", np.int64), ("key", np.int64)])
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (dest, ...) to their groups: the rows of one group as one compressed table."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+
+    def sent(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        order = np.argsort(table["dest"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        dest, rows = table["dest"].to_numpy(), table.drop_columns(["dest"])
+        keys, blobs = [], []
+        for a, b in _text.runs(dest):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows.slice(a, b - a))
+            keys.append(int(dest[a]))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= DEALT:
+            yield sent(held)
+            held, size = [], 0
+    if held:
+        yield sent(held)
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """The documents of a group."""
+    return pa.concat_tables([pa.ipc.open_stream(blob).read_all() for blob in table["blob"].to_pylist()])
+
+
 def _docs_of(table: pa.Table) -> np.ndarray:
     docs = np.empty(table.num_rows, _DOC)
     for name in ("id", "key"):
@@ -203,7 +242,8 @@ def _docs_of(table: pa.Table) -> np.ndarray:
 def _anchors(strings: Callable, n: int, k: int, n_buckets: int):
     """Of one group of documents: its distinct minimisers, each with its smallest document, to their buckets."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
+        table = _opened(group)
         docs = _docs_of(table)
         data, offsets = _text.flat(table["text"])
         rows, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
@@ -223,7 +263,7 @@ def _anchors(strings: Callable, n: int, k: int, n_buckets: int):
             least, gram = row[head], gram[head]
             bucket = (gram % np.uint64(n_buckets)).astype(np.int64)
             by = np.lexsort((gram, bucket))
-            home = np.array([table["dest"][0].as_py()], np.int64)
+            home = np.array([group["dest"][0].as_py()], np.int64)
             for a, b in _text.runs(bucket[by]):
                 mine = by[a:b]
                 used, local = np.unique(least[mine], return_inverse=True)
@@ -273,7 +313,8 @@ def _send(strings: Callable, n: int, k: int, n_buckets: int):
         keys, blobs = [], []
         if left.num_rows and right.num_rows:
             held = _Batch(n_buckets, left["dest"][0].as_py())
-            docs = _docs_of(left)
+            table = _opened(left)
+            docs = _docs_of(table)
             parts = [_packed.unpack(blob, *_REPEAT_TYPES) for blob in right["blob"].to_pylist()]
             gram, hot = np.concatenate([np.cumsum(g, dtype=np.uint64) for g, _ in parts]), np.concatenate([h for _, h in parts]).astype(bool)
             known, hot = np.unique(gram), np.unique(gram[hot])
@@ -284,7 +325,7 @@ def _send(strings: Callable, n: int, k: int, n_buckets: int):
                     keys.append(key)
                     blobs.append(blob)
 
-            data, offsets = _text.flat(left["text"])
+            data, offsets = _text.flat(table["text"])
             for found in strings(data, offsets, n, k, hot):
                 mine = _among(found[6], known)
                 held.add(data, tuple(x[mine] for x in found))
@@ -390,7 +431,7 @@ def _covered_units(keys: np.ndarray, blobs: list[bytes], sizes: np.ndarray) -> n
             to = begin[order[np.minimum(lo + extra, len(order) - 1)]][d[has]]
             np.add.at(mark, to + start[has], 1)
             np.add.at(mark, to + end[has], -1)
-    return np.cumsum(mark[:-1]) > 0
+    return np.cumsum(mark[:-1], out=mark[:-1]) > 0
 
 
 def keep_bytes(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -399,7 +440,12 @@ def keep_bytes(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> tuple
     first[1:] &= ~gone[:-1]
     at = offsets[:-1][offsets[1:] > offsets[:-1]]
     first[at] = gone[at]
-    total = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[offsets])
+
+    def total(m: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(m) + 1, np.int32 if len(m) < 1 << 31 else np.int64)
+        np.cumsum(m, out=sums[1:])
+        return np.diff(sums[offsets].astype(np.int64))
+
     removed = total(gone)
     kept = data[~gone].tobytes()
     cut = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)])
@@ -425,22 +471,25 @@ def keep_words(data: np.ndarray, offsets: np.ndarray, words: tuple[np.ndarray, .
 def remove_repeats(docs: DataFrame, id: str, text: str, n: int, k: int, covered: Callable, by_words: bool, with_text: bool) -> DataFrame:
     """``docs`` with n_units, n_removed, n_spans and kept_sha256; and its text replaced by what is kept, if ``with_text``."""
     added = ["n_units", "n_removed", "n_spans", "kept_sha256"]
-    parts = _shared.input_partitions(docs)
-    n_buckets, n_groups = BUCKETS_PER_PARTITION * parts, GROUPS_PER_PARTITION * parts
     body, (number, _) = _shared.column(text).cast("string"), _shared.null_last(docs, id)
+    size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    n_anchors, n_buckets, n_groups = (max(FEWEST, -(-size // each)) for each in (ANCHOR_BUCKET, BUCKET, GROUP))
     key = F.xxhash64(number, body)
     strings = word_strings if by_words else byte_strings
     kept_columns = [c for c in _shared.others(docs, added) if c != text]
     whole = docs.select(F.pmod(key, F.lit(n_groups)).cast("int").alias("dest"), number.alias("id"), key.alias("key"), body.alias("text"), _shared.packed(kept_columns).alias("row"))
+    rows = whole.schema["row"]
+    whole = whole.mapInArrow(_dealt, "dest int, blob binary")
     # all uses of the texts by group share one exchange
-    anchors = whole.groupBy("dest").applyInArrow(_anchors(strings, n, k, ANCHOR_BUCKETS_PER_PARTITION * parts), "bucket int, blob binary")
+    anchors = whole.groupBy("dest").applyInArrow(_anchors(strings, n, k, n_anchors), "bucket int, blob binary")
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated(HOT), "dest int, blob binary")
     sent = whole.groupBy("dest").cogroup(repeated.groupBy("dest")).applyInArrow(_send(strings, n, k, n_buckets), "bucket int, blob binary")
     spans = sent.groupBy("bucket").applyInArrow(_judge(covered, n_groups), "dest int, blob binary")
-    shape = [whole.schema["row"]] + ([T.StructField("text", T.StringType())] if with_text else [])
+    shape = [rows] + ([T.StructField("text", T.StringType())] if with_text else [])
     schema = T.StructType([*shape, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType())])
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+    def finish(group: pa.Table, right: pa.Table) -> pa.Table:
+        left = _opened(group)
         data, offsets = _text.flat(left["text"])
         keys = left["key"].to_numpy()
         blobs = right["blob"].to_pylist()

@@ -349,3 +349,15 @@ def test_the_largest_long_is_an_id_like_others(spark):
         assert {i for i, n in removed.items() if n == 0} == {least}
     alone = ngram_join.link_documents(spark.createDataFrame([(top, text), (None, sentence(6, 60))], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in alone} == {(top, top), (None, None)}
+
+
+def test_groups_of_windows_follow_the_texts_and_not_the_tasks(spark, monkeypatch):
+    """Each group writes to each bucket, so with groups for each task the shuffle grew with the square of the tasks."""
+    seen, real = [], _windows._send
+    monkeypatch.setattr(_windows, "_send", lambda strings, n, k, n_buckets: seen.append(n_buckets) or real(strings, n, k, n_buckets))
+    rows = [(i, " ".join(f"w{(i % 7) * 31 + j}" for j in range(40)), None if i % 3 else f"s{i}") for i in range(60)] + [(60, None, "n"), (61, "", None)]
+    found = []
+    for parts in (2, 60):
+        out = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts))
+        found.append(sorted((tuple(r) for r in out.collect()), key=lambda r: r[0]))
+    assert found[0] == found[1] and len(found[0]) == 62 and seen[0] == seen[1]
