@@ -98,3 +98,18 @@ def test_counts_by_letters_are_counts_by_pattern(spark):
     n = lambda v: F.size(F.regexp_extract_all("text", F.concat(F.lit("(?U)("), P.name_pattern(F.lit(v)), F.lit(")")), F.lit(1)))
     for row in r.select("doc_id", "r.hits", *[n(v).alias(f"n{i}") for i, v in enumerate(["ababa", "ax.by+z", "احمدي", "علي"])], n("احمد").alias("n4")).collect():
         assert row.hits == sum(row[f"n{i}"] for i in range(5)), row
+
+
+def test_scans_do_not_stay_in_the_task_that_reads_the_texts(spark, case):
+    """A file of one row group is read by one task."""
+    docs, _, table = case
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(was, ("false", "4"), strict=True):
+            spark.conf.set(c, v)
+        for scan in (R.known_value_leaks, R.literal_value_leaks):
+            few = scan(docs.coalesce(1), table).select("doc_id", F.spark_partition_id().alias("task"))
+            assert few.select("task").distinct().count() == 4 and few.count() == docs.count()
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
