@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import search
-from docloom.operators.components import reliable
+from docloom.operators.components import stored
 from docloom.sources.snapshots import SnapshotStore
 
 #: A run is merged into the one before it if that has fewer than so many times its postings.
@@ -42,9 +42,9 @@ class TokenIndex:
         """Puts in new and changed documents (one row for each id), takes out ``removed`` ones (their ids)."""
         version = self.store.version()
         tables, runs = self.store.tables(version.number), list(version.notes.get("runs", []))
-        postings = reliable(search.build_token_index(changed, self.id, column))
+        postings = stored(search.build_token_index(changed, self.id, column))
         gone = changed.select(self.id) if removed is None else changed.select(self.id).union(removed.select(self.id))
-        gone, count, drop = reliable(gone.distinct()), postings.count(), []
+        gone, count, drop = stored(gone.distinct()), postings.count(), []
         while runs and runs[-1]["postings"] < FANOUT * max(count, 1):
             older = runs.pop()
             drop += [f"run-{older['name']}", f"gone-{older['name']}"]

@@ -1,11 +1,13 @@
 """The index in levels against one built anew, and what its look-ups read."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from docloom.operators import search as S
 from docloom.operators import token_index as I
+from docloom.operators.components import shared_dir
 
 WORDS = ["تعويض", "التعويض", "كراء", "الكراء", "اداء", "الاداء", "طلاق", "عقد", "شفعه", "نفقه"]
 
@@ -50,3 +52,12 @@ def test_a_look_up_reads_the_row_groups_of_its_words_only(spark, tmp_path, monke
     # of a common word, only the row groups of the documents that are asked for
     assert scanned(index.postings((F.col("token") == "common") & F.col("doc_id").isin([7, 9]))) < total / 10
     assert [r.doc_id for r in index.search("w001234 common").collect()] == [1234]
+
+
+def test_a_refresh_is_kept_in_compressed_tables(spark, tmp_path):
+    """Checkpoints keep rows uncompressed, and were more than all else that a refresh wrote."""
+    held = lambda: {p for p in Path(shared_dir(spark).removeprefix("file:")).glob("rdd-*")}
+    before = held()
+    index = I.TokenIndex(spark, str(tmp_path / "index"))
+    index.refresh(spark.createDataFrame([("D1", "تعويض كراء"), ("D2", "تعويض")], "doc_id string, search_text string"))
+    assert sorted(r[0] for r in index.search("تعويض").collect()) == ["D1", "D2"] and held() == before
