@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,8 @@ HOT = 20_000
 FLUSH = 32 << 20
 #: A task deals documents of about so many bytes to their groups together.
 DEALT = 64 << 20
+#: A group's documents are put together again from about so many bytes at a time.
+FINISHED = 2 << 20
 #: Bytes of text for each bucket of minimisers, bucket of strings, and group of documents; and how many of each there are at least.
 ANCHOR_BUCKET = 16 << 20
 BUCKET = 8 << 20
@@ -202,16 +205,15 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
     def sent(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        order = np.argsort(table["dest"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order)).combine_chunks()
-        dest, rows = table["dest"].to_numpy(), table.drop_columns(["dest"])
+        dests = [batch.column("dest").to_numpy() for batch in held]
+        rows = [batch.drop_columns(["dest"]) for batch in held]
         keys, blobs = [], []
-        for a, b in _text.runs(dest):
+        # the rows of one group are copied at a time, never all again
+        for dest in np.unique(np.concatenate(dests)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
-                out.write_table(rows.slice(a, b - a))
-            keys.append(int(dest[a]))
+            with pa.ipc.new_stream(sink, rows[0].schema, options=options) as out:
+                out.write_table(pa.Table.from_batches([r.take(pa.array(np.flatnonzero(d == dest))) for r, d in zip(rows, dests, strict=True)]).combine_chunks())
+            keys.append(int(dest))
             blobs.append(sink.getvalue().to_pybytes())
         return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
 
@@ -416,21 +418,31 @@ def spans_of(string: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
     return string[first], at[first], at[last] + n
 
 
-def _covered_units(keys: np.ndarray, blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Which units are covered, for documents with so many units, all in a row."""
-    begin = np.cumsum(sizes) - sizes
-    mark = np.zeros(int(sizes.sum()) + 1, np.int32)
+def _spans_of_rows(keys: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last + 1 unit of all spans of documents with these keys, by row."""
     order = np.argsort(keys, kind="stable")
     rank = keys[order]
+    rows, starts, ends = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
     for blob in blobs:
         _, want, local, start, end = _packed.unpack(blob, *_SPAN_TYPES)
         lo, hi = np.searchsorted(rank, want, "left"), np.searchsorted(rank, want, "right")
         d = local.astype(np.int64)
         for extra in range(int((hi - lo).max(initial=0))):  # repeated rows of one document
             has = (lo + extra < hi)[d]
-            to = begin[order[np.minimum(lo + extra, len(order) - 1)]][d[has]]
-            np.add.at(mark, to + start[has], 1)
-            np.add.at(mark, to + end[has], -1)
+            rows.append(order[np.minimum(lo + extra, len(order) - 1)][d[has]])
+            starts.append(start[has])
+            ends.append(end[has])
+    row, start, end = (np.concatenate(x) for x in (rows, starts, ends))
+    by = np.argsort(row, kind="stable")
+    return row[by], start[by], end[by]
+
+
+def _covered_units(row: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which units spans cover, for documents with so many units, all in a row."""
+    begin = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(sizes.sum()) + 1, np.int32)
+    np.add.at(mark, begin[row] + start, 1)
+    np.add.at(mark, begin[row] + end, -1)
     return np.cumsum(mark[:-1], out=mark[:-1]) > 0
 
 
@@ -468,6 +480,39 @@ def keep_words(data: np.ndarray, offsets: np.ndarray, words: tuple[np.ndarray, .
     return [raw[a : max(a, b - 1)] for a, b in zip(cut, cut[1:], strict=False)], np.bincount(row, minlength=n), np.bincount(row[gone], minlength=n), np.bincount(row[first], minlength=n)
 
 
+def _finish(names: list[str], by_words: bool, with_text: bool):
+    """The documents of a group without their spans, and what is said of each."""
+
+    def finished(left: pa.Table, spans: tuple[np.ndarray, ...]) -> pa.Table:
+        data, offsets = _text.flat(left["text"])
+        if by_words:
+            found = _text.words(data, offsets)
+            gone = _covered_units(*spans, np.bincount(found[2], minlength=left.num_rows))
+            kept, units, removed, runs = keep_words(data, offsets, found, gone)
+        else:
+            gone = _covered_units(*spans, np.diff(offsets))
+            kept, units, removed, runs = keep_bytes(data, offsets, gone)
+        cols = [left["row"]]
+        if with_text:
+            # rows of which nothing is removed keep their text, a null one too
+            old = left["text"].to_pylist()
+            cols.append(pa.array([o if not r else x.decode("utf-8", "ignore") for o, r, x in zip(old, removed.tolist(), kept, strict=True)], pa.string()))
+        digests = [hashlib.sha256(x).hexdigest() for x in kept]
+        return pa.table([*cols, pa.array(units, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=names)
+
+    def finish(group: pa.Table, right: pa.Table) -> pa.Table:
+        left = _opened(group)
+        row, start, end = _spans_of_rows(left["key"].to_numpy(), right["blob"].to_pylist())
+        parts = []
+        # a unit's marks take several times its bytes, so only some documents are marked at a time
+        for a, b in _text.blocks(pc.fill_null(pc.binary_length(left["text"]), 0).to_numpy().astype(np.int64), FINISHED):
+            x, y = np.searchsorted(row, [a, b])
+            parts.append(finished(left.slice(a, b - a), (row[x:y] - a, start[x:y], end[x:y])))
+        return pa.concat_tables(parts)
+
+    return finish
+
+
 def remove_repeats(docs: DataFrame, id: str, text: str, n: int, k: int, covered: Callable, by_words: bool, with_text: bool) -> DataFrame:
     """``docs`` with n_units, n_removed, n_spans and kept_sha256; and its text replaced by what is kept, if ``with_text``."""
     added = ["n_units", "n_removed", "n_spans", "kept_sha256"]
@@ -488,25 +533,5 @@ def remove_repeats(docs: DataFrame, id: str, text: str, n: int, k: int, covered:
     shape = [rows] + ([T.StructField("text", T.StringType())] if with_text else [])
     schema = T.StructType([*shape, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType())])
 
-    def finish(group: pa.Table, right: pa.Table) -> pa.Table:
-        left = _opened(group)
-        data, offsets = _text.flat(left["text"])
-        keys = left["key"].to_numpy()
-        blobs = right["blob"].to_pylist()
-        if by_words:
-            found = _text.words(data, offsets)
-            gone = _covered_units(keys, blobs, np.bincount(found[2], minlength=left.num_rows))
-            kept, units, removed, runs = keep_words(data, offsets, found, gone)
-        else:
-            gone = _covered_units(keys, blobs, np.diff(offsets))
-            kept, units, removed, runs = keep_bytes(data, offsets, gone)
-        cols = [left["row"]]
-        if with_text:
-            # rows of which nothing is removed keep their text, a null one too
-            old = left["text"].to_pylist()
-            cols.append(pa.array([o if not r else x.decode("utf-8", "ignore") for o, r, x in zip(old, removed.tolist(), kept, strict=True)], pa.string()))
-        digests = [hashlib.sha256(x).hexdigest() for x in kept]
-        return pa.table([*cols, pa.array(units, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=schema.names)
-
-    done = whole.groupBy("dest").cogroup(spans.groupBy("dest")).applyInArrow(finish, schema)
+    done = whole.groupBy("dest").cogroup(spans.groupBy("dest")).applyInArrow(_finish(schema.names, by_words, with_text), schema)
     return done.select(*_shared.unpacked(kept_columns), *([F.col("text").alias(text)] if with_text else []), *added)

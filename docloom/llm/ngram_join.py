@@ -108,24 +108,28 @@ def _postings(width: int, n_buckets: int):
         def flushed() -> pa.RecordBatch:
             ids, fp, fp2, n, h, at = [], [], [], [], [], []
             base = 0
+            # the largest arrays of a task: rows are numbers of four bytes, and what is not needed any more is let go
             for i, row, hh, f1, f2 in held:
                 ids.append(i)
                 fp.append(f1)
                 fp2.append(f2)
                 n.append(np.bincount(row, minlength=len(i)))
                 h.append(hh)
-                at.append(row + base)
+                at.append(row + np.uint32(base))
                 base += len(i)
-            ids, fp, fp2, n, h, at = (np.concatenate(x) for x in (ids, fp, fp2, n, h, at))
+            held.clear()
+            ids, fp, fp2, n = (np.concatenate(x) for x in (ids, fp, fp2, n))
+            h, at = np.concatenate(h), np.concatenate(at)
             # equal sets of these documents send their shingles once
             first = np.zeros(len(ids), bool)
             first[np.unique(fp, return_index=True)[1]] = True
             ok = first[at]
             h, at = h[ok], at[ok]
-            bucket = (h >> _U(32)) % _U(n_buckets)
+            bucket = ((h >> _U(32)) % _U(n_buckets)).astype(np.uint32)
             home = _text.mix(ids.view(_U)) % _U(n_buckets)
             order = np.lexsort((h, bucket))
-            h, at, bucket = h[order], at[order], bucket[order].astype(np.int64)
+            h, at, bucket = h[order], at[order], bucket[order]
+            del ok, order
             docs_order = np.argsort(home, kind="stable")
             home = home[docs_order].astype(np.int64)
             keys, blobs = [], []
@@ -140,13 +144,15 @@ def _postings(width: int, n_buckets: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                ids = part.column("_id").to_numpy()
+                ids = part.column("_id").to_numpy().copy()  # a view would keep the whole batch
                 row, h = shingle_sets(part.column("_text"), width)
-                held.append((ids, row, h, *_fingerprints(row, h, len(ids))))
+                held.append((ids, row.astype(np.uint32), h, *_fingerprints(row, h, len(ids))))
                 size += len(h) + len(ids)
                 if size >= FLUSH:
                     yield flushed()
-                    held, size = [], 0
+                    size = 0
+            # the next batch does not wait beside this one
+            batch = part = None
         if held:
             yield flushed()
 

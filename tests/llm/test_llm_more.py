@@ -361,3 +361,48 @@ def test_groups_of_windows_follow_the_texts_and_not_the_tasks(spark, monkeypatch
         out = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts))
         found.append(sorted((tuple(r) for r in out.collect()), key=lambda r: r[0]))
     assert found[0] == found[1] and len(found[0]) == 62 and seen[0] == seen[1]
+
+
+def test_a_group_is_finished_in_parts_and_not_in_several_times_its_bytes(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [sentence(i, 2000) if i % 50 else None for i in range(800)]
+    size = sum(len(t.encode()) for t in texts if t)
+    ids = np.arange(len(texts))
+    one = pa.record_batch([pa.array(np.zeros(len(texts), np.int32)), pa.array(ids), pa.array(ids), pa.array(texts), pa.StructArray.from_arrays([pa.array(ids)], ["c0"])], ["dest", "id", "key", "text", "row"])
+    group = pa.Table.from_batches(list(_windows._dealt(iter([one.slice(0, 300), one.slice(300)]))))
+    where = np.flatnonzero(ids % 50)[::2]
+    blob = _windows._pack(_windows._SPAN_TYPES, where, where, np.arange(len(where)), np.full(len(where), 10), np.full(len(where), 70))
+    spans = pa.table([pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["dest", "blob"])
+    names = ["row", "text", "n_units", "n_removed", "n_spans", "kept_sha256"]
+    monkeypatch.setattr(_windows, "FINISHED", 1 << 17)
+    tracemalloc.start()
+    out = _windows._finish(names, False, True)(group, spans)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # marks of the whole group alone take four times its bytes
+    assert peak < 2 * size, (peak, size)
+    cut = set(where.tolist())
+    for i, (t, now, gone) in enumerate(zip(texts, out["text"].to_pylist(), out["n_removed"].to_pylist(), strict=True)):
+        want = t if i not in cut else (t.encode()[:10] + t.encode()[70:]).decode("utf-8", "ignore")
+        assert now == want and gone == (60 if i in cut else 0)
+    assert out["row"].to_pylist() == [{"c0": i} for i in range(len(texts))]
+
+
+def test_postings_hold_few_copies_of_their_shingles():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 20, 260)) for _ in range(4000)]
+    batches = [pa.record_batch([pa.array(range(a, a + 1000)), pa.array(texts[a : a + 1000])], ["_id", "_text"]) for a in range(0, 4000, 1000)]
+    ngram_join.shingle_sets(pa.array(texts[:1]))
+    tracemalloc.start()
+    rows = [n for out in ngram_join._postings(5, 16)(iter([*batches, batches[0].slice(0, 0)])) for n in [out.num_rows]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a million shingles of eight bytes are sent together
+    assert rows == [16] and peak < 64 << 20, peak
