@@ -115,6 +115,14 @@ def test_stars_take_few_rounds(spark):
         connected_components(spark.createDataFrame(shapes["chain"][0], "a long, b long"), rounds=1)
 
 
+def test_chains_whose_edges_come_together_need_no_rounds(spark):
+    """As the edges of a customer's successive orders: in order, and each chain in one task; with repeats, loops and nulls."""
+    chains = [[(100 * c + i, 100 * c + i + 1) for i in range(40)] for c in range(50)]
+    pairs = [p for c in chains for p in c] + [(7, 7), (None, 3), (0, 1), (1, 0)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long").coalesce(1), rounds=1).collect()}
+    assert got == {100 * c + i: 100 * c for c in range(50) for i in range(41)}
+
+
 def test_which_copy_is_kept(spark):
     docs = spark.createDataFrame([("a", "h1"), ("b", "h1"), ("c", "h2"), ("d", "h2"), ("e", "h3"), ("f", "h4"), ("g", "h4")], "doc_id string, hash string")
     known = spark.createDataFrame([("h1", "elsewhere"), ("h2", "d")], "hash string, doc_id string")
