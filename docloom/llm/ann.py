@@ -30,15 +30,11 @@ from docloom.llm._packed import pack, unpack
 
 #: Nodes of a cell that the start compares with one another; a larger cell is split.
 CELL = 256
-#: Nodes whose lists are merged together.
+#: Nodes whose lists are merged, and whose neighbours are compared, together.
 GROUP = 4096
-#: Nodes whose neighbours are compared in one task call.
-PIVOTS = 1024
 #: Rounds end with one that changes less than this share of all neighbours.
 SETTLED = 0.001
 
-_FOUND = (np.int64, np.int64, np.float64)
-
 
 def _dest(ids: np.ndarray, groups: int) -> np.ndarray:
     return (_text.mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
@@ -58,14 +54,6 @@ def _best(u: np.ndarray, c: np.ndarray, s: np.ndarray, most: int) -> tuple[np.nd
     return u[ok], c[ok], s[ok]
 
 
-def _sent(u: np.ndarray, c: np.ndarray, s: np.ndarray, groups: int) -> pa.Table:
-    dest = _dest(u, groups)
-    order = np.argsort(dest, kind="stable")
-    u, c, s, dest = u[order], c[order], s[order], dest[order]
-    runs = _text.runs(dest)
-    return pa.table([pa.array([int(dest[a]) for a, _ in runs], pa.int32()), pa.array([pack(u[a:b], c[a:b], s[a:b]) for a, b in runs], pa.binary())], ["dest", "blob"])
-
-
 def _matrix(codes: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Codes (a scale and components in eight bits) as rows of numbers, and the scales.
 
@@ -121,85 +109,258 @@ def _pairs(u: np.ndarray, c: np.ndarray) -> np.ndarray:
     return _text.mix(_text.mix(u.astype(np.uint64)) + c.astype(np.uint64))
 
 
-def _merge(degree: int):
-    """The best of all that was found for each node, and how many of them it did not have before."""
+#: A group's nodes: ids, lengths of lists, neighbours, their scores, whether they are new, codes.
+_NODES = (np.int64, np.int64, np.int64, np.float64, np.uint8, np.uint8)
+#: Neighbours found: nodes, how many for each, neighbours, scores.
+_FOUND = (np.int64, np.int64, np.int64, np.float64)
+#: Edges by their ends: the neighbour, the node that has it, whether it is new there.
+_EDGES = (np.int64, np.int64, np.uint8)
+#: Members of pivots: pivot, place among the members, how it belongs; and of each member id, last score and code.
+_MEMBERS = (np.int64, np.int64, np.uint8, np.int64, np.float64, np.uint8)
+#: How a member belongs to a pivot: as its neighbour, as a node that has it as neighbour, by a new edge, as itself.
+_OUT, _BACK, _NEW, _SELF = 1, 2, 4, 8
+
+_MESSAGE = "dest int, old boolean, blob binary"
+
+
+def _rows(dests: list[int], blobs: list[bytes], old: bool = False) -> pa.Table:
+    return pa.table([pa.array(dests, pa.int32()), pa.array([old] * len(dests), pa.bool_()), pa.array(blobs, pa.binary())], ["dest", "old", "blob"])
+
+
+def _dealt(dest: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by group, and (group, from, to) in it."""
+    order = np.argsort(dest, kind="stable")
+    dest = dest[order]
+    return order, [(int(dest[a]), a, b) for a, b in _text.runs(dest)]
+
+
+def _sent(u: np.ndarray, c: np.ndarray, s: np.ndarray, groups: int) -> pa.Table:
+    """Found neighbours, dealt to the groups of their nodes; rows of a node stand together."""
+    order, runs = _dealt(_dest(u, groups))
+    u, c, s = u[order], c[order], s[order]
+    blobs = []
+    for _, a, b in runs:
+        of = np.array(_text.runs(u[a:b]), np.int64)
+        blobs.append(pack(u[a:b][of[:, 0]], of[:, 1] - of[:, 0], c[a:b], s[a:b]))
+    return _rows([g for g, _, _ in runs], blobs)
+
+
+def _bare(groups: int):
+    """Nodes without neighbours, dealt to their groups."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rep = batch.column("rep").to_numpy()
+                code = _text.flat(pa.chunked_array([batch.column("code")]))[0].reshape(len(rep), -1)
+                order, runs = _dealt(_dest(rep, groups))
+                rep, code, none = rep[order], code[order], np.empty(0, np.int64)
+                blobs = [pack(rep[a:b], np.zeros(b - a, np.int64), none, none.astype(np.float64), none.astype(np.uint8), code[a:b].ravel()) for _, a, b in runs]
+                yield from _rows([g for g, _, _ in runs], blobs, True).to_batches()
+
+    return run
+
+
+def _nodes_of(table: pa.Table) -> list[np.ndarray]:
+    """The nodes of a group, as _NODES with a row of codes for each."""
+    parts = [unpack(b, *_NODES) for b, old in zip(table["blob"].to_pylist(), table["old"].to_pylist(), strict=True) if old]
+    rep, sizes, ids, sims, new, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return [rep, sizes, ids, sims, new, code.reshape(len(rep), -1)]
+
+
+def _used(sizes: np.ndarray, new: np.ndarray, step: int) -> np.ndarray:
+    """Which neighbours take part in a round: those that did before, and the ``step`` nearest new ones of each node."""
+    count = np.concatenate([[0], np.cumsum(new, dtype=np.int64)])
+    before = count[np.cumsum(sizes) - sizes]
+    return (new == 0) | (count[1:] - np.repeat(before, sizes) <= step)
+
+
+def _merge(degree: int, step: int):
+    """The best of all that was found for each node, what of it is new, and how many it did not have before."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(b, *_FOUND) for b in table["blob"].to_pylist()]
-        had = [_pairs(u, c) for (u, c, _), old in zip(parts, table["old"].to_pylist(), strict=True) if old]
-        u, c, s = _best(*(np.concatenate(x) for x in zip(*parts, strict=True)), degree)
-        nodes, first = np.unique(u, return_index=True)
-        new = ~np.isin(_pairs(u, c), np.concatenate(had)) if had else np.ones(len(u), bool)
-        fresh = np.add.reduceat(new.astype(np.int64), first) if len(u) else np.empty(0, np.int64)
-        offsets = pa.array(np.concatenate([first, [len(u)]]).astype(np.int32))
-        return pa.table([pa.array(nodes), pa.ListArray.from_arrays(offsets, pa.array(c)), pa.ListArray.from_arrays(offsets, pa.array(s)), pa.array(fresh)], ["rep", "ids", "sims", "fresh"])
+        rep, sizes, ids, sims, new, code = _nodes_of(table)
+        new = new * ~_used(sizes, new, step)
+        found = [unpack(b, *_FOUND) for b, old in zip(table["blob"].to_pylist(), table["old"].to_pylist(), strict=True) if not old]
+        by = np.argsort(rep)
+        u = np.concatenate([np.repeat(np.arange(len(rep)), sizes), *[np.repeat(by[np.searchsorted(rep, f[0], sorter=by)], f[1]) for f in found]])
+        c, s = (np.concatenate([mine, *[f[i] for f in found]]) for i, mine in ((2, ids), (3, sims)))
+        new = np.concatenate([new, np.full(len(c) - len(ids), 2, np.uint8)])
+        # copies stand together, those that the node had first
+        order = np.lexsort((c, -s, u))
+        u, c, s, new = u[order], c[order], s[order], new[order]
+        keep = np.ones(len(u), bool)
+        keep[1:] = (u[1:] != u[:-1]) | (c[1:] != c[:-1])
+        for most in (2 * degree, degree):
+            u, c, s, new = u[keep], c[keep], s[keep], new[keep]
+            if most > degree:
+                near = np.arange(len(u)) - np.searchsorted(u, u) < most
+                u, c, s, new = u[near], c[near], s[near], new[near]
+                # products of one pair may differ in their last digit
+                order = np.lexsort((new, c, u))
+                first = np.ones(len(u), bool)
+                first[1:] = (u[order][1:] != u[order][:-1]) | (c[order][1:] != c[order][:-1])
+                keep = np.zeros(len(u), bool)
+                keep[order[first]] = True
+            else:
+                keep = np.arange(len(u)) - np.searchsorted(u, u) < most
+        u, c, s, new = u[keep], c[keep], s[keep], new[keep]
+        blob = pack(rep, np.bincount(u, minlength=len(rep)).astype(np.int64), c, s, (new > 0).astype(np.uint8), code.ravel())
+        return pa.table([table["dest"].slice(0, 1), pa.array([True]), pa.array([blob], pa.binary()), pa.array([int((new == 2).sum())], pa.int64())], ["dest", "old", "blob", "fresh"])
 
     return run
 
 
-def _lists(groups: int):
+def _asked(groups: int, step: int):
+    """The edges of a round, dealt to the groups of the neighbours that they name."""
+
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                n = batch.column("ids").value_lengths().to_numpy()
-                yield from _sent(np.repeat(batch.column("rep").to_numpy(), n), batch.column("ids").flatten().to_numpy(), batch.column("sims").flatten().to_numpy(), groups).to_batches()
+            for blob in batch.column("blob").to_pylist():
+                rep, sizes, ids, _, new, _ = unpack(blob, *_NODES)
+                use = _used(sizes, new, step)
+                u, c, new = np.repeat(rep, sizes)[use], ids[use], new[use]
+                order, runs = _dealt(_dest(c, groups))
+                u, c, new = u[order], c[order], new[order]
+                yield from _rows([g for g, _, _ in runs], [pack(c[a:b], u[a:b], new[a:b]) for _, a, b in runs]).to_batches()
 
     return run
 
 
-def _local_join(degree: int, groups: int):
-    """Of some nodes: their neighbours compared with one another; what is better than a neighbour's last."""
+def _thinned(pivot: np.ndarray, member: np.ndarray, kind: np.ndarray, sample: int, k: int) -> np.ndarray:
+    """Which of the members stay if each pivot takes ``sample`` new and ``sample`` old ones that it does not have as neighbours."""
+    keep = np.ones(len(pivot), bool)
+    back = np.flatnonzero((kind & (_OUT | _BACK)) == _BACK)
+    place = _pairs(pivot[back], member[back] + k)
+    order = back[np.lexsort((place, kind[back] & _NEW, pivot[back]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (pivot[order][1:] != pivot[order][:-1]) | ((kind[order] & _NEW)[1:] != (kind[order] & _NEW)[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    keep[order[np.arange(len(order)) - first >= sample]] = False
+    return keep
+
+
+def _members(degree: int, groups: int, step: int, sample: int, k: int):
+    """Each node of a group, with its code, to the groups of the nodes that it is compared at: once to each group."""
 
     def run(table: pa.Table) -> pa.Table:
-        pivot, member, least = (table[c].to_numpy() for c in ("pivot", "member", "least"))
-        order = np.lexsort((member, pivot))
-        x, scale = (c[order] for c in _matrix(table["code"]))
-        pivot, member, least = pivot[order], member[order], least[order]
-        new = np.ones(len(pivot), bool)
-        new[1:] = (pivot[1:] != pivot[:-1]) | (member[1:] != member[:-1])
-        x, scale, pivot, member, least = x[new], scale[new], pivot[new], member[new], least[new]
+        rep, sizes, ids, sims, new, code = _nodes_of(table)
+        last = np.full(len(rep), -np.inf)
+        full = sizes >= degree
+        last[full] = sims[(np.cumsum(sizes) - 1)[full]]
+        use = _used(sizes, new, step)
+        owner, ids, new = np.repeat(np.arange(len(rep)), sizes)[use], ids[use], new[use]
+        # of old edges backwards, about ``step`` of a node in a round, others in the next
+        some = (new > 0) | ((_pairs(ids, rep[owner] + k) >> np.uint64(8)) % np.uint64(degree) < step)
+        owner, ids, new = owner[some], ids[some], new[some]
+        kind = (_BACK + _NEW * (new > 0)).astype(np.uint8)
+        keep = _thinned(ids, rep[owner], kind, sample, k)
+        parts = [(rep, np.arange(len(rep)), np.full(len(rep), _SELF, np.uint8)), (ids[keep], owner[keep], kind[keep])]
+        by = np.argsort(rep)
+        for blob, old in zip(table["blob"].to_pylist(), table["old"].to_pylist(), strict=True):
+            if not old:
+                c, u, new = unpack(blob, *_EDGES)
+                parts.append((u, by[np.searchsorted(rep, c, sorter=by)], (_OUT + _NEW * (new > 0)).astype(np.uint8)))
+        pivot, at, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, runs = _dealt(_dest(pivot, groups))
+        pivot, at, kind = pivot[order], at[order], kind[order]
+        blobs = []
+        for _, a, b in runs:
+            some, place = np.unique(at[a:b], return_inverse=True)
+            blobs.append(pack(pivot[a:b], place.astype(np.int64), kind[a:b], rep[some], last[some], code[some].ravel()))
+        return _rows([g for g, _, _ in runs], blobs)
+
+    return run
+
+
+def _local_join(groups: int, sample: int, k: int):
+    """Of some nodes: new neighbours compared with one another and with the old ones; what is better than a neighbour's last."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack(b, *_MEMBERS) for b in table["blob"].to_pylist()]
+        shift = np.cumsum([0] + [len(x[3]) for x in parts])
+        pivot, kind, ids, last = (np.concatenate([x[i] for x in parts]) for i in (0, 2, 3, 4))
+        at = np.concatenate([x[1] + n for x, n in zip(parts, shift, strict=False)])
+        raw = np.concatenate([x[5] for x in parts]).reshape(len(ids), -1)
+        del parts
+        scale = np.ascontiguousarray(raw[:, :8]).view(np.float64)[:, 0]
+        codes = raw[:, 8:].view(np.int8)
+        order = np.lexsort((at, pivot))
+        pivot, at, kind = pivot[order], at[order], kind[order]
+        first = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (at[1:] != at[:-1])]))
+        pivot, at, kind = pivot[first], at[first], np.bitwise_or.reduceat(kind, first)
+        keep = _thinned(pivot, ids[at], kind, sample, k)
+        pivot, at, kind = pivot[keep], at[keep], kind[keep]
+        # of a pivot: the new ones, the old ones, itself
+        order = np.lexsort((np.where(kind & _SELF, 2, np.where(kind & _NEW, 0, 1)), pivot))
+        pivot, at, kind = pivot[order], at[order], kind[order]
+        fresh = np.concatenate([[0], np.cumsum((kind & _NEW) > 0)])
         us, cs, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for a, b in _text.runs(pivot):
-            s = (x[a:b] @ x[a:b].T) * scale[a:b]
-            np.fill_diagonal(s, -np.inf)
-            i, j = np.nonzero(s > least[a:b, None])
-            us.append(member[a + i])
-            cs.append(member[a + j])
-            ss.append(s[i, j])
-        return _sent(*_best(np.concatenate(us), np.concatenate(cs), np.concatenate(ss), degree), groups)
+            n = int(fresh[b] - fresh[a])
+            if not n:
+                continue
+            m = at[a:b]
+            x = codes[m].astype(np.float32)
+            s = x[:n] @ x.T
+            # what the new ones find
+            mine = s * scale[m]
+            mine[np.arange(n), np.arange(n)] = -np.inf
+            mine[(kind[a : a + n] & _BACK) > 0, -1] = -np.inf  # has the pivot
+            i, j = np.nonzero(mine > last[m[:n], None])
+            us.append(m[i])
+            cs.append(m[j])
+            ss.append(mine[i, j])
+            # what the old ones find among the new
+            theirs = s[:, n:] * scale[m[:n], None]
+            theirs[(kind[a : a + n] & _OUT) > 0, -1] = -np.inf  # the pivot has it
+            i, j = np.nonzero(theirs > last[m[n:]])
+            us.append(m[n + j])
+            cs.append(m[i])
+            ss.append(theirs[i, j])
+        u, c, s = np.concatenate(us), np.concatenate(cs), np.concatenate(ss)
+        pair = (u << 32) | c
+        order = np.argsort(pair)
+        pair = pair[order]
+        order = order[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(order) else order
+        return _sent(ids[u[order]], ids[c[order]], s[order], groups)
 
     return run
 
 
-def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 64, tables: int = 3, sample: int = 64, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rep, code) and the graph (rep, ids, sims; nearest first) of ``nodes`` (rep, vec), after ``rounds`` or when it is settled."""
+def _listed(batches):
+    """The lists of packed nodes as rows."""
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            rep, sizes, ids, sims, _, _ = unpack(blob, *_NODES)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.record_batch([pa.array(rep), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(sims))], ["rep", "ids", "sims"])
+
+
+def build_graph(nodes: DataFrame, n: int, dims: int, degree: int = 64, tables: int = 3, sample: int = 64, rounds: int | None = None, step: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(rep, code) and the graph (rep, ids, sims; nearest first) of ``nodes`` (rep, vec), after ``rounds`` or when it is settled.
+
+    A node brings its ``step`` nearest new neighbours into a round, others wait for the next; and at most ``sample`` new and
+    ``sample`` old nodes of which it is a neighbour.
+    """
     bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
     groups = max(8, -(-n // GROUP))
     unit = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
     coded = _shared.written(nodes.mapInArrow(_coded(dims, tables, bits, float(unit)), "rep long, code binary, cells array<long>"), "codes")
+    codes = coded.select("rep", "code")
     spread = coded.select("rep", "code", F.posexplode("cells").alias("t", "cell"))
     sizes = spread.groupBy("t", "cell").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))
     dealt = spread.join(sizes, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep", "t"), "parts"))
-    found = dealt.groupBy("t", "cell", "part").applyInArrow(_compare_cell(degree, groups), "dest int, blob binary")
-    shape = "rep long, ids array<long>, sims array<double>, fresh long"
-    graph = _shared.written(found.withColumn("old", F.lit(False)).groupBy("dest").applyInArrow(_merge(degree), shape), "graph")
-    codes = coded.select("rep", "code")
-    for k in range(rounds) if rounds is not None else itertools.count():
-        out = graph.select(F.col("rep").alias("pivot"), F.explode("ids").alias("member"))
-        # each task keeps its first ``sample`` rows of a node before they are shuffled (the plan's partial WindowGroupLimit)
-        rank = Window.partitionBy("pivot").orderBy(F.xxhash64("member", F.lit(k)), "member")
-        back = out.select(F.col("member").alias("pivot"), F.col("pivot").alias("member")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).drop("r")
-        own = graph.select(F.col("rep").alias("pivot"), F.col("rep").alias("member"))
-        least = F.when(F.size("sims") >= degree, F.element_at("sims", -1)).otherwise(F.lit(float("-inf")))
-        known = codes.join(graph.select("rep", least.alias("least")), "rep").withColumnRenamed("rep", "member")
-        met = out.union(back).union(own).join(known, "member").withColumn("g", F.pmod(F.xxhash64("pivot"), F.lit(max(8, -(-n // PIVOTS)))).cast("int"))
-        better = met.groupBy("g").applyInArrow(_local_join(degree, groups), "dest int, blob binary")
-        old = graph.mapInArrow(_lists(groups), "dest int, blob binary")
-        both = old.withColumn("old", F.lit(True)).union(better.withColumn("old", F.lit(False)))
-        graph = _shared.written(both.groupBy("dest").applyInArrow(_merge(degree), shape), "graph")
-        if rounds is None and (graph.agg(F.sum("fresh")).first()[0] or 0) <= SETTLED * n * degree:
+    found = dealt.groupBy("t", "cell", "part").applyInArrow(_compare_cell(degree, groups), _MESSAGE)
+    state = codes.mapInArrow(_bare(groups), _MESSAGE)
+    for k in itertools.count():
+        graph = _shared.written(state.union(found).groupBy("dest").applyInArrow(_merge(degree, step), f"{_MESSAGE}, fresh long"), "graph")
+        if k == rounds or (k and rounds is None and (graph.agg(F.sum("fresh")).first()[0] or 0) <= SETTLED * n * degree):
             break
-    return codes, graph
+        state = graph.select("dest", "old", "blob")
+        members = state.union(state.mapInArrow(_asked(groups, step), _MESSAGE)).groupBy("dest").applyInArrow(_members(degree, groups, step, sample, k), _MESSAGE)
+        found = members.groupBy("dest").applyInArrow(_local_join(groups, sample, k), _MESSAGE)
+    return codes, graph.mapInArrow(_listed, "rep long, ids array<long>, sims array<double>")
 
 
 def _score(most: int):

@@ -406,3 +406,24 @@ def test_postings_hold_few_copies_of_their_shingles():
     tracemalloc.stop()
     # a million shingles of eight bytes are sent together
     assert rows == [16] and peak < 64 << 20, peak
+
+
+def test_op4_a_pair_of_old_neighbours_is_not_compared_again(spark, monkeypatch):
+    """What a round compares follows what the last one changed: on a settled graph it finds nothing, and names no old edge as found."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 12)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, vec array<float>")
+    monkeypatch.setattr(ann, "CELL", 64)
+    kept = []
+    monkeypatch.setattr(ann._shared, "written", lambda d, name, f=ann._shared.written: kept.append(f(d, name)) or kept[-1])
+    _, graph = ann.build_graph(nodes, len(x), 12, degree=16, tables=2, rounds=16)
+    lists = {r.rep: r.ids for r in graph.collect()}
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    best = np.argsort(-score, axis=1)[:, :16]
+    assert np.mean([len(set(lists[i]) & set(best[i].tolist())) / 16 for i in range(len(x))]) >= 0.9
+    # nothing is new any more, so a round's comparison has nothing to send
+    last = kept[-1].select("dest", "old", "blob")
+    assert kept[-1].agg(F.sum("fresh")).first()[0] == 0
+    members = last.union(last.mapInArrow(ann._asked(8, 24), ann._MESSAGE)).groupBy("dest").applyInArrow(ann._members(16, 8, 24, 64, 16), ann._MESSAGE)
+    assert members.groupBy("dest").applyInArrow(ann._local_join(8, 64, 16), ann._MESSAGE).count() == 0
