@@ -179,24 +179,25 @@ def case_summary(docs: DataFrame, refs: DataFrame) -> DataFrame:
     ``docs`` has case_id and review. Of several documents of one level the largest id speaks for it.
     """
     court = F.coalesce(F.nullif(N.text("court"), F.lit("")), N.text("level"))
-    by = docs.groupBy("case_id").agg(
+    # references go to their documents first, so that documents and their cases are worked out and grouped once
+    named = refs.select("doc_id", N.court_to_level("court").alias("_l")).where("_l <> ''")
+    cited = named.groupBy("doc_id").agg(*[F.max(F.col("_l") == lv).alias(f"_cites{i}") for i, lv in enumerate(N.LEVELS)])
+    by = docs.join(cited, "doc_id", "left").groupBy("case_id").agg(
         *[F.max_by(F.struct(court.alias("court"), N.text("file_no").alias("no")), F.when(F.col("level") == lv, F.col("doc_id"))).alias(f"_{i}") for i, lv in enumerate(N.LEVELS)],
         *[F.coalesce(F.bool_or(F.col("level") == lv), F.lit(False)).alias(f"_has{i}") for i, lv in enumerate(N.LEVELS)],
         F.min_by(N.text("category"), F.when(N.text("category") != "", F.col("doc_id"))).alias("category"),
         F.min_by(N.text("review"), F.when(N.text("review") != "", F.col("doc_id"))).alias("review"),
         F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("_docs"),
+        *[F.coalesce(F.bool_or(f"_cites{i}"), F.lit(False)).alias(f"_cited{i}") for i in range(3)],
     )
-    named = refs.join(docs.select("doc_id", "case_id"), "doc_id").select("case_id", N.court_to_level("court").alias("l")).where("l <> ''")
-    cited = named.groupBy("case_id").agg(F.collect_set("l").alias("_cited"))
-    j = by.join(cited, "case_id", "left").withColumn("_cited", F.coalesce("_cited", F.array().cast("array<string>")))
     has = [F.col(f"_has{i}") for i in range(3)]
-    known = [has[i] | F.array_contains("_cited", lv) for i, lv in enumerate(N.LEVELS)]
+    known = [has[i] | F.col(f"_cited{i}") for i in range(3)]
     known = [known[0] | has[1] | has[2], known[1] | has[2], known[2]]
     pick = lambda conditions, values: F.filter(F.array(*[F.when(c, v) for c, v in zip(conditions, values, strict=True)]), lambda x: x.isNotNull())
     levels = [F.lit(lv) for lv in N.LEVELS]
     yes = lambda c: F.when(c, "نعم").otherwise("لا")
     number = lambda i: F.when(has[i], F.col(f"_{i}.no")).otherwise("")
-    return j.select(
+    return by.select(
         "case_id",
         F.coalesce("category", F.lit("")).alias("category"),
         F.array_join(pick(has, levels), "، ").alias("levels_present"),

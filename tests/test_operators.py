@@ -239,3 +239,33 @@ def test_ranked_candidates_do_not_shuffle_pairs(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 20
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "key" in next(x for x in plan.splitlines() if "Join" in x)
+
+
+def _counted(spark, df):
+    """The same rows, and how often a row of them was worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_what_components_and_summaries_read_is_worked_out_once(spark):
+    ids = range(40)
+    docs = spark.createDataFrame([(i, f"C:{i // 4}", "ok", ("ابتدائي", "استئناف", "نقض", "")[i % 4], "", f"{i}/1/2015", "") for i in ids], "doc_id long, case_id string, review string, level string, court string, file_no string, category string")
+    refs = spark.createDataFrame([(3, 0, "محكمة النقض"), (4, 0, ""), (99, 0, "محكمة النقض")], "doc_id long, ref_ix int, court string")
+    counted, seen = _counted(spark, docs)
+    rows = {r.case_id: r for r in L.case_summary(counted, refs).collect()}
+    assert len(rows) == 10 and seen.value == 40
+    assert rows["C:0"].docs == "0؛ 1؛ 2؛ 3" and rows["C:0"].cassated == "نعم"
+    edges, seen = _counted(spark, spark.createDataFrame([(i, i - 1) for i in ids if i % 4], "a long, b long"))
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(i, i - i % 4) for i in ids}
+    assert seen.value == 30
+
+
+def test_edges_of_a_component_read_by_several_tasks_still_meet(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 101), (None, 3)], "a long, b long").repartition(7)
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(i, 0) for i in range(31)} | {(100, 100), (101, 100)}
