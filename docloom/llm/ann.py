@@ -250,9 +250,6 @@ def _members(degree: int, groups: int, step: int, sample: int, k: int):
         last[full] = sims[(np.cumsum(sizes) - 1)[full]]
         use = _used(sizes, new, step)
         owner, ids, new = np.repeat(np.arange(len(rep)), sizes)[use], ids[use], new[use]
-        # of old edges backwards, about ``step`` of a node in a round, others in the next
-        some = (new > 0) | ((_pairs(ids, rep[owner] + k) >> np.uint64(8)) % np.uint64(degree) < step)
-        owner, ids, new = owner[some], ids[some], new[some]
         kind = (_BACK + _NEW * (new > 0)).astype(np.uint8)
         keep = _thinned(ids, rep[owner], kind, sample, k)
         parts = [(rep, np.arange(len(rep)), np.full(len(rep), _SELF, np.uint8)), (ids[keep], owner[keep], kind[keep])]
