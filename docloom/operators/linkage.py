@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import normalise as N
-from docloom.operators.components import connected_components
+from docloom.operators.components import connected_components, stored
 
 
 def level_rank(c: Column | str) -> Column:
@@ -19,9 +21,9 @@ def with_keys(df: DataFrame, as_of_year: int) -> DataFrame:
     return df.withColumns({"file_norm": N.canon_file_no("file_no", as_of_year), "date_norm": N.canon_date("date"), "dec": N.strip(N.text("decision_no"))})
 
 
-def _facts(df: DataFrame, side: str, key: list[str], *more: Column) -> DataFrame:
-    """What scoring needs, computed once per row before it is joined, and a row for each key that the row has."""
-    facts = df.select(
+def _plain_facts(df: DataFrame, side: str, key: list[str], *more: Column) -> DataFrame:
+    """What scoring needs, computed once per row before it is joined."""
+    return df.select(
         *key,
         *more,
         "file_norm",
@@ -31,10 +33,31 @@ def _facts(df: DataFrame, side: str, key: list[str], *more: Column) -> DataFrame
         N.text("city").alias(f"{side}_city"),
         N.court_to_level("court").alias(f"{side}_court"),
     )
-    by_file = F.when(F.col("file_norm") != "", F.struct(F.lit(0).alias("kind"), F.col("file_norm").alias("a"), F.lit("").alias("b")))
-    by_decision = F.when((F.col("dec") != "") & (F.col("date_norm") != ""), F.struct(F.lit(1).alias("kind"), F.col("dec").alias("a"), F.col("date_norm").alias("b")))
-    keys = F.filter(F.array(by_file, by_decision), lambda k: k.isNotNull())
-    return facts.withColumn("key", F.explode(keys))
+
+
+def _facts(df: DataFrame, side: str, key: list[str], *more: Column) -> DataFrame:
+    """Facts with a row for each key that the row has."""
+    return _plain_facts(df, side, key, *more).withColumn("key", F.explode(_keys("file_norm", "dec", "date_norm")))
+
+
+def _keys(file: str, dec: str, date: str) -> Column:
+    by_file = F.when(F.col(file) != "", F.struct(F.lit(0).alias("kind"), F.col(file).alias("a"), F.lit("").alias("b")))
+    by_decision = F.when((F.col(dec) != "") & (F.col(date) != ""), F.struct(F.lit(1).alias("kind"), F.col(dec).alias("a"), F.col(date).alias("b")))
+    return F.filter(F.array(by_file, by_decision), lambda k: k.isNotNull())
+
+
+_OWN = {"doc_id": "child", "file_norm": "d_file", "date_norm": "d_date", "dec": "d_dec"}
+
+
+def document_facts(docs: DataFrame, as_of_year: int, *keep: str) -> DataFrame:
+    """child, child_rank, what linking reads of a document, and the columns to keep."""
+    return _plain_facts(with_keys(docs, as_of_year), "d", ["doc_id", *keep], level_rank("level").alias("child_rank")).withColumnsRenamed(_OWN)
+
+
+def reference_facts(refs: DataFrame, own: DataFrame, as_of_year: int) -> DataFrame:
+    """doc_id, ref_ix, parent_rank and what linking reads of a reference, for references of documents with facts ``own``."""
+    parents = own.select(F.col("child").alias("doc_id"), F.col("child_rank").alias("parent_rank"))
+    return _plain_facts(with_keys(refs, as_of_year), "r", ["doc_id", "ref_ix"]).join(parents, "doc_id")
 
 
 #: A parent is of a higher level than its child, unless a level is unknown.
@@ -43,7 +66,7 @@ _MAY_REVIEW = "parent_rank = 0 or child_rank = 0 or parent_rank > child_rank"
 
 def _both_facts(docs: DataFrame, refs: DataFrame, as_of_year: int, *more: Column) -> tuple[DataFrame, DataFrame]:
     """The facts of documents and of references, with ``more`` columns of the references."""
-    own = _facts(with_keys(docs, as_of_year), "d", ["doc_id"], level_rank("level").alias("child_rank")).withColumnsRenamed({"doc_id": "child", "file_norm": "d_file", "date_norm": "d_date", "dec": "d_dec"})
+    own = _facts(with_keys(docs, as_of_year), "d", ["doc_id"], level_rank("level").alias("child_rank")).withColumnsRenamed(_OWN)
     return own, _facts(with_keys(refs, as_of_year), "r", ["doc_id", "ref_ix"], *more)
 
 
@@ -92,70 +115,108 @@ def best_link(scored: DataFrame, *keep: str) -> DataFrame:
 
     ``keep`` names columns that are returned too: ref_ix, by which a document's references are told apart.
     """
+    # the smallest child of each score and confidence: plain minima, which are taken without sorting the pairs
+    at = lambda score, confidence: F.min(F.when((F.col("score") == score) & (F.col("confidence") == confidence), F.col("child"))).alias(f"{confidence}_{score}")
     good = scored.where(F.col("confidence").isin("high", "medium"))
-    top = good.groupBy("doc_id", "ref_ix").agg(F.min_by(F.struct("child", "confidence", "score"), F.struct(-F.col("score"), F.col("child"))).alias("b"))
-    return top.select(F.col("doc_id").alias("parent_doc"), F.col("b.child").alias("child_doc"), F.col("b.confidence").alias("confidence"), F.col("b.score").alias("score"), *keep)
+    top = good.groupBy("doc_id", "ref_ix").agg(*[at(score, c) for score in _SCORES for c in ("high", "medium")])
+    high, medium = ([F.col(f"{c}_{score}") for score in _SCORES] for c in ("high", "medium"))
+    first = [F.least(h, m) for h, m in zip(high, medium, strict=True)]
+    confidence = F.coalesce(*[F.when(c.isNotNull(), F.when(c == h, "high").otherwise("medium")) for c, h in zip(first, high, strict=True)])
+    score = F.coalesce(*[F.when(c.isNotNull(), F.lit(s)) for c, s in zip(first, _SCORES, strict=True)])
+    return top.select(F.col("doc_id").alias("parent_doc"), F.coalesce(*first).alias("child_doc"), confidence.alias("confidence"), score.alias("score"), *keep)
 
 
+#: The scores that a link may have, the best first.
+_SCORES = range(7, 2, -1)
 #: A key of more documents is not joined pair by pair.
 DENSE = 100
-# The score of a pair by what agrees beside the key (file number: 0, decision and date: 1), without the court.
-_AGREE = {0: {"dec+date": 6, "dec": 5, "date": 4, "": 3}, 1: {"parts": 4, "": 3}}
+#: How a reference and a document can meet: on the file number, on decision number and date, and on these with the parts of a file number.
+_FILE, _DECISION, _PARTS = [("file_norm", "d_file")], [("dec", "d_dec"), ("date_norm", "d_date")], [("dec", "d_dec"), ("date_norm", "d_date"), ("r_parts", "d_parts")]
 
 
-def _meeting_places(side: str) -> Column:
-    """For a row of facts and its key: all that a row of the other side may agree with it on beside the key, as (group, place, x, y, z).
+def _meeting_places(side: str, on: list[tuple[str, str]]) -> Column:
+    """For a row of facts: all that a row of the other side may agree with it on beside the key, as (score, x, y, place, z).
 
-    ``group`` is the score without the court, ``place`` whether a city (1) or a kind of court (2) agrees too, or neither (0).
+    ``score`` is without the court, ``place`` whether a city (1) or a kind of court (2) agrees too, or neither (0).
     """
-    file, dec, date = ("d_file", "d_dec", "d_date") if side == "d" else ("file_norm", "dec", "date_norm")
+    dec, date = ("d_dec", "d_date") if side == "d" else ("dec", "date_norm")
     none = F.lit("")
-    kind = F.col("key.kind")
-    has = lambda *cs: F.lit(True) if not cs else (F.col(cs[0]) != "") & has(*cs[1:])
-    first = _AGREE[0]
-    groups = [
-        F.when((kind == 0) & has(dec, date), F.struct(F.lit(first["dec+date"]).alias("g"), F.col(dec).alias("x"), F.col(date).alias("y"))),
-        F.when((kind == 0) & has(dec), F.struct(F.lit(first["dec"]).alias("g"), F.col(dec).alias("x"), none.alias("y"))),
-        F.when((kind == 0) & has(date), F.struct(F.lit(first["date"]).alias("g"), none.alias("x"), F.col(date).alias("y"))),
-        F.when(kind == 0, F.struct(F.lit(first[""]).alias("g"), none.alias("x"), none.alias("y"))),
-        F.when((kind == 1) & has(file), F.struct(F.lit(_AGREE[1]["parts"]).alias("g"), F.col(f"{side}_parts").alias("x"), none.alias("y"))),
-        F.when(kind == 1, F.struct(F.lit(_AGREE[1][""]).alias("g"), none.alias("x"), none.alias("y"))),
-    ]
-    # pairs that agree on decision and date alone are too weak to be links
-    places = [F.when(kind == 0, F.struct(F.lit(0).alias("p"), none.alias("z"))), F.when(has(f"{side}_city"), F.struct(F.lit(1).alias("p"), F.col(f"{side}_city").alias("z"))), F.when(has(f"{side}_court"), F.struct(F.lit(2).alias("p"), F.col(f"{side}_court").alias("z")))]
+    way = lambda score, x=none, y=none: F.struct(F.lit(score).alias("g"), x.alias("x"), y.alias("y"))
+    has = lambda c: F.col(c) != ""
+    places = [F.when(has(f"{side}_city"), F.struct(F.lit(1).alias("p"), F.col(f"{side}_city").alias("z"))), F.when(has(f"{side}_court"), F.struct(F.lit(2).alias("p"), F.col(f"{side}_court").alias("z")))]
+    if on == _FILE:
+        ways = [F.when(has(dec) & has(date), way(6, F.col(dec), F.col(date))), F.when(has(dec), way(5, F.col(dec))), F.when(has(date), way(4, none, F.col(date))), way(3)]
+        places.append(F.struct(F.lit(0).alias("p"), none.alias("z")))
+    else:
+        # pairs that agree on decision and date alone are too weak to be links
+        ways = [way(4 if on == _PARTS else 3)]
     kept = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    return F.flatten(F.transform(kept(groups), lambda g: F.transform(kept(places), lambda p: F.struct(g["g"], g["x"], g["y"], p["p"], p["z"]))))
+    return F.flatten(F.transform(kept(ways), lambda g: F.transform(kept(places), lambda p: F.struct(g["g"], g["x"], g["y"], p["p"], p["z"]))))
 
 
-def _dense_links(own: DataFrame, ref: DataFrame) -> DataFrame:
+def _dense_links(own: DataFrame, ref: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
     """doc_id, ref_ix, child, score, confidence: pairs among which is the best of each reference, at most eight for each way to agree.
 
     Of the documents that agree with a reference in one way only their levels matter, and of each level the smallest document, or
     the second if the smallest is the reference's own. A pair that agrees in more ways is found in each of them; the score of the
     one that names all is its own, the others are lower and so never win.
     """
-    at = ["key", "w"]
+    keys = [r for r, _ in on]
+    at = [*keys, "g", "x", "y", "p", "z"]
     first = F.row_number().over(Window.partitionBy(*at, "child_rank").orderBy("child"))
-    few = own.select("key", "child", "child_rank", F.explode(_meeting_places("d")).alias("w")).withColumn("r", first).where(F.col("r") <= 2).drop("r")
-    met = ref.select("key", "doc_id", "ref_ix", "parent_rank", F.explode(_meeting_places("r")).alias("w")).join(few, at)
-    met = met.where("doc_id <> child AND (parent_rank = 0 OR child_rank = 0 OR parent_rank > child_rank)")
-    high = (F.col("key.kind") == 0) & (F.col("w.g") > _AGREE[0][""]) & (F.col("w.p") > 0)
-    return met.select("doc_id", "ref_ix", "child", (F.col("w.g") + F.when(F.col("w.p") > 0, 1).otherwise(0)).alias("score"), F.when(high, "high").otherwise("medium").alias("confidence"))
+    few = own.select(*[F.col(d).alias(r) for r, d in on], "child", "child_rank", F.inline(_meeting_places("d", on))).withColumn("r", first).where("r <= 2").drop("r")
+    met = ref.select(*keys, "doc_id", "ref_ix", "parent_rank", F.inline(_meeting_places("r", on))).join(few, at).where(f"doc_id <> child AND ({_MAY_REVIEW})")
+    high = F.lit(on == _FILE) & (F.col("g") > 3) & (F.col("p") > 0)
+    return met.select("doc_id", "ref_ix", "child", (F.col("g") + F.when(F.col("p") > 0, 1).otherwise(0)).alias("score"), F.when(high, "high").otherwise("medium").alias("confidence"))
+
+
+def _links_on(own: DataFrame, ref: DataFrame, on: list[tuple[str, str]]) -> list[DataFrame]:
+    """doc_id, ref_ix, child, score, confidence: the best link of each reference among the documents that it meets so, in tables."""
+    # a file number's parts tell nothing where file numbers agree; without a place, pairs of one decision are no links
+    unused = {"d_parts", "r_parts"} if on == _FILE else {"d_file", "file_norm"} if on == _PARTS else set()
+    placed = lambda side: F.lit(on == _FILE) | (F.col(f"{side}_city") != "") | (F.col(f"{side}_court") != "")
+    named = lambda df, side, names: df.where(placed(side)).where(" AND ".join(f"{c} <> ''" for c in names))
+    own, ref = named(own, "d", [d for _, d in on]), named(ref, "r", [r for r, _ in on])
+    renamed = {r: d for r, d in on}
+    if on == _PARTS:
+        own, ref = own.where("d_file <> ''"), ref.where("file_norm <> ''")
+    keys = [d for _, d in on]
+    asked = ref.select(*renamed).withColumnsRenamed(renamed).distinct()
+    crowded = stored(own.select(*keys).join(asked, keys, "left_semi").groupBy(*keys).count().where(F.col("count") > DENSE).drop("count"))
+    few = crowded.isEmpty()
+    refs_in = lambda how: ref.join(crowded.withColumnsRenamed({d: r for r, d in on}), list(renamed), how)
+    sparse, others = (ref, own) if few else (refs_in("left_anti"), own.join(crowded, keys, "left_anti"))
+    pairs = sparse.drop(*unused).join(others.drop(*unused), [F.col(r) == F.col(d) for r, d in on]).where(f"doc_id <> child AND ({_MAY_REVIEW})")
+    if on != _FILE:
+        # pairs of one file number are found by it
+        pairs = pairs.where("file_norm = '' OR file_norm <> d_file") if on == _DECISION else pairs.withColumns({"file_norm": F.lit("-"), "d_file": F.lit("+")})
+    else:
+        pairs = pairs.withColumns({"r_parts": F.lit(""), "d_parts": F.lit("")})
+    best = lambda scored: stored(best_link(scored, "ref_ix").withColumnsRenamed({"parent_doc": "doc_id", "child_doc": "child"}))
+    found = [best(match_score(pairs).select("doc_id", "ref_ix", "child", "score", "confidence"))]
+    if not few:
+        own, ref = own.join(crowded, keys, "left_semi"), refs_in("left_semi")
+        found.append(best(_dense_links(own, ref, on)))
+        if on == _DECISION:
+            found += _links_on(own, ref, _PARTS)
+    return found
+
+
+def links(own: DataFrame, ref: DataFrame, *keep: str) -> DataFrame:
+    """The best link of each reference of ``ref`` (``reference_facts``) among the documents of ``own`` (``document_facts``).
+
+    Both are read many times and should be tables. References and documents meet in one way after the other, so the disk holds the
+    shuffle of one way at a time. Keys of at most DENSE documents are joined pair by pair. For the others the work grows
+    with their documents and references, not with the product of both.
+    """
+    found = [*_links_on(own, ref, _FILE), *_links_on(own, ref, _DECISION)]
+    return best_link(reduce(DataFrame.unionByName, found), *keep)
 
 
 def relink(docs: DataFrame, refs: DataFrame, as_of_year: int, *keep: str) -> DataFrame:
-    """All edges between documents, whatever order they arrived in: the best link of each reference.
-
-    Keys of at most DENSE documents are joined pair by pair. For the others the work grows with their documents and
-    references, not with the product of both.
-    """
-    parents = docs.select("doc_id", level_rank("level").alias("parent_rank"))
-    own, ref = _both_facts(docs, refs.join(parents, "doc_id"), as_of_year, F.col("parent_rank"))
-    dense = own.groupBy("key").agg((F.count("*") > DENSE).alias("dense"))
-    own, ref = own.join(dense, "key"), ref.join(dense, "key")
-    sparse = ref.where("NOT dense").join(own.where("NOT dense").drop("dense"), "key").where("doc_id <> child AND (parent_rank = 0 OR child_rank = 0 OR parent_rank > child_rank)")
-    scored = match_score(sparse).select("doc_id", "ref_ix", "child", "score", "confidence")
-    return best_link(scored.unionByName(_dense_links(own.where("dense"), ref.where("dense"))), *keep)
+    """All edges between documents, whatever order they arrived in: the best link of each reference."""
+    own = stored(document_facts(docs, as_of_year))
+    return links(own, stored(reference_facts(refs, own, as_of_year)), *keep)
 
 
 def connected_cases(docs: DataFrame, edges: DataFrame, as_of_year: int, *keep: str) -> DataFrame:
@@ -164,8 +225,13 @@ def connected_cases(docs: DataFrame, edges: DataFrame, as_of_year: int, *keep: s
     A case is named after the file number of its lowest member (then the smallest id), or its id. Its
     review is ``check`` if any edge is of low or medium confidence.
     """
+    return cases_of(docs.select("doc_id", level_rank("level").alias("rank"), N.canon_file_no("file_no", as_of_year).alias("no")), edges, *keep)
+
+
+def cases_of(docs: DataFrame, edges: DataFrame, *keep: str) -> DataFrame:
+    """``connected_cases`` of documents (doc_id, rank, no) whose rank of level and file number are known."""
     comp = connected_components(edges, "parent_doc", "child_doc")
-    known = docs.select("doc_id", F.when(level_rank("level") == 0, 9).otherwise(level_rank("level")).alias("rank"), N.canon_file_no("file_no", as_of_year).alias("no"))
+    known = docs.select("doc_id", F.when(F.col("rank") == 0, 9).otherwise(F.col("rank")).alias("rank"), "no")
     member = known.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
     weak = edges.where(F.col("confidence").isin("low", "medium")).select(F.col("parent_doc").alias("node")).join(comp, "node").select("component", F.lit(True).alias("weak")).distinct()
     named = member.groupBy("component").agg(F.min(F.struct("rank", "doc_id", "no")).alias("m")).join(weak, "component", "left")
@@ -223,6 +289,11 @@ def link_keys(df: DataFrame, as_of_year: int, *ids: str) -> DataFrame:
     return _facts(with_keys(df, as_of_year), "k", list(ids)).select(*ids, "key")
 
 
+def fact_keys(own: DataFrame) -> DataFrame:
+    """key: ``link_keys`` of documents with facts."""
+    return own.select(F.explode(_keys("d_file", "d_dec", "d_date")).alias("key"))
+
+
 def links_for(edges: DataFrame) -> DataFrame:
     """doc_id, to, role, confidence: each edge from both of its ends."""
     down = edges.select(F.col("parent_doc").alias("doc_id"), F.col("child_doc").alias("to"), F.lit("reviews").alias("role"), "confidence")

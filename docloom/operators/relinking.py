@@ -46,38 +46,45 @@ def apply_batch(state: dict[str, DataFrame], docs: DataFrame, refs: DataFrame, r
 
     An id that is put in and taken out in one batch is put in. References of documents that are not in the batch are ignored.
     """
-    docs, refs = docs.select(state["docs"].columns), refs.select(state["refs"].columns).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select(state["refs"].columns)
+    columns = {k: state[k].columns for k in state}
+    docs = docs.select(columns["docs"])
+    refs = refs.select(columns["refs"]).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select(columns["refs"])
     changed = stored(docs.select("doc_id").union(removed.select("doc_id")).where("doc_id is not null").distinct())
-    # both are read by every step below, so what made them is not run again for each
-    docs, refs = stored(docs), stored(refs)
-    new_docs = stored(_without(state["docs"], changed).unionByName(docs))
-    new_refs = stored(_without(state["refs"], changed).unionByName(refs))
+    flagged = lambda df, fresh: df.withColumn("_fresh", F.lit(fresh))
+    all_docs = stored(flagged(_without(state["docs"], changed), False).unionByName(flagged(docs, True)))
+    all_refs = stored(flagged(_without(state["refs"], changed), False).unionByName(flagged(refs, True)))
+    # what linking reads of a row is worked out once, and every step below reads little more than keys and ids
+    own = stored(L.document_facts(all_docs, as_of_year, "_fresh"))
 
-    # references whose candidates may have changed
+    # references whose candidates may have changed: those of the batch, and those that share a key with its documents as they were or are
     before = state["docs"].join(changed, "doc_id", "left_semi")
-    keys = L.link_keys(before.unionByName(docs), as_of_year).distinct()
-    met = L.link_keys(new_refs, as_of_year, "doc_id", "ref_ix").join(keys, "key", "left_semi").select("doc_id", "ref_ix")
-    again = stored(met.union(refs.select("doc_id", "ref_ix")).distinct())
-    asked = new_refs.join(again, ["doc_id", "ref_ix"], "left_semi")
-    # documents that none of these references can meet take no part
-    near = L.link_keys(new_docs, as_of_year, "doc_id").join(L.link_keys(asked, as_of_year).distinct(), "key", "left_semi").select("doc_id").union(again.select("doc_id")).distinct()
-    found = stored(L.relink(new_docs.join(near, "doc_id", "left_semi"), asked, as_of_year, "ref_ix"))
-    old = state["edges"]
-    stale = old.join(again.withColumnRenamed("doc_id", "parent_doc"), ["parent_doc", "ref_ix"], "left_semi").select(old.columns)
-    orphans = old.join(changed.withColumnRenamed("doc_id", "parent_doc"), "parent_doc", "left_semi").select(old.columns)
-    dropped = stored(stale.union(orphans).distinct())
-    kept = old.join(dropped.select("parent_doc", "ref_ix").distinct(), ["parent_doc", "ref_ix"], "left_anti")
-    edges = stored(kept.select(old.columns).unionByName(found.select(old.columns)))
+    keys = L.link_keys(before, as_of_year).union(L.fact_keys(own.where("_fresh"))).distinct()
+    old_refs = all_refs.where("NOT _fresh")
+    met = L.link_keys(old_refs, as_of_year, "doc_id", "ref_ix").join(keys, "key", "left_semi").select("doc_id", "ref_ix").distinct()
+    asked = all_refs.where("_fresh").unionByName(old_refs.join(met, ["doc_id", "ref_ix"], "left_semi").select(all_refs.columns))
+    asked = stored(L.reference_facts(asked, own, as_of_year))
+    found = L.links(own, asked, "ref_ix")
+
+    # a reference's edge as it was and as it is; that of a reference that is not asked, and whose document is not of the batch, stays
+    at = ["parent_doc", "ref_ix"]
+    was = state["edges"].join(changed.select(F.col("doc_id").alias("parent_doc"), F.lit(True).alias("gone")), "parent_doc", "left")
+    was = was.withColumnsRenamed({"child_doc": "old_child", "confidence": "old_confidence", "score": "old_score"})
+    new = asked.select(F.col("doc_id").alias("parent_doc"), "ref_ix", F.lit(True).alias("again")).join(found, at, "left")
+    stays = F.col("gone").isNull() & F.col("again").isNull()
+    pick = lambda old, new: F.when(stays, F.col(old)).otherwise(F.col(new)).alias(new)
+    same = F.col("child_doc").eqNullSafe(F.col("old_child")) & F.col("confidence").eqNullSafe(F.col("old_confidence")) & F.col("score").eqNullSafe(F.col("old_score"))
+    both = stored(was.join(new, at, "full_outer").select(*at, pick("old_child", "child_doc"), pick("old_confidence", "confidence"), pick("old_score", "score"), F.when(stays, False).otherwise(~same).alias("moved"), "old_child").where("child_doc is not null OR moved"))
+    edges = both.where("child_doc is not null").select(columns["edges"])
 
     # components that lose or gain something; an edge that goes and comes back as it was touches none
-    moved = dropped.exceptAll(found.select(old.columns)).union(found.select(old.columns).exceptAll(dropped))
-    ends = moved.select("parent_doc").union(moved.select("child_doc")).withColumnRenamed("parent_doc", "doc_id")
-    touched = changed.union(ends).distinct()
+    ends = both.where("moved").select(F.explode(F.array("parent_doc", "child_doc", "old_child")).alias("doc_id")).where("doc_id is not null")
+    touched = changed.union(ends)
     cases = state["cases"]
-    members = cases.join(cases.join(touched, "doc_id", "left_semi").select("component").distinct(), "component", "left_semi").select("doc_id")
-    region = stored(members.union(touched).distinct())
+    hit = cases.join(touched, "doc_id", "left_semi").select("component").distinct()
+    region = stored(cases.join(hit, "component", "left_semi").select("doc_id").union(touched).distinct())
     # an edge's ends are in one component now and were in one before, or it is new: one end tells where it belongs
-    inside = edges.join(region.withColumnRenamed("doc_id", "parent_doc"), "parent_doc", "left_semi").select(old.columns)
-    rebuilt = L.connected_cases(new_docs.join(region, "doc_id", "left_semi"), inside, as_of_year, "component")
-    new_cases = _without(cases, region).select(cases.columns).unionByName(rebuilt.select(cases.columns))
-    return {"docs": new_docs, "refs": new_refs, "edges": edges, "cases": new_cases}
+    inside = edges.join(region.withColumnRenamed("doc_id", "parent_doc"), "parent_doc", "left_semi").select(columns["edges"])
+    known = own.select(F.col("child").alias("doc_id"), F.col("child_rank").alias("rank"), F.col("d_file").alias("no"))
+    rebuilt = L.cases_of(known.join(region, "doc_id", "left_semi"), inside, "component")
+    new_cases = _without(cases, region).select(columns["cases"]).unionByName(rebuilt.select(columns["cases"]))
+    return {"docs": all_docs.select(columns["docs"]), "refs": all_refs.select(columns["refs"]), "edges": edges, "cases": new_cases}

@@ -2,12 +2,14 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import linkage as L
 from docloom.operators import relinking as R
+from docloom.operators.components import stored
 from docloom.sources.snapshots import SnapshotStore, StaleParent
 from docloom.streaming.ingest import ingest_and_link
 
@@ -153,3 +155,36 @@ def test_one_key_of_a_hundred_thousand_documents_and_references(spark):
     assert sum(by.values()) == 50_000 and {k[1:] for k in by} == {("high", 7), ("medium", 6), ("high", 5)}
     named = refs.where("decision_no = '4000'").count()
     assert links.where("child_doc = 'd004000'").count() == named
+
+
+@pytest.mark.parametrize("dense", [0, 3, 100])
+def test_links_by_parts_of_a_file_number(spark, monkeypatch, dense):
+    """File numbers of the same parts in another order, against the best pair picked row by row."""
+    rng = random.Random(4)
+    own = lambda: (COURTS[rng.randrange(4)], rng.choice(["فاس", "طنجة", ""]), str(rng.randrange(3)), f"0{rng.randrange(1, 3)}/03/2016", rng.choice(["7/3/2014", "3/7/2014", "8/3/2014", "3/8/2014", ""]))
+    docs = spark.createDataFrame([(f"d{i}", rng.choice(LEVELS), *own()) for i in range(60)], DOC)
+    refs = spark.createDataFrame([(f"d{i}", k, *own()) for i in range(60) for k in range(rng.randrange(3))], REF)
+    best = {}
+    for r in L.match_score(L.rank_filter(L.link_candidates(docs, refs, 2026), docs)).where("confidence IN ('high', 'medium')").collect():
+        at, link = (r.doc_id, r.ref_ix), (-r.score, r.child, r.confidence)
+        best[at] = min(best.get(at, link), link)
+    want = sorted((p, ix, child, confidence, -score) for (p, ix), (score, child, confidence) in best.items())
+    monkeypatch.setattr(L, "DENSE", dense)
+    assert rows(L.relink(docs, refs, 2026, "ref_ix"), "parent_doc", "ref_ix", "child_doc", "confidence", "score") == want
+    assert len({(score, confidence) for *_, confidence, score in want}) >= 4
+
+
+def test_a_batch_leaves_no_shuffles_behind(spark):
+    """What a batch has shuffled is gone from the disk when its tables are written."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    held = lambda: {b.toString() for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+    rng = random.Random(6)
+    docs, refs = frames(spark, [ruling(rng, i) for i in range(80)])
+    before = held()
+    state = R.apply_batch(R.empty_state(docs, refs), docs, refs, docs.select("doc_id").limit(0), 2026)
+    written = [stored(state[k]) for k in ("edges", "cases")]
+    for _ in range(40):
+        if not (left := held() - before):
+            break
+        time.sleep(0.25)
+    assert not left and all(df.count() for df in written)
