@@ -37,7 +37,8 @@ def _plain_facts(df: DataFrame, side: str, key: list[str], *more: Column) -> Dat
 
 def _facts(df: DataFrame, side: str, key: list[str], *more: Column) -> DataFrame:
     """Facts with a row for each key that the row has."""
-    return _plain_facts(df, side, key, *more).withColumn("key", F.explode(_keys("file_norm", "dec", "date_norm")))
+    # from a plain explode Spark infers a filter for rows with keys, which works them out a second time
+    return _plain_facts(df, side, key, *more).withColumn("key", F.explode_outer(_keys("file_norm", "dec", "date_norm"))).where("key is not null")
 
 
 def _keys(file: str, dec: str, date: str) -> Column:
@@ -232,7 +233,8 @@ def cases_of(docs: DataFrame, edges: DataFrame, *keep: str) -> DataFrame:
     """``connected_cases`` of documents (doc_id, rank, no) whose rank of level and file number are known."""
     comp = connected_components(edges, "parent_doc", "child_doc")
     known = docs.select("doc_id", F.when(F.col("rank") == 0, 9).otherwise(F.col("rank")).alias("rank"), "no")
-    member = known.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # read twice, once to be grouped and once to be named
+    member = stored(known.join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).select("doc_id", "component", "rank", "no"))
     weak = edges.where(F.col("confidence").isin("low", "medium")).select(F.col("parent_doc").alias("node")).join(comp, "node").select("component", F.lit(True).alias("weak")).distinct()
     named = member.groupBy("component").agg(F.min(F.struct("rank", "doc_id", "no")).alias("m")).join(weak, "component", "left")
     case = named.select("component", F.concat(F.lit("C:"), F.coalesce(F.nullif("m.no", F.lit("")), F.col("m.doc_id").cast("string"))).alias("case_id"), F.when(F.col("weak"), "check").otherwise("ok").alias("review"))

@@ -60,7 +60,7 @@ def apply_batch(state: dict[str, DataFrame], docs: DataFrame, refs: DataFrame, r
     before = state["docs"].join(changed, "doc_id", "left_semi")
     keys = L.link_keys(before, as_of_year).union(L.fact_keys(own.where("_fresh"))).distinct()
     old_refs = all_refs.where("NOT _fresh")
-    met = L.link_keys(old_refs, as_of_year, "doc_id", "ref_ix").join(keys, "key", "left_semi").select("doc_id", "ref_ix").distinct()
+    met = stored(L.link_keys(old_refs, as_of_year, "doc_id", "ref_ix").join(keys, "key", "left_semi").select("doc_id", "ref_ix").distinct())
     asked = all_refs.where("_fresh").unionByName(old_refs.join(met, ["doc_id", "ref_ix"], "left_semi").select(all_refs.columns))
     asked = stored(L.reference_facts(asked, own, as_of_year))
     found = L.links(own, asked, "ref_ix")
